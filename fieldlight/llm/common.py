@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -49,11 +49,24 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def utf8(texts: Iterable[object]) -> list[bytes]:
-    """UTF-8 bytes of each text of a pandas column; null is empty."""
-    return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
+    """UTF-8 bytes of each text of an Arrow batch; null is empty."""
+    return [t or b"" for t in batch.column(name).cast(pa.string()).cast(pa.binary()).to_pylist()]
 
 
-def single_thread() -> None:
-    """Tasks already use every core; libraries inside them keep to one."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+def with_columns(docs: DataFrame, text_col: str, ddl: str, types: list[pa.DataType], make: Callable) -> DataFrame:
+    """Adds the columns of ddl, made in Arrow batches; other columns pass through as they are.
+
+    make() is called once per task and returns a function from a list of texts (bytes) to one
+    sequence of values per new column. Columns of docs with these names are replaced.
+    """
+    names = StructType.fromDDL(ddl).names
+    docs = docs.drop(*names)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = make()
+        for batch in batches:
+            new = [pa.array(v, t) for v, t in zip(values(texts_of(batch, text_col)), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+
+    return docs.mapInArrow(each, extended(docs.schema, ddl))

@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, extended, utf8
+from .common import ascii_lower, with_columns
 
 #: Bytes of item text whose patterns are broadcast at once; more items go in further blocks.
 BLOCK_BYTES = 8 << 20
@@ -28,6 +28,7 @@ BATCH_BYTES = 4 << 20
 LANE = 2048
 TABLE_BITS = 18
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SCAN_DDL = "n_words long, runs array<struct<start:long,end:long>>, items array<string>"
 _TO_SPACE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -113,34 +114,31 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, ngram: int) -
 def _scan(docs: DataFrame, text_col: str, windows: list[tuple[str, list[str]]]) -> DataFrame:
     """Adds n_words, runs (hit words, [start, end) by word) and items to docs."""
     patterns = docs.sparkSession.sparkContext.broadcast(windows)
-    columns = docs.columns
-    schema = extended(docs.schema, "n_words long, runs array<struct<start:long,end:long>>, items array<string>")
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         items = [x for _, x in patterns.value]
         matcher = WuManber([f" {w} ".encode() for w, _ in patterns.value])
-        for frame in frames:
-            lists = []
+
+        def search(texts: list[bytes]):
+            found: list[tuple] = []
             part: list[bytes] = []
             counts: list[int] = []
             held = 0
-
-            def flush():
-                lists.extend(_hits(matcher, items, part, counts))
-                part.clear(), counts.clear()
-
-            for text in utf8(frame[text_col]):
+            for text in texts:
                 words = normalised(text)
                 part.append(b" ".join([b"", *words, b""]) if words else b" ")
                 counts.append(len(words))
                 held += len(part[-1])
                 if held >= BATCH_BYTES:
-                    flush()
-                    held = 0
-            flush()
-            yield frame[columns].assign(n_words=[x[0] for x in lists], runs=[x[1] for x in lists], items=[x[2] for x in lists])
+                    found += _hits(matcher, items, part, counts)
+                    part, counts, held = [], [], 0
+            found += _hits(matcher, items, part, counts)
+            return zip(*found, strict=True) if found else ([], [], [])
+
+        return search
 
-    return docs.mapInPandas(search, schema)
+    run = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    return with_columns(docs, text_col, _SCAN_DDL, [pa.int64(), pa.list_(run), pa.list_(pa.string())], make)
 
 
 def _hits(matcher: WuManber, items: list[list[str]], texts: list[bytes], counts: list[int]):

@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .chat import chat_trees, read_back
+from .common import stored, table
 from .decontaminate import decontaminate
+from .packing import pack, with_crc
+from .quality import quality_rules
+from .secrets import BASE, secret_spans, spans_text
 from .simhash import near_duplicates
+from .urls import url_verdicts
+from .warc import read_bundles, write_bundles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +33,55 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, limit=4)
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return read_back(chat_trees(rows.unionByName(own)))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    count = {k: (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE}
+    return found.select(
+        "doc_id", *count.values(), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans")
+    )
+
+
+#: Fixed rules of the query: action, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_verdicts(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), length=1024)
+    return with_crc(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = stored(write_bundles(table(spark, sf_dir, "pages").select("page_id", "url", "html")), "warc")
+    return read_bundles(bundles, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS1 = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -47,10 +102,44 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+OP4_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length('### ') + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\c'))
+  + length(': ') + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + length(' </turn>_') AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+OP7_SQL = r"""
+WITH r(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+f AS (SELECT page_id, r.host || r.path AS rule, r.verdict FROM q JOIN r ON (q.host = r.host OR q.host LIKE '%.' || r.host) AND starts_with(q.path, r.path)),
+b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM f GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q LEFT JOIN b USING (page_id)
+"""
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS payload_bytes, unhex(sha1(body)) AS d FROM p),
+x AS (SELECT page_id, payload_bytes, d, min(page_id) OVER (PARTITION BY d) AS first FROM h),
+b AS (SELECT page_id, payload_bytes, first, list_reduce([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0b' || substr(bits, 5 * i + 1, 5)) AS INTEGER), 1) FOR i IN range(32)], lambda a, c: a || c) AS payload_digest
+  FROM (SELECT *, CAST(CAST(d AS BIT) AS VARCHAR) AS bits FROM x))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_decontaminate, op2_simhash]
+    named = [op1_decontaminate, op2_simhash, op4_chat, op5_quality, op6_secrets, op7_urls, op8_packing, op9_warc]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op9_warc": OP9_SQL}

@@ -24,11 +24,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, utf8
+from .common import stored, with_columns
 from .components import components
 
 #: Fingerprints with one key beyond which the key is dealt out in pairs of blocks.
@@ -58,15 +59,10 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 def with_fingerprints(docs: DataFrame, *, text_col: str = "text", width: int = 4) -> DataFrame:
     """Adds column fp (the 64 bits as a signed long)."""
-    docs = docs.drop("fp")
-    columns = docs.columns
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fps = np.array([fingerprint(t, width) for t in utf8(frame[text_col])], np.uint64)
-            yield frame[columns].assign(fp=fps.view(np.int64))
-
-    return docs.mapInPandas(add, extended(docs.schema, "fp long"))
+    return with_columns(
+        docs, text_col, "fp long", [pa.int64()],
+        lambda: lambda texts: [np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)],
+    )
 
 
 def segments(n: int, limit: int) -> list[tuple[int, int]]:
@@ -216,8 +212,6 @@ def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4
 ) -> DataFrame:
     """(id, fingerprint, component_id) for each row of docs; component_id is the least id reachable."""
-    from .common import stored
-
     marked = stored(with_fingerprints(docs.select(id_col, text_col), text_col=text_col, width=width).select(id_col, "fp"), "fingerprints")
     reps = marked.groupBy("fp").agg(F.min(id_col).alias("rep"))
     roots = components(near_links(reps, limit=limit), "a", "b")
