@@ -14,6 +14,8 @@ from .packing import pack, with_crc
 from .quality import quality_rules
 from .secrets import BASE, secret_spans, spans_text
 from .simhash import near_duplicates
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .urls import url_verdicts
 from .warc import read_bundles, write_bundles
 
@@ -33,6 +35,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, limit=4)
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"), length=13)
+    return found.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -102,6 +114,33 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+#: Runs of repeated windows of {n} units; units: h with so many, wide characters or list entries each.
+_RUNS = """
+f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS m FROM k),
+r AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {n} THEN 0 ELSE 1 END AS new FROM f WHERE m < doc_id),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r),
+u AS (SELECT doc_id, min(p) AS a, max(p) + {n} AS b FROM g GROUP BY doc_id, run),
+v AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM u)"""
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS p FROM d),
+k AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM w),{_RUNS.format(n=50)},
+x AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS z,
+  string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM v JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)
+"""
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) - 12))) AS p FROM d),
+k AS (SELECT doc_id, p, array_to_string(h[p + 1:p + 13], ' ') AS s FROM w),{_RUNS.format(n=13)},
+x AS (SELECT doc_id, sum(b - a) AS n_removed, max(b) AS z, flatten(list(h[z + 1:a] ORDER BY a)) AS kept FROM v JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_concat(coalesce(kept, []), h[coalesce(z, 0) + 1:]), ' ')) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)
+"""
+
 OP4_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
@@ -137,9 +176,11 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_decontaminate, op2_simhash, op4_chat, op5_quality, op6_secrets, op7_urls, op8_packing, op9_warc]
+    named = [
+        op1_decontaminate, op2_simhash, op3_suffix_array, op4_chat, op5_quality, op6_secrets, op7_urls, op8_packing, op9_warc, op10_substring,
+    ]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op9_warc": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_suffix_array": OP3_SQL, "op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op9_warc": OP9_SQL, "op10_substring": OP10_SQL}
