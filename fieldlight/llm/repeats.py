@@ -244,6 +244,11 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[n]) for c, n in zip(columns, names, strict=True)], names=names)
 
 
+def _bucket(g: np.ndarray, n: int) -> np.ndarray:
+    """By low bits: anchors are minima, so the high bits of their hashes are all small."""
+    return ((g & LOW32) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
 def _spans(sorted_: np.ndarray) -> list[tuple[int, int]]:
     """Begin and end of each run of equal numbers."""
     if not len(sorted_):
@@ -268,7 +273,7 @@ def _send_hashes(length: int, k: int, units: Callable, n: int) -> Callable:
                 heads = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, np.int64)
                 many = np.add.reduceat(np.r_[False, (g[1:] == g[:-1]) & (owner[1:] != owner[:-1])], heads) > 0 if len(g) else heads
                 g, owner = g[heads], np.where(many, np.uint64(0), owner[heads])
-                bucket = ((g >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+                bucket = _bucket(g, n)
                 order = np.lexsort((owner, bucket))
                 g, owner, bucket = g[order], owner[order], bucket[order]
                 rows = []
@@ -329,7 +334,7 @@ def _contexts(row: dict, length: int, k: int, units: Callable, n: int, split: np
     if by_range:
         bucket = np.searchsorted(split, leading(own, at), "right")
     else:
-        bucket = ((g >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+        bucket = _bucket(g, n)
     order = np.argsort(bucket, kind="stable")
     begin, end = own.slices(first, first + windows + length - 2)
     before, count, spot = (at - first).tolist(), windows.tolist(), (first - own.begins[doc]).tolist()
