@@ -19,9 +19,25 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers the decorated function under a name."""
+
+    def add(f: Query) -> Query:
+        register(name, f, sql)
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import q_contracts, q_evaluation, q_geometry, q_joins, q_relations, q_scalars, q_sources, q_streams, q_vectors  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
