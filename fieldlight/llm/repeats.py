@@ -48,10 +48,10 @@ NO_ID = np.iinfo(np.int64).max
 CHUNK_DDL = "chunk long, ids array<long>, digests array<binary>, leads array<long>, n_bytes long, data binary"
 
 
-def packed(*arrays: np.ndarray | bytes) -> bytes:
+def packed(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     """Arrays as one compressed string."""
     raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([struct.pack(f"<{len(raw)}Q", *map(len, raw)), *raw]))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([struct.pack(f"<{len(raw)}Q", *map(len, raw)), *raw]))
 
 
 def unpacked(data: bytes, *kinds: str | None) -> list:
@@ -213,7 +213,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, length: int, k: int, un
             at = anchors(own, length, k)[0]
             leads = leading(own, np.sort(at)[:: max(1, len(at) // SAMPLE)]).tolist() if len(at) else []
             digests = [xxhash.xxh3_128_digest(t) for t in texts]
-            data = packed(np.array(list(map(len, texts)), np.int64), b"".join(texts))
+            data = packed(np.array(list(map(len, texts)), np.int64), b"".join(texts), level=5)  # shuffled twice
             row = [number], [list(ids)], [digests], [leads], [held], [data]
             types = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64(), pa.binary()
             ids.clear(), texts.clear()
@@ -348,7 +348,7 @@ def _contexts(row: dict, length: int, k: int, units: Callable, n: int, split: np
         rows.append((int(bucket[order[a]]), row["chunk"], packed(
             np.array([len(c) for c, _ in seen], "<u4"), np.array([x for _, x in seen], "u1"), np.array([count[i] for i in heads], "u1"),
             np.array([len(x) for x in seen.values()], "<u4"), ids[doc[flat]], doc[flat].astype("<u4"), np.array([spot[i] for i in flat.tolist()], "<u4"),
-            b"".join(c for c, _ in seen),
+            b"".join(c for c, _ in seen), level=3,
         )))
     return rows
 
