@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 
-MOMENT_DDL = "w double, s array<double>, g array<double>"
+MOMENT_DDL = "mass double, total array<double>, gram array<double>"
 
 
 def moments(df: DataFrame, keys: list[str], v: str, weight: Column | None = None, gram: bool = True) -> DataFrame:
-    """(keys, w, s, g): weighted count, sum and flattened Gram matrix of each group.
+    """(keys, mass, total, gram): weighted count, sum and flattened Gram matrix of each group.
 
     Partial sums are made in every partition and then added, so a hot group is spread over all.
     """
@@ -36,19 +36,19 @@ def moments(df: DataFrame, keys: list[str], v: str, weight: Column | None = None
                 old = sums.get(key)
                 sums[key] = add if old is None else [a + b for a, b in zip(old, add, strict=True)]
         out = [(*k, float(s[0]), s[1].tolist(), s[2].ravel().tolist()) for k, s in sums.items()]
-        yield pd.DataFrame(out, columns=[*keys, "w", "s", "g"])
+        yield pd.DataFrame(out, columns=[*keys, "mass", "total", "gram"])
 
     partial = rows.mapInPandas(part, ddl)
     add = lambda c: F.aggregate(F.collect_list(c), F.transform(F.first(c), lambda x: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    return partial.groupBy(*keys).agg(F.sum("w").alias("w"), add("s").alias("s"), add("g").alias("g"))
+    return partial.groupBy(*keys).agg(F.sum("mass").alias("mass"), add("total").alias("total"), add("gram").alias("gram"))
 
 
 def principal_axes(df: DataFrame, v: str, k: int = 3, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, axes, explained share): the sign of an axis makes its largest loading positive."""
     m = moments(df, [], v, weight).head()
-    n, s = m.w, np.array(m.s)
+    n, s = m.mass, np.array(m.total)
     mean = s / n
-    cov = np.array(m.g).reshape(len(s), len(s)) / n - np.outer(mean, mean)
+    cov = np.array(m.gram).reshape(len(s), len(s)) / n - np.outer(mean, mean)
     values, vecs = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][:k]
     axes = vecs[:, order].T

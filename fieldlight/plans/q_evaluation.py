@@ -1 +1,137 @@
-"""Queries."""
+"""Queries of model evaluation (J32 to J41) and user functions (L)."""
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators import encoding, evaluation, joins, models
+from . import inputs
+from .inputs import PREDICTIONS, VECTORS
+from .registry import query
+
+
+@query("j32_bootstrap_intervals")
+def j32(spark, sf):
+    return models.bootstrap_metrics(inputs.predictions(spark, sf), "block", "truth", "score", 40, ["lang"])
+
+
+@query("j33_block_bootstrap_delta")
+def j33(spark, sf):
+    """AUROC of two scores on the same draws, and whether each has enough replicates."""
+    p = inputs.predictions(spark, sf).withColumn("other", F.round(F.col("n") / 50000.0, 3))
+    a = models.bootstrap_metrics(p, "block", "truth", "score", 40).select(F.lit("score").alias("model"), "low", "high", "replicates_used")
+    b = models.bootstrap_metrics(p, "block", "truth", "other", 40).select(F.lit("n").alias("model"), "low", "high", "replicates_used")
+    return a.unionByName(b).withColumn("usable", F.col("replicates_used") >= 30)
+
+
+def _pairs(spark, sf):
+    v = inputs.vectors(spark, sf).where("crop < 2").withColumn("truth", F.col("crop")).withColumn("fold", (F.col("field") % 3).cast("int"))
+    return v.select("row_id", "field", "truth", "fold", *[F.col("v")[i].alias(f"x{i}") for i in range(8)])
+
+
+@query("j34_pair_axis_classifier")
+def j34(spark, sf):
+    return models.out_of_fold(_pairs(spark, sf), [f"x{i}" for i in range(8)], "fold", 3).select("row_id", "truth", "score")
+
+
+@query("j35_detector_selection")
+def j35(spark, sf):
+    p = _pairs(spark, sf).withColumn("x0", F.when(F.col("row_id") % 7 != 0, F.col("x0")))
+    return models.out_of_fold(p, ["x0", "x1", "x2"], "fold", 3, (0.01, 1.0)).select("row_id", "score", "reg")
+
+
+@query("j36_nested_feature_sets")
+def j36(spark, sf):
+    out = None
+    for name, features in (("narrow", ["x0"]), ("middle", ["x0", "x1", "x2"])):
+        m = evaluation.ranking_metrics(models.out_of_fold(_pairs(spark, sf), features, "fold", 3), [], "truth", "score").select(F.lit(name).alias("features"), F.round("auroc", 6).alias("auroc"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+_AUC = f"""WITH {PREDICTIONS}, s AS (SELECT lang, score, sum(truth) AS p, sum(1 - truth) AS n FROM predictions GROUP BY ALL), c AS (SELECT *, sum(p) OVER (PARTITION BY lang ORDER BY score DESC) AS tp FROM s),
+g AS (SELECT lang, sum(n * (tp - p / 2.0::DOUBLE)) / nullif(sum(p) * sum(n), 0) AS auroc FROM c GROUP BY lang)"""
+
+
+@query("j37_gate_table", _AUC + " SELECT lang, CASE WHEN auroc IS NULL THEN 'NOT_TESTABLE' WHEN auroc >= 0.9 THEN 'PASS' WHEN auroc >= 0.8 THEN 'EXPLORATORY' ELSE 'FAIL' END AS gate FROM g")
+def j37(spark, sf):
+    m = evaluation.ranking_metrics(inputs.predictions(spark, sf), ["lang"], "truth", "score")
+    return m.select("lang", evaluation.gate(F.col("auroc"), 0.8, 0.9).alias("gate"))
+
+
+@query("j38_lens_evaluation")
+def j38(spark, sf):
+    """Out-of-fold scores with a threshold per fold from the negatives of the other folds (upper quantile)."""
+    from ..operators.aggregates import quantile_stated
+
+    s = models.out_of_fold(_pairs(spark, sf), ["x0", "x1", "x2", "x3"], "fold", 3)
+    out = None
+    for f in range(3):
+        t = s.where((F.col("fold") != f) & (F.col("truth") == 0)).agg(quantile_stated(F.col("score"), 0.9, "higher").alias("threshold"))
+        m = s.where(F.col("fold") == f).crossJoin(t).withColumn("call", (F.col("score") > F.col("threshold")).cast("int"))  # one row
+        out = m if out is None else out.unionByName(m)
+    return evaluation.threshold_metrics(out, ["fold"], "truth", "call").select("fold", F.round("recall", 6).alias("recall"), F.round("fpr", 6).alias("fpr"))
+
+
+@query("j39_scorecard", _AUC + " SELECT 'auroc' AS metric, lang, round(auroc, 6) AS value FROM g UNION ALL SELECT 'rows', lang, CAST(count(*) AS DOUBLE) FROM predictions GROUP BY lang")
+def j39(spark, sf):
+    p = inputs.predictions(spark, sf)
+    a = evaluation.ranking_metrics(p, ["lang"], "truth", "score").select(F.lit("auroc").alias("metric"), "lang", F.round("auroc", 6).alias("value"))
+    return a.unionByName(p.groupBy("lang").agg(F.count("*").cast("double").alias("value")).select(F.lit("rows").alias("metric"), "lang", "value"))
+
+
+def _classified(spark, sf, hidden):
+    v = inputs.vectors(spark, sf).withColumn("fold", (F.col("field") % 5).cast("int"))
+    p = models.vector_classifier(v.where("fold <> 0"), v.where("fold = 0"), "v", "crop", 10, hidden)
+    return evaluation.overall_metrics(evaluation.class_metrics(evaluation.confusion(p, "crop", "predicted"), "crop", "predicted"))
+
+
+@query("j40_multinomial_models")
+def j40(spark, sf):
+    m = _classified(spark, sf, None)
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@query("j41_feed_forward_classifier")
+def j41(spark, sf):
+    m = _classified(spark, sf, 16)
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@query("l1_encoder_function", f"WITH {inputs.OBSERVATIONS} SELECT sample_id, round(avg(value), 6) AS m, 1.0::DOUBLE AS one FROM observations WHERE epoch_day >= 19723 AND epoch_day < 19740 GROUP BY sample_id")
+def l1(spark, sf):
+    """A user's encoder in place of the default one."""
+    import numpy as np
+
+    def mine(bands, days):
+        return np.array([bands[:, 0].mean(), 1.0])
+
+    w = spark.createDataFrame([(1, 19723, 19740)], "w int, start int, end int")
+    rows = encoding.windows_of(inputs.observations(spark, sf), w, "sample_id", "epoch_day", "bands", "obs_id")
+    e = encoding.encoded(rows, "sample_id", mine).where("outcome = 'complete'")
+    return e.select("sample_id", F.round(F.get("vector", F.lit(0)), 6).alias("m"), F.get("vector", F.lit(1)).alias("one"))
+
+
+@query("l3_sampler_table", f"WITH {inputs.ITEMS}, {inputs.CANDIDATES} SELECT item_id, candidate_id, CAST((quantity * 7 + c_custkey) % 100 AS BIGINT) AS value FROM candidates c JOIN items i ON i.tile = c_custkey % 50 AND longitude BETWEEN west AND east AND latitude BETWEEN south AND north")
+def l3(spark, sf):
+    """Samples are a table: a value per item and point, here from both keys."""
+    c = inputs.candidates(spark, sf).withColumn("tile", F.col("c_custkey") % 50)
+    hit = joins.point_in_boxes(c, inputs.items(spark, sf), ["tile"], "longitude", "latitude")
+    return hit.select("item_id", "candidate_id", ((F.col("quantity") * 7 + F.col("c_custkey")) % 100).alias("value"))
+
+
+@query("l4_worker_function", f"WITH {inputs.TASKS} SELECT task_id, attempts * 10 + tile % 10 AS artifact FROM tasks")
+def l4(spark, sf):
+    """A plain function over batches; Spark's task retry is the retry."""
+
+    def work(frames):
+        for frame in frames:
+            yield pd.DataFrame({"task_id": frame["task_id"], "artifact": frame["attempts"] * 10 + frame["tile"] % 10})
+
+    return inputs.tasks(spark, sf).select("task_id", "attempts", "tile").mapInPandas(work, "task_id long, artifact long")
+
+
+@query("l2_result_table", f"WITH {VECTORS} SELECT row_id, true AS found FROM vectors")
+def l2(spark, sf):
+    """get and put of results are a join and a union on the content key."""
+    v = inputs.vectors(spark, sf).select("row_id", F.sha2(F.to_json(F.struct("row_id", "v")), 256).alias("content_key"))
+    return v.join(v.select("content_key").distinct().withColumn("found", F.lit(True)), "content_key", "left").select("row_id", "found")

@@ -1 +1,409 @@
-"""Queries."""
+"""Queries of sampling, densities, mixtures and encoders (F17, F18, F38, F39, J)."""
+
+import numpy as np
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import hashing, vectors
+from ..operators import aggregates, encoding, geometry, joins, linear, mixture, mosaic, sampling
+from . import inputs
+from .inputs import CANDIDATES, OBSERVATIONS, VECTORS
+from .q_geometry import POLYS, polys
+from .registry import query
+
+RATIOS = {"train": 0.6, "validation": 0.2, "test": 0.2}
+_U = "CAST('0x' || substr(sha256({}), 1, 16) AS UBIGINT)"
+_EACH = "each AS (SELECT * EXCLUDE (v), unnest(v) AS e, unnest(range(len(v))) AS d FROM vectors)"
+
+
+def total(c):
+    return F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6)
+
+
+@query("f17_pooled_covariance", f"WITH {VECTORS}, {_EACH}, m AS (SELECT crop, d, avg(e) AS m FROM each GROUP BY ALL), r AS (SELECT row_id, d, e - m AS r FROM each JOIN m USING (crop, d) WHERE d < 6) SELECT CAST(a.d AS INTEGER) AS i, CAST(b.d AS INTEGER) AS j, round(sum(a.r * b.r) / (SELECT count(*) FROM vectors), 6) AS cov FROM r a JOIN r b USING (row_id) GROUP BY ALL")
+def f17(spark, sf):
+    v = inputs.vectors(spark, sf).withColumn("h", F.slice("v", 1, 6))
+    m = linear.moments(v, ["crop"], "h")
+    n = m.agg(F.sum("mass").alias("n"))
+    cell = m.select("mass", "total", F.posexplode("gram").alias("p", "x")).withColumns({"i": F.floor(F.col("p") / 6).cast("int"), "j": (F.col("p") % 6).cast("int")})
+    cell = cell.withColumn("x", F.col("x") - F.get("total", F.col("i")) * F.get("total", F.col("j")) / F.col("mass"))
+    return cell.groupBy("i", "j").agg(F.sum("x").alias("x")).crossJoin(n).select("i", "j", F.round(F.col("x") / F.col("n"), 6).alias("cov"))
+
+
+@query("f18_weighted_pca")
+def f18(spark, sf):
+    v = inputs.vectors(spark, sf)
+    w = aggregates.balanced_weights(v, ["crop", "field"])
+    mean, axes, _ = linear.principal_axes(w, "v", 3, F.col("weight"))
+    out = linear.scores_on(w, "v", mean, axes)
+    return out.select("row_id", F.transform("pc", lambda x: F.round(x, 6)).alias("pc"), F.round("residual", 6).alias("residual"))
+
+
+@query("f38_embedding_health", f"WITH {VECTORS}, p AS (SELECT a.row_id, a.v AS v, list_transform(a.v, lambda e, i: e + ((a.row_id + i - 1) % 5) * 0.01::DOUBLE) AS u FROM vectors a), n AS (SELECT avg(1 - list_dot_product(v, u) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(u, u))) AS c FROM p) SELECT round(c, 6) AS cosine_distance FROM n")
+def f38(spark, sf):
+    v = inputs.vectors(spark, sf)
+    u = v.withColumn("u", F.transform("v", lambda x, i: x + (F.col("row_id") + i) % 5 * 0.01))
+    return u.agg(F.round(F.avg(1 - vectors.cosine(F.col("v"), F.col("u"))), 6).alias("cosine_distance"))
+
+
+@query("f38_redundancy_terms")
+def f38b(spark, sf):
+    """Per label: variance floor and covariance penalty from moments; Barlow diagonal against turned vectors."""
+    v = inputs.vectors(spark, sf)
+    m = linear.moments(v, ["crop"], "v")
+    d = 64
+    mean = F.transform("total", lambda x: x / F.col("mass"))
+    cov = F.transform(F.col("gram"), lambda x, p: x / F.col("mass") - F.get("_m", F.floor(p / d).cast("int")) * F.get("_m", (p % d).cast("int")))
+    m = m.withColumn("_m", mean).withColumn("_c", cov)
+    diag = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.get("_c", i * (d + 1)))
+    floor = F.aggregate(F.transform(diag, lambda x: F.greatest(F.lit(0.0), 0.1 - F.sqrt(F.greatest(x, F.lit(0.0)) + 1e-4))), F.lit(0.0), lambda a, x: a + x) / d
+    off = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x) - F.aggregate(diag, F.lit(0.0), lambda a, x: a + x * x)
+    return m.select("crop", F.round(floor, 6).alias("variance_floor"), F.round(off / d, 6).alias("covariance_penalty"))
+
+
+@query("f39_separation", f"WITH {VECTORS}, {_EACH}, m AS (SELECT crop, d, avg(e) AS m FROM each GROUP BY ALL), c AS (SELECT crop, list(m ORDER BY d) AS c FROM m GROUP BY crop), r AS (SELECT sqrt(avg(list_distance(v, c) ** 2)) AS r FROM vectors JOIN c USING (crop)) SELECT a.crop AS a, b.crop AS b, round(list_distance(a.c, b.c) / r, 6) AS separation FROM c a JOIN c b ON a.crop < b.crop, r")
+def f39(spark, sf):
+    v = inputs.vectors(spark, sf)
+    c = aggregates.mean_vectors(v, ["crop"], "v").withColumnRenamed("v", "c")
+    r = v.join(c, "crop").agg(F.sqrt(F.avg(F.pow(vectors.distance(F.col("v"), F.col("c")), 2))).alias("r"))
+    pairs = c.select(F.col("crop").alias("a"), F.col("c").alias("ca")).join(c.select(F.col("crop").alias("b"), F.col("c").alias("cb")), F.col("a") < F.col("b"))  # one row per label
+    return pairs.crossJoin(r).select("a", "b", F.round(vectors.distance(F.col("ca"), F.col("cb")) / F.col("r"), 6).alias("separation"))
+
+
+@query("j1_stratified_sample")
+def j1(spark, sf):
+    c = sampling.select_candidates(inputs.candidates(spark, sf), 200, 3, 0.5, "1", RATIOS)
+    return c.select("candidate_id", "country", "stratum", "spatial_split", F.round("inclusion_probability", 6).alias("inclusion_probability"))
+
+
+_SPLIT = f"CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'validation' ELSE 'test' END"
+
+
+@query("j2_block_split", f"WITH {CANDIDATES}, b AS (SELECT DISTINCT spatial_block, {_U.format(chr(39) + '1:' + chr(39) + ' || spatial_block')}::DOUBLE / 18446744073709551616 AS u FROM candidates) SELECT spatial_block, {_SPLIT} AS spatial_split FROM b")
+def j2(spark, sf):
+    return inputs.candidates(spark, sf).select("spatial_block").distinct().withColumn("spatial_split", sampling.split_of(F.col("spatial_block"), "1", RATIOS))
+
+
+@query("j3_full_lattice", f"WITH {CANDIDATES} SELECT candidate_id, 1.0::DOUBLE AS inclusion_probability FROM candidates")
+def j3(spark, sf):
+    return sampling.full_lattice(inputs.candidates(spark, sf), "1", RATIOS).select("candidate_id", "inclusion_probability")
+
+
+@query("j4_candidate_frame", f"WITH {POLYS}, n AS (SELECT CAST(count(*) AS BIGINT) AS c FROM supplier), r AS (SELECT unnest(range(0, c * 60)) AS id FROM n), p AS (SELECT id, (id % 60 + 0.5) * 4.0::DOUBLE AS px, (floor(id / 60) + 0.5) * 0.3::DOUBLE AS py FROM r), h AS (SELECT id, px, py, min(k) AS region FROM p JOIN polys ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 GROUP BY ALL) SELECT id, region, CAST((floor(px) * 31 + floor(py) * 17) % 11 AS BIGINT) AS land, 'sup-' || CAST(floor(px / 50) AS BIGINT) || '-' || CAST(floor(py / 50) AS BIGINT) AS spatial_block FROM h WHERE (floor(px) * 31 + floor(py) * 17) % 11 <> 8")
+def j4(spark, sf):
+    n = inputs.table(spark, sf, "supplier").count()
+    p = geometry.lattice(spark, 0.0, 0.0, 60, n, 1.0).select("id", (F.col("ix") + 0.5) .alias("a"), (F.col("iy") + 0.5).alias("b"))
+    p = p.select("id", (F.col("a") * 4.0).alias("px"), (F.col("b") * 0.3).alias("py"))
+    r = geometry.regions_of(p, geometry.edges(polys(spark, sf), "k"), "id", "k", 8.0).where("k >= 0")
+    land = F.pmod(F.floor("px") * 31 + F.floor("py") * 17, F.lit(11))
+    block = F.concat(F.lit("sup-"), F.floor(F.col("px") / 50).cast("string"), F.lit("-"), F.floor(F.col("py") / 50).cast("string"))
+    return p.join(r, "id").select("id", F.col("k").alias("region"), land.alias("land"), block.alias("spatial_block")).where("land <> 8")
+
+
+@query("j5_best_split")
+def j5(spark, sf):
+    v = inputs.vectors(spark, sf).withColumn("b", (F.col("row_id") % 60).cast("int"))
+    return sampling.best_split(v, "b", "crop", 64, RATIOS)
+
+
+@query("j6_balanced_folds", f"""WITH {VECTORS}, c AS (SELECT row_id % 60 AS b, crop, count(*) AS n FROM vectors GROUP BY ALL), t AS (SELECT crop, sum(n) AS t FROM c GROUP BY crop), s AS (SELECT unnest(range(20)) AS seed),
+x AS (SELECT seed, crop, {_U.format("seed || ':' || b")} % 4 AS fold, sum(n) AS n FROM c, s GROUP BY ALL), y AS (SELECT seed, round(sum(n * n / (t / 4.0::DOUBLE) - n), 9) AS score FROM x JOIN t USING (crop) GROUP BY seed) SELECT CAST(seed AS INTEGER) AS seed, score FROM y ORDER BY score, seed LIMIT 1""")
+def j6(spark, sf):
+    v = inputs.vectors(spark, sf).withColumn("b", F.col("row_id") % 60)
+    return sampling.balanced_folds(v, "b", "crop", 4, 20)
+
+
+@query("j7_group_folds", f"WITH {VECTORS} SELECT row_id, CAST({_U.format(chr(39) + 'g:' + chr(39) + ' || (row_id % 60)')} % 4 AS INTEGER) AS fold FROM vectors")
+def j7(spark, sf):
+    v = inputs.vectors(spark, sf).withColumn("g", F.col("row_id") % 60)
+    got, _ = sampling.group_folds(v.withColumn("half", F.col("row_id") % 2), "g", "half", 4)
+    return got.select("row_id", "fold")
+
+
+@query("j8_pure_samples", f"""WITH {VECTORS}, c AS (SELECT DISTINCT x, y, CAST(floor(x / 4) + floor(y / 5) * 7 AS BIGINT) % 5 AS kind FROM vectors), p AS (SELECT a.x, a.y, any_value(a.kind) AS kind FROM c a JOIN c b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.x, a.y HAVING count(*) = 9 AND min(b.kind) = max(b.kind)),
+k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {_U.format("'p:' || x || ':' || y")}) AS r FROM p) SELECT x, y, kind FROM k WHERE r <= 6""")
+def j8(spark, sf):
+    from ..operators.windows import first_rows
+
+    cells = inputs.vectors(spark, sf).select("x", "y", ((F.floor(F.col("x") / 4) + F.floor(F.col("y") / 5) * 7) % 5).alias("kind")).distinct()
+    pure = joins.pure_cells(cells, "x", "y", "kind")
+    return first_rows(pure, ["kind"], [hashing.hash_rank(F.lit("p"), F.col("x").cast("string"), F.col("y").cast("string"))], 6)
+
+
+@query("j9_classification_rows")
+def j9(spark, sf):
+    v = inputs.vectors(spark, sf)
+    got = sampling.classification_rows(v.where("row_id % 3 <> 0").drop("v"), v.where("row_id % 3 <> 1").drop("v"), "row_id", "row_id", "crop", "block", 30, RATIOS)
+    return got.select("row_id", "source", "class_id", "split")
+
+
+@query("j10_balanced_sample", f"""WITH {VECTORS}, f AS (SELECT crop, field FROM (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY {_U.format("'b:' || field")}, field) AS k FROM (SELECT DISTINCT crop, field FROM vectors)) WHERE k <= 2), r AS (SELECT v.crop, v.field, row_id, row_number() OVER (PARTITION BY v.field ORDER BY row_id) - 1 AS i, count(*) OVER (PARTITION BY v.field) AS n FROM vectors v JOIN f ON f.field = v.field)
+SELECT crop, field, row_id FROM r WHERE n <= 4 OR list_contains(list_transform(range(4), lambda j: CASE WHEN j = 3 THEN n - 1 ELSE CAST(floor(j * ((n - 1) / 3.0::DOUBLE)) AS BIGINT) END), i)""")
+def j10(spark, sf):
+    return sampling.balanced_sample(inputs.vectors(spark, sf), "crop", "field", "row_id", 2, 4).select("crop", "field", "row_id")
+
+
+def scored(spark, sf):
+    """Vectors with log scores from a density fitted on other folds' sums."""
+    v = inputs.vectors(spark, sf).withColumn("fold", (F.col("field") % 5).cast("int"))
+    stats = linear.label_stats(v, "crop", "v", None, "fold")
+    models = {f: linear.fit_density(linear.without_fold(stats, f), 0.2) for f in range(5)}
+    return linear.with_log_scores(v, "v", models, fold="fold")
+
+
+@query("j11_density_fit")
+def j11(spark, sf):
+    v = inputs.vectors(spark, sf)
+    m = linear.fit_density(linear.label_stats(v, "crop", "v"), 0.2)
+    out = linear.with_log_scores(v, "v", m)
+    return out.select("row_id", F.round(F.array_max("log_scores"), 4).alias("best"))
+
+
+@query("j12_posteriors")
+def j12(spark, sf):
+    p = linear.posteriors(F.col("log_scores"))
+    return scored(spark, sf).select("row_id", "crop", F.transform(p, lambda x: F.round(x, 6)).alias("posterior"))
+
+
+@query("j13_temperature")
+def j13(spark, sf):
+    s = scored(spark, sf).withColumn("place", F.col("crop") + 1)
+    w = aggregates.balanced_weights(s.select("row_id", "crop", "field", "log_scores", "place"), ["crop", "field"])
+    t = linear.calibrated_temperature(w, "log_scores", "place", "weight")
+    loss = F.sum(F.col("weight") * linear.log_loss(F.col("log_scores"), F.col("place"), F.lit(t)))
+    return w.agg(F.lit(round(t, 6)).alias("temperature"), F.round(loss, 6).alias("log_loss"))
+
+
+@query("j14_cross_validated_shrinkage")
+def j14(spark, sf):
+    """Field-held-out log loss and accuracy per shrinkage: one pass for the sums, one for the scores."""
+    v = inputs.vectors(spark, sf).withColumn("fold", (F.col("field") % 5).cast("int")).withColumn("place", F.col("crop") + 1)
+    stats = linear.label_stats(v, "crop", "v", None, "fold")
+    out = None
+    for shrink in (0.05, 0.2, 0.5):
+        models = {f: linear.fit_density(linear.without_fold(stats, f), shrink) for f in range(5)}
+        s = linear.with_log_scores(v, "v", models, fold="fold")
+        f = s.groupBy("crop", "field", "place").agg(F.avg(linear.log_loss(F.col("log_scores"), F.col("place"), F.lit(1.0))).alias("loss"), F.avg((F.array_position("log_scores", F.array_max("log_scores")) == F.col("place")).cast("double")).alias("hit"))
+        one = f.agg(F.lit(shrink).alias("shrinkage"), F.round(F.avg("loss"), 6).alias("log_loss"), F.round(F.avg("hit"), 6).alias("accuracy"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def centres(spark, sf):
+    rows = linear.label_stats(inputs.vectors(spark, sf), "crop", "v")
+    return np.array([np.array(r[2]) / r[1] for r in sorted(rows)])
+
+
+_C = f"WITH {VECTORS}, {_EACH}, m AS (SELECT crop, d, avg(e) AS m FROM each GROUP BY ALL), c AS (SELECT crop, list(m ORDER BY d) AS c FROM m GROUP BY crop)"
+
+
+@query("j15_parent_axis", _C + ", ab AS (SELECT (SELECT c FROM c WHERE crop = 0) AS a, (SELECT c FROM c WHERE crop = 1) AS b), d AS (SELECT row_id, v, a, b, list_transform(range(1, 65), lambda i: a[i] - b[i]) AS ax FROM vectors, ab), r AS (SELECT row_id, v, b, ax, list_dot_product(list_transform(range(1, 65), lambda i: v[i] - b[i]), ax) / list_dot_product(ax, ax) AS raw FROM d) SELECT row_id, round(raw, 6) AS raw, raw BETWEEN 0 AND 1 AS inside, round(list_distance(v, list_transform(range(1, 65), lambda i: b[i] + greatest(0, least(1, raw)) * ax[i])), 6) AS residual FROM r")
+def j15(spark, sf):
+    c = centres(spark, sf)
+    share, raw, rest = mixture.segment_projection(F.col("v"), c[0], c[1])
+    return inputs.vectors(spark, sf).select("row_id", F.round(raw, 6).alias("raw"), raw.between(0, 1).alias("inside"), F.round(rest, 6).alias("residual"))
+
+
+def two_source(spark, sf):
+    return scored(spark, sf).select("field", "block", "row_id", F.col("log_scores")[0].alias("a"), F.col("log_scores")[1].alias("b"), "log_scores")
+
+
+_OBS2 = f"WITH {OBSERVATIONS}, o AS (SELECT sample_id, -abs(value - 100) / 50 AS a, -abs(k - 50) / 30 AS b FROM observations), g AS (SELECT unnest(range(201)) AS i), l AS (SELECT sample_id, i, i / 200.0::DOUBLE AS p, round(sum(greatest(a, b) + ln(i / 200.0::DOUBLE * exp(a - greatest(a, b)) + (1 - i / 200.0::DOUBLE) * exp(b - greatest(a, b)) + 1e-300)), 9) AS ll FROM o, g GROUP BY ALL)"
+
+
+@query("j16_mosaic_share", _OBS2 + ", b AS (SELECT sample_id, arg_max(p, (ll, -abs(p - 0.5), -i)) AS share, max(ll) AS ll, greatest(max(ll) FILTER (i = 0), max(ll) FILTER (i = 200)) AS pure FROM l GROUP BY sample_id) SELECT sample_id, round(share, 6) AS share, round(ll - pure, 6) AS evidence FROM b")
+def j16(spark, sf):
+    o = inputs.observations(spark, sf).select("sample_id", (-F.abs(F.col("value") - 100) / 50).alias("a"), (-F.abs(F.col("k") - 50) / 30).alias("b"))
+    return mixture.mosaic_share(o, ["sample_id"], "a", "b").select("sample_id", F.round("share", 6).alias("share"), F.round("evidence", 6).alias("evidence"))
+
+
+@query("j17_all_pairs")
+def j17(spark, sf):
+    shares = mixture.all_pair_shares(scored(spark, sf).withColumn("s", F.slice("log_scores", 1, 4)), ["field"], "s", [0, 1, 2, 3], 21)
+    return mixture.best_pair(shares, ["field"]).withColumn("margin", F.round("margin", 6))
+
+
+@query("j18_bootstrap_share")
+def j18(spark, sf):
+    return mixture.bootstrap_share(two_source(spark, sf), ["field"], "block", "a", "b", 50, 21)
+
+
+@query("j19_pair_controls")
+def j19(spark, sf):
+    """Held-out fields as end points, and synthetic mosaics that draw rows of two sources in stated shares."""
+    s = two_source(spark, sf)
+    ends = mixture.mosaic_share(s.where("field < 200"), ["field"], "a", "b", 21).select(F.concat(F.lit("field-"), "field").alias("control"), "share")
+    mixed = s.where("field < 200").withColumn("target", F.explode(F.array(F.lit(25), F.lit(50), F.lit(75))))
+    u = hashing.unit_interval(F.col("target").cast("string"), F.col("row_id").cast("string")) * 100
+    keep = F.when(F.col("field") < 100, u < F.col("target")).otherwise(u >= F.col("target"))
+    made = mixture.mosaic_share(mixed.where(keep), ["target"], "a", "b", 21).select(F.concat(F.lit("mix-"), "target").alias("control"), "share")
+    return ends.unionByName(made)
+
+
+@query("j20_calibration_tables")
+def j20(spark, sf):
+    """Evidence thresholds by pair and count bin, with a row per pair for bins with few cases."""
+    s = mixture.mosaic_share(two_source(spark, sf), ["field"], "a", "b", 21)
+    s = s.withColumn("pair", F.floor(F.col("field") / 500).cast("int")).withColumn("bin", F.when(F.col("rows") <= 8, "small").otherwise("large"))
+    fine = s.groupBy("pair", "bin").agg(F.count("*").alias("n"), aggregates.quantile_stated(F.round("evidence", 6), 0.95, "higher").alias("threshold"))
+    wide = s.groupBy("pair").agg(F.count("*").alias("n"), aggregates.quantile_stated(F.round("evidence", 6), 0.95, "higher").alias("threshold")).withColumn("bin", F.lit(None).cast("string"))
+    return fine.unionByName(wide)
+
+
+def field_calls(s, thresholds):
+    """One status per field, first rule that fits."""
+    got = joins.with_fallback(s, thresholds, ["pair"], "bin", "threshold", 3)
+    status = (
+        F.when(F.col("rows") < 3, "NO_CALL_FEW_ROWS").when(F.col("log_likelihood") / F.col("rows") < -200, "OUT_OF_MODEL").when(F.col("threshold").isNull(), "NO_CALL_UNCALIBRATED")
+        .when(F.col("evidence") <= F.col("threshold"), F.when(F.col("share") >= 0.5, "SINGLE_A").otherwise("SINGLE_B")).when(F.col("share").between(0.2, 0.8), "SUPPORTED_MIXTURE").otherwise("WEAK_MIXTURE")
+    )
+    return got.withColumn("status", status)
+
+
+@query("j21_field_calls")
+def j21(spark, sf):
+    s = mixture.mosaic_share(two_source(spark, sf), ["field"], "a", "b", 21)
+    s = s.withColumn("pair", F.floor(F.col("field") / 500).cast("int")).withColumn("bin", F.when(F.col("rows") <= 8, "small").otherwise("large"))
+    return field_calls(s, j20(spark, sf)).select("field", "status", "share")
+
+
+@query("j22_windowed_workflow")
+def j22(spark, sf):
+    """The whole chain with the window as a grouping key: densities per window, shares per field and window."""
+    v = inputs.windowed_vectors(spark, sf)
+    stats = linear.label_stats(v, "crop", "v", None, "w")
+    models = {w: linear.fit_density([r[:1] + r[2:] for r in stats if r[1] == w], 0.2) for w in range(1, 5)}
+    s = linear.with_log_scores(v, "v", models, fold="w").select("field", "w", F.col("log_scores")[0].alias("a"), F.col("log_scores")[1].alias("b"))
+    return mixture.mosaic_share(s, ["field", "w"], "a", "b", 21).select("field", "w", "share", F.round("evidence", 4).alias("evidence"))
+
+
+@query("j23_simplex_weights")
+def j23(spark, sf):
+    w = mixture.simplex_projection(F.col("v"), centres(spark, sf)[:4])
+    return inputs.vectors(spark, sf).select("row_id", F.transform(w, lambda x: F.round(x, 6)).alias("weights"))
+
+
+@query("j24_segment_projection", _C + ", ab AS (SELECT (SELECT c FROM c WHERE crop = 2) AS a, (SELECT c FROM c WHERE crop = 5) AS b), d AS (SELECT row_id, list_dot_product(list_transform(range(1, 65), lambda i: v[i] - b[i]), list_transform(range(1, 65), lambda i: a[i] - b[i])) / list_dot_product(list_transform(range(1, 65), lambda i: a[i] - b[i]), list_transform(range(1, 65), lambda i: a[i] - b[i])) AS s FROM vectors, ab) SELECT row_id, round(greatest(0, least(1, s)), 6) AS share FROM d")
+def j24(spark, sf):
+    c = centres(spark, sf)
+    return inputs.vectors(spark, sf).select("row_id", F.round(mixture.segment_projection(F.col("v"), c[2], c[5])[0], 6).alias("share"))
+
+
+@query("j25_dual_evidence", f"WITH {VECTORS} SELECT row_id, round(coalesce(4 * abs(v[1]) * abs(v[2]) / nullif(abs(v[1]) + abs(v[2]), 0), 0), 6) AS score FROM vectors")
+def j25(spark, sf):
+    return inputs.vectors(spark, sf).select("row_id", F.round(mixture.dual_evidence(F.abs(F.col("v")[0]), F.abs(F.col("v")[1])), 6).alias("score"))
+
+
+@query("j26_prototypes", f"WITH {VECTORS}, {_EACH}, f AS (SELECT crop, field, d, avg(e) AS m FROM each GROUP BY ALL), l AS (SELECT crop, d, avg(m) AS m FROM f GROUP BY ALL) SELECT crop, round(sum(m), 6) AS total, round(max(m) FILTER (d = 7), 6) AS m7 FROM l GROUP BY crop")
+def j26(spark, sf):
+    f = aggregates.mean_vectors(inputs.vectors(spark, sf), ["crop", "field"], "v")
+    p = aggregates.mean_vectors(f, ["crop"], "v")
+    return p.select("crop", total("v").alias("total"), F.round(F.col("v")[7], 6).alias("m7"))
+
+
+def out_of_fold(spark, sf):
+    v = inputs.vectors(spark, sf).withColumn("fold", (F.col("field") % 5).cast("int"))
+    each = [aggregates.mean_vectors(v.where(F.col("fold") != f), ["crop"], "v").select(F.lit(f).alias("fold"), "crop", F.col("v").alias("c")) for f in range(5)]
+    c = each[0]
+    for other in each[1:]:
+        c = c.unionByName(other)
+    return linear.nearest_centroid(v, "v", c.withColumnRenamed("crop", "label"), "label", ["fold"])
+
+
+@query("j27_control_thresholds")
+def j27(spark, sf):
+    p = out_of_fold(spark, sf)
+    return p.groupBy("crop").agg(F.round(aggregates.quantile_stated(F.col("distance"), 0.95, "higher"), 6).alias("threshold"), F.round(F.avg((F.col("predicted") == F.col("crop")).cast("double")), 6).alias("recall"))
+
+
+@query("j28_mixture_calls")
+def j28(spark, sf):
+    w = mixture.simplex_projection(F.col("v"), centres(spark, sf)[:3])
+    s = inputs.vectors(spark, sf).withColumn("w", w)
+    s = s.withColumn("call", F.when(F.array_max("w") > 0.9, "single").when(F.array_min(F.slice(F.reverse(F.array_sort("w")), 1, 2)) > 0.2, "mixture").otherwise("unclear"))
+    return s.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg((F.col("call") == "mixture").cast("double")), 6).alias("mixture_rate"), F.bool_and(F.col("call") != "unclear").alias("all_clear"))
+
+
+@query("j29_reference_bootstrap")
+def j29(spark, sf):
+    """Prototypes per replicate from drawn reference fields, and the spread of a distance between two of them."""
+    f = aggregates.mean_vectors(inputs.vectors(spark, sf), ["crop", "field"], "v")
+    d = mixture.draws(f.select("crop", "field"), ["crop"], "field", 40)
+    p = aggregates.mean_vectors(f.join(d, ["crop", "field"]), ["replicate", "crop"], "v", F.col("weight"))
+    pair = p.where("crop = 0").select("replicate", F.col("v").alias("a")).join(p.where("crop = 1").select("replicate", F.col("v").alias("b")), "replicate")
+    q = F.percentile(vectors.distance(F.col("a"), F.col("b")), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    return pair.agg(q.alias("q")).select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "median", "high"))])
+
+
+_NC = f"WITH {VECTORS}, {_EACH}, t AS (SELECT field % 5 AS fold, crop, d, sum(e) AS s, count(*) AS n FROM each GROUP BY ALL), k AS (SELECT f.fold, crop, d, sum(s) / sum(n) AS m FROM t, (SELECT unnest(range(5)) AS fold) f WHERE t.fold <> f.fold GROUP BY ALL), c AS (SELECT fold, crop AS label, list(m ORDER BY d) AS c FROM k GROUP BY ALL), x AS (SELECT row_id, label, round(list_distance(v, c), 9) AS d FROM vectors v JOIN c ON c.fold = v.field % 5)"
+
+
+@query("j30_nearest_centroid", _NC + " SELECT row_id, arg_min(label, (d, label)) AS predicted, round(min(d), 6) AS distance FROM x GROUP BY row_id")
+def j30(spark, sf):
+    return out_of_fold(spark, sf).select("row_id", "predicted", F.round("distance", 6).alias("distance"))
+
+
+@query("j31_permutation_test")
+def j31(spark, sf):
+    """Accuracy of fields' nearest centroids under labels shuffled among the fields of a fold."""
+    f = aggregates.mean_vectors(inputs.vectors(spark, sf), ["crop", "field"], "v").withColumn("fold", F.col("field") % 5)
+    r = f.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    w = W.partitionBy("replicate", "fold")
+    mine = F.row_number().over(w.orderBy("field"))
+    theirs = F.row_number().over(w.orderBy(hashing.hash_rank(F.col("replicate").cast("string"), F.col("field").cast("string"))))
+    a = r.withColumn("i", F.when(F.col("replicate") == 0, mine).otherwise(theirs))
+    labels = r.withColumn("i", mine).select("replicate", "fold", "i", F.col("crop").alias("given"))
+    rows = a.join(labels, ["replicate", "fold", "i"]).select("replicate", "field", "fold", "given", "v")
+    c = aggregates.mean_vectors(rows, ["replicate", "given"], "v").select("replicate", F.col("given").alias("label"), F.col("v").alias("c"))
+    p = linear.nearest_centroid(rows, "v", c, "label", ["replicate"])
+    return p.groupBy("replicate").agg(F.round(F.avg((F.col("predicted") == F.col("given")).cast("double")), 6).alias("accuracy"))
+
+
+@query("j42_window_encoding", f"""WITH {OBSERVATIONS}, w(w, a, z) AS (VALUES (1, 19723, 19730), (2, 19723, 19740), (3, 19800, 19810)), s AS (SELECT DISTINCT sample_id FROM observations)
+SELECT s.sample_id, w.w, CASE WHEN count(obs_id) > 0 THEN 'complete' ELSE 'empty_window' END AS outcome, round(avg(value), 6) AS m1, round(avg(epoch_day), 6) AS day FROM s CROSS JOIN w LEFT JOIN observations o ON o.sample_id = s.sample_id AND epoch_day >= a AND epoch_day < z AND valid GROUP BY ALL""")
+def j42(spark, sf):
+    e = encoding.encoded(_windows(spark, sf), "sample_id")
+    return e.select("sample_id", "w", "outcome", F.round(F.get("vector", F.lit(0)), 6).alias("m1"), F.round(F.get("vector", F.lit(4)), 6).alias("day"))
+
+
+def _windows(spark, sf):
+    w = spark.createDataFrame([(1, 19723, 19730), (2, 19723, 19740), (3, 19800, 19810)], "w int, start int, end int")
+    o = inputs.observations(spark, sf).select("sample_id", "obs_id", "epoch_day", "bands", "valid")
+    return encoding.windows_of(o.where("valid"), w, "sample_id", "epoch_day", "bands", "obs_id").join(o.select("sample_id").distinct(), "sample_id", "right").where("w IS NOT NULL")
+
+
+@query("j43_content_keyed_reuse", f"WITH {OBSERVATIONS}, s AS (SELECT DISTINCT sample_id FROM observations WHERE valid) SELECT sample_id, CAST(w AS INTEGER) AS w, CASE WHEN w = 3 OR sample_id % 4 = 1 THEN true ELSE sample_id % 4 <> 0 END AS reused FROM s, (SELECT unnest([1, 2, 3]) AS w)")
+def j43(spark, sf):
+    """Known results hold all samples but every fourth; their empty windows are known all the same."""
+    rows = _windows(spark, sf)
+    known = encoding.encoded(rows.where("sample_id % 4 <> 0 OR w = 3"), "sample_id")
+    return encoding.incremental(rows, known, "sample_id").select("sample_id", "w", "reused")
+
+
+@query("j44_extend_after_cutoff", f"WITH {OBSERVATIONS} SELECT sample_id, count(*) AS n, count(*) FILTER (epoch_day >= 19740) AS added FROM observations GROUP BY sample_id")
+def j44(spark, sf):
+    o = inputs.observations(spark, sf).select("sample_id", "obs_id", "epoch_day")
+    t = mosaic.extended_timeline(o.where("epoch_day < 19740"), o, "epoch_day", 19740)
+    return t.groupBy("sample_id").agg(F.count("*").alias("n"), F.count_if(F.col("epoch_day") >= 19740).alias("added"))
+
+
+@query("j45_point_histories", f"WITH {OBSERVATIONS}, n AS (SELECT sample_id, count(*) FILTER (valid AND kind = 'click') AS v, count(*) FILTER (kind = 'click') AS n FROM observations GROUP BY 1) SELECT sample_id, CASE WHEN n = 0 THEN 'none' WHEN v < 15 THEN 'insufficient' ELSE 'complete' END AS outcome FROM n")
+def j45(spark, sf):
+    o = inputs.observations(spark, sf)
+    return mosaic.outcomes(o.select("sample_id").distinct(), o.where("kind = 'click'"), ["sample_id"], F.col("valid"), 15).select("sample_id", "outcome")
+
+
+@query("j46_field_features", f"WITH {VECTORS}, {_EACH}, m AS (SELECT crop, field, d, avg(e) AS m FROM each GROUP BY ALL), s AS (SELECT field, round(sum(m), 6) AS mean_sum FROM m GROUP BY field), g AS (SELECT field, any_value(crop) AS crop, count(*) AS n, max(x) - min(x) + 1 AS width FROM vectors GROUP BY field) SELECT field, crop, n, width, mean_sum FROM g JOIN s USING (field)")
+def j46(spark, sf):
+    v = inputs.vectors(spark, sf)
+    m = aggregates.mean_vectors(v, ["field"], "v").select("field", total("v").alias("mean_sum"))
+    g = v.groupBy("field").agg(F.first("crop").alias("crop"), F.count("*").alias("n"), (F.max("x") - F.min("x") + 1).alias("width"))
+    return g.join(m, "field")
+
+
+@query("j47_longitudinal_rows", f"WITH {inputs.WINDOWED}, p AS (SELECT * FROM windowed WHERE NOT (w = 2 AND row_id % 11 = 0)), c AS (SELECT row_id FROM p GROUP BY row_id HAVING count(DISTINCT w) = 4) SELECT field, count(DISTINCT row_id) AS rows FROM p WHERE row_id IN (SELECT row_id FROM c) GROUP BY field")
+def j47(spark, sf):
+    from ..operators.cohort import in_all_windows
+
+    p = inputs.windowed_vectors(spark, sf).where("NOT (w = 2 AND row_id % 11 = 0)")
+    return p.join(in_all_windows(p, ["row_id"], "w", 4), "row_id", "left_semi").groupBy("field").agg(F.count_distinct("row_id").alias("rows"))
