@@ -54,14 +54,14 @@ def vector_classifier(train: DataFrame, test: DataFrame, v: str, label: str, cla
     counts = train.groupBy(label).agg(F.count("*").alias("_n"))
     t = train.join(counts, label).withColumn("_w", 1.0 / F.sqrt(F.col("_n").cast("double")))
     t, e = (d.withColumn("raw", array_to_vector(v)).withColumn("label_", F.col(label).cast("double")) for d in (t, test))
-    scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(t)
+    scaler = StandardScaler(inputCol="raw", outputCol="_x", withMean=True).fit(t)
     t, e = scaler.transform(t), scaler.transform(e)
     if hidden is None:
-        model = LogisticRegression(featuresCol="x", labelCol="label_", weightCol="_w", regParam=0.05, maxIter=iterations, family="multinomial").fit(t)
+        model = LogisticRegression(featuresCol="_x", labelCol="label_", weightCol="_w", regParam=0.05, maxIter=iterations, family="multinomial").fit(t)
     else:
         size = len(t.select(v).head()[0])
-        model = MultilayerPerceptronClassifier(featuresCol="x", labelCol="label_", layers=[size, hidden, classes], seed=1, maxIter=iterations).fit(t)
-    return model.transform(e).withColumn("predicted", F.col("prediction").cast("int")).drop("raw", "x", "label_", "rawPrediction", "probability", "prediction")
+        model = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="label_", layers=[size, hidden, classes], seed=1, maxIter=iterations).fit(t)
+    return model.transform(e).withColumn("predicted", F.col("prediction").cast("int")).drop("raw", "_x", "label_", "rawPrediction", "probability", "prediction")
 
 
 def bootstrap_metrics(df: DataFrame, block: str, truth: str, score: str, replicates: int, keys: list[str] | None = None) -> DataFrame:
