@@ -105,6 +105,12 @@ def _covers(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def _centred(c: Condition, values: np.ndarray) -> Condition:
+    """The same condition with its threshold in the middle of the gap that it lies in."""
+    low, high = values[values <= c.threshold], values[values > c.threshold]
+    return Condition(c.feature, c.above, float((low.max() + high.min()) / 2)) if len(low) and len(high) else c
+
+
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
     """Adds the condition with the largest FOIL gain until only bad rows are covered."""
     rule: Rule = ()
@@ -122,6 +128,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
                         best, chosen = gain, c
         if chosen is None:
             break
+        chosen = _centred(chosen, x[chosen.feature][inside])
         rule += (chosen,)
         inside &= chosen.holds(x)
     return rule
