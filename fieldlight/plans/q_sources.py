@@ -1 +1,245 @@
-"""Queries."""
+"""Queries of sources and sinks (A): round trips through a shared folder."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import contracts
+from ..sources import io
+from . import inputs
+from .inputs import CANDIDATES, ITEMS, OBSERVATIONS, VECTORS, WINDOWED
+from .registry import query
+
+
+def folder(spark) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_COLUMNS = ["candidate_id", "country", "longitude", "latitude", "spatial_block", "stratum"]
+
+
+@query("a1_candidate_csv", f"WITH {CANDIDATES} SELECT candidate_id, country, longitude, latitude, spatial_block, stratum FROM candidates")
+def a1(spark, sf):
+    path = folder(spark)
+    io.write_csv(inputs.candidates(spark, sf), path)
+    return io.read_csv(spark, path, io.CANDIDATE_DDL)
+
+
+@query("a2_fixed_decimals", f"WITH {CANDIDATES} SELECT candidate_id, printf('%.10f', longitude / 3) AS longitude FROM candidates")
+def a2(spark, sf):
+    path = folder(spark)
+    io.write_csv(inputs.candidates(spark, sf).select("candidate_id", (F.col("longitude") / 3).alias("longitude")), path)
+    return io.read_csv(spark, path, "candidate_id string, longitude string")
+
+
+def manifest(spark, sf):
+    c = inputs.candidates(spark, sf).select(*_COLUMNS, F.lit(1.0).alias("inclusion_probability"), F.lit("train").alias("spatial_split"), F.lit("train").alias("year_split"), F.lit(2024).alias("year"))
+    return io.manifest_rows(c).select(*[x.split()[0] for x in io.MANIFEST_DDL.split(", ")])
+
+
+@query("a3_manifest_identity", f"WITH {CANDIDATES} SELECT candidate_id FROM candidates WHERE c_custkey % 10 = 0")
+def a3(spark, sf):
+    path = folder(spark)
+    m = manifest(spark, sf).withColumn("sample_id", F.when(F.col("candidate_id").cast("long") % 10 == 0, F.concat(F.col("candidate_id"), F.lit("!"))).otherwise(F.col("sample_id")))
+    io.write_csv(m, path)
+    return io.checked_manifest(io.read_csv(spark, path, io.MANIFEST_DDL)).select(F.regexp_replace("key", "!", "").alias("candidate_id"))
+
+
+@query("a4_write_once", "SELECT count(*) AS first, count(*) AS again, true AS refused FROM customer")
+def a4(spark, sf):
+    path = folder(spark)
+    m = manifest(spark, sf)
+    first, again = io.write_once(m, path), io.write_once(m.repartition(3), path)
+    try:
+        io.write_once(m.withColumn("year", F.lit(2023)), path)
+        refused = False
+    except contracts.ContractError:
+        refused = True
+    return spark.read.parquet(path).agg(F.lit(first).cast("long").alias("first"), F.lit(again).cast("long").alias("again"), F.lit(refused).alias("refused"))
+
+
+def stored_observations(spark, sf):
+    o = inputs.observations(spark, sf).where("valid")
+    first = o.groupBy("sample_id", "epoch_day").agg(F.min_by(F.struct("obs_id", "k"), "obs_id").alias("f"))
+    return first.select(
+        F.col("sample_id").cast("string").alias("sample_id"), F.lit("KE").alias("country"), F.year(F.date_from_unix_date("epoch_day")).alias("year"), "epoch_day",
+        F.dayofyear(F.date_from_unix_date("epoch_day")).alias("day_of_year"), F.col("f.obs_id").cast("string").alias("source_item_id"), F.sha2(F.col("f.obs_id").cast("string"), 256).alias("source_item_sha256"),
+        F.lit("q").alias("catalog_query_sha256"), F.array_repeat(F.col("f.k").cast("int"), 10).alias("bands"), F.lit(4).alias("scl"), F.lit(True).alias("valid"),
+    )
+
+
+_STORE = f"WITH {OBSERVATIONS}, f AS (SELECT sample_id, epoch_day, min(obs_id) AS obs_id, arg_min(k, obs_id) AS k FROM observations WHERE valid GROUP BY ALL)"
+
+
+@query("a5_store_schema", "SELECT count(*) AS rows, 10 AS bands, 11 AS columns FROM events WHERE event_id < 0 OR event_id % 1 <> 0 HAVING count(*) >= 0")
+def a5(spark, sf):
+    s = io.observation_schema("s2")
+    return stored_observations(spark, sf).where("scl < 0").agg(F.count("*").alias("rows")).select("rows", F.lit(len(s["bands"].metadata["bands"])).alias("bands"), F.lit(len(s)).alias("columns"))
+
+
+@query("a6_observation_store", _STORE + " SELECT CAST(sample_id AS VARCHAR) AS sample_id, epoch_day, CAST(obs_id AS VARCHAR) AS source_item_id, CAST(k AS INTEGER) AS b3 FROM f")
+def a6(spark, sf):
+    path = folder(spark)
+    io.write_observations(stored_observations(spark, sf), path, "s2", 4)
+    return io.read_observations(spark, path, "s2").select("sample_id", "epoch_day", "source_item_id", F.col("bands")[2].alias("b3"))
+
+
+@query("a7_verified_scan", _STORE + " SELECT CAST(sample_id AS VARCHAR) AS sample_id, count(*) AS n FROM f GROUP BY 1")
+def a7(spark, sf):
+    path = folder(spark)
+    io.write_observations(stored_observations(spark, sf), path, "s2", 4)
+    o = io.read_observations(spark, path, "s2")
+    contracts.enforce(contracts.violations(o, "source_item_id", {"calendar": F.dayofyear(F.date_from_unix_date("epoch_day")) == F.col("day_of_year")}))
+    return o.groupBy("sample_id").agg(F.count("*").alias("n"))
+
+
+def snapshots(spark, sf):
+    i = inputs.items(spark, sf).select(F.concat(F.lit("q"), "tile").alias("query"), F.struct(F.col("item_id").alias("id"), F.date_format("acquired", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), "doc").alias("i"))
+    return i.groupBy("query").agg(F.collect_list("i").alias("items"))
+
+
+@query("a8_catalog_snapshots", f"WITH {ITEMS} SELECT 'q' || tile AS query, item_id AS id, acquired, sha256(doc) AS digest FROM items")
+def a8(spark, sf):
+    path = folder(spark)
+    snapshots(spark, sf).write.json(path)
+    s = spark.read.schema("query string, items array<struct<id:string,datetime:string,doc:string>>").option("mode", "FAILFAST").json(path)
+    return io.catalog_items(s).select("query", "id", F.col("acquired").cast("timestamp_ntz").alias("acquired"), "digest")
+
+
+@query("a9_documents_once", f"WITH {ITEMS} SELECT DISTINCT sha256(doc) AS digest FROM items WHERE sha256(doc) NOT IN (SELECT sha256(doc) FROM items WHERE tile < 5)")
+def a9(spark, sf):
+    i = inputs.items(spark, sf).select(F.col("tile").alias("query"), F.col("item_id").alias("id"), F.sha2("doc", 256).alias("digest"), "doc")
+    old, _ = io.store_documents(i.where("query < 5"))
+    return io.store_documents(i, old)[0].select("digest")
+
+
+@query("a10_ingest_rules", f"WITH {ITEMS} SELECT item_id, doc, CASE WHEN quantity < 10 THEN 'assets' WHEN orbit = 'N' THEN 'orbit' END AS reason FROM items")
+def a10(spark, sf):
+    return io.accepted(inputs.items(spark, sf), {"assets": F.col("quantity") >= 10, "orbit": F.col("orbit") != "N"}).select("item_id", "doc", "reason")
+
+
+@query("a11_snapshot_cache", "SELECT DISTINCT o_custkey % 50 AS tile FROM orders WHERE o_custkey % 50 >= 20")
+def a11(spark, sf):
+    t = inputs.tasks(spark, sf).select("tile").distinct().withColumn("query_key", F.sha2(F.col("tile").cast("string"), 256))
+    return io.tiles_to_load(t, t.where("tile < 20"), "tile").select("tile")
+
+
+@query("a12_deduped_items", f"WITH {ITEMS} SELECT item_id, min(acquired) AS acquired FROM items WHERE acquired >= TIMESTAMP '1996-01-01' AND acquired < TIMESTAMP '1998-01-01' GROUP BY item_id HAVING count(DISTINCT doc) = 1")
+def a12(spark, sf):
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    return io.deduped_items(inputs.items(spark, sf), "item_id", "doc", "acquired", at("1996-01-01"), at("1998-01-01"))[0].select("item_id", "acquired")
+
+
+@query("a13_polygon_table", "SELECT s_suppkey AS field_uid, s_name AS label FROM supplier")
+def a13(spark, sf):
+    return io.polygon_table(inputs.table(spark, sf, "supplier"), {"field_uid": "s_suppkey", "label": "s_name"})
+
+
+@query("a14_run_bound_table", "SELECT 'column' AS rule, 'absent' AS key UNION ALL SELECT 'row_count', 'false' FROM supplier HAVING count(*) <> 7 UNION ALL SELECT 'same_run', 'other'")
+def a14(spark, sf):
+    s = io.run_bound(inputs.table(spark, sf, "supplier"), "mine")
+    s = s.withColumn("run_fingerprint", F.when(F.col("s_suppkey") % 9 == 0, "other").otherwise("mine"))
+    return io.of_run(s, "mine", 7, ["s_name", "absent"]).select("rule", "key")
+
+
+def embedding_rows(spark, sf):
+    w = inputs.windowed_vectors(spark, sf)
+    gone = (F.col("row_id") % 10 == 0) & (F.col("w") == 1)
+    return w.select(F.sha2(F.concat_ws(":", "row_id", "w"), 256).alias("id"), "row_id", F.concat(F.lit("w"), "w").alias("window_id"), F.when(gone, "empty_window").otherwise("complete").alias("outcome"), F.when(~gone, F.col("v")).alias("embedding"))
+
+
+@query("a15_embedding_sink", f"WITH {WINDOWED} SELECT 'w' || w AS window_id, count(*) AS rows, count(*) FILTER (NOT (row_id % 10 = 0 AND w = 1)) AS vectors FROM windowed GROUP BY 1")
+def a15(spark, sf):
+    path = folder(spark)
+    rows = embedding_rows(spark, sf)
+    contracts.enforce(contracts.unique(rows, ["id"]))
+    rows.write.partitionBy("window_id").parquet(path)
+    return spark.read.parquet(path).groupBy("window_id").agg(F.count("*").alias("rows"), F.count("embedding").alias("vectors"))
+
+
+@query("a16_window_scan", f"WITH {VECTORS} SELECT row_id, CASE WHEN row_id % 10 = 0 THEN 'empty_window' ELSE 'complete' END AS outcome FROM vectors")
+def a16(spark, sf):
+    path = folder(spark)
+    embedding_rows(spark, sf).write.partitionBy("window_id").parquet(path)
+    return spark.read.parquet(path).where("window_id = 'w1'").select("row_id", "outcome")
+
+
+@query("a17_late_vectors", f"WITH {VECTORS} SELECT row_id, round(v[1], 6) AS head FROM vectors WHERE block = 2")
+def a17(spark, sf):
+    v = inputs.vectors(spark, sf)
+    got = io.late_vectors(v.where("block = 2").select("row_id"), v, "row_id", "v")
+    return got.select("row_id", F.round(F.col("v")[0], 6).alias("head"))
+
+
+@query("a18_file_inventory")
+def a18(spark, sf):
+    """Files of a written table against their receipt, of which one entry is wrong and one is missing."""
+    path = folder(spark)
+    inputs.table(spark, sf, "orders").repartition(4).write.option("compression", "none").parquet(path)
+    inv = io.file_inventory(spark, f"{path}/*.parquet")
+    r = inv.withColumn("path", F.when(F.substring("path", 6, 5) == "00001", "lost").otherwise(F.col("path"))).withColumn("sha256", F.when(F.substring("path", 6, 5) == "00002", "0").otherwise(F.col("sha256")))
+    return io.against_receipt(inv, r).select("rule")
+
+
+@query("a19_timeline_round_trip", f"WITH {OBSERVATIONS} SELECT obs_id, sample_id, epoch_day FROM observations")
+def a19(spark, sf):
+    path = folder(spark)
+    inputs.observations(spark, sf).select("obs_id", "sample_id", "epoch_day", "bands", "valid").withColumn("tile", F.col("sample_id") % 4).write.partitionBy("tile").parquet(path)
+    return spark.read.parquet(path).select("obs_id", "sample_id", "epoch_day")
+
+
+@query("a20_analysis_export", f"WITH {WINDOWED} SELECT 'w' || w AS window_id, count(*) AS n FROM windowed GROUP BY 1")
+def a20(spark, sf):
+    path = folder(spark)
+    rows = embedding_rows(spark, sf)
+    rows.select("row_id", "window_id", "outcome").write.partitionBy("window_id").parquet(f"{path}/scores")
+    io.receipt_row(rows, {"rows": F.count("*")}).write.text(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/scores").groupBy("window_id").agg(F.count("*").alias("n"))
+
+
+@query("a21_dataset_manifest", f"WITH {VECTORS} SELECT '{{\"rows\":' || count(*) || ',\"classes\":' || count(DISTINCT crop) || '}}' AS receipt FROM vectors")
+def a21(spark, sf):
+    return io.receipt_row(inputs.vectors(spark, sf), {"rows": F.count("*"), "classes": F.count_distinct("crop")})
+
+
+@query("a22_single_run_scan", "SELECT s_suppkey, 'r1' AS run_fingerprint FROM supplier")
+def a22(spark, sf):
+    path = folder(spark)
+    io.run_bound(inputs.table(spark, sf, "supplier"), "r1").write.parquet(path)
+    s = spark.read.parquet(path)
+    contracts.enforce(contracts.cardinality(s, F.count_distinct("run_fingerprint") == 1, "one_run"))
+    return s.select("s_suppkey", "run_fingerprint")
+
+
+@query("a23_evidence_cross_check", "SELECT 'extra' AS side, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def a23(spark, sf):
+    o = inputs.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    li = inputs.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
+    return contracts.same_rows(li, o, "ids").groupBy(F.col("detail").alias("side")).agg(F.count("*").alias("n")).where("side = 'extra'")
+
+
+@query("a24_newest_finalised", f"WITH {ITEMS} SELECT tile, arg_max(item_id, (acquired, item_id)) AS item_id FROM items GROUP BY tile")
+def a24(spark, sf):
+    return io.newest(inputs.items(spark, sf), ["tile"], "item_id", "acquired")
+
+
+@query("a25_land_cover_lookup", f"WITH {CANDIDATES} SELECT candidate_id, CAST((CAST(floor(longitude) AS BIGINT) * 31 + CAST(floor(latitude) AS BIGINT) * 17) % 11 AS BIGINT) AS land FROM candidates")
+def a25(spark, sf):
+    c = inputs.candidates(spark, sf).withColumns({"col": F.floor("longitude"), "row": F.floor("latitude")})
+    cells = c.select("row", "col").distinct().withColumn("land", (F.col("col") * 31 + F.col("row") * 17) % 11)
+    return io.lookup_cells(c, cells, ["row", "col"], "land", list(range(11)))[0].select("candidate_id", "land")
+
+
+@query("a26_receipt", f"WITH {CANDIDATES} SELECT '{{\"rows\":' || count(*) || ',\"blocks\":' || count(DISTINCT spatial_block) || ',\"excluded\":' || count(*) FILTER (latitude < -60) || '}}' AS receipt FROM candidates")
+def a26(spark, sf):
+    return io.receipt_row(inputs.candidates(spark, sf), {"rows": F.count("*"), "blocks": F.count_distinct("spatial_block"), "excluded": F.count_if(F.col("latitude") < -60)})
+
+
+@query("a27_plot_index", f"WITH {inputs.FIELDS} SELECT field_uid, CASE WHEN field_uid % 3 = 0 THEN 'reports/' || field_uid END AS path, CASE WHEN field_uid % 3 <> 0 THEN CASE WHEN n_chars < 500 THEN 'too_small' ELSE 'not_selected' END END AS reason FROM fields")
+def a27(spark, sf):
+    f = inputs.fields(spark, sf)
+    r = f.where("field_uid % 3 = 0").select("field_uid", F.concat(F.lit("reports/"), "field_uid").alias("path"))
+    return io.plot_index(f, r, "field_uid", F.when(F.col("n_chars") < 500, "too_small").otherwise("not_selected")).select("field_uid", "path", "reason")
