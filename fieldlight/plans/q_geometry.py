@@ -149,3 +149,10 @@ def c15(spark, sf):
 def c15b(spark, sf):
     _, m = g.field_pixels(polys(spark, sf).withColumn("label", F.col("s_nationkey")), "k", 1.0)
     return m.select("k", "ix", "iy", F.col("overlap_field_count").cast("long").alias("overlap_field_count"))
+
+
+@query("l5_cells_of_polygon", f"WITH {POLYS} SELECT k, count(*) AS cells, sum(ix * 31 + iy) AS mark FROM cover WHERE centre GROUP BY k")
+def l5(spark, sf):
+    """One polygon in, many cells out, as an explode."""
+    cells = g.rasterised(g.edges(polys(spark, sf), "k"), "k", 1.0)
+    return cells.groupBy("k").agg(F.count("*").alias("cells"), F.sum(F.col("ix") * 31 + F.col("iy")).alias("mark"))
