@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,24 +15,50 @@ from ..functions.hashing import hash_rank
 from .linear import literal
 
 
-def mosaic_share(df: DataFrame, keys: list[str], a: str, b: str, points: int = 201, weight: str | None = None) -> DataFrame:
-    """(keys, share, evidence, log_likelihood): the share of source a that makes the rows likeliest.
+def grid_likelihoods(df: DataFrame, keys: list[str], a: str, b: str, points: int, weight: str | None = None) -> DataFrame:
+    """(keys, rows, ll): log likelihood of each group at each share of an even grid, as an array.
 
-    a and b are log likelihoods of a row under either source. The grid lies in one array per row, which
-    is summed by position, so rows are never multiplied by grid points. Ties go to the share nearest 0.5,
-    then the smaller; evidence is the gain over the better pure source.
+    Every batch gives one partial array per group, and those are added; rows are never multiplied by
+    grid points, and a hot group is spread over all partitions.
     """
-    grid = np.linspace(0, 1, points)
-    la, lb = F.col(a), F.col(b)
-    top = F.greatest(la, lb)
     w = F.lit(1.0) if weight is None else F.col(weight)
-    sums = [F.sum(w * (top + F.log(float(p) * F.exp(la - top) + float(1 - p) * F.exp(lb - top) + F.lit(1e-300)))).alias(f"p{i}") for i, p in enumerate(grid)]
-    g = df.groupBy(*keys).agg(*sums, F.count("*").alias("rows"))
+    rows = df.select(*keys, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), w.cast("double").alias("_w"))
+    grid = np.linspace(0, 1, points)
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            group = frame.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            heads = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+            la, lb, wt = (frame[c].to_numpy()[order][:, None] for c in ("_a", "_b", "_w"))
+            top = np.maximum(la, lb)
+            ll = wt * (top + np.log(grid * np.exp(la - top) + (1 - grid) * np.exp(lb - top) + 1e-300))
+            out = frame[keys].iloc[order[heads]].reset_index(drop=True)
+            yield out.assign(rows=np.diff(np.r_[heads, len(order)]), ll=list(np.add.reduceat(ll, heads, axis=0)))
+
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields), "rows long, ll array<double>"])
+    total = F.aggregate(F.collect_list("ll"), F.array_repeat(F.lit(0.0), points), lambda x, y: F.zip_with(x, y, lambda p, q: p + q))
+    return rows.mapInPandas(part, ddl).groupBy(*keys).agg(F.sum("rows").alias("rows"), total.alias("ll"))
+
+
+def _best(ll: Column, points: int) -> Column:
+    """(ll, r, share) of the best grid point: ties to the share nearest 0.5, then the smaller."""
+    grid = np.linspace(0, 1, points)
     order = sorted(range(points), key=lambda i: (abs(grid[i] - 0.5), i))
-    rank = {i: r for r, i in enumerate(order)}
-    best = F.array_max(F.array(*[F.struct(F.round(f"p{i}", 9).alias("ll"), F.lit(-rank[i]).alias("r"), F.lit(float(grid[i])).alias("share")) for i in range(points)]))
-    pure = F.greatest(F.round("p0", 9), F.round(f"p{points - 1}", 9))
-    out = g.select(*keys, "rows", best.alias("_b"), pure.alias("_p"))
+    place = F.array(*[F.struct(F.lit(-order.index(i)).alias("r"), F.lit(float(grid[i])).alias("share")) for i in range(points)])
+    return F.array_max(F.zip_with(ll, place, lambda x, p: F.struct(F.round(x, 9).alias("ll"), p["r"].alias("r"), p["share"].alias("share"))))
+
+
+def mosaic_share(df: DataFrame, keys: list[str], a: str, b: str, points: int = 201, weight: str | None = None) -> DataFrame:
+    """(keys, rows, share, evidence, log_likelihood): the share of source a that makes the rows likeliest.
+
+    a and b are log likelihoods of a row under either source; evidence is the gain over the better pure source.
+    """
+    g = grid_likelihoods(df, keys, a, b, points, weight)
+    pure = F.greatest(F.round(F.col("ll")[0], 9), F.round(F.col("ll")[points - 1], 9))
+    out = g.select(*keys, "rows", _best(F.col("ll"), points).alias("_b"), pure.alias("_p"))
     return out.select(*keys, "rows", F.col("_b.share").alias("share"), (F.col("_b.ll") - F.col("_p")).alias("evidence"), F.col("_b.ll").alias("log_likelihood"))
 
 
@@ -68,16 +96,13 @@ def draws(groups: DataFrame, keys: list[str], unit: str, replicates: int, seed:
 
 def bootstrap_share(df: DataFrame, keys: list[str], block: str, a: str, b: str, replicates: int, points: int = 51) -> DataFrame:
     """(keys, low, median, high): share over block bootstrap replicates, from block sums per grid point."""
-    grid = np.linspace(0, 1, points)
-    la, lb = F.col(a), F.col(b)
-    top = F.greatest(la, lb)
-    sums = [F.sum(top + F.log(float(p) * F.exp(la - top) + float(1 - p) * F.exp(lb - top) + F.lit(1e-300))).alias(f"p{i}") for i, p in enumerate(grid)]
-    blocks = df.groupBy(*keys, block).agg(*sums)
+    blocks = grid_likelihoods(df, [*keys, block], a, b, points)
     w = draws(blocks.select(*keys, block), keys, block, replicates)
-    total = blocks.join(w, [*keys, block]).groupBy(*keys, "replicate").agg(*[F.sum(F.col("weight") * F.col(f"p{i}")).alias(f"p{i}") for i in range(points)])
-    best = F.array_max(F.array(*[F.struct(F.round(f"p{i}", 9).alias("ll"), F.lit(-abs(float(p) - 0.5)).alias("r"), F.lit(float(p)).alias("share")) for i, p in enumerate(grid)]))
+    scaled = blocks.join(w, [*keys, block]).withColumn("ll", F.transform("ll", lambda x: x * F.col("weight")))
+    added = F.aggregate(F.collect_list("ll"), F.array_repeat(F.lit(0.0), points), lambda x, y: F.zip_with(x, y, lambda p, q: p + q))
+    total = scaled.groupBy(*keys, "replicate").agg(added.alias("ll"))  # one array per drawn block
     q = F.percentile("share", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    out = total.withColumn("share", best["share"]).groupBy(*keys).agg(q.alias("q"))
+    out = total.withColumn("share", _best(F.col("ll"), points)["share"]).groupBy(*keys).agg(q.alias("q"))
     return out.select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))
 
 
