@@ -58,7 +58,7 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def with_fingerprints(docs: DataFrame, *, text_col: str = "text", width: int = 4) -> DataFrame:
-    """Adds column fp (the 64 bits as a signed long)."""
+    """Adds, or replaces, column fp (the 64 bits as a signed long)."""
     return with_columns(
         docs, text_col, "fp long", [pa.int64()],
         lambda: lambda texts: [np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)],
@@ -211,7 +211,10 @@ def near_links(distinct: DataFrame, *, limit: int = 4, block: int = BLOCK) -> Da
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4
 ) -> DataFrame:
-    """(id, fingerprint, component_id) for each row of docs; component_id is the least id reachable."""
+    """(id, fingerprint, component_id) for each row of docs; component_id is the least id reachable.
+
+    Only the id and the text are read, so other columns of docs may have any name.
+    """
     marked = stored(with_fingerprints(docs.select(id_col, text_col), text_col=text_col, width=width).select(id_col, "fp"), "fingerprints")
     reps = marked.groupBy("fp").agg(F.min(id_col).alias("rep"))
     roots = components(near_links(reps, limit=limit), "a", "b")
