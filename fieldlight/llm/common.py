@@ -54,6 +54,13 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.string()).cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows, so that the Python objects of only one part are alive."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_columns(docs: DataFrame, text_col: str, ddl: str, types: list[pa.DataType], make: Callable) -> DataFrame:
     """Adds the columns of ddl, made in Arrow batches; other columns pass through as they are.
 
@@ -65,7 +72,7 @@ def with_columns(docs: DataFrame, text_col: str, ddl: str, types: list[pa.DataTy
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = make()
-        for batch in batches:
+        for batch in slices(batches):
             new = [pa.array(v, t) for v, t in zip(values(texts_of(batch, text_col)), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import extended
+from .common import extended, slices
 
 LENGTH = 1024
 WINDOWS = 32
@@ -144,7 +144,7 @@ def pack(
             return made
 
         kind = None
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.schema.types[0]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), end_id], np.int32)
@@ -154,7 +154,7 @@ def pack(
                     yield batch_of(kind)
         for sequence in packer.finish():
             out(sequence)
-        if kind is not None:
+        if kind is not None and columns[0]:
             yield batch_of(kind)
 
     return docs.select(id_col, text_col).mapInArrow(each, schema)
