@@ -70,13 +70,13 @@ def typical(df: DataFrame, keys: list[str], value: str, size: str, key: str) ->
 
 
 def operating_point(df: DataFrame, truth: str, score: str, most_fpr: float, keys: list[str] | None = None) -> DataFrame:
-    """Best threshold with a false-positive rate of at most most_fpr: by recall, precision, then rate and threshold."""
+    """Best threshold with a false-positive rate of at most most_fpr: by recall, precision, then rate and threshold. Groups without negatives have no rate and no row."""
     keys = keys or []
     by = df.groupBy(*keys, score).agg(F.sum(truth).alias("p"), F.sum(1 - F.col(truth)).alias("n"))
     w = W.partitionBy(*keys)
     run = w.orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, 0)
     tp, fp = F.sum("p").over(run), F.sum("n").over(run)
-    c = by.withColumns({"recall": tp / F.sum("p").over(w), "fpr": fp / F.sum("n").over(w), "precision": tp / (tp + fp)})
+    c = by.withColumns({"recall": F.try_divide(tp, F.sum("p").over(w)), "fpr": F.try_divide(fp, F.sum("n").over(w)), "precision": F.try_divide(tp, tp + fp)})
     best = F.max(F.struct("recall", "precision", (-F.col("fpr")).alias("m"), F.col(score).alias("threshold"))).alias("b")
     out = c.where(F.col("fpr") <= most_fpr).groupBy(*keys).agg(best)
     return out.select(*keys, "b.threshold", "b.recall", "b.precision", (-F.col("b.m")).alias("fpr"))
