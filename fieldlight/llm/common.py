@@ -75,5 +75,6 @@ def with_columns(docs: DataFrame, text_col: str, ddl: str, types: list[pa.DataTy
         for batch in slices(batches):
             new = [pa.array(v, t) for v, t in zip(values(texts_of(batch, text_col)), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+        pa.default_memory_pool().release_unused()  # workers are used again by other stages
 
     return docs.mapInArrow(each, extended(docs.schema, ddl))

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)  # once per worker process, not per task
 def encoder(path: str) -> Callable[[str], list[int]]:
     """Ids of a text under a byte-level BPE vocabulary file (tokenizers JSON); special strings are ordinary text.
 
@@ -46,7 +48,9 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     """
     import tiktoken
 
-    model = json.loads(open(path, encoding="utf-8").read())
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    model.get("model", {}).pop("merges", None)
     special = {x["content"] for x in model.get("added_tokens", [])}
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
@@ -156,6 +160,7 @@ def pack(
             out(sequence)
         if kind is not None and columns[0]:
             yield batch_of(kind)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(id_col, text_col).mapInArrow(each, schema)
 
