@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +39,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=1)  # once per worker process, not per task
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text under a byte-level BPE vocabulary file (tokenizers JSON); special strings are ordinary text.
+@lru_cache(maxsize=2)  # once per worker process, not per task
+def encoder(path: str, special: bool = False) -> Callable[[str], list[int]]:
+    """Ids of a text under a byte-level BPE vocabulary file (tokenizers JSON).
 
-    The file's merges are ranked by id, so the same ids come from the faster of the two public
-    libraries; tests hold them against the other one.
+    special: the file's added tokens get their ids where they stand in a text, as the tokenizers
+    library does unless told otherwise; without it they are ordinary text. The file's merges are
+    ranked by id, so the same ids come from the faster of the two public libraries; tests hold them
+    against the other one.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
     model.get("model", {}).pop("merges", None)
-    special = {x["content"] for x in model.get("added_tokens", [])}
+    added = model.get("added_tokens", [])
+    names = {x["content"]: x["id"] for x in added}
     letters = byte_letters()
-    ranks = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ranks = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in names}
+    if not special:
+        return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take more or less than their own text")
+    return partial(tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=names).encode, allowed_special="all")
 
 
 class Packer:
@@ -117,16 +124,20 @@ class Packer:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = LENGTH, windows: int = WINDOWS
-) -> DataFrame:
-    """One row per piece: id, start, length, ids, doc_tokens, sequence_id, offset. Sequences are full or a power of two long."""
+    docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = LENGTH, windows: int = WINDOWS,
+    special: bool = False,
+) -> DataFrame:
+    """One row per piece: id, start, length, ids, doc_tokens, sequence_id, offset. Sequences are full or a power of two long.
+
+    special: added tokens of the vocabulary file that stand in a text get their own ids.
+    """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     kind = docs.schema[id_col]
     schema = extended(StructType([kind]), "start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, special)
         packer = Packer(length, windows)
         number = TaskContext.get().partitionId() << 33
         columns: list[list] = [[] for _ in range(7)]

@@ -85,7 +85,7 @@ def tokenizer_path() -> str:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), length=1024)
+    pieces = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), length=1024, special=True)
     return with_crc(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
