@@ -39,20 +39,26 @@ BASE = 0x9E3779B97F4A7C15
 REFERENCES = 8
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """SimHash of the shingles of a text; 0 without words."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text; fewer words than the width are one shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
-    else:
-        joined = b" ".join(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(words) - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(words) - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """SimHash of the shingles of a text; 0 without words."""
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
