@@ -4,8 +4,8 @@ Conversations are sorted by their turns, so that those with the same first turns
 a range partition of that order is a run of a depth-first walk over the prefix tree of all of them.
 Each partition walks its run: turns shared with the conversation before are not emitted again.
 The walk is cut into trees of bounded size, one row each: the text with every shared turn once, in
-depth-first order, and per node its place, its parent, the position its first token has in its
-conversation, and the intervals of the tree's text that it may attend to (its ancestors).
+depth-first order, and per node its place, its parent, the position its first character has in
+its formatted conversation, and the intervals of the tree's text that it may attend to (its ancestors).
 A very common first turn is only a wide node: its conversations spread over many partitions, and
 each tree repeats no more than one path of turns.
 

@@ -1,14 +1,12 @@
-"""SimHash near-duplicates by pivot distance tables.
+"""SimHash near-duplicates by a segment index with a pivot filter.
 
 1. A fingerprint of each text: the majority bit of the XXH64 of its word shingles.
 2. Distinct fingerprints only, each with its least document id; copies never meet each other again.
-3. A fingerprint's row of the pivot table: Hamming distances to reference fingerprints. The
-   references come in groups that differ from a base only inside one segment of the bits, so their
-   distances tell how the segment lies; fingerprints within `limit` bits agree on the pivot
-   coordinates of all but `limit` segments. Those coordinates are the join key.
-4. Within a key, pairs whose largest coordinate difference exceeds the limit are discarded (no two
-   fingerprints within d bits differ by more than d in a distance to any reference); survivors are
-   verified by exact Hamming distance. Only edges that join two groups are emitted.
+3. Fingerprints within `limit` bits agree on all but `limit` segments of their bits. Those segments
+   are the join key.
+4. Within a key, pairs are discarded by their Hamming distances to a few reference fingerprints (no
+   two fingerprints within d bits differ by more than d in a distance to any reference); survivors
+   are verified by exact Hamming distance. Only edges that join two groups are emitted.
 5. Keys with very many fingerprints are split into pairs of salted blocks, each its own group.
 6. Connected components over the edges.
 
@@ -98,11 +96,7 @@ def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _keys(fps: np.ndarray, parts: list[tuple[int, int]], limit: int) -> np.ndarray:
-    """For each choice of segments that may agree, a 64-bit key of their pivot coordinates.
-
-    d(x, base with bit i turned) - d(x, base) is +1 or -1 by bit i of x against the base, so a
-    segment's coordinates, less the distance to the base, are told by the base and x on the segment.
-    """
+    """For each choice of segments that may agree, a 64-bit key of the bits on them."""
     apart = fps ^ np.uint64(BASE)
     out = []
     for number, chosen in enumerate(combinations(parts, len(parts) - limit)):
