@@ -42,6 +42,8 @@ BUCKET_BYTES = 8 << 20
 #: Anchors whose leading bytes each chunk adds to the sample for splitters.
 SAMPLE = 32
 SEGMENT = 1 << 17
+#: Occurrences of a bucket whose windows are compared at once.
+PART = 1 << 14
 LOW48 = np.uint64((1 << 48) - 1)
 LOW32 = np.uint64(0xFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
@@ -367,11 +369,16 @@ def _cuts(length: int, least: Least) -> Callable:
             parts.append((anchor, windows, np.minimum.reduceat(ids, heads), np.repeat(np.arange(len(times)) + len(texts) - len(times), times), ids, doc, spot, np.full(len(ids), chunk)))
         anchor, windows, mine, which, ids, doc, spot, chunk = (np.concatenate(c) for c in zip(*parts, strict=True))
         first = least(Surroundings(texts, anchor.astype(np.int64), windows.astype(np.int64), mine))
-        earlier = first[which] < ids[:, None]  # NO_ID stands behind the last window
-        step = np.diff(np.pad(earlier, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, begin = np.nonzero(step == 1)
-        end = np.nonzero(step == -1)[1]
-        table = np.stack([chunk[row], doc[row], spot[row] + begin, spot[row] + end + length - 1], axis=1).astype(np.int64)
+        found = [np.empty((0, 4), np.int64)]
+        for s in range(0, len(ids), PART):
+            own = slice(s, s + PART)
+            earlier = first[which[own]] < ids[own, None]  # NO_ID stands behind the last window
+            step = np.diff(np.pad(earlier, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            row, begin = np.nonzero(step == 1)
+            end = np.nonzero(step == -1)[1]
+            row += s
+            found.append(np.stack([chunk[row], doc[row], spot[row] + begin, spot[row] + end + length - 1], axis=1).astype(np.int64))
+        table = np.concatenate(found)
         table = table[np.argsort(table[:, 0], kind="stable")]
         rows = [(int(table[a, 0]), packed(table[a:b, 1].astype("<u4"), table[a:b, 2], table[a:b, 3])) for a, b in _spans(table[:, 0])]
         return pa.Table.from_batches([_rows(rows, ["chunk", "data"])])

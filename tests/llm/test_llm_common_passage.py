@@ -1,0 +1,27 @@
+"""A passage that very many documents of a bucket have."""
+
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from fieldlight.llm import repeats
+
+
+def test_windows_of_a_common_passage_are_compared_in_parts():
+    n, windows, length = 300_000, 35, 50
+    text = bytes(range(windows + length - 1))
+    data = repeats.packed(
+        np.array([len(text)], "<u4"), np.array([34], "u1"), np.array([windows], "u1"), np.array([n], "<u4"),
+        np.arange(n, dtype="<i8"), np.arange(n, dtype="<u4"), np.full(n, 7, "<u4"), text,
+    )
+    group = pa.table({"chunk": pa.array([3], pa.int64()), "data": pa.array([data], pa.binary())})
+    cuts = repeats._cuts(length, lambda found: np.repeat(found.ids[:, None], windows, axis=1))
+    tracemalloc.start()
+    out = cuts(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    doc, begin, end = repeats.unpacked(out["data"][0].as_py(), "<u4", "<i8", "<i8")
+    assert out["chunk"].to_pylist() == [3] and np.array_equal(doc, np.arange(1, n))
+    assert set(begin) == {7} and set(end) == {7 + windows + length - 1}
+    assert peak < n * windows * 8
