@@ -8,12 +8,15 @@ need no padding either. Nothing is shuffled and no partition needs more memory t
 
 Nulls and repeats: a null text is empty and is packed as the end token alone; repeated rows are
 packed each on their own; a null id is kept. Sequence ids are the partition's number times 2^33
-plus a counter, so a lost task repeats with the same ids.
+plus a counter, so a lost task repeats with the same ids. Very long texts, words and runs of white
+space are encoded in full. Only the id (of any type) and the text are read: other columns of docs,
+whatever their names, are not in the pieces, which carry the id to join by.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
@@ -39,29 +42,77 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)  # once per worker process, not per task
-def encoder(path: str, special: bool = False) -> Callable[[str], list[int]]:
-    """Ids of a text under a byte-level BPE vocabulary file (tokenizers JSON).
+#: White space of the pattern, spelt out: other notions of white space differ by a few characters.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The fast matcher runs out of stack in white space of about a million characters; runs from here on go another way.
+LONG_RUN = 1 << 16
+_RUN = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
+#: Where no pre-token goes on: between another character and white space. Long texts are encoded in such parts.
+_CUT = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
+PART_CHARS = 1 << 20
+
+
+def _checked(model: dict) -> dict[str, int]:
+    """The added tokens of a vocabulary file; an error for a setting that the encoder below does not follow."""
+    bpe, before, added = model["model"], model.get("pre_tokenizer") or {}, model.get("added_tokens", [])
+    if bpe.get("type", "BPE") != "BPE" or any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("not a plain byte-level BPE model")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model.get("normalizer"):
+        raise ValueError("not the pre-tokenisation of byte-level BPE, or a normalizer")
+    if any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take more or less than their own text")
+    ids = [bpe["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in bpe["merges"]]
+    if any(x >= y for x, y in zip(ids, ids[1:], strict=False)):
+        raise ValueError("merges that are not ranked by id")
+    return {x["content"]: x["id"] for x in added}
 
-    special: the file's added tokens get their ids where they stand in a text, as the tokenizers
-    library does unless told otherwise; without it they are ordinary text. The file's merges are
-    ranked by id, so the same ids come from the faster of the two public libraries; tests hold them
-    against the other one.
+
+@lru_cache(maxsize=2)  # once per worker process, not per task
+def encoder(path: str, special: bool = False) -> Callable[[str], np.ndarray]:
+    """Ids of a text under a byte-level BPE vocabulary file (tokenizers JSON), as the tokenizers library gives them.
+
+    special: the file's added tokens get their ids where they stand in a text, as that library does
+    unless told otherwise; without it they are ordinary text. The file's merges are ranked by id
+    (checked), so the same ids come from the faster of the two public libraries. White space of
+    LONG_RUN characters or more, a single pre-token but for its last character before a word, goes
+    to the other one; tests hold both against each other.
     """
     import tiktoken
+    import tokenizers
 
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
-    model.get("model", {}).pop("merges", None)
-    added = model.get("added_tokens", [])
-    names = {x["content"]: x["id"] for x in added}
+    names = _checked(model)
+    model["model"].pop("merges")
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in names}
-    if not special:
-        return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    if any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
-        raise ValueError("added tokens that take more or less than their own text")
-    return partial(tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=names).encode, allowed_special="all")
+    fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=names if special else {})
+    whole = partial(fast.encode, allowed_special="all") if special else fast.encode_ordinary
+    slow = lru_cache(maxsize=1)(lambda: tokenizers.Tokenizer.from_file(path))
+    apart = re.compile("(" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + ")") if special and names else None
+
+    def parts(text: str) -> Iterator[list[int]]:
+        """Ids of a text without added tokens."""
+        at = 0
+        for run in [*_RUN.finditer(text), None]:
+            begin = run.start() if run else len(text)
+            while at < begin:
+                cut = _CUT.search(text, at + PART_CHARS, begin) if begin - at > PART_CHARS else None
+                stop = cut.start() if cut else begin
+                yield fast.encode_ordinary(text[at:stop])
+                at = stop
+            if run:
+                at = run.end() if run.end() == len(text) else run.end() - 1
+                yield slow().encode(text[begin:at], add_special_tokens=False).ids
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) < LONG_RUN:
+            return np.array(whole(text), np.int32)
+        pieces = apart.split(text) if apart else [text]
+        done = [[names[p]] if k % 2 else parts(p) for k, p in enumerate(pieces)]
+        return np.concatenate([np.array(ids, np.int32) for x in done for ids in ([x] if isinstance(x, list) else x)])
+
+    return encode
 
 
 class Packer:
@@ -162,7 +213,7 @@ def pack(
         for batch in slices(batches):
             kind = batch.schema.types[0]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), end_id], np.int32)
+                ids = np.append(encode(text or ""), np.int32(end_id))
                 for sequence in packer.add((doc, len(ids)), 0, ids):
                     out(sequence)
                 if len(columns[0]) >= 2000:

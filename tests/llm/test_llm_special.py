@@ -1,5 +1,6 @@
 """Added tokens of the vocabulary file that stand in documents."""
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -25,3 +26,34 @@ def test_packing_of_added_tokens(spark, tmp_path):
 
     docs_of(spark, OWN).write.parquet(str(tmp_path / "documents.parquet"))
     assert {x.doc_id: x.doc_tokens for x in queries.op8_packing(spark, str(tmp_path)).collect()} == {i: len(ids) for i, ids in want.items()}
+
+
+def test_long_runs_and_long_texts(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    encode = packing.encoder(path, True)
+    n = 2_000_000
+    for text in ("a" + " " * n + "b", "\n" * n, "abcdefghij" * 300_000, "x <|endoftext|>" + " \t" * n + "<|endoftext|>y", "one two\n" * 400_000):
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "LONG_RUN", 4)
+    monkeypatch.setattr(packing, "_RUN", packing.re.compile(f"[{packing._WHITE}]{{3,}}"))
+    monkeypatch.setattr(packing, "PART_CHARS", 5)
+    dice = random.Random(3)
+    bits = [" ", "\n", "\t", "\xa0", "　", "\x1c", "​", "a", "Bc", "é", "漢", "1", "!?", "'s", "<|endoftext|>"]
+    for special in (True, False):
+        t.encode_special_tokens = not special
+        encode = packing.encoder.__wrapped__(path, special)
+        for _ in range(4000):
+            text = "".join(dice.choice(bits) * dice.choice((1, 1, 2, 5)) for _ in range(dice.randint(0, 14)))
+            assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_unsupported_vocabularies_are_refused():
+    good = {"model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}
+    assert packing._checked(good) == {}
+    for bad in (good | {"normalizer": {"type": "NFC"}}, good | {"pre_tokenizer": {"type": "Whitespace"}}, good | {"added_tokens": [{"content": "x", "id": 3, "lstrip": True}]}, good | {"model": {**good["model"], "vocab": {"a": 0, "b": 2, "ab": 1, "ba": 0}, "merges": ["a b", "b a"]}}):
+        with pytest.raises(ValueError, match="not|more"):
+            packing._checked(bad)
