@@ -67,6 +67,26 @@ def _checked(model: dict) -> dict[str, int]:
     return {x["content"]: x["id"] for x in added}
 
 
+@lru_cache(maxsize=2)  # once per worker process, not per task
+def _vocabulary(path: str, special: bool):
+    """(tiktoken encoding, added tokens) of a vocabulary file."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    names = _checked(model)
+    model["model"].pop("merges")
+    letters = byte_letters()
+    ranks = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in names}
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=names if special else {}), names
+
+
+def decoder(path: str) -> Callable[[np.ndarray], str]:
+    """The text of ids that encoder(path) gave for a whole text."""
+    fast, _ = _vocabulary(path, False)
+    return lambda ids: fast.decode_bytes(ids.tolist()).decode("utf-8", "surrogatepass")
+
+
 @lru_cache(maxsize=2)  # once per worker process, not per task
 def encoder(path: str, special: bool = False) -> Callable[[str], np.ndarray]:
     """Ids of a text under a byte-level BPE vocabulary file (tokenizers JSON), as the tokenizers library gives them.
@@ -77,16 +97,9 @@ def encoder(path: str, special: bool = False) -> Callable[[str], np.ndarray]:
     LONG_RUN characters or more, a single pre-token but for its last character before a word, goes
     to the other one; tests hold both against each other.
     """
-    import tiktoken
     import tokenizers
 
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)
-    names = _checked(model)
-    model["model"].pop("merges")
-    letters = byte_letters()
-    ranks = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in names}
-    fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=names if special else {})
+    fast, names = _vocabulary(path, special)
     whole = partial(fast.encode, allowed_special="all") if special else fast.encode_ordinary
     slow = lru_cache(maxsize=1)(lambda: tokenizers.Tokenizer.from_file(path))
     apart = re.compile("(" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + ")") if special and names else None

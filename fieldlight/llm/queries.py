@@ -49,7 +49,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return read_back(chat_trees(rows.unionByName(own)))
+    path = tokenizer_path()
+    return read_back(chat_trees(rows.unionByName(own), path), path, in_order=True)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def test_near_duplicates_rows(spark):
     assert simhash.near_duplicates(docs_of(spark, own).limit(0)).count() == 0
 
 
-def test_chat_round_trip(spark):
+def test_chat_round_trip(spark, tok):
     odd = ["### x: </turn>\n", "\\", "\\\\### </turn> \\###", "", None, "####", " </turn>\n### user: hi", "é ", "a" * 70000]
     rows = []
     for c in range(60):
@@ -147,9 +147,11 @@ def test_chat_round_trip(spark):
             role = ["user", "assistant", "sys:tem\\c", None][(t + c // 50) % 4]
             rows.append((c, t, role, odd[t % 3] if c % 2 else odd[(c * 7 + t) % len(odd)]))
     rows += [(3, 0, "user", "again"), (None, 0, "user", "no id"), (7, None, "assistant", "no turn")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    trees = chat.chat_trees(df, tree_chars=500)
-    got = {x.conv_id: x for x in chat.read_back(trees).collect()}
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, ids string")
+    trees = chat.chat_trees(df, tok, part_tokens=50)
+    got = {x.conv_id: x for x in chat.read_back(trees, tok, in_order=True).collect()}
+    again = {x.conv_id: x for x in chat.read_back(trees.repartition(5), tok).collect()}
+    assert got == again
     by = defaultdict(list)
     for c, t, role, text in rows:
         by[c].append((t is not None, t or 0, role or "", text or ""))
@@ -160,13 +162,27 @@ def test_chat_round_trip(spark):
         said = "".join(f"{r}\n{x}\n" for _, _, r, x in turns)
         loss = "".join(x for _, _, r, x in turns if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), sha(said), len(loss), sha(loss))
-    for tree in trees.collect():
-        for node in tree.nodes:
-            if node.parent is not None:
-                assert node.position == sum(a.end - a.begin for a in node.attends)
-    shared = sum(len(t.text) for t in chat.chat_trees(df, tree_chars=1 << 20).collect())
-    assert shared < sum(x.formatted_chars for x in got.values())
-    assert chat.read_back(chat.chat_trees(df.limit(0))).count() == 0
+    size = Counter()
+    for row in sorted(trees.collect(), key=lambda x: (x.tree, x.part)):
+        assert row.begin == size[row.tree]
+        size[row.tree] += len(row.ids)
+        for node in row.nodes:
+            assert row.begin <= node.begin < node.end <= size[row.tree]
+            assert node.position == sum(a.end - a.begin for a in node.attends)
+            assert (node.parent is None) == (node.node == 0) and all(a.end <= node.begin for a in node.attends)
+    assert chat.read_back(chat.chat_trees(df.limit(0), tok), tok).count() == 0
+
+
+def test_chat_emits_a_long_shared_turn_once(spark, tok):
+    first = "long words " * 9000
+    rows = [(c, t, ("user", "assistant")[t], (first, f"answer {c % 50}")[t]) for c in range(300) for t in range(2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    trees = chat.chat_trees(df.coalesce(1), tok, part_tokens=1000).withColumn("at", F.spark_partition_id()).collect()
+    roots = [n for x in trees for n in x.nodes if n.parent is None]
+    assert len(roots) == len({x.at for x in trees}) and len(trees) > len(roots)
+    own = sum(len(x.ids) for x in trees) - sum(n.end - n.begin for n in roots)
+    assert own < 60 * 60  # each of 50 answers once a partition that has it
+    assert sum(len(x.members) for x in trees) == 300
 
 
 def counts_brute(text):
