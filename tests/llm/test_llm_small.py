@@ -242,6 +242,22 @@ def test_secrets(spark):
     assert clean[0] is None and clean[6] == blob and key not in clean[2] and "[assign]" in clean[2]
 
 
+def test_endpoints_are_those_of_a_pattern():
+    plain = re.compile(rb"[a-z][a-z0-9+.-]*://[^\s\"'<>]+")
+    dice = random.Random(4)
+    for _ in range(5000):
+        text = "".join(dice.choice(["a", "b", "1", "+", ".", "-", ":", "/", "://", " ", '"', "é", "A"]) for _ in range(dice.randint(0, 25))).encode()
+        assert secrets.endpoints(text) == [m.span() for m in plain.finditer(text)]
+
+
+@pytest.mark.parametrize("bit", ["a", "0123456789abcdef", "a.b-c+", "://", "x://", "token ", "AKIA", "client_id", "Ab1/", "secret=" + "'", "é", " "])
+def test_secrets_of_long_texts(bit):
+    """Five million characters of one kind: anything but linear time would not end."""
+    text = (bit * (5_000_000 // len(bit)) + " x://y/z token=abcdefg").encode()
+    spans = secrets.scan(text)
+    assert [(s["kind"], s["end"]) for s in spans if s["kind"] == "assign"][-1] == ("assign", len(text.decode()))
+
+
 def test_url_trie_and_join_agree(spark):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("allow", "com", "/de/")]
     hosts, paths = ["example.org", "a.EXAMPLE.org", "xexample.org", "b.com", "com", "org", "", "a..org", "org."], ["", "/", "/es/", "/es", "/en/1", "/en/12/3", "/fr/x?y", "/de/#z", "?q=/es/"]
