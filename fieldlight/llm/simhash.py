@@ -1,27 +1,34 @@
-"""SimHash near-duplicates by a segment index with a pivot filter.
+"""SimHash near-duplicates by pivot distance tables.
 
-1. A fingerprint of each text: the majority bit of the XXH64 of its word shingles.
+1. A fingerprint of each text: the majority bit of the hashes of its word shingles.
 2. Distinct fingerprints only, each with its least document id; copies never meet each other again.
-3. Fingerprints within `limit` bits agree on all but `limit` segments of their bits. Those segments
-   are the join key.
-4. Within a key, pairs are discarded by their Hamming distances to a few reference fingerprints (no
-   two fingerprints within d bits differ by more than d in a distance to any reference); survivors
-   are verified by exact Hamming distance. Only edges that join two groups are emitted.
-5. Keys with very many fingerprints are split into pairs of salted blocks, each its own group.
-6. Connected components over the edges.
-
-Nulls and ties: null or word-less texts have fingerprint zero and are linked like any other;
-repeated rows and repeated ids share a component; a null id is kept as a row with its fingerprint
-and gets the least non-null id of its component (null if there is none).
+3. A table of Hamming distances of each fingerprint to many reference fingerprints: a base, the base
+   with one bit turned, for every bit, and a few spread ones. Coordinates of two fingerprints within
+   d bits differ by at most d. The step from the base's coordinate to a turned one's is +1 or -1, and
+   within d bits at most d steps differ. So the join keys are the steps at chosen references. For a
+   small limit the choices are all but `limit` of some segments, which no pair within the limit
+   escapes (pigeonhole); for a wide one they are random, as many as the stated recall needs.
+4. Within a key, pairs are discarded by the largest difference of their coordinates to the spread
+   references, which come with them; survivors are verified by exact Hamming distance. Only edges
+   that join two groups are emitted.
+5. Keys with very many fingerprints: all are first compared with a few hubs of the key. Those joined
+   to the most common hub need no comparison among each other; the rest meets all, in salted blocks,
+   each its own group.
+6. Connected components over the edges, by document id.
+
+Nulls and ties: null or word-less texts have fingerprint zero and are linked like any other; repeated
+rows share a component; an id that has several texts links them; a null id is kept as a row with its
+fingerprint and gets the least non-null id of its component (null if there is none).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
+from math import acos, ceil, comb, log, log2, pi
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,11 +37,13 @@ from pyspark.sql import functions as F
 from .common import stored, with_columns
 from .components import components
 
-#: Fingerprints with one key beyond which the key is dealt out in pairs of blocks.
+#: Fingerprints with one key beyond which the key is hot.
 BLOCK = 4096
-#: Fixed base of the reference fingerprints.
-BASE = 0x9E3779B97F4A7C15
-REFERENCES = 8
+#: References whose coordinates discard pairs inside a key, and hubs of a hot key.
+SPREAD, HUBS = 8, 8
+#: Limits up to which keys are segments that lose no pair.
+EXACT_LIMIT = 6
+_ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -52,173 +61,273 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """SimHash of the shingles of a text; 0 without words."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_ODD[1])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_ODD[2])
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint_words(text: bytes, width: int, words: int, distinct: bool) -> np.ndarray:
+    """64 bits a word; the first word is by the shingles' XXH64, more by numbers derived from it."""
     hashes = shingle_hashes(text, width)
-    if not len(hashes):
-        return 0
-    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    hashes = np.unique(hashes) if distinct else hashes
+    out = np.zeros(words, np.uint64)
+    for w in range(words if len(hashes) else 0):
+        own = _mixed(hashes + np.uint64(w * _ODD[0] & 0xFFFFFFFFFFFFFFFF)) if w else hashes
+        ones = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0]
+    return out
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """The 64-bit SimHash of the shingles of a text, repeats included; 0 without words."""
+    return int(fingerprint_words(text, width, 1, False)[0])
 
 
-def with_fingerprints(docs: DataFrame, *, text_col: str = "text", width: int = 4) -> DataFrame:
-    """Adds, or replaces, column fp (the 64 bits as a signed long)."""
+def with_fingerprints(docs: DataFrame, *, text_col: str = "text", width: int = 4, bits: int = 64, distinct: bool = False) -> DataFrame:
+    """Adds, or replaces, column fp: an array of signed longs of 64 bits each."""
+    words = bits // 64
     return with_columns(
-        docs, text_col, "fp long", [pa.int64()],
-        lambda: lambda texts: [np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)],
+        docs, text_col, "fp array<long>", [pa.list_(pa.int64())],
+        lambda: lambda texts: [[fingerprint_words(t, width, words, distinct).view(np.int64) for t in texts]],
     )
 
 
-def segments(n: int, limit: int) -> list[tuple[int, int]]:
-    """(shift, mask) of the segments for n distinct fingerprints: more and so longer keys as n grows."""
-    k = limit + 1
-    while k < 16 and n > 4 * 2 ** sum(sorted(64 // k + (i < 64 % k) for i in range(k))[: k - limit]):
-        k += 1
-    k = max(k, limit + 2)
-    out, at = [], 0
-    for i in range(k):
-        size = 64 // k + (i < 64 % k)
-        out.append((at, (1 << size) - 1))
-        at += size
-    return out
+def limit_of(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of two shingle sets of that Jaccard similarity differ, on average."""
+    return ceil(bits * acos(2 * similarity / (1 + similarity)) / pi)
 
 
-def references(parts: list[tuple[int, int]]) -> np.ndarray:
-    """Reference fingerprints: for each segment the base with single bits of the segment turned, then spread ones."""
-    own = [BASE ^ (1 << (at + i)) for at, mask in parts for i in range(mask.bit_length())]
-    spread = [int(x) for x in np.random.default_rng(7).integers(0, 2**63, REFERENCES, np.int64)]
-    return np.array(own + spread, np.uint64)
+@dataclass(frozen=True)
+class Pivots:
+    """References (the base, turned ones, spread ones), and the steps that make each key."""
 
+    references: np.ndarray  # (1 + bits + SPREAD, words)
+    masks: np.ndarray  # (keys, words): the chosen steps as bits
+    limit: int
 
-def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Hamming distance of each fingerprint to each reference, as int8."""
-    return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
+    def table(self, fps: np.ndarray) -> np.ndarray:
+        """Hamming distance of each fingerprint (words as columns) to each reference."""
+        out = np.zeros((len(fps), len(self.references)), np.int16)
+        for w in range(fps.shape[1]):
+            out += np.bitwise_count(fps[:, w, None] ^ self.references[None, :, w])
+        return out
 
+    def keys(self, table: np.ndarray) -> np.ndarray:
+        """A number for each choice of steps."""
+        turned = np.packbits(table[:, 1:-SPREAD] < table[:, :1], axis=1, bitorder="little").view("<u8")
+        out = np.empty((len(table), len(self.masks)), np.uint64)
+        for k, mask in enumerate(self.masks):
+            key = np.full(len(table), k * _ODD[1] & 0xFFFFFFFFFFFFFFFF, np.uint64)
+            for w, m in enumerate(mask):
+                if m:
+                    key = _mixed((key ^ (turned[:, w] & m)) * np.uint64(_ODD[0]))
+            out[:, k] = key
+        return out
 
-def _keys(fps: np.ndarray, parts: list[tuple[int, int]], limit: int) -> np.ndarray:
-    """For each choice of segments that may agree, a 64-bit key of the bits on them."""
-    apart = fps ^ np.uint64(BASE)
-    out = []
-    for number, chosen in enumerate(combinations(parts, len(parts) - limit)):
-        mask = np.uint64(sum(m << at for at, m in chosen))
-        out.append((apart & mask) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(number * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
-    return np.stack(out, axis=1)
 
+def segment_masks(n: int, bits: int, limit: int) -> list[int]:
+    """All choices of all but `limit` segments: more and so longer keys as the number of fingerprints grows."""
+    def sizes(k: int) -> list[int]:
+        return [bits // k + (i < bits % k) for i in range(k)]
+
+    k = limit + 2
+    while k < 16 and n > 4 * 2 ** sum(sorted(sizes(k))[: k - limit]):
+        k += 1
+    ends = np.cumsum([0, *sizes(k)]).tolist()
+    segments = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(segments, k - limit)]
 
-class _Sets:
-    """Union-find over the places of one group."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def random_masks(n: int, bits: int, limit: int, recall: float) -> list[int]:
+    """Random choices, of about log2 n steps each, of which a pair at the limit shares one with probability `recall`."""
+    b = max(8, ceil(log2(max(n, 2))) - 2)
+    hit = comb(bits - limit, b) / comb(bits, b)
+    dice = np.random.default_rng(17)
+    return [sum(1 << int(i) for i in dice.choice(bits, b, replace=False)) for _ in range(ceil(log(1 - recall) / log(1 - hit)))]
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
 
+def pivots(n: int, bits: int, limit: int, recall: float) -> Pivots:
+    dice = np.random.default_rng(7)
+    base, *spread = ([int(x) for x in dice.integers(0, 2**64, bits // 64, np.uint64)] for _ in range(1 + SPREAD))
+    turned = [[x ^ (1 << i % 64 if w == i // 64 else 0) for w, x in enumerate(base)] for i in range(bits)]
+    masks = segment_masks(n, bits, limit) if limit <= EXACT_LIMIT else random_masks(n, bits, limit, recall)
+    parted = [[m >> 64 * w & 0xFFFFFFFFFFFFFFFF for w in range(bits // 64)] for m in masks]
+    return Pivots(np.array([base, *turned, *spread], np.uint64), np.array(parted, np.uint64), limit)
 
-def _links(fps: np.ndarray, spread: np.ndarray, limit: int) -> list[tuple[int, int]]:
+
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def _links(fps: np.ndarray, near: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Pairs that join the fingerprints of one group; within reach of each other means joined.
 
     Sorted by the first coordinate, each looks only at those whose first coordinate is within the
     limit and that no pair has yet joined to it; the other coordinates, then the bits, decide.
     """
-    table = pivot_table(fps, spread)
-    order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order]
-    first = table[:, 0].astype(np.int64)
+    order = np.argsort(near[:, 0], kind="stable")
+    fps, near = fps[order], near[order].astype(np.int64)
     label = np.arange(len(fps))
-    upto = np.searchsorted(first, first + limit, "right")
+    upto = np.searchsorted(near[:, 0], near[:, 0] + limit, "right")
     out = []
     for i in range(len(fps)):
-        near = np.arange(i + 1, upto[i])
-        near = near[label[near] != label[i]]
-        if not near.size:
+        other = np.arange(i + 1, upto[i])
+        other = other[label[other] != label[i]]
+        if not other.size:
             continue
-        near = near[np.abs(table[near] - table[i]).max(axis=1) <= limit]
-        near = near[np.bitwise_count(fps[near] ^ fps[i]) <= limit]
-        for j in near.tolist():
+        other = other[np.abs(near[other] - near[i]).max(axis=1) <= limit]
+        other = other[_distance(fps[other], fps[i]) <= limit]
+        for j in other.tolist():
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
                 out.append((int(order[i]), int(order[j])))
     return out
 
 
-def _pairs(keys: np.ndarray, fps: np.ndarray, spread: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within the runs of equal keys."""
+def _pairs(keys: np.ndarray, fps: np.ndarray, near: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of edges within the runs of equal keys."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
-    a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     small = (sizes > 1) & (sizes <= 8)
     for step in range(1, 8):  # all small runs at once, neighbours at each distance
         s = starts[small & (sizes > step)]
         n = sizes[small & (sizes > step)] - step
         i = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        x, y = fps[i], fps[i + step]
-        close = np.abs(pivot_table(x, spread) - pivot_table(y, spread)).max(axis=1, initial=0) <= limit
-        x, y = x[close], y[close]
-        close = np.bitwise_count(x ^ y) <= limit
-        a.append(x[close]), b.append(y[close])
+        i = i[np.abs(near[i].astype(np.int16) - near[i + step]).max(axis=1, initial=0) <= limit]
+        i = i[_distance(fps[i], fps[i + step]) <= limit]
+        a.append(i), b.append(i + step)
     for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
-        own = np.unique(fps[s : s + n])
-        links = np.array(_links(own, spread, limit), np.int64).reshape(-1, 2)
-        a.append(own[links[:, 0]]), b.append(own[links[:, 1]])
+        links = np.array(_links(fps[s : s + n], near[s : s + n], limit), np.int64).reshape(-1, 2)
+        a.append(s + links[:, 0]), b.append(s + links[:, 1])
     return np.concatenate(a), np.concatenate(b)
 
 
-def near_links(distinct: DataFrame, *, limit: int = 4, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) of distinct fingerprints (column fp) that join all within `limit` bits of each other."""
-    parts = segments(distinct.count(), limit)
-    spread = references(parts)[-REFERENCES:]
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fps = frame["fp"].to_numpy(np.int64).view(np.uint64)
-            keys = _keys(fps, parts, limit)
-            yield pd.DataFrame({"key": keys.reshape(-1).view(np.int64), "fp": np.repeat(fps, keys.shape[1]).view(np.int64)})
-
-    dealt = distinct.select("fp").mapInPandas(deal, "key long, fp long")
-    hot = dealt.groupBy("key").count().where(F.col("count") > block)
-    parted = dealt.join(hot, "key", "left")
-    m = F.ceil(F.col("count") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(11)), m).cast("int")
-    cells = F.when(m.isNull(), F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.least(i, own) * m + F.greatest(i, own))
-    )
-    parted = parted.select("key", F.explode(cells).alias("cell"), "fp").select(F.xxhash64("key", "cell").alias("key"), "fp")
-
-    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_k, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def done(k, f):
-            a, b = _pairs(k, f.view(np.uint64), spread, limit)
-            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-        for frame in frames:
-            k, f = np.r_[held_k, frame["key"].to_numpy(np.int64)], np.r_[held_f, frame["fp"].to_numpy(np.int64)]
-            if not len(k):
-                continue
-            cut = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
-            held_k, held_f = k[cut:], f[cut:]
-            if cut:
-                yield done(k[:cut], f[:cut])
-        if len(held_k):
-            yield done(held_k, held_f)
+def _words(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+
+
+def _near(column: pa.Array) -> np.ndarray:
+    """Coordinates packed in a long, one a byte."""
+    return np.ascontiguousarray(column.to_numpy()).view(np.uint8).reshape(-1, SPREAD)
 
-    return parted.repartition("key").sortWithinPartitions("key").mapInPandas(match, "a long, b long").distinct()
+
+def _matched(rows: DataFrame, names: list[str], limit: int) -> DataFrame:
+    """Edges (a, b) of the nodes whose fingerprints are within the limit, inside groups of equal key."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def edges(rows: pa.RecordBatch) -> pa.RecordBatch:
+            a, b = _pairs(rows.column("key").to_numpy(), _words(rows, names), _near(rows.column("near")), limit)
+            node = rows.column("node")
+            return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if cut or held and held[-1].column("key")[-1].as_py() != keys[-1]:
+                yield edges(pa.concat_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield edges(pa.concat_batches(held))
+
+    kind = rows.schema["node"].dataType.simpleString()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(match, f"a {kind}, b {kind}")
+
+
+def _hot_links(rows: DataFrame, names: list[str], limit: int, block: int) -> DataFrame:
+    """Edges inside keys of many fingerprints, none of which is compared within its most common hub's group."""
+    kind = rows.schema["node"].dataType.simpleString()
+    hubs = [F.min(F.struct(F.xxhash64(F.lit(h), *names).alias("_"), *names, "node")).alias(f"hub{h}") for h in range(HUBS)]
+    joined = rows.join(rows.groupBy("key").agg(*hubs), "key")
+    flat = joined.select("key", *names, "near", "node", *[F.col(f"hub{h}")[c].alias(f"{c}_{h}") for h in range(HUBS) for c in [*names, "node"]])
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, to = _words(batch, names), np.stack([_words(batch, [f"{c}_{h}" for c in names]) for h in range(HUBS)], axis=1)
+            near = _distance(own[:, None, :], to) <= limit
+            joined = _distance(to[:, :, None, :], to[:, None, :, :]) <= limit  # hubs with hubs
+            for _ in range(HUBS.bit_length()):
+                joined = (joined.astype(np.int8) @ joined.astype(np.int8)) > 0
+            label = np.where(near.any(axis=1), joined.argmax(axis=2)[np.arange(len(own)), near.argmax(axis=1)], -1)
+            links = [batch.column(f"node_{h}").filter(pa.array(near[:, h])) for h in range(HUBS)]
+            flat = pa.concat_arrays(links).take(pa.array(np.argsort(np.concatenate([np.flatnonzero(near[:, h]) for h in range(HUBS)]), kind="stable")))
+            to_hubs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(near.sum(axis=1))], pa.int32()), flat)
+            columns = [batch.column(c) for c in ("key", *names, "near", "node")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(label, pa.int32()), to_hubs], names=["key", *names, "near", "node", "label", "hubs"])
+
+    ddl = ", ".join(["key long", *(f"{c} long" for c in names), "near long", f"node {kind}", "label int", f"hubs array<{kind}>"])
+    seen = stored(flat.mapInArrow(cover, ddl), "hot")
+    edges = seen.select(F.col("node").alias("a"), F.explode("hubs").alias("b"))
+
+    counts = seen.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = counts.where("label >= 0").groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("most"))
+    every = counts.join(most, "key", "left").withColumn("most", F.coalesce("most", F.lit(-2))).groupBy("key", "most")
+    every = every.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("label") != F.col("most"), F.col("n"))), F.lit(0)).alias("apart")).where("apart > 0")
+    dealt = seen.drop("hubs").join(every, "key")
+    m, q = (F.ceil(F.col(c) / block).cast("int") for c in ("n", "apart"))
+    own = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    member = F.transform(F.sequence(F.lit(0), q - 1), lambda j: F.struct(own(1, m).alias("i"), j.alias("j")))
+    visitor = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(i.alias("i"), own(2, q).alias("j")))
+    cells = F.array_distinct(F.when(F.col("label") != F.col("most"), F.concat(member, visitor)).otherwise(member))
+    dealt = dealt.withColumn("cell", F.explode(cells)).withColumn("key", F.xxhash64("key", "cell.i", "cell.j"))
+    return edges.unionByName(_matched(dealt.select("key", *names, "near", "node"), names, limit))
+
+
+def near_links(reps: DataFrame, *, bits: int = 64, limit: int = 4, recall: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that join all nodes whose fingerprints are within `limit` bits. reps: distinct fp, node."""
+    index = pivots(reps.count(), bits, limit, recall)
+    names = [f"w{w}" for w in range(bits // 64)]
+    kind = reps.schema["node"].dataType.simpleString()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                fps = _words(batch, names)
+                table = index.table(fps)
+                keys = index.keys(table)
+                near = np.minimum(table[:, -SPREAD:], 255).astype(np.uint8).view(np.int64)[:, 0]
+                n = keys.shape[1]
+                columns = [pa.array(keys.reshape(-1).view(np.int64)), *(pa.array(np.repeat(fps[:, w].view(np.int64), n)) for w in range(len(names))), pa.array(np.repeat(near, n))]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column("node").take(pa.array(np.repeat(np.arange(len(fps)), n)))], names=["key", *names, "near", "node"])
+
+    flat = reps.select(*[F.col("fp")[w].alias(c) for w, c in enumerate(names)], "node")
+    dealt = flat.mapInArrow(deal, ", ".join(["key long", *(f"{c} long" for c in names), "near long", f"node {kind}"]))
+    hot = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key"), "hot-keys")
+    if hot.isEmpty():
+        return _matched(dealt, names, limit)
+    cool = _matched(dealt.join(hot, "key", "left_anti"), names, limit)
+    return cool.unionByName(_hot_links(dealt.join(hot, "key", "left_semi"), names, limit, block))
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4
-) -> DataFrame:
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, bits: int = 64, distinct: bool = False,
+    recall: float = 0.95, block: int = BLOCK,
+) -> DataFrame:
     """(id, fingerprint, component_id) for each row of docs; component_id is the least id reachable.
 
-    Only the id and the text are read, so other columns of docs may have any name.
+    Texts are linked within `limit` of `bits` bits; up to EXACT_LIMIT no link is lost, beyond it one
+    at the limit is found with probability `recall`, and nearer ones with more. distinct: each
+    shingle counts once, so that limit_of(similarity, bits) bits stand for a Jaccard similarity.
+    The id may be of any orderable type. Only the id and the text are read, so other columns of docs
+    may have any name.
     """
-    marked = stored(with_fingerprints(docs.select(id_col, text_col), text_col=text_col, width=width).select(id_col, "fp"), "fingerprints")
-    reps = marked.groupBy("fp").agg(F.min(id_col).alias("rep"))
-    roots = components(near_links(reps, limit=limit), "a", "b")
-    of = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = of.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = stored(with_fingerprints(docs, width=width, bits=bits, distinct=distinct).select("id", "fp"), "fingerprints")
+    reps = stored(marked.groupBy("fp").agg(F.min("id").alias("_id")).select("fp", _node("_id")), "fingerprints-distinct")
+    roots = components(near_links(reps, bits=bits, limit=limit, recall=recall, block=block), "a", "b")
+    of = reps.join(roots, "node", "left").select("fp", F.coalesce("root", "node")["id"].alias("component_id"))
+    text = F.array_join(F.transform(F.reverse("fp"), lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
+    return marked.join(of, "fp").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
+
+
+def _node(rep: str):
+    """A node for a fingerprint: its least id, which sorts before those whose ids are all null."""
+    lone = F.col(rep).isNull()
+    return F.struct(lone.alias("orphan"), F.col(rep).alias("id"), F.when(lone, F.xxhash64("fp")).alias("by")).alias("node")

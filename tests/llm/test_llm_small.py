@@ -102,30 +102,37 @@ def brute_components(fps, limit=4):
     return [root(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_near_links_join_the_same_groups(spark, block):
+@pytest.mark.parametrize(("bits", "limit", "block"), [(64, 4, 4096), (64, 4, 16), (128, 12, 4096), (128, 12, 16)])
+def test_near_links_join_the_same_groups(spark, bits, limit, block):
     r = random.Random(5)
-    centres = [r.getrandbits(64) for _ in range(30)]
+    centres = [r.getrandbits(bits) for _ in range(30)]
     fps = {0, *centres}
-    for c in centres[:4]:
+    for k, c in enumerate(centres[:4]):
         for _ in range(150):
             x = c
-            for b in r.sample(range(64), r.randint(1, 6)):
+            for b in r.sample(range(bits - 10 * k), r.randint(1, limit + 2)):  # the last ones lie close together
                 x ^= 1 << b
             fps.add(x)
     fps = sorted(fps)
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    roots = {x.node: x.root for x in components(simhash.near_links(df, block=block), "a", "b").collect()}
-    want = brute_components(fps)
-    groups = defaultdict(set)
-    for f, w in zip(signed, want, strict=True):
-        groups[w].add(f)
-    for members in groups.values():
-        if len(members) > 1:
-            assert {roots.get(f) for f in members} == {min(members)}
-        else:
-            assert not members & roots.keys()
+    signed = [[(f >> at & (1 << 64) - 1) - ((f >> at & 1 << 63) << 1) for at in range(0, bits, 64)] for f in fps]
+    df = spark.createDataFrame(list(zip(signed, range(len(fps)), strict=True)), "fp array<long>, node long")
+    links = simhash.near_links(df, bits=bits, limit=limit, recall=1 - 1e-9, block=block)
+    roots = {x.node: x.root for x in components(links, "a", "b").collect()}
+    want = brute_components(fps, limit)
+    assert {i: roots.get(i, i) for i in range(len(fps))} == dict(enumerate(want))
+
+
+def test_coordinates_of_close_fingerprints():
+    """What the keys and the discarding stand on: coordinates and steps of the pivot table."""
+    r = np.random.default_rng(3)
+    index = simhash.pivots(1000, 64, 4, 0.95)
+    x = r.integers(0, 2**64, (200, 1), np.uint64)
+    y = x ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (200, 4)).astype(np.uint64), axis=1)[:, None]
+    tx, ty = index.table(x), index.table(y)
+    assert np.abs(tx - ty).max() <= 4 and len(index.references) == 1 + 64 + simhash.SPREAD
+    assert (((tx[:, 1:65] - tx[:, :1]) != (ty[:, 1:65] - ty[:, :1])).sum(axis=1) <= 4).all()
+    assert (index.keys(tx) == index.keys(ty)).any(axis=1).all()
+    assert simhash.limit_of(1.0, 256) == 0 and simhash.limit_of(0.8, 256) == 39
 
 
 def test_near_duplicates_rows(spark):
@@ -137,6 +144,9 @@ def test_near_duplicates_rows(spark):
     for x in out:
         assert x.fingerprint == f"{fps[x.doc_id]:016x}" and x.component_id == want[x.doc_id]
     assert simhash.near_duplicates(docs_of(spark, own).limit(0)).count() == 0
+    ids = spark.createDataFrame([(None, "a b"), (None, "x y"), ("k", "a b"), ("c", "p q"), ("c", "q p")], "doc_id string, text string")
+    out = Counter((x.doc_id, x.component_id) for x in simhash.near_duplicates(ids).collect())
+    assert out == {(None, "k"): 1, (None, None): 1, ("k", "k"): 1, ("c", "c"): 2}
 
 
 def test_chat_round_trip(spark, tok):
