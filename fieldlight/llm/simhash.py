@@ -17,8 +17,8 @@
 6. Connected components over the edges, by document id.
 
 Nulls and ties: null or word-less texts have fingerprint zero and are linked like any other; repeated
-rows share a component; an id that has several texts links them; a null id is kept as a row with its
-fingerprint and gets the least non-null id of its component (null if there is none).
+rows share a component; an id that has several texts does not link them; a null id is kept as a row with
+its fingerprint and gets the least non-null id of its component (null if there is none).
 """
 
 from __future__ import annotations
@@ -147,11 +147,11 @@ def random_masks(n: int, bits: int, limit: int, recall: float) -> list[int]:
     return [sum(1 << int(i) for i in dice.choice(bits, b, replace=False)) for _ in range(ceil(log(1 - recall) / log(1 - hit)))]
 
 
-def pivots(n: int, bits: int, limit: int, recall: float) -> Pivots:
+def pivots(n: int, bits: int, limit: int, recall: float, usual: int | None = None) -> Pivots:
     dice = np.random.default_rng(7)
     base, *spread = ([int(x) for x in dice.integers(0, 2**64, bits // 64, np.uint64)] for _ in range(1 + SPREAD))
     turned = [[x ^ (1 << i % 64 if w == i // 64 else 0) for w, x in enumerate(base)] for i in range(bits)]
-    masks = segment_masks(n, bits, limit) if limit <= EXACT_LIMIT else random_masks(n, bits, limit, recall)
+    masks = segment_masks(n, bits, limit) if limit <= EXACT_LIMIT else random_masks(n, bits, usual or limit, recall)
     parted = [[m >> 64 * w & 0xFFFFFFFFFFFFFFFF for w in range(bits // 64)] for m in masks]
     return Pivots(np.array([base, *turned, *spread], np.uint64), np.array(parted, np.uint64), limit)
 
@@ -164,24 +164,26 @@ def _links(fps: np.ndarray, near: np.ndarray, limit: int) -> list[tuple[int, int
     """Pairs that join the fingerprints of one group; within reach of each other means joined.
 
     Sorted by the first coordinate, each looks only at those whose first coordinate is within the
-    limit and that no pair has yet joined to it; the other coordinates, then the bits, decide.
+    radius and that no pair has yet joined to it; the other coordinates, then the bits, decide. The
+    radius grows in steps, so that near pairs join before far ones.
     """
     order = np.argsort(near[:, 0], kind="stable")
     fps, near = fps[order], near[order].astype(np.int64)
     label = np.arange(len(fps))
-    upto = np.searchsorted(near[:, 0], near[:, 0] + limit, "right")
     out = []
-    for i in range(len(fps)):
-        other = np.arange(i + 1, upto[i])
-        other = other[label[other] != label[i]]
-        if not other.size:
-            continue
-        other = other[np.abs(near[other] - near[i]).max(axis=1) <= limit]
-        other = other[_distance(fps[other], fps[i]) <= limit]
-        for j in other.tolist():
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
-                out.append((int(order[i]), int(order[j])))
+    for radius in (limit // 2, limit * 3 // 4, limit) if limit > EXACT_LIMIT else (limit,):
+        upto = np.searchsorted(near[:, 0], near[:, 0] + radius, "right")
+        for i in range(len(fps)):
+            other = np.arange(i + 1, upto[i])
+            other = other[label[other] != label[i]]
+            if not other.size:
+                continue
+            other = other[np.abs(near[other] - near[i]).max(axis=1) <= radius]
+            other = other[_distance(fps[other], fps[i]) <= radius]
+            for j in other.tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((int(order[i]), int(order[j])))
     return out
 
 
@@ -221,8 +223,8 @@ def _matched(rows: DataFrame, names: list[str], limit: int) -> DataFrame:
 
         def edges(rows: pa.RecordBatch) -> pa.RecordBatch:
             a, b = _pairs(rows.column("key").to_numpy(), _words(rows, names), _near(rows.column("near")), limit)
-            node = rows.column("node")
-            return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
+            node, fps = rows.column("node"), _words(rows, names)
+            return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b)), pa.array(_distance(fps[a], fps[b]), pa.int32())], names=["a", "b", "apart"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -237,7 +239,7 @@ def _matched(rows: DataFrame, names: list[str], limit: int) -> DataFrame:
             yield edges(pa.concat_batches(held))
 
     kind = rows.schema["node"].dataType.simpleString()
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(match, f"a {kind}, b {kind}")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(match, f"a {kind}, b {kind}, apart int")
 
 
 def _hot_links(rows: DataFrame, names: list[str], limit: int, block: int) -> DataFrame:
@@ -250,26 +252,28 @@ def _hot_links(rows: DataFrame, names: list[str], limit: int, block: int) -> Dat
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, to = _words(batch, names), np.stack([_words(batch, [f"{c}_{h}" for c in names]) for h in range(HUBS)], axis=1)
-            near = _distance(own[:, None, :], to) <= limit
+            apart = _distance(own[:, None, :], to)
+            near = apart <= limit
             joined = _distance(to[:, :, None, :], to[:, None, :, :]) <= limit  # hubs with hubs
             for _ in range(HUBS.bit_length()):
                 joined = (joined.astype(np.int8) @ joined.astype(np.int8)) > 0
             label = np.where(near.any(axis=1), joined.argmax(axis=2)[np.arange(len(own)), near.argmax(axis=1)], -1)
-            links = [batch.column(f"node_{h}").filter(pa.array(near[:, h])) for h in range(HUBS)]
-            flat = pa.concat_arrays(links).take(pa.array(np.argsort(np.concatenate([np.flatnonzero(near[:, h]) for h in range(HUBS)]), kind="stable")))
-            to_hubs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(near.sum(axis=1))], pa.int32()), flat)
+            hubs = [batch.column(f"node_{h}").filter(pa.array(near[:, h])) for h in range(HUBS)]
+            by_row = pa.array(np.argsort(np.concatenate([np.flatnonzero(near[:, h]) for h in range(HUBS)]), kind="stable"))
+            links = pa.StructArray.from_arrays([pa.concat_arrays(hubs).take(by_row), pa.array(apart[near], pa.int32())], names=["hub", "apart"])
+            links = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(near.sum(axis=1))], pa.int32()), links)
             columns = [batch.column(c) for c in ("key", *names, "near", "node")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(label, pa.int32()), to_hubs], names=["key", *names, "near", "node", "label", "hubs"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(label, pa.int32()), links], names=["key", *names, "near", "node", "label", "links"])
 
-    ddl = ", ".join(["key long", *(f"{c} long" for c in names), "near long", f"node {kind}", "label int", f"hubs array<{kind}>"])
+    ddl = ", ".join(["key long", *(f"{c} long" for c in names), "near long", f"node {kind}", "label int", f"links array<struct<hub:{kind},apart:int>>"])
     seen = stored(flat.mapInArrow(cover, ddl), "hot")
-    edges = seen.select(F.col("node").alias("a"), F.explode("hubs").alias("b"))
+    edges = seen.select("node", F.explode("links").alias("to")).select(F.col("node").alias("a"), F.col("to.hub").alias("b"), "to.apart").where("a <> b")
 
     counts = seen.groupBy("key", "label").agg(F.count("*").alias("n"))
     most = counts.where("label >= 0").groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("most"))
     every = counts.join(most, "key", "left").withColumn("most", F.coalesce("most", F.lit(-2))).groupBy("key", "most")
     every = every.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("label") != F.col("most"), F.col("n"))), F.lit(0)).alias("apart")).where("apart > 0")
-    dealt = seen.drop("hubs").join(every, "key")
+    dealt = seen.drop("links").join(every, "key")
     m, q = (F.ceil(F.col(c) / block).cast("int") for c in ("n", "apart"))
     own = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
     member = F.transform(F.sequence(F.lit(0), q - 1), lambda j: F.struct(own(1, m).alias("i"), j.alias("j")))
@@ -279,9 +283,12 @@ def _hot_links(rows: DataFrame, names: list[str], limit: int, block: int) -> Dat
     return edges.unionByName(_matched(dealt.select("key", *names, "near", "node"), names, limit))
 
 
-def near_links(reps: DataFrame, *, bits: int = 64, limit: int = 4, recall: float = 0.95, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that join all nodes whose fingerprints are within `limit` bits. reps: distinct fp, node."""
-    index = pivots(reps.count(), bits, limit, recall)
+def near_links(reps: DataFrame, *, bits: int = 64, limit: int = 4, recall: float = 0.95, usual: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b, apart) that join all nodes whose fingerprints are within `limit` bits. reps: distinct fp, node.
+
+    With random keys a pair that is `usual` (else `limit`) bits apart is found with probability `recall`.
+    """
+    index = pivots(reps.count(), bits, limit, recall, usual)
     names = [f"w{w}" for w in range(bits // 64)]
     kind = reps.schema["node"].dataType.simpleString()
 
@@ -320,14 +327,14 @@ def near_duplicates(
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = stored(with_fingerprints(docs, width=width, bits=bits, distinct=distinct).select("id", "fp"), "fingerprints")
-    reps = stored(marked.groupBy("fp").agg(F.min("id").alias("_id")).select("fp", _node("_id")), "fingerprints-distinct")
+    reps = stored(nodes_of(marked), "fingerprints-distinct")
     roots = components(near_links(reps, bits=bits, limit=limit, recall=recall, block=block), "a", "b")
     of = reps.join(roots, "node", "left").select("fp", F.coalesce("root", "node")["id"].alias("component_id"))
     text = F.array_join(F.transform(F.reverse("fp"), lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
     return marked.join(of, "fp").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
-def _node(rep: str):
-    """A node for a fingerprint: its least id, which sorts before those whose ids are all null."""
-    lone = F.col(rep).isNull()
-    return F.struct(lone.alias("orphan"), F.col(rep).alias("id"), F.when(lone, F.xxhash64("fp")).alias("by")).alias("node")
+def nodes_of(marked: DataFrame) -> DataFrame:
+    """(fp, node): distinct fingerprints with a node each, which sorts by the least id, ids that are all null last."""
+    reps = marked.groupBy("fp").agg(F.min("id").alias("_id"))
+    return reps.select("fp", F.struct(F.col("_id").isNull().alias("orphan"), F.col("_id").alias("id"), F.xxhash64("fp").alias("by")).alias("node"))

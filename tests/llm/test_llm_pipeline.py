@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldlight.llm import quality, secrets, simhash
+from fieldlight.llm import quality, secrets
 from fieldlight.llm.common import table
 from fieldlight.llm.queries import tokenizer_path
-from tests.llm.test_llm_small import brute_components, counts_brute, hits_brute, windows_brute
+from tests.llm.test_llm_near_copies import groups_brute
+from tests.llm.test_llm_small import counts_brute, hits_brute, windows_brute
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
@@ -48,9 +49,8 @@ def test_stages(spark, docs):
 
     now, rows = got, got.collect()
     got = stages["dedup"](spark, now, SF).cache()
-    fps = [simhash.fingerprint((r.text or "").encode()) for r in rows]
     groups = defaultdict(list)
-    for r, root in zip(rows, brute_components(fps), strict=True):
+    for r, root in zip(rows, groups_brute([r.text for r in rows]), strict=True):
         groups[root].append(r)
     want = [min((r for r in g if r.doc_id is not None), key=lambda r: r.doc_id) if any(r.doc_id is not None for r in g) else g[0] for g in groups.values()]
     assert got.columns == columns and sorted(map(str, got.collect())) == sorted(map(str, want))

@@ -146,7 +146,7 @@ def test_near_duplicates_rows(spark):
     assert simhash.near_duplicates(docs_of(spark, own).limit(0)).count() == 0
     ids = spark.createDataFrame([(None, "a b"), (None, "x y"), ("k", "a b"), ("c", "p q"), ("c", "q p")], "doc_id string, text string")
     out = Counter((x.doc_id, x.component_id) for x in simhash.near_duplicates(ids).collect())
-    assert out == {(None, "k"): 1, (None, None): 1, ("k", "k"): 1, ("c", "c"): 2}
+    assert out == {(None, "k"): 1, (None, None): 1, ("k", "k"): 1, ("c", "c"): 2} and len(ids.columns) == 2
 
 
 def test_chat_round_trip(spark, tok):
