@@ -14,41 +14,44 @@ def work_tiles(df: DataFrame, keys: list[str], pad: float) -> DataFrame:
     return out.withColumns({"west": F.col("west") - pad, "south": F.col("south") - pad, "east": F.col("east") + pad, "north": F.col("north") + pad})
 
 
-def strata_budget(counts: dict[str, int], total: int, floor: int, power: float) -> dict[str, int]:
-    """Sample sizes per stratum of a (tiny) strata table.
-
-    Each stratum gets its floor (at most its size); what is left is shared in rounds in proportion to
-    remaining capacity to a power, rounded down, until a round has less left than strata; then one each by
-    largest fraction, then name.
+def power_allocation(strata: DataFrame, groups: list[str], keys: list[str], total: int, floor: int, power: float) -> DataFrame:
+    """Adds target to strata (groups, keys, n): each group's total, shared in proportion to capacity to a power.
+
+    Everything is in closed form over the strata still open: a stratum has its floor (at most n), and of
+    what its group has left its share, rounded down. Where all shares round to nothing, the largest
+    remainders get one each; ties go to the larger share, then the greater key. Strata are grouped rows,
+    in as many tasks as there are groups; a round is one window over them, and few rounds are needed,
+    as each leaves less than one a stratum unless a stratum is full.
     """
-    got = {k: min(n, floor) for k, n in counts.items()}
-    if sum(got.values()) > total:
-        raise ValueError("the floors exceed the budget")
-    left = min(total, sum(counts.values())) - sum(got.values())
-    while left:
-        room = {k: counts[k] - got[k] for k in sorted(counts) if counts[k] > got[k]}
-        mass = sum(r**power for r in room.values())
-        exact = {k: left * r**power / mass for k, r in room.items()}
-        whole = {k: min(room[k], int(e)) for k, e in exact.items()}
-        if not any(whole.values()):
-            for k in sorted(room, key=lambda k: (-(exact[k] % 1), k))[:left]:
-                whole[k] = 1
-        for k, n in whole.items():
-            got[k] += n
-        left -= sum(whole.values())
-    return got
-
-
-def stratum_targets(df: DataFrame, keys: list[str], total: int, floor: int, power: float, most_strata: int = 10_000) -> DataFrame:
-    """(keys, n, target, inclusion_probability). The strata table, checked to be short, is the only thing collected."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    rows = counts.limit(most_strata + 1).collect()
-    if len(rows) > most_strata:
-        raise ValueError(f"more than {most_strata} strata")
-    name = lambda r: "|".join(str(r[k]) for k in keys)
-    got = strata_budget({name(r): r["n"] for r in rows}, total, floor, power) if rows else {}
-    table = df.sparkSession.createDataFrame([(*[r[k] for k in keys], r["n"], got[name(r)]) for r in rows], counts.schema.add("target", "long"))
-    return table.withColumn("inclusion_probability", F.col("target") / F.col("n"))
+    if total <= 0 or floor < 0 or not 0 <= power <= 1:
+        raise ValueError("the total must be positive, the floor not negative, the power in [0, 1]")
+    now = strata.where("n > 0").withColumn("target", F.least("n", F.lit(floor).cast("long"))).persist()
+    sums = now.groupBy(*groups).agg(F.sum("n").alias("n"), F.sum("target").alias("reserved"))
+    bad = sums.agg(F.count("*").alias("groups"), F.count_if(F.col("n") < total).alias("small"), F.count_if(F.col("reserved") > total).alias("high")).head()
+    if not bad.groups or bad.small or bad.high:
+        raise ValueError("no strata" if not bad.groups else "more samples are asked for than there are candidates" if bad.small else "the floors exceed the total")
+    group = W.partitionBy(*(groups or [F.lit(0)]))
+    room = F.col("n") - F.col("target")
+    while True:
+        share = F.when(room > 0, F.pow(room.cast("double"), F.lit(float(power)))).otherwise(0.0)
+        step = now.withColumns({"_left": total - F.sum("target").over(group), "_share": share})
+        step = step.withColumn("_share", F.coalesce(F.try_divide("_share", F.sum("_share").over(group)), F.lit(0.0)))
+        step = step.withColumn("_exact", F.col("_left") * F.col("_share"))
+        step = step.withColumns({"_whole": F.least(room, F.floor("_exact")), "_rest": F.col("_exact") - F.floor("_exact")})
+        last = F.row_number().over(group.orderBy((room > 0).desc(), F.desc("_rest"), F.desc("_share"), *[F.desc(k) for k in keys]))
+        one = ((F.sum("_whole").over(group) == 0) & (last <= F.col("_left")) & (room > 0)).cast("long")
+        after = step.withColumn("target", F.col("target") + F.col("_whole") + one).select(*strata.columns, "target").persist()
+        open_ = after.groupBy(*groups).agg(F.sum("target").alias("t")).where(F.col("t") < total).count()
+        now.unpersist()
+        now = after
+        if not open_:
+            return now
+
+
+def stratum_targets(df: DataFrame, groups: list[str], keys: list[str], total: int, floor: int, power: float) -> DataFrame:
+    """(groups, keys, n, target, inclusion_probability); the total is one group's."""
+    got = power_allocation(df.groupBy(*groups, *keys).agg(F.count("*").alias("n")), groups, keys, total, floor, power)
+    return got.withColumn("inclusion_probability", F.col("target") / F.col("n"))
 
 
 def balanced_weights(df: DataFrame, nest: list[str]) -> DataFrame:
@@ -90,14 +93,21 @@ def empirical_tail(df: DataFrame, controls: DataFrame, keys: list[str], value: s
     return out.drop("_c")
 
 
-def quantile_stated(value: Column, p: float, method: str) -> Column:
-    """Quantile by linear interpolation, or the order statistic below or above."""
-    if method == "linear":
-        return F.percentile(value, F.lit(p))
-    s = F.array_sort(F.collect_list(value))
-    at = (F.size(s) - 1) * p
-    place = F.floor(at + 1e-9) if method == "lower" else F.ceil(at - 1e-9)
-    return F.try_element_at(s, (place + 1).cast("int"))
+def stated_quantiles(df: DataFrame, keys: list[str], value: str, p: float, methods: list[str]) -> DataFrame:
+    """(keys, n, one column a method): the quantile by linear interpolation, or the order statistic below or above.
+
+    Values are counted first, so only distinct values of a group are ranked; nothing is collected into arrays.
+    """
+    by = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    w = W.partitionBy(*(keys or [F.lit(0)]))
+    by = by.withColumns({"_upto": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
+    at = (F.col("_n") - 1) * p
+    low, high = F.floor(at + 1e-9), F.ceil(at - 1e-9)
+    pick = lambda place: F.min(F.when(F.col("_upto") > place, F.col(value)))
+    out = by.groupBy(*keys).agg(F.first("_n").alias("n"), pick(low).alias("_low"), pick(high).alias("_high"))
+    span = (F.col("n") - 1) * p
+    made = {"lower": F.col("_low"), "higher": F.col("_high"), "linear": F.col("_low") + (F.col("_high") - F.col("_low")) * F.greatest(F.lit(0.0), span - F.floor(span + 1e-9))}
+    return out.select(*keys, "n", *[made[m].alias(m) for m in methods])
 
 
 def distribution(p: str) -> list[Column]:

@@ -141,3 +141,8 @@ def binding(state: DataFrame, want: DataFrame) -> DataFrame:
     """(key, value) rows of a state table that differ from the inputs it is to be used with."""
     both = state.withColumnRenamed("value", "_a").join(want.withColumnRenamed("value", "_b"), "key", "full")
     return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(F.lit("binding").alias("rule"), "key", F.concat_ws("|", "_a", "_b").alias("detail"))
+
+
+def band_order(df: DataFrame, bands: str, canonical: list[str]) -> DataFrame:
+    """Adds canonical: whether the named bands of a row are the canonical ones, in their order."""
+    return df.withColumn("canonical", F.coalesce(F.col(bands) == F.array(*map(F.lit, canonical)), F.lit(False)))

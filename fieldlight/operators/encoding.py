@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket_size
 from .joins import observations_in_windows
 
+#: Windows of one call; the result has a row for each key and window, so more of them go in further calls.
+MOST_WINDOWS = 1000
 Encoder = Callable[[np.ndarray, np.ndarray], np.ndarray]  # (observations, bands), days -> vector
 
 
@@ -22,7 +25,11 @@ def summary_encoder(bands: np.ndarray, days: np.ndarray) -> np.ndarray:
 
 def windows_of(obs: DataFrame, windows: DataFrame, key: str, day: str, bands: str, item: str) -> DataFrame:
     """(key, w, series, n, bucket, content_key): one row per key and window, empty windows kept."""
-    every = obs.select(key).distinct().crossJoin(F.broadcast(windows.select("w", "start", "end")))  # a short window list
+    rows = windows.select("w", "start", "end").limit(MOST_WINDOWS + 1).collect()
+    if len(rows) > MOST_WINDOWS:
+        raise ValueError(f"more than {MOST_WINDOWS} windows")
+    listed = F.array(*[F.struct(*[F.lit(v).cast(windows.schema[c].dataType).alias(c) for c, v in r.asDict().items()]) for r in rows])
+    every = obs.select(key).distinct().select(key, F.inline(listed)) if rows else obs.select(key).limit(0).join(windows.select("w", "start", "end").limit(0), F.lit(True))
     got = observations_in_windows(obs, windows, day)
     series = F.sort_array(F.collect_list(F.struct(F.col(day).alias("day"), F.col(item).alias("item"), F.col(bands).alias("bands"))))
     got = got.groupBy(key, "w").agg(series.alias("series"))
@@ -56,3 +63,22 @@ def incremental(rows: DataFrame, known: DataFrame, key: str, encode: Encoder = s
     reused = rows.join(old, "content_key").select(key, "w", "content_key", "outcome", "vector", F.lit(True).alias("reused"))
     fresh = encoded(rows.join(old, "content_key", "left_anti"), key, encode).withColumn("reused", F.lit(False))
     return reused.unionByName(fresh)
+
+
+def put_results(results: DataFrame, path: str) -> None:
+    """Appends results to the table at path whose content is not there yet; a key with another result is an error."""
+    new = results.select("content_key", "outcome", "vector")
+    old = get_results(results.sparkSession, path)
+    if old is not None:
+        if new.join(old, "content_key").where(~(new["outcome"].eqNullSafe(old["outcome"]) & new["vector"].eqNullSafe(old["vector"]))).limit(1).count():
+            raise ValueError("a stored result differs")
+        new = new.join(old, "content_key", "left_anti")
+    new.dropDuplicates(["content_key"]).write.mode("append").parquet(path)
+
+
+def get_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored results by content key, or None where nothing was put."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None

@@ -18,6 +18,21 @@ from ..functions import vectors
 MOMENT_DDL = "mass double, total array<double>, gram array<double>"
 
 
+#: Groups of a task whose partial sums are held at once.
+HELD_GROUPS = 4096
+#: Partial arrays meet in so many parts first, so that no task gets one from every other task.
+MERGE_PARTS = 256
+
+
+def added(partial: DataFrame, keys: list[str], sums: list[str], arrays: list[str]) -> DataFrame:
+    """Partial rows added by keys: numbers, and arrays of one length element by element, in two levels."""
+    zero = lambda c: F.transform(F.first(c), lambda x: F.lit(0.0))
+    add = lambda c: F.aggregate(F.collect_list(c), zero(c), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(c)
+    every = [*[F.sum(c).alias(c) for c in sums], *map(add, arrays)]
+    parts = partial.withColumn("_part", F.spark_partition_id() % MERGE_PARTS).groupBy(*keys, "_part").agg(*every)
+    return parts.groupBy(*keys).agg(*every)
+
+
 def moments(df: DataFrame, keys: list[str], v: str, weight: Column | None = None, gram: bool = True) -> DataFrame:
     """(keys, mass, total, gram): weighted count, sum and flattened Gram matrix of each group.
 
@@ -29,18 +44,23 @@ def moments(df: DataFrame, keys: list[str], v: str, weight: Column | None = None
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, list] = {}
+
+        def out() -> pd.DataFrame:
+            rows = [(*k, float(s[0]), s[1].tolist(), s[2].ravel().tolist()) for k, s in sums.items()]
+            sums.clear()
+            return pd.DataFrame(rows, columns=[*keys, "mass", "total", "gram"])
+
         for frame in frames:
             for key, own in frame.groupby(keys, dropna=False, sort=False) if keys else [((), frame)]:
                 x, w_ = np.stack(own["_v"].to_numpy()).astype(np.float64), own["_w"].to_numpy()
                 add = [w_.sum(), w_ @ x, (x.T * w_) @ x if gram else np.zeros(0)]
                 old = sums.get(key)
                 sums[key] = add if old is None else [a + b for a, b in zip(old, add, strict=True)]
-        out = [(*k, float(s[0]), s[1].tolist(), s[2].ravel().tolist()) for k, s in sums.items()]
-        yield pd.DataFrame(out, columns=[*keys, "mass", "total", "gram"])
+            if len(sums) >= HELD_GROUPS:
+                yield out()
+        yield out()
 
-    partial = rows.mapInPandas(part, ddl)
-    add = lambda c: F.aggregate(F.collect_list(c), F.transform(F.first(c), lambda x: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    return partial.groupBy(*keys).agg(F.sum("mass").alias("mass"), add("total").alias("total"), add("gram").alias("gram"))
+    return added(rows.mapInPandas(part, ddl), keys, ["mass"], ["total", "gram"])
 
 
 def principal_axes(df: DataFrame, v: str, k: int = 3, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,18 +102,29 @@ class Density:
         return -0.5 * d / self.temperature
 
 
-def fit_density(stats: list, shrinkage: float) -> Density:
-    """From rows of moments per label. The within-label covariance is shrunk to its mean variance."""
+def fit_density(stats: list, shrinkage: float, most_components: int | None = None, equal_labels: bool = False) -> Density:
+    """From rows of moments per label, each label counting by its mass or (equal_labels) the same. The pooled
+    within-label covariance is shrunk to its mean variance; axes whose variance is next to nothing beside that mean
+    are left out."""
+    if not 0 < shrinkage <= 1:
+        raise ValueError("shrinkage lies in (0, 1]")
     stats = sorted(stats, key=lambda r: r[0])
     w = np.array([r[1] for r in stats])
-    s = np.array([r[2] for r in stats])
-    centres = s / w[:, None]
-    d = s.shape[1]
-    within = sum(np.array(r[3]).reshape(d, d) for r in stats) - (centres * w[:, None]).T @ centres
-    cov = within / w.sum()
-    cov = (1 - shrinkage) * cov + shrinkage * np.trace(cov) / d * np.eye(d)
-    values, vecs = np.linalg.eigh(cov)
-    return Density([r[0] for r in stats], centres, (vecs / np.sqrt(np.maximum(values, 1e-12))).T, shrinkage)
+    centres = np.array([r[2] for r in stats]) / w[:, None]
+    d = centres.shape[1]
+    each = np.array([np.array(r[3]).reshape(d, d) / r[1] - np.outer(c, c) for r, c in zip(stats, centres, strict=True)])
+    cov = np.average(each, axis=0, weights=None if equal_labels else w)
+    usual = np.trace(cov) / d
+    values, vecs = np.linalg.eigh((1 - shrinkage) * cov + shrinkage * usual * np.eye(d))
+    kept = np.flatnonzero(values > max(usual * 1e-8, 1e-12))[::-1][:most_components]
+    if not len(kept):
+        raise ValueError("the reference has no variation")
+    return Density([r[0] for r in stats], centres, (vecs[:, kept] / np.sqrt(values[kept])).T, shrinkage)
+
+
+def with_field_weight(df: DataFrame, field: str, name: str = "_field_weight") -> DataFrame:
+    """Adds one over the rows of the row's field: fields of a label then count the same."""
+    return df.join(df.groupBy(field).agg((1.0 / F.count("*")).alias(name)), field)
 
 
 def label_stats(df: DataFrame, label: str, v: str, weight: Column | None = None, fold: str | None = None) -> list[tuple]:
@@ -115,23 +146,70 @@ def without_fold(stats: list[tuple], fold) -> list[tuple]:
 
 def with_log_scores(df: DataFrame, v: str, models, column: str = "log_scores", fold: str | None = None) -> DataFrame:
     """Adds log scores per label; models is one Density, or one per fold value."""
-    shared = df.sparkSession.sparkContext.broadcast(models)  # a few matrices of the vector's length
+    return with_all_scores(df, v, {column: models}, fold)
+
+
+def with_all_scores(df: DataFrame, v: str, columns: dict, fold: str | None = None) -> DataFrame:
+    """Adds a column of log scores for each name in columns, all in one pass over the vectors."""
+    shared = df.sparkSession.sparkContext.broadcast(columns)  # a few matrices of the vector's length
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
             x = np.stack(frame[v].to_numpy()).astype(np.float64)
-            if fold is None:
-                got = shared.value.log_scores(x)
-            else:
-                got = np.stack([shared.value[f].log_scores(x[i : i + 1])[0] for i, f in enumerate(frame[fold])])
-            yield frame.assign(**{column: list(got)})
-
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{column}` array<double>"])
+            folds = [(None, np.arange(len(x)))] if fold is None else [(f, np.flatnonzero(frame[fold] == f)) for f in frame[fold].unique()]
+            made = {}
+            for name, models in shared.value.items():
+                got: list = [None] * len(x)
+                for f, rows in folds:
+                    for i, row in zip(rows.tolist(), (models if fold is None else models[f]).log_scores(x[rows]), strict=True):
+                        got[i] = row
+                made[name] = got
+            yield frame.assign(**made)
+
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{c}` array<double>" for c in columns)])
     return df.mapInPandas(score, ddl)
 
 
+#: Shrinkages that a validated fit chooses from.
+SHRINKAGES = (0.10, 0.25, 0.50, 0.75)
+
+
+def validated_density(df: DataFrame, label: str, field: str, v: str, fold: str, shrinkages: tuple[float, ...] = SHRINKAGES) -> tuple[Density, DataFrame, list[tuple[float, float]]]:
+    """(model, rows with held-out log_scores at its temperature, losses): shrinkage and temperature chosen on held-out fields.
+
+    Folds hold whole fields. Labels count the same, fields of a label, and rows of a field, in every fit and
+    every loss. One pass makes the sums of all folds, one the scores of all shrinkages.
+    """
+    df = with_field_weight(df, field)
+    stats = label_stats(df, label, v, F.col("_field_weight"), fold)
+    folds = sorted({r[1] for r in stats})
+    columns = {f"_s{i}": {f: fit_density(without_fold(stats, f), s, equal_labels=True) for f in folds} for i, s in enumerate(shrinkages)}
+    labels = sorted({r[0] for r in stats})
+    place = F.array_position(F.array(*map(F.lit, labels)), F.col(label)).cast("int")
+    scored = with_all_scores(df, v, columns, fold).withColumn("_place", place)
+    fields = {k: len({r[1] for r in stats if r[0] == k}) for k in labels}
+    if min(fields.values()) < 2:
+        raise ValueError("a label lies in one fold only")
+    mass = {k: sum(r[2] for r in stats if r[0] == k) for k in labels}  # fields of each label
+    per_label = F.element_at(F.array(*[F.lit(1.0 / (len(labels) * mass[k])) for k in labels]), F.col("_place"))
+    scored = scored.withColumn("_weight", F.col("_field_weight") * per_label)
+    sums = scored.agg(*[F.sum(F.col("_weight") * log_loss(F.col(c), F.col("_place"), F.lit(1.0))).alias(c) for c in columns]).head()
+    losses = [(s, sums[i]) for i, s in enumerate(shrinkages)]
+    best = min(range(len(shrinkages)), key=lambda i: (losses[i][1], i))
+    chosen = scored.withColumn("log_scores", F.col(f"_s{best}"))
+    t = calibrated_temperature(chosen, "log_scores", "_place", "_weight")
+    whole = {}
+    for k, _, w, s, g in stats:
+        old = whole.get(k, (0.0, 0.0, 0.0))
+        whole[k] = (old[0] + w, old[1] + np.array(s), old[2] + np.array(g))
+    model = fit_density([(k, *x) for k, x in whole.items()], shrinkages[best], equal_labels=True)
+    model.temperature = t
+    out = chosen.withColumn("log_scores", F.transform("log_scores", lambda x: x / t)).withColumn("place", F.col("_place")).withColumn("weight", F.col("_weight"))
+    return model, out.drop(*columns, "_place", "_weight", "_field_weight"), losses
+
+
 def posteriors(log_scores: Column) -> Column:
     top = F.array_max(log_scores)
     e = F.transform(log_scores, lambda x: F.exp(x - top))
@@ -146,7 +224,7 @@ def log_loss(log_scores: Column, place: Column, temperature: Column) -> Column:
     return F.log(total) - (F.element_at(log_scores, place) - top) / temperature
 
 
-def calibrated_temperature(df: DataFrame, log_scores: str, place: str, weight: str, low: float = 0.25, high: float = 64.0, points: int = 65) -> float:
+def calibrated_temperature(df: DataFrame, log_scores: str, place: str, weight: str, low: float = 0.25, high: float = 8.0, points: int = 65) -> float:
     """Temperature of least weighted log loss on a log-spaced grid: one sum per grid point in one pass."""
     grid = np.exp(np.linspace(np.log(low), np.log(high), points)).tolist()
     sums = [F.sum(F.col(weight) * log_loss(F.col(log_scores), F.col(place), F.lit(t))).alias(f"t{i}") for i, t in enumerate(grid)]

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.hashing import hash_rank
-from .linear import literal
+from .linear import HELD_GROUPS, added, literal
 
 
 def grid_likelihoods(df: DataFrame, keys: list[str], a: str, b: str, points: int, weight: str | None = None) -> DataFrame:
     """(keys, rows, ll): log likelihood of each group at each share of an even grid, as an array.
 
-    Every batch gives one partial array per group, and those are added; rows are never multiplied by
+    Every task gives one partial array per group, and those are added; rows are never multiplied by
     grid points, and a hot group is spread over all partitions.
     """
     w = F.lit(1.0) if weight is None else F.col(weight)
@@ -26,6 +26,7 @@ def grid_likelihoods(df: DataFrame, keys: list[str], a: str, b: str, points: int
     grid = np.linspace(0, 1, points)
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
         for frame in frames:
             if not len(frame):
                 continue
@@ -36,11 +37,18 @@ def grid_likelihoods(df: DataFrame, keys: list[str], a: str, b: str, points: int
             top = np.maximum(la, lb)
             ll = wt * (top + np.log(grid * np.exp(la - top) + (1 - grid) * np.exp(lb - top) + 1e-300))
             out = frame[keys].iloc[order[heads]].reset_index(drop=True)
-            yield out.assign(rows=np.diff(np.r_[heads, len(order)]), ll=list(np.add.reduceat(ll, heads, axis=0)))
+            out = out.assign(rows=np.diff(np.r_[heads, len(order)]), ll=list(np.add.reduceat(ll, heads, axis=0)))
+            held = out if held is None else pd.concat([held, out], ignore_index=True)
+            if len(held) >= HELD_GROUPS:  # batches of a task are added here, so that a hot group is one array a task
+                held = held.groupby(keys, dropna=False, sort=False, as_index=False).agg({"rows": "sum", "ll": "sum"})
+                if len(held) >= HELD_GROUPS // 2:
+                    yield held
+                    held = None
+        if held is not None:
+            yield held.groupby(keys, dropna=False, sort=False, as_index=False).agg({"rows": "sum", "ll": "sum"})
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields), "rows long, ll array<double>"])
-    total = F.aggregate(F.collect_list("ll"), F.array_repeat(F.lit(0.0), points), lambda x, y: F.zip_with(x, y, lambda p, q: p + q))
-    return rows.mapInPandas(part, ddl).groupBy(*keys).agg(F.sum("rows").alias("rows"), total.alias("ll"))
+    return added(rows.mapInPandas(part, ddl), keys, ["rows"], ["ll"])
 
 
 def _best(ll: Column, points: int) -> Column:
@@ -99,8 +107,7 @@ def bootstrap_share(df: DataFrame, keys: list[str], block: str, a: str, b: str,
     blocks = grid_likelihoods(df, [*keys, block], a, b, points)
     w = draws(blocks.select(*keys, block), keys, block, replicates)
     scaled = blocks.join(w, [*keys, block]).withColumn("ll", F.transform("ll", lambda x: x * F.col("weight")))
-    added = F.aggregate(F.collect_list("ll"), F.array_repeat(F.lit(0.0), points), lambda x, y: F.zip_with(x, y, lambda p, q: p + q))
-    total = scaled.groupBy(*keys, "replicate").agg(added.alias("ll"))  # one array per drawn block
+    total = added(scaled, [*keys, "replicate"], [], ["ll"])
     q = F.percentile("share", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     out = total.withColumn("share", _best(F.col("ll"), points)["share"]).groupBy(*keys).agg(q.alias("q"))
     return out.select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))

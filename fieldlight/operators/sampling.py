@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_rank, unit_interval
 from .aggregates import stratum_targets
-from .contracts import constant, enforce, unique
+from .cohort import unambiguous
+from .contracts import candidate_contract, constant, enforce
+from .joins import one_block_groups, only_in_one, too_close
 from .windows import first_rows, spaced_rows
 
 
@@ -22,14 +24,26 @@ def split_of(block: Column, seed: str, ratios: dict[str, float]) -> Column:
     return F.lit(list(ratios)[-1]) if out is None else out.otherwise(list(ratios)[-1])
 
 
-def select_candidates(df: DataFrame, total: int, floor: int, power: float, seed: str, ratios: dict[str, float]) -> DataFrame:
-    """Stratified sample by hash rank with inclusion probabilities and a split per spatial block."""
-    enforce(unique(df, ["candidate_id"], "unique_id"))
-    t = stratum_targets(df, ["country", "stratum"], total, floor, power)
-    rank = [hash_rank(F.lit(seed), "candidate_id"), F.col("candidate_id")]
-    got = first_rows(df.join(t, ["country", "stratum"]), ["country", "stratum"], rank, F.col("target"))
-    got = got.withColumn("spatial_split", split_of(F.col("spatial_block"), seed, ratios)).drop("n", "target")
+def select_candidates(
+    df: DataFrame, total: int | None, floor: int, power: float, seed: str, ratios: dict[str, float], countries: list[str],
+    least_metres: float = 200.0, tolerance: float = 0.0,
+) -> DataFrame:
+    """Stratified sample of each country by hash rank, with inclusion probabilities and a split per spatial block.
+
+    total is one country's; None takes everything. Candidates must keep the contract (unique ids and places, the
+    stated countries), and no two selected points may be nearer than least_metres (1 - tolerance).
+    """
+    enforce(candidate_contract(df, countries))
+    if total is None:
+        got = full_lattice(df, seed, ratios)
+    else:
+        t = stratum_targets(df, ["country"], ["stratum"], total, floor, power)
+        rank = [hash_rank(F.lit(seed), "candidate_id"), F.col("candidate_id")]
+        got = first_rows(df.join(t, ["country", "stratum"]), ["country", "stratum"], rank, F.col("target"))
+        got = got.withColumn("spatial_split", split_of(F.col("spatial_block"), seed, ratios)).drop("n", "target")
     enforce(constant(got, ["spatial_block"], "spatial_split", "one_split"))
+    near = too_close(got, "candidate_id", "longitude", "latitude", least_metres, tolerance)
+    enforce(near.select(F.lit("minimum_distance").alias("rule"), F.concat_ws("|", "a", "b").alias("key"), F.col("metres").cast("string").alias("detail")))
     return got
 
 
@@ -41,16 +55,20 @@ def full_lattice(df: DataFrame, seed: str, ratios: dict[str, float]) -> DataFram
 def best_split(df: DataFrame, block: str, label: str, seeds: int, ratios: dict[str, float]) -> DataFrame:
     """(seed, score): the seed whose blocks' split has every class in every split and deviates least from the ratios.
 
-    Works on block-by-class counts times a range of seeds, never on rows.
+    The deviation is that of the splits' sizes, plus for each split the mean over classes of that of the
+    class's share. Works on block-by-class counts times a range of seeds, never on rows. Without a
+    class-complete split both are null.
     """
     counts = df.groupBy(block, label).agg(F.count("*").alias("n"))
-    total = W.partitionBy(label)
-    counts = counts.withColumn("_t", F.sum("n").over(total)).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    own = counts.withColumn("split", _seeded(F.col("seed"), F.col(block), ratios))
-    cells = own.groupBy("seed", label, "split").agg(F.sum("n").alias("n"), F.first("_t").alias("_t"))
-    want = F.element_at(F.create_map(*[x for k, r in ratios.items() for x in (F.lit(k), F.lit(r))]), F.col("split"))
-    score = cells.groupBy("seed").agg(F.count("*").alias("cells"), F.count_distinct(label).alias("labels"), F.sum(F.abs(F.col("n") / F.col("_t") - want)).alias("score"))
-    ok = score.where(F.col("cells") == F.col("labels") * len(ratios))
+    classes = counts.groupBy(label).agg(F.sum("n").alias("_t"))
+    rows = classes.agg(F.sum("_t").alias("_rows"), F.count("*").alias("_classes"))  # one row
+    own = counts.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("split", _seeded(F.col("seed"), F.col(block), ratios))
+    want = F.element_at(F.create_map(*[x for k, r in ratios.items() for x in (F.lit(k), F.lit(r / sum(ratios.values())))]), F.col("split"))
+    cells = own.groupBy("seed", label, "split").agg(F.sum("n").alias("n")).join(classes, label)
+    splits = cells.groupBy("seed", "split").agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.avg(F.abs(F.col("n") / F.col("_t") - want)).alias("off"))
+    splits = splits.crossJoin(rows).withColumn("off", F.col("off") + F.abs(F.col("n") / F.col("_rows") - want))
+    score = splits.groupBy("seed").agg(F.sum("cells").alias("cells"), F.first("_classes").alias("_classes"), F.sum("off").alias("score"))
+    ok = score.where(F.col("cells") == F.col("_classes") * len(ratios))
     return ok.agg(F.min(F.struct(F.round("score", 9).alias("score"), "seed")).alias("b")).select("b.seed", "b.score")
 
 
@@ -76,27 +94,35 @@ def balanced_folds(df: DataFrame, block: str, label: str, k: int, seeds: int) ->
 
 
 def group_folds(df: DataFrame, group: str, label: str, most: int, least: int = 2) -> tuple[DataFrame, int | None]:
-    """(rows with fold, k): largest k up to `most` with every class in every fold, else (rows, None): not testable."""
-    groups = df.select(group).distinct()
-    ordered = groups.withColumn("_r", hash_rank(F.lit("g"), F.col(group).cast("string")))
-    for k in range(most, least - 1, -1):
-        folds = ordered.withColumn("fold", F.pmod("_r", F.lit(k).cast("decimal(20,0)")).cast("int")).drop("_r")
-        got = df.join(folds, group)
-        cells = got.select("fold", label).distinct().count()
-        if cells == k * df.select(label).distinct().count():
-            return got, k
-    return df.withColumn("fold", F.lit(None).cast("int")), None
-
-
-def classification_rows(a: DataFrame, b: DataFrame, pixel: str, group: str, label: str, block: str, cap: int, ratios: dict[str, float]) -> DataFrame:
-    """Two sources merged: shared pixels and groups over several blocks go, classes are capped by hash, blocks split, classes numbered."""
-    from .joins import one_block_groups, only_in_one
-
-    x, y = only_in_one(a, b, pixel)
+    """(rows with fold, k): largest k up to `most` with every class in every fold, else (rows, None): not testable.
+
+    Rows are read once, for the distinct groups and labels; one job then judges every k.
+    """
+    rank = hash_rank(F.lit("g"), F.col(group).cast("string"))
+    fold = lambda k: F.pmod(rank, k.cast("decimal(20,0)")).cast("int")
+    pairs = df.select(group, label).distinct().persist()
+    tried = pairs.withColumn("k", F.explode(F.sequence(F.lit(least), F.lit(most)))).select("k", fold(F.col("k")).alias("fold"), label).distinct()
+    labels = pairs.select(label).distinct().agg(F.count("*").alias("labels"))
+    full = tried.groupBy("k").agg(F.count("*").alias("cells")).crossJoin(labels).where(F.col("cells") == F.col("k") * F.col("labels"))
+    k = full.agg(F.max("k").alias("k")).head().k
+    pairs.unpersist()
+    return df.withColumn("fold", F.lit(None).cast("int") if k is None else fold(F.lit(k))), k
+
+
+def classification_rows(
+    a: DataFrame, b: DataFrame, pixel: str, group: str, label: str, block: str, cap: int, ratios: dict[str, float], good: Column, order: list, seeds: int = 64
+) -> DataFrame:
+    """The pixel dataset of two sources: one good row per pixel with one label, no pixel of both sources, no group over
+    several blocks, classes capped by hash and numbered, blocks split by the best seed."""
+    x, y = (unambiguous(d, pixel, label, good, order)[0] for d in (a, b))
+    x, y = only_in_one(x, y, pixel)
     both = one_block_groups(x.withColumn("source", F.lit("a")).unionByName(y.withColumn("source", F.lit("b"))), group, block)
     got = first_rows(both, [label], [hash_rank(F.lit("cap"), F.col(pixel).cast("string")), F.col(pixel)], cap)
     classes = got.select(label).distinct().withColumn("class_id", F.dense_rank().over(W.orderBy(label)) - 1)  # one row per class
-    return got.join(classes, label).withColumn("split", split_of(F.col(block).cast("string"), "s", ratios))
+    seed = best_split(got, block, label, seeds, ratios).head().seed
+    if seed is None:
+        raise ValueError(f"none of {seeds} seeds puts every class into every split")
+    return got.join(classes, label).withColumn("split", _seeded(F.lit(seed), F.col(block), ratios))
 
 
 def balanced_sample(df: DataFrame, label: str, field: str, pixel: str, n: int, m: int) -> DataFrame:

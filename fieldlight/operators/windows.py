@@ -91,3 +91,12 @@ def first_available(df: DataFrame, keys: list[str], kind: str, order: list[str])
     """The row whose kind comes first in a priority list."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(kind))
     return first_rows(df.where(place > 0), keys, [place])
+
+
+def placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows in the order of the columns, with their place from 1: a range partition, local ranks and the sizes before."""
+    sorted_ = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    local = sorted_.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    sizes = sorted_.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
+    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")
+    return local.join(before, "_part").withColumn("place", F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")

@@ -112,10 +112,12 @@ def d15(spark, sf):
     return a
 
 
-@query("d16_band_order", "SELECT p_partkey, (p_partkey % 3 <> 0) AS canonical FROM part")
+@query("d16_band_order", f"WITH {OBSERVATIONS} SELECT CAST(sample_id AS VARCHAR) AS sample_id, list(kind ORDER BY obs_id)[1:3] = ['click', 'view', 'purchase'] AS canonical FROM observations GROUP BY sample_id")
 def d16(spark, sf):
-    bands = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("B03"), F.lit("B02"))).otherwise(F.array(F.lit("B02"), F.lit("B03")))
-    return inputs.table(spark, sf, "part").select("p_partkey", (bands == F.array(F.lit("B02"), F.lit("B03"))).alias("canonical"))
+    """The kinds of a sample's first three observations stand for the bands of a stored array."""
+    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("obs_id", "kind"))), lambda x: x["kind"]), 1, 3)
+    o = inputs.observations(spark, sf).groupBy(F.col("sample_id").cast("string").alias("sample_id")).agg(first.alias("bands"))
+    return contracts.band_order(o, "bands", ["click", "view", "purchase"]).select("sample_id", "canonical")
 
 
 @query("d17_missing_rate", f"WITH {OBSERVATIONS} SELECT 'missing_rate' AS rule, CAST(sample_id AS VARCHAR) AS key FROM observations GROUP BY sample_id HAVING avg(CASE WHEN valid THEN 0.0 ELSE 1.0 END) > 0.2")

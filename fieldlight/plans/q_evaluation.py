@@ -61,12 +61,12 @@ def j37(spark, sf):
 @query("j38_lens_evaluation")
 def j38(spark, sf):
     """Out-of-fold scores with a threshold per fold from the negatives of the other folds (upper quantile)."""
-    from ..operators.aggregates import quantile_stated
+    from ..operators.aggregates import stated_quantiles
 
     s = models.out_of_fold(_pairs(spark, sf), ["x0", "x1", "x2", "x3"], "fold", 3)
     out = None
     for f in range(3):
-        t = s.where((F.col("fold") != f) & (F.col("truth") == 0)).agg(quantile_stated(F.col("score"), 0.9, "higher").alias("threshold"))
+        t = s.where((F.col("fold") != f) & (F.col("truth") == 0)).transform(lambda d: stated_quantiles(d, [], "score", 0.9, ["higher"])).select(F.col("higher").alias("threshold"))
         m = s.where(F.col("fold") == f).crossJoin(t).withColumn("call", (F.col("score") > F.col("threshold")).cast("int"))  # one row
         out = m if out is None else out.unionByName(m)
     return evaluation.threshold_metrics(out, ["fold"], "truth", "call").select("fold", F.round("recall", 6).alias("recall"), F.round("fpr", 6).alias("fpr"))
@@ -130,8 +130,15 @@ def l4(spark, sf):
     return inputs.tasks(spark, sf).select("task_id", "attempts", "tile").mapInPandas(work, "task_id long, artifact long")
 
 
-@query("l2_result_table", f"WITH {VECTORS} SELECT row_id, true AS found FROM vectors")
+@query("l2_result_table", f"WITH {inputs.OBSERVATIONS}, w(w, a, z) AS (VALUES (1, 19723, 19730), (2, 19723, 19740)), s AS (SELECT DISTINCT sample_id FROM observations), e AS (SELECT s.sample_id, w.w, count(obs_id) AS n, round(avg(value) + 1e-9, 6) AS m1 FROM s CROSS JOIN w LEFT JOIN observations o ON o.sample_id = s.sample_id AND epoch_day >= a AND epoch_day < z GROUP BY ALL) SELECT sample_id, CASE WHEN n > 0 THEN 'complete' ELSE 'empty_window' END AS outcome, m1, CAST(w AS INTEGER) AS w, sample_id % 2 = 0 AS hit FROM e WHERE w = 1")
 def l2(spark, sf):
-    """get and put of results are a join and a union on the content key."""
-    v = inputs.vectors(spark, sf).select("row_id", F.sha2(F.to_json(F.struct("row_id", "v")), 256).alias("content_key"))
-    return v.join(v.select("content_key").distinct().withColumn("found", F.lit(True)), "content_key", "left").select("row_id", "found")
+    """put stores the results of some samples as a table keyed by content; get finds them there, and nothing else."""
+    from .q_sources import folder
+
+    w = spark.createDataFrame([(1, 19723, 19730), (2, 19723, 19740)], "w int, start int, end int")
+    rows = encoding.windows_of(inputs.observations(spark, sf), w, "sample_id", "epoch_day", "bands", "obs_id")
+    path = folder(spark)
+    encoding.put_results(encoding.encoded(rows.where("sample_id % 2 = 0"), "sample_id"), path)
+    encoding.put_results(encoding.encoded(rows.where("sample_id % 4 = 0"), "sample_id"), path)  # put twice, kept once
+    got = encoding.incremental(rows.where("w = 1"), encoding.get_results(spark, path), "sample_id")
+    return got.select("sample_id", "outcome", F.round(F.get("vector", F.lit(0)) + 1e-9, 6).alias("m1"), "w", F.col("reused").alias("hit"))

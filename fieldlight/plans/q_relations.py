@@ -9,6 +9,15 @@ from . import inputs
 from .inputs import CANDIDATES, FIELDS, ITEMS, MEMBERSHIPS, OBSERVATIONS, PREDICTIONS, TASKS, VECTORS, WINDOWED
 from .registry import query
 
+#: F3 and F4: rounds of shares of 20 a country, at least 3 a stratum, to the power 0.5.
+ALLOCATION = """strata AS (SELECT country, stratum, count(*) AS n FROM candidates GROUP BY ALL),
+rounds(i, country, stratum, n, target) AS (SELECT 0, country, stratum, n, least(n, 3) FROM strata UNION ALL
+ SELECT i + 1, country, stratum, n, target + CASE WHEN n > target AND sum(whole) OVER (PARTITION BY country) = 0 AND k <= left_ THEN 1 ELSE whole END FROM (
+  SELECT *, row_number() OVER (PARTITION BY country ORDER BY n > target DESC, exact - floor(exact) DESC, share DESC, stratum DESC) AS k, least(n - target, CAST(floor(exact) AS BIGINT)) AS whole FROM (
+   SELECT *, left_ * share AS exact FROM (
+    SELECT *, 20 - sum(target) OVER (PARTITION BY country) AS left_, sqrt(CAST(n - target AS DOUBLE)) / nullif(sum(sqrt(CAST(n - target AS DOUBLE))) OVER (PARTITION BY country), 0) AS share FROM rounds))) WHERE left_ > 0),
+allocation AS (SELECT country, stratum, any_value(n) AS n, CAST(arg_max(target, i) AS BIGINT) AS target FROM rounds GROUP BY ALL)"""
+
 
 def r6(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
@@ -25,16 +34,16 @@ def f2(spark, sf):
     return inputs.candidates(spark, sf).groupBy("country", "stratum").agg(F.count("*").alias("n"), F.count_if(south).alias("excluded_south"), F.count_if(~south & (F.col("longitude") > 150)).alias("excluded_east"))
 
 
-@query("f3_strata_budget")
+@query("f3_strata_budget", f"WITH RECURSIVE {CANDIDATES}, {ALLOCATION} SELECT country, stratum, n, target, target / n AS inclusion_probability FROM allocation")
 def f3(spark, sf):
-    return a.stratum_targets(inputs.candidates(spark, sf), ["country", "stratum"], 200, 3, 0.5)
+    return a.stratum_targets(inputs.candidates(spark, sf), ["country"], ["stratum"], 20, 3, 0.5)
 
 
-@query("f4_inclusion_probability", f"WITH {CANDIDATES}, s AS (SELECT stratum, count(*) AS n FROM candidates GROUP BY stratum) SELECT candidate_id, round(1.0::DOUBLE, 6) AS total FROM candidates")
+@query("f4_inclusion_probability", f"WITH RECURSIVE {CANDIDATES}, {ALLOCATION} SELECT candidate_id, round(target / n, 6) AS total FROM candidates JOIN allocation USING (country, stratum)")
 def f4(spark, sf):
     c = inputs.candidates(spark, sf)
-    t = a.stratum_targets(c, ["stratum"], c.count(), 1, 0.5)  # a budget of everything: probability 1
-    return c.join(t, "stratum").select("candidate_id", F.round("inclusion_probability", 6).alias("total"))
+    t = a.stratum_targets(c, ["country"], ["stratum"], 20, 3, 0.5)
+    return c.join(t, ["country", "stratum"]).select("candidate_id", F.round("inclusion_probability", 6).alias("total"))
 
 
 @query("f5_pixel_overlap", f"WITH {MEMBERSHIPS} SELECT pixel, count(DISTINCT field_uid) AS overlap_field_count, count(DISTINCT label) > 1 AS label_conflict FROM memberships GROUP BY pixel")
@@ -234,8 +243,7 @@ def f28(spark, sf):
 
 @query("f29_stated_quantiles", f"WITH {PREDICTIONS} SELECT block, list_sort(list(score))[CAST(floor((count(*) - 1) * 0.3 + 1e-9) AS INTEGER) + 1] AS lower, list_sort(list(score))[CAST(ceil((count(*) - 1) * 0.3 - 1e-9) AS INTEGER) + 1] AS higher, round(quantile_cont(score, 0.3), 6) AS linear FROM predictions GROUP BY block")
 def f29(spark, sf):
-    p = inputs.predictions(spark, sf).groupBy("block").agg(*[a.quantile_stated(F.col("score"), 0.3, m).alias(m) for m in ("lower", "higher", "linear")])
-    return r6(p, "linear")
+    return r6(a.stated_quantiles(inputs.predictions(spark, sf), ["block"], "score", 0.3, ["lower", "higher", "linear"]), "linear").drop("n")
 
 
 @query("f30_field_rollup", f"WITH {VECTORS} SELECT field, round(avg(CASE WHEN v[1] > 0 THEN 1.0 ELSE 0.0 END), 6) AS rate, round(quantile_cont(v[1], 0.5), 6) AS median, bool_and(v[2] > -0.2) AS every FROM vectors GROUP BY field")
@@ -278,9 +286,9 @@ def f35(spark, sf):
     return r6(evaluation.ranking_metrics(p, ["stratum"], "truth", "score"), "auroc", "average_precision").select("stratum", "auroc", "average_precision")
 
 
-@query("f36_stage_summary", f"WITH {WINDOWED} SELECT w, count(*) AS rows, count(DISTINCT field) AS fields, count(DISTINCT crop) AS crops FROM windowed WHERE row_id % 3 > 0 GROUP BY w")
+@query("f36_stage_summary", f"WITH {WINDOWED} SELECT w, count(*) AS rows, count(DISTINCT field) AS fields, count(DISTINCT crop) AS crops FROM windowed GROUP BY w")
 def f36(spark, sf):
-    return inputs.windowed_vectors(spark, sf).where("row_id % 3 > 0").groupBy("w").agg(F.count("*").alias("rows"), F.count_distinct("field").alias("fields"), F.count_distinct("crop").alias("crops"))
+    return inputs.windowed_vectors(spark, sf).groupBy("w").agg(F.count("*").alias("rows"), F.count_distinct("field").alias("fields"), F.count_distinct("crop").alias("crops"))
 
 
 @query("f37_artifact_metadata", f"WITH {ITEMS} SELECT tile, array_to_string(list_sort(list(DISTINCT substr(sha256(doc), 1, 6))), ',') AS digests, count(*) FILTER (orbit <> 'R') AS valid, count(*) AS total FROM items GROUP BY tile")
@@ -355,14 +363,14 @@ def g8(spark, sf):
     return inputs.items(spark, sf).where("orbit <> 'N'").groupBy("tile", F.to_date("acquired").alias("day"), "orbit").agg(F.count("*").alias("n"))
 
 
-_G9 = f"""WITH {OBSERVATIONS}, r AS (SELECT sample_id, obs_id, row_number() OVER (PARTITION BY sample_id ORDER BY obs_id) - 1 AS i FROM observations WHERE sample_id % 3 = 0 OR obs_id % 10 = 0), s AS (SELECT sample_id, count(*) AS n FROM r GROUP BY sample_id),
+_G9 = f"""WITH {OBSERVATIONS}, r AS (SELECT sample_id, obs_id, row_number() OVER (PARTITION BY sample_id ORDER BY obs_id) - 1 AS i FROM observations), s AS (SELECT sample_id, count(*) AS n FROM r GROUP BY sample_id),
 x AS (SELECT sample_id, n, unnest(range(16)) AS q FROM s), y AS (SELECT *, CASE WHEN n >= 16 THEN (CASE WHEN q < n % 16 THEN q * (n // 16 + 1) + (n // 16 + 1) // 2 ELSE (n % 16) * (n // 16 + 1) + (q - n % 16) * (n // 16) + (n // 16) // 2 END)
  WHEN q < n THEN q ELSE CAST(round_even((q - n + 1) * ((n - 1)::DOUBLE / (16 - n + 1)), 0) AS BIGINT) END AS i FROM x) SELECT sample_id, CAST(q AS INTEGER) AS seq, obs_id FROM y JOIN r USING (sample_id, i)"""
 
 
 @query("g9_resample", _G9)
 def g9(spark, sf):
-    o = inputs.observations(spark, sf).where("sample_id % 3 = 0 OR obs_id % 10 = 0").select("sample_id", "obs_id")
+    o = inputs.observations(spark, sf).select("sample_id", "obs_id")
     return windows.resampled(o, ["sample_id"], ["obs_id"], 16).select("sample_id", "seq", "obs_id")
 
 
@@ -408,9 +416,9 @@ def g17(spark, sf):
     return mosaic.causal_windows(inputs.observations(spark, sf), "sample_id", F.col("sample_id") % 4, "epoch_day", 7, 0.2).select("sample_id", "start", "days")
 
 
-@query("g18_argmax_class", f"WITH {VECTORS} SELECT row_id, CAST(list_position(v[1:5], list_max(v[1:5])) - 1 AS INTEGER) AS top, round(list_max(v[1:5]), 6) AS p FROM vectors")
+@query("g18_argmax_class", f"WITH {VECTORS} SELECT row_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS top, round(list_max(v), 6) AS p FROM vectors")
 def g18(spark, sf):
-    top, p = windows.argmax_class(F.slice("v", 1, 5))
+    top, p = windows.argmax_class(F.col("v"))
     return inputs.vectors(spark, sf).select("row_id", top.alias("top"), F.round(p, 6).alias("p"))
 
 
@@ -439,14 +447,14 @@ def g22(spark, sf):
     return windows.first_available(li, ["l_orderkey"], "w", ["w2", "w3", "w1", "w4"]).select("l_orderkey", "w")
 
 
-@query("h1_canonical_order", f"WITH {OBSERVATIONS} SELECT obs_id, row_number() OVER (ORDER BY sample_id, epoch_day, orbit, obs_id) > 0 AS ranked FROM observations")
+@query("h1_canonical_order", f"WITH {OBSERVATIONS} SELECT obs_id, row_number() OVER (ORDER BY sample_id, epoch_day, orbit, obs_id) AS place FROM observations")
 def h1(spark, sf):
-    return inputs.observations(spark, sf).orderBy("sample_id", "epoch_day", "orbit", "obs_id").select("obs_id", F.lit(True).alias("ranked"))
+    return windows.placed(inputs.observations(spark, sf), ["sample_id", "epoch_day", "orbit", "obs_id"]).select("obs_id", "place")
 
 
-@query("h2_manifest_order", f"WITH {CANDIDATES} SELECT country, stratum, candidate_id FROM candidates ORDER BY ALL")
+@query("h2_manifest_order", f"WITH {CANDIDATES} SELECT country, stratum, candidate_id, row_number() OVER (ORDER BY country, stratum, candidate_id) AS place FROM candidates")
 def h2(spark, sf):
-    return inputs.candidates(spark, sf).select("country", "stratum", "candidate_id").orderBy("country", "stratum", "candidate_id")
+    return windows.placed(inputs.candidates(spark, sf).select("country", "stratum", "candidate_id"), ["country", "stratum", "candidate_id"])
 
 
 @query("h3_recent_failures", f"WITH {TASKS} SELECT task_id, due FROM tasks WHERE status = 'pending' ORDER BY due DESC, task_id LIMIT 20")
@@ -466,9 +474,9 @@ def h5(spark, sf):
     return inputs.memberships(spark, sf).groupBy("label").agg(F.count_distinct("field_uid").alias("fields")).orderBy(F.desc("fields"), "label").limit(3)
 
 
-@query("h6_dataset_order", f"WITH {VECTORS} SELECT block, crop, row_id FROM vectors ORDER BY ALL")
+@query("h6_dataset_order", f"WITH {VECTORS} SELECT block, crop, row_id, row_number() OVER (ORDER BY block, crop, row_id) AS place FROM vectors")
 def h6(spark, sf):
-    return inputs.vectors(spark, sf).select("block", "crop", "row_id").orderBy("block", "crop", "row_id")
+    return windows.placed(inputs.vectors(spark, sf).select("block", "crop", "row_id"), ["block", "crop", "row_id"])
 
 
 @query("i1_common_rows", f"WITH {WINDOWED} SELECT row_id FROM windowed WHERE NOT (w = 3 AND row_id % 7 = 0) GROUP BY row_id HAVING count(DISTINCT w) = 4")

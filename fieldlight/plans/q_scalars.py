@@ -214,10 +214,10 @@ def b30(spark, sf):
     return inputs.table(spark, sf, "pages").select("page_id", scalars.without_queries(F.col("url"), 60).alias("url"))
 
 
-@query("b31_clean_text", "SELECT doc_id, trim(coalesce(substr(text, 1, 40), '')) AS head, trim(coalesce(substr(text, 1, 40), '')) <> '' AS filled FROM documents")
+@query("b31_clean_text", "SELECT doc_id, sha256(trim(coalesce(text, ''))) AS cleaned_sha256, length(trim(coalesce(text, ''))) AS chars, trim(coalesce(text, '')) <> '' AS filled FROM documents")
 def b31(spark, sf):
-    head = scalars.clean_text(F.substring("text", 1, 40))
-    return inputs.table(spark, sf, "documents").select("doc_id", head.alias("head"), (head != "").alias("filled"))
+    text = scalars.clean_text(F.col("text"))
+    return inputs.table(spark, sf, "documents").select("doc_id", F.sha2(text, 256).alias("cleaned_sha256"), F.length(text).cast("long").alias("chars"), (text != "").alias("filled"))
 
 
 @query("b32_stage_deltas", f"WITH {WINDOWED}, s AS (SELECT field, w, avg(v[2]) AS m FROM windowed GROUP BY field, w) SELECT a.field, round(b.m - a.m, 6) AS d21, round(c.m - b.m, 6) AS d32 FROM s a JOIN s b ON b.field = a.field AND b.w = 2 JOIN s c ON c.field = a.field AND c.w = 3 WHERE a.w = 1")

@@ -74,10 +74,19 @@ def stored_observations(spark, sf):
 _STORE = f"WITH {OBSERVATIONS}, f AS (SELECT sample_id, epoch_day, min(obs_id) AS obs_id, arg_min(k, obs_id) AS k FROM observations WHERE valid GROUP BY ALL)"
 
 
-@query("a5_store_schema", "SELECT count(*) AS rows, 10 AS bands, 11 AS columns FROM events WHERE event_id < 0 OR event_id % 1 <> 0 HAVING count(*) >= 0")
+@query("a5_store_schema", _STORE + " SELECT count(*) AS rows, 10 AS bands, 11 AS columns, true AS refused FROM f")
 def a5(spark, sf):
-    s = io.observation_schema("s2")
-    return stored_observations(spark, sf).where("scl < 0").agg(F.count("*").alias("rows")).select("rows", F.lit(len(s["bands"].metadata["bands"])).alias("bands"), F.lit(len(s)).alias("columns"))
+    """Rows stored under one sensor's schema: its band order and columns come back, and the other sensor's reader refuses them."""
+    path = folder(spark)
+    io.write_observations(stored_observations(spark, sf), path, "s2", 4)
+    got = io.read_observations(spark, path, "s2")
+    try:
+        io.read_observations(spark, path, "s1").limit(1).collect()
+        refused = False
+    except contracts.ContractError:
+        refused = True
+    bands = io.observation_schema("s2")["bands"].metadata["bands"]
+    return got.where(F.size("bands") == len(bands)).agg(F.count("*").alias("rows")).select("rows", F.lit(len(bands)).alias("bands"), F.lit(len(got.columns)).alias("columns"), F.lit(refused).alias("refused"))
 
 
 @query("a6_observation_store", _STORE + " SELECT CAST(sample_id AS VARCHAR) AS sample_id, epoch_day, CAST(obs_id AS VARCHAR) AS source_item_id, CAST(k AS INTEGER) AS b3 FROM f")

@@ -9,10 +9,12 @@ from ..operators import aggregates, encoding, geometry, joins, linear, mixture,
 from . import inputs
 from .inputs import CANDIDATES, OBSERVATIONS, VECTORS
 from .q_geometry import POLYS, polys
+from .q_relations import ALLOCATION
 from .registry import query
 
 RATIOS = {"train": 0.6, "validation": 0.2, "test": 0.2}
 _U = "CAST('0x' || substr(sha256({}), 1, 16) AS UBIGINT)"
+_SPLIT = "CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'validation' ELSE 'test' END"
 _EACH = "each AS (SELECT * EXCLUDE (v), unnest(v) AS e, unnest(range(len(v))) AS d FROM vectors)"
 
 
@@ -20,14 +22,15 @@ def total(c):
     return F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6)
 
 
-@query("f17_pooled_covariance", f"WITH {VECTORS}, {_EACH}, m AS (SELECT crop, d, avg(e) AS m FROM each GROUP BY ALL), r AS (SELECT row_id, d, e - m AS r FROM each JOIN m USING (crop, d) WHERE d < 6) SELECT CAST(a.d AS INTEGER) AS i, CAST(b.d AS INTEGER) AS j, round(sum(a.r * b.r) / (SELECT count(*) FROM vectors), 6) AS cov FROM r a JOIN r b USING (row_id) GROUP BY ALL")
+@query("f17_pooled_covariance", f"WITH {VECTORS}, {_EACH}, nf AS (SELECT crop, field, count(*) AS n FROM vectors GROUP BY ALL), nc AS (SELECT crop, count(*) AS f FROM nf GROUP BY crop), wt AS (SELECT row_id, 1.0::DOUBLE / ((SELECT count(*) FROM nc) * f * n) AS w FROM vectors JOIN nf USING (crop, field) JOIN nc USING (crop)), m AS (SELECT crop, d, sum(w * e) / sum(w) AS m FROM each JOIN wt USING (row_id) GROUP BY ALL), r AS (SELECT row_id, w, d, e - m AS r FROM each JOIN wt USING (row_id) JOIN m USING (crop, d)) SELECT CAST(a.d AS INTEGER) AS i, CAST(b.d AS INTEGER) AS j, round(sum(a.w * a.r * b.r), 6) + 0.0 AS cov FROM r a JOIN r b USING (row_id) GROUP BY ALL")
 def f17(spark, sf):
-    v = inputs.vectors(spark, sf).withColumn("h", F.slice("v", 1, 6))
-    m = linear.moments(v, ["crop"], "h")
-    n = m.agg(F.sum("mass").alias("n"))
-    cell = m.select("mass", "total", F.posexplode("gram").alias("p", "x")).withColumns({"i": F.floor(F.col("p") / 6).cast("int"), "j": (F.col("p") % 6).cast("int")})
+    """Over all dimensions, crops equal, fields equal in a crop, rows in a field."""
+    w = aggregates.balanced_weights(inputs.vectors(spark, sf), ["crop", "field"])
+    m = linear.moments(w, ["crop"], "v", F.col("weight"))
+    cell = m.select("mass", "total", F.posexplode("gram").alias("p", "x")).withColumn("_d", F.size("total"))
+    cell = cell.withColumns({"i": F.floor(F.col("p") / F.col("_d")).cast("int"), "j": (F.col("p") % F.col("_d")).cast("int")})
     cell = cell.withColumn("x", F.col("x") - F.get("total", F.col("i")) * F.get("total", F.col("j")) / F.col("mass"))
-    return cell.groupBy("i", "j").agg(F.sum("x").alias("x")).crossJoin(n).select("i", "j", F.round(F.col("x") / F.col("n"), 6).alias("cov"))
+    return cell.groupBy("i", "j").agg((F.round(F.sum("x") / F.sum("mass"), 6) + 0.0).alias("cov"))
 
 
 @query("f18_weighted_pca")
@@ -70,15 +73,15 @@ def f39(spark, sf):
     return pairs.crossJoin(r).select("a", "b", F.round(vectors.distance(F.col("ca"), F.col("cb")) / F.col("r"), 6).alias("separation"))
 
 
-@query("j1_stratified_sample")
+@query("j1_stratified_sample", f"WITH RECURSIVE {CANDIDATES}, {ALLOCATION}, r AS (SELECT *, row_number() OVER (PARTITION BY country, stratum ORDER BY {_U.format(chr(39) + '1:' + chr(39) + ' || candidate_id')}, candidate_id) AS k, {_U.format(chr(39) + '1:' + chr(39) + ' || spatial_block')}::DOUBLE / 18446744073709551616 AS u FROM candidates JOIN allocation USING (country, stratum)) SELECT candidate_id, country, stratum, {_SPLIT} AS spatial_split, round(target / n, 6) AS inclusion_probability FROM r WHERE k <= target")
 def j1(spark, sf):
-    c = sampling.select_candidates(inputs.candidates(spark, sf), 200, 3, 0.5, "1", RATIOS)
+    """The stand-in places repeat after 6120 customers; a step of latitude keeps them apart."""
+    c = inputs.candidates(spark, sf).withColumn("latitude", F.col("latitude") + F.floor(F.col("c_custkey") / 6120) * 0.005)
+    countries = [r.country for r in c.select("country").distinct().collect()]  # names of regions
+    c = sampling.select_candidates(c, 20, 3, 0.5, "1", RATIOS, countries)
     return c.select("candidate_id", "country", "stratum", "spatial_split", F.round("inclusion_probability", 6).alias("inclusion_probability"))
 
 
-_SPLIT = f"CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'validation' ELSE 'test' END"
-
-
 @query("j2_block_split", f"WITH {CANDIDATES}, b AS (SELECT DISTINCT spatial_block, {_U.format(chr(39) + '1:' + chr(39) + ' || spatial_block')}::DOUBLE / 18446744073709551616 AS u FROM candidates) SELECT spatial_block, {_SPLIT} AS spatial_split FROM b")
 def j2(spark, sf):
     return inputs.candidates(spark, sf).select("spatial_block").distinct().withColumn("spatial_split", sampling.split_of(F.col("spatial_block"), "1", RATIOS))
@@ -100,7 +103,15 @@ def j4(spark, sf):
     return p.join(r, "id").select("id", F.col("k").alias("region"), land.alias("land"), block.alias("spatial_block")).where("land <> 8")
 
 
-@query("j5_best_split")
+def _best_split(rows: str, block: str, label: str, seeds: int) -> str:
+    """CTEs up to best (seed, score): the deviation of sizes, and of the classes' shares in the mean."""
+    return f"""bn AS (SELECT {block} AS b, {label} AS crop, count(*) AS n FROM {rows} GROUP BY ALL), bt AS (SELECT crop, sum(n) AS t FROM bn GROUP BY crop), sd AS (SELECT unnest(range({seeds})) AS seed),
+bu AS (SELECT seed, crop, n, {_U.format("seed || ':' || b")}::DOUBLE / 18446744073709551616 AS u FROM bn, sd), bc AS (SELECT seed, {_SPLIT} AS split, crop, sum(n) AS n FROM bu GROUP BY ALL),
+bs AS (SELECT seed, split, CASE split WHEN 'train' THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END AS want, count(*) AS cells, sum(n) AS n, avg(abs(n / t - CASE split WHEN 'train' THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END)) AS off FROM bc JOIN bt USING (crop) GROUP BY seed, split),
+best AS (SELECT seed, round(sum(off + abs(n / (SELECT sum(t) FROM bt) - want)), 9) AS score FROM bs GROUP BY seed HAVING sum(cells) = 3 * (SELECT count(*) FROM bt) ORDER BY score, seed LIMIT 1)"""
+
+
+@query("j5_best_split", f"WITH {VECTORS}, {_best_split('vectors', 'row_id % 60', 'crop', 64)} SELECT CAST(seed AS INTEGER) AS seed, score FROM best")
 def j5(spark, sf):
     v = inputs.vectors(spark, sf).withColumn("b", (F.col("row_id") % 60).cast("int"))
     return sampling.best_split(v, "b", "crop", 64, RATIOS)
@@ -130,11 +141,25 @@ def j8(spark, sf):
     return first_rows(pure, ["kind"], [hashing.hash_rank(F.lit("p"), F.col("x").cast("string"), F.col("y").cast("string"))], 6)
 
 
-@query("j9_classification_rows")
+_J9 = f"""WITH {VECTORS}, z AS (SELECT CASE WHEN row_id % 10 = 9 THEN row_id - 1 ELSE row_id END AS pixel, row_id // 5 AS grp, crop AS label, (row_id // 5) % 60 + CASE WHEN row_id % 50 = 49 THEN 1 ELSE 0 END AS spot, row_id, row_id % 13 <> 0 AS good FROM vectors),
+za AS (SELECT * FROM z WHERE pixel % 3 <> 0), zb AS (SELECT * FROM z WHERE pixel % 3 <> 1),
+ua AS (SELECT pixel, arg_min(grp, row_id) AS grp, min(label) AS label, arg_min(spot, row_id) AS spot, 'a' AS source FROM za WHERE good GROUP BY pixel HAVING count(DISTINCT label) = 1),
+ub AS (SELECT pixel, arg_min(grp, row_id) AS grp, min(label) AS label, arg_min(spot, row_id) AS spot, 'b' AS source FROM zb WHERE good GROUP BY pixel HAVING count(DISTINCT label) = 1),
+uu AS (SELECT * FROM ua WHERE pixel NOT IN (SELECT pixel FROM ub) UNION ALL SELECT * FROM ub WHERE pixel NOT IN (SELECT pixel FROM ua)),
+og AS (SELECT * FROM uu WHERE grp IN (SELECT grp FROM uu GROUP BY grp HAVING min(spot) = max(spot))),
+kk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_U.format("'cap:' || pixel")}, pixel) AS k FROM og), cc AS (SELECT * FROM kk WHERE k <= 60),
+{_best_split('cc', 'spot', 'label', 64)}, fin AS (SELECT pixel, source, label, {_U.format("seed || ':' || spot")}::DOUBLE / 18446744073709551616 AS u FROM cc, best)
+SELECT pixel, source, CAST((SELECT count(DISTINCT label) FROM cc c WHERE c.label < fin.label) AS INTEGER) AS class_id, {_SPLIT} AS split FROM fin"""
+
+
+@query("j9_classification_rows", _J9)
 def j9(spark, sf):
+    """Two sources that share a third of their pixels; some pixels of two rows, most of those with two labels, some rows without a good vector."""
     v = inputs.vectors(spark, sf)
-    got = sampling.classification_rows(v.where("row_id % 3 <> 0").drop("v"), v.where("row_id % 3 <> 1").drop("v"), "row_id", "row_id", "crop", "block", 30, RATIOS)
-    return got.select("row_id", "source", "class_id", "split")
+    pixel, group = F.when(F.col("row_id") % 10 == 9, F.col("row_id") - 1).otherwise(F.col("row_id")), F.floor(F.col("row_id") / 5)
+    z = v.select("row_id", pixel.alias("pixel"), group.alias("grp"), F.col("crop").alias("label"), (group % 60 + (F.col("row_id") % 50 == 49).cast("int")).alias("spot"))
+    got = sampling.classification_rows(z.where("pixel % 3 <> 0"), z.where("pixel % 3 <> 1"), "pixel", "grp", "label", "spot", 60, RATIOS, F.col("row_id") % 13 != 0, [F.col("row_id")])
+    return got.select("pixel", "source", "class_id", "split")
 
 
 @query("j10_balanced_sample", f"""WITH {VECTORS}, f AS (SELECT crop, field FROM (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY {_U.format("'b:' || field")}, field) AS k FROM (SELECT DISTINCT crop, field FROM vectors)) WHERE k <= 2), r AS (SELECT v.crop, v.field, row_id, row_number() OVER (PARTITION BY v.field ORDER BY row_id) - 1 AS i, count(*) OVER (PARTITION BY v.field) AS n FROM vectors v JOIN f ON f.field = v.field)
@@ -143,18 +168,19 @@ def j10(spark, sf):
     return sampling.balanced_sample(inputs.vectors(spark, sf), "crop", "field", "row_id", 2, 4).select("crop", "field", "row_id")
 
 
+def folded(spark, sf):
+    return inputs.vectors(spark, sf).withColumn("fold", (F.col("field") % 5).cast("int"))
+
+
 def scored(spark, sf):
-    """Vectors with log scores from a density fitted on other folds' sums."""
-    v = inputs.vectors(spark, sf).withColumn("fold", (F.col("field") % 5).cast("int"))
-    stats = linear.label_stats(v, "crop", "v", None, "fold")
-    models = {f: linear.fit_density(linear.without_fold(stats, f), 0.2) for f in range(5)}
-    return linear.with_log_scores(v, "v", models, fold="fold")
+    """Vectors with held-out log scores of a density, shrinkage and temperature chosen on held-out fields."""
+    return linear.validated_density(folded(spark, sf), "crop", "field", "v", "fold")[1]
 
 
 @query("j11_density_fit")
 def j11(spark, sf):
-    v = inputs.vectors(spark, sf)
-    m = linear.fit_density(linear.label_stats(v, "crop", "v"), 0.2)
+    v = linear.with_field_weight(inputs.vectors(spark, sf), "field")
+    m = linear.fit_density(linear.label_stats(v, "crop", "v", F.col("_field_weight")), 0.25, equal_labels=True)
     out = linear.with_log_scores(v, "v", m)
     return out.select("row_id", F.round(F.array_max("log_scores"), 4).alias("best"))
 
@@ -167,26 +193,22 @@ def j12(spark, sf):
 
 @query("j13_temperature")
 def j13(spark, sf):
-    s = scored(spark, sf).withColumn("place", F.col("crop") + 1)
-    w = aggregates.balanced_weights(s.select("row_id", "crop", "field", "log_scores", "place"), ["crop", "field"])
-    t = linear.calibrated_temperature(w, "log_scores", "place", "weight")
-    loss = F.sum(F.col("weight") * linear.log_loss(F.col("log_scores"), F.col("place"), F.lit(t)))
-    return w.agg(F.lit(round(t, 6)).alias("temperature"), F.round(loss, 6).alias("log_loss"))
+    model, s, _ = linear.validated_density(folded(spark, sf), "crop", "field", "v", "fold")
+    loss = F.sum(F.col("weight") * linear.log_loss(F.col("log_scores"), F.col("place"), F.lit(1.0)))
+    return s.agg(F.lit(round(model.temperature, 6)).alias("temperature"), F.round(loss, 6).alias("log_loss"))
 
 
 @query("j14_cross_validated_shrinkage")
 def j14(spark, sf):
-    """Field-held-out log loss and accuracy per shrinkage: one pass for the sums, one for the scores."""
-    v = inputs.vectors(spark, sf).withColumn("fold", (F.col("field") % 5).cast("int")).withColumn("place", F.col("crop") + 1)
-    stats = linear.label_stats(v, "crop", "v", None, "fold")
-    out = None
-    for shrink in (0.05, 0.2, 0.5):
-        models = {f: linear.fit_density(linear.without_fold(stats, f), shrink) for f in range(5)}
-        s = linear.with_log_scores(v, "v", models, fold="fold")
-        f = s.groupBy("crop", "field", "place").agg(F.avg(linear.log_loss(F.col("log_scores"), F.col("place"), F.lit(1.0))).alias("loss"), F.avg((F.array_position("log_scores", F.array_max("log_scores")) == F.col("place")).cast("double")).alias("hit"))
-        one = f.agg(F.lit(shrink).alias("shrinkage"), F.round(F.avg("loss"), 6).alias("log_loss"), F.round(F.avg("hit"), 6).alias("accuracy"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Held-out loss of each shrinkage, which is chosen, and recall (mean over crops) and log loss of fields' mean posteriors."""
+    model, s, losses = linear.validated_density(folded(spark, sf), "crop", "field", "v", "fold")
+    each = s.select("crop", "field", "place", F.posexplode(linear.posteriors(F.col("log_scores"))).alias("k", "p"))
+    mean = each.groupBy("crop", "field", "place", "k").agg(F.avg("p").alias("p"))
+    top = mean.groupBy("crop", "field").agg(F.max_by("k", F.struct("p", -F.col("k"))).alias("top"), F.first("place").alias("place"), F.sum(F.when(F.col("k") + 1 == F.col("place"), F.col("p"))).alias("own"))
+    crops = top.groupBy("crop").agg(F.avg((F.col("top") + 1 == F.col("place")).cast("double")).alias("recall"), F.sum(-F.log(F.greatest(F.col("own"), F.lit(1e-12)))).alias("loss"), F.count("*").alias("n"))
+    whole = crops.agg(F.round(F.avg("recall"), 6).alias("accuracy"), F.round(F.sum("loss") / F.sum("n"), 6).alias("field_log_loss"))
+    rows = [(float(a), round(float(b), 6), a == model.shrinkage) for a, b in losses]
+    return spark.createDataFrame(rows, "shrinkage double, log_loss double, chosen boolean").crossJoin(whole)  # one row
 
 
 def centres(spark, sf):
@@ -219,7 +241,7 @@ def j16(spark, sf):
 
 @query("j17_all_pairs")
 def j17(spark, sf):
-    shares = mixture.all_pair_shares(scored(spark, sf).withColumn("s", F.slice("log_scores", 1, 4)), ["field"], "s", [0, 1, 2, 3], 21)
+    shares = mixture.all_pair_shares(scored(spark, sf), ["field"], "log_scores", list(range(10)), 21)
     return mixture.best_pair(shares, ["field"]).withColumn("margin", F.round("margin", 6))
 
 
@@ -232,8 +254,8 @@ def j18(spark, sf):
 def j19(spark, sf):
     """Held-out fields as end points, and synthetic mosaics that draw rows of two sources in stated shares."""
     s = two_source(spark, sf)
-    ends = mixture.mosaic_share(s.where("field < 200"), ["field"], "a", "b", 21).select(F.concat(F.lit("field-"), "field").alias("control"), "share")
-    mixed = s.where("field < 200").withColumn("target", F.explode(F.array(F.lit(25), F.lit(50), F.lit(75))))
+    ends = mixture.mosaic_share(s, ["field"], "a", "b", 21).select(F.concat(F.lit("field-"), "field").alias("control"), "share")
+    mixed = s.withColumn("target", F.explode(F.array(F.lit(25), F.lit(50), F.lit(75))))
     u = hashing.unit_interval(F.col("target").cast("string"), F.col("row_id").cast("string")) * 100
     keep = F.when(F.col("field") < 100, u < F.col("target")).otherwise(u >= F.col("target"))
     made = mixture.mosaic_share(mixed.where(keep), ["target"], "a", "b", 21).select(F.concat(F.lit("mix-"), "target").alias("control"), "share")
@@ -244,10 +266,10 @@ def j19(spark, sf):
 def j20(spark, sf):
     """Evidence thresholds by pair and count bin, with a row per pair for bins with few cases."""
     s = mixture.mosaic_share(two_source(spark, sf), ["field"], "a", "b", 21)
-    s = s.withColumn("pair", F.floor(F.col("field") / 500).cast("int")).withColumn("bin", F.when(F.col("rows") <= 8, "small").otherwise("large"))
-    fine = s.groupBy("pair", "bin").agg(F.count("*").alias("n"), aggregates.quantile_stated(F.round("evidence", 6), 0.95, "higher").alias("threshold"))
-    wide = s.groupBy("pair").agg(F.count("*").alias("n"), aggregates.quantile_stated(F.round("evidence", 6), 0.95, "higher").alias("threshold")).withColumn("bin", F.lit(None).cast("string"))
-    return fine.unionByName(wide)
+    s = s.withColumn("pair", F.floor(F.col("field") / 500).cast("int")).withColumn("bin", F.when(F.col("rows") <= 8, "small").otherwise("large")).withColumn("threshold", F.round("evidence", 6))
+    fine = aggregates.stated_quantiles(s, ["pair", "bin"], "threshold", 0.95, ["higher"])
+    wide = aggregates.stated_quantiles(s, ["pair"], "threshold", 0.95, ["higher"]).withColumn("bin", F.lit(None).cast("string"))
+    return fine.unionByName(wide).withColumnRenamed("higher", "threshold")
 
 
 def field_calls(s, thresholds):
@@ -270,9 +292,9 @@ def j21(spark, sf):
 @query("j22_windowed_workflow")
 def j22(spark, sf):
     """The whole chain with the window as a grouping key: densities per window, shares per field and window."""
-    v = inputs.windowed_vectors(spark, sf)
-    stats = linear.label_stats(v, "crop", "v", None, "w")
-    models = {w: linear.fit_density([r[:1] + r[2:] for r in stats if r[1] == w], 0.2) for w in range(1, 5)}
+    v = linear.with_field_weight(inputs.windowed_vectors(spark, sf), "field")
+    stats = linear.label_stats(v, "crop", "v", F.col("_field_weight"), "w")
+    models = {w: linear.fit_density([r[:1] + r[2:] for r in stats if r[1] == w], 0.25, equal_labels=True) for w in range(1, 5)}
     s = linear.with_log_scores(v, "v", models, fold="w").select("field", "w", F.col("log_scores")[0].alias("a"), F.col("log_scores")[1].alias("b"))
     return mixture.mosaic_share(s, ["field", "w"], "a", "b", 21).select("field", "w", "share", F.round("evidence", 4).alias("evidence"))
 
@@ -310,10 +332,15 @@ def out_of_fold(spark, sf):
     return linear.nearest_centroid(v, "v", c.withColumnRenamed("crop", "label"), "label", ["fold"])
 
 
-@query("j27_control_thresholds")
+_NC = f"WITH {VECTORS}, {_EACH}, t AS (SELECT field % 5 AS fold, crop, d, sum(e) AS s, count(*) AS n FROM each GROUP BY ALL), k AS (SELECT f.fold, crop, d, sum(s) / sum(n) AS m FROM t, (SELECT unnest(range(5)) AS fold) f WHERE t.fold <> f.fold GROUP BY ALL), c AS (SELECT fold, crop AS label, list(m ORDER BY d) AS c FROM k GROUP BY ALL), x AS (SELECT row_id, label, round(list_distance(v, c), 9) AS d FROM vectors v JOIN c ON c.fold = v.field % 5)"
+_HIGHER = "list_sort(list({0}))[CAST(ceil((count(*) - 1) * {1} - 1e-9) AS INTEGER) + 1]"
+
+
+@query("j27_control_thresholds", _NC + ", p AS (SELECT row_id, arg_min(label, (d, label)) AS predicted, min(d) AS distance FROM x GROUP BY row_id) SELECT crop, round(" + _HIGHER.format("distance", 0.95) + ", 6) AS threshold, round(avg(CASE WHEN predicted = crop THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS recall FROM p JOIN vectors USING (row_id) GROUP BY crop")
 def j27(spark, sf):
     p = out_of_fold(spark, sf)
-    return p.groupBy("crop").agg(F.round(aggregates.quantile_stated(F.col("distance"), 0.95, "higher"), 6).alias("threshold"), F.round(F.avg((F.col("predicted") == F.col("crop")).cast("double")), 6).alias("recall"))
+    t = aggregates.stated_quantiles(p, ["crop"], "distance", 0.95, ["higher"]).select("crop", F.round("higher", 6).alias("threshold"))
+    return p.groupBy("crop").agg(F.round(F.avg((F.col("predicted") == F.col("crop")).cast("double")), 6).alias("recall")).join(t, "crop")
 
 
 @query("j28_mixture_calls")
@@ -335,9 +362,6 @@ def j29(spark, sf):
     return pair.agg(q.alias("q")).select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "median", "high"))])
 
 
-_NC = f"WITH {VECTORS}, {_EACH}, t AS (SELECT field % 5 AS fold, crop, d, sum(e) AS s, count(*) AS n FROM each GROUP BY ALL), k AS (SELECT f.fold, crop, d, sum(s) / sum(n) AS m FROM t, (SELECT unnest(range(5)) AS fold) f WHERE t.fold <> f.fold GROUP BY ALL), c AS (SELECT fold, crop AS label, list(m ORDER BY d) AS c FROM k GROUP BY ALL), x AS (SELECT row_id, label, round(list_distance(v, c), 9) AS d FROM vectors v JOIN c ON c.fold = v.field % 5)"
-
-
 @query("j30_nearest_centroid", _NC + " SELECT row_id, arg_min(label, (d, label)) AS predicted, round(min(d), 6) AS distance FROM x GROUP BY row_id")
 def j30(spark, sf):
     return out_of_fold(spark, sf).select("row_id", "predicted", F.round("distance", 6).alias("distance"))
@@ -360,10 +384,10 @@ def j31(spark, sf):
 
 
 @query("j42_window_encoding", f"""WITH {OBSERVATIONS}, w(w, a, z) AS (VALUES (1, 19723, 19730), (2, 19723, 19740), (3, 19800, 19810)), s AS (SELECT DISTINCT sample_id FROM observations)
-SELECT s.sample_id, w.w, CASE WHEN count(obs_id) > 0 THEN 'complete' ELSE 'empty_window' END AS outcome, round(avg(value), 6) AS m1, round(avg(epoch_day), 6) AS day FROM s CROSS JOIN w LEFT JOIN observations o ON o.sample_id = s.sample_id AND epoch_day >= a AND epoch_day < z AND valid GROUP BY ALL""")
+SELECT s.sample_id, w.w, CASE WHEN count(obs_id) > 0 THEN 'complete' ELSE 'empty_window' END AS outcome, round(avg(value) + 1e-9, 6) AS m1, round(avg(epoch_day) + 1e-9, 6) AS day FROM s CROSS JOIN w LEFT JOIN observations o ON o.sample_id = s.sample_id AND epoch_day >= a AND epoch_day < z AND valid GROUP BY ALL""")
 def j42(spark, sf):
     e = encoding.encoded(_windows(spark, sf), "sample_id")
-    return e.select("sample_id", "w", "outcome", F.round(F.get("vector", F.lit(0)), 6).alias("m1"), F.round(F.get("vector", F.lit(4)), 6).alias("day"))
+    return e.select("sample_id", "w", "outcome", F.round(F.get("vector", F.lit(0)) + 1e-9, 6).alias("m1"), F.round(F.get("vector", F.lit(4)) + 1e-9, 6).alias("day"))
 
 
 def _windows(spark, sf):

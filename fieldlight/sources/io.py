@@ -88,8 +88,11 @@ def write_observations(df: DataFrame, path: str, modality: str, files: int) -> i
 
 
 def read_observations(spark: SparkSession, path: str, modality: str) -> DataFrame:
-    """The store as written; violations of identity raise."""
-    df = spark.read.schema(observation_schema(modality)).parquet(path)
+    """The store as written; another sensor's columns or band order, and violations of identity, raise."""
+    want, there = observation_schema(modality), spark.read.parquet(path).schema
+    if set(there.names) != set(want.names) or there["bands"].metadata.get("bands") != want["bands"].metadata["bands"]:
+        raise ContractError(f"the stored schema is not that of {modality}")
+    df = spark.read.schema(want).parquet(path)
     enforce(unique(df, ["sample_id", "epoch_day", *(["orbit"] if modality == "s1" else [])], "identity"))
     return df
 

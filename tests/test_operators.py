@@ -1,5 +1,6 @@
 """Hand-made cases: exact values, recoveries, contracts and order-independence."""
 
+import hashlib
 import math
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlight.functions import calendar, grid, radiometry, scalars
-from fieldlight.operators import aggregates, cohort, contracts, evaluation, geometry, joins, linear, mixture, mosaic, windows
+from fieldlight.operators import aggregates, cohort, contracts, evaluation, geometry, joins, linear, mixture, mosaic, sampling, windows
 from fieldlight.sources import io
 from fieldlight.streaming import streams
 
@@ -97,12 +98,132 @@ def test_mosaics(spark):
     assert (r.vv, r.vh, r.composite) == (7.0, 6.0, True)
 
 
-def test_budget():
-    got = aggregates.strata_budget({"common": 900, "rare": 100}, 200, 20, 0.5)
+def rounds_by_hand(counts, total, floor, power):
+    """Targets by exact rules on a handful of strata: shares rounded down, then one each by remainder, share and key."""
+    have = {k: min(floor, n) for k, n in counts.items()}
+    while (left := total - sum(have.values())) > 0:
+        free = [k for k in counts if have[k] < counts[k]]
+        power_of = {k: (counts[k] - have[k]) ** power for k in free}
+        exact = {k: left * (power_of[k] / sum(power_of.values())) for k in free}
+        gain = {k: min(int(exact[k]), counts[k] - have[k]) for k in free}
+        if not sum(gain.values()):
+            gain = dict.fromkeys(sorted(free, key=lambda k: (exact[k] - int(exact[k]), power_of[k], k))[::-1][:left], 1)
+        for k, n in gain.items():
+            have[k] += n
+    return have
+
+
+def test_allocation(spark):
+    def targets(counts, *how):
+        rows = [(g, k, n) for g, own in counts.items() for k, n in own.items()]
+        out = aggregates.power_allocation(spark.createDataFrame(rows, "g string, k string, n long"), ["g"], ["k"], *how)
+        return {g: {r.k: r.target for r in out.where(F.col("g") == g).collect()} for g in counts}
+
+    got = targets({"one": {"common": 900, "rare": 100}}, 200, 0, 0.5)["one"]
     assert sum(got.values()) == 200 and 20 < got["rare"] <= 100
-    assert aggregates.strata_budget({"a": 3, "b": 2}, 100, 1, 0.5) == {"a": 3, "b": 2}
+    assert targets({"x": {"a": 5, "b": 5, "c": 5}}, 2, 0, 0.5)["x"] == {"a": 0, "b": 1, "c": 1}  # ties go to the greater key
+    dice = np.random.default_rng(4)
+    for floor, power in ((0, 1.0), (2, 0.5), (3, 0.0)):
+        counts = {g: {f"s{i:02}": int(n) for i, n in enumerate(dice.integers(5, 400, 12))} for g in ("p", "q")}
+        assert targets(counts, 50, floor, power) == {g: rounds_by_hand(own, 50, floor, power) for g, own in counts.items()}
+    for bad in (({"x": {"a": 30, "b": 30}}, 10, 20, 0.5), ({"x": {"a": 3, "b": 2}}, 100, 1, 0.5), ({"x": {"a": 3}}, 0, 0, 0.5), ({}, 5, 0, 0.5), ({"x": {"a": 3}}, 1, 0, 2.0)):
+        with pytest.raises(ValueError):
+            targets(*bad)
+
+
+def test_candidates_are_selected_per_country_with_a_distance_guard(spark):
+    rows = [(f"{c}-{i}", c, f"block-{i // 2}", "forest" if i < 15 else "water", 30.0 + i / 100, -2.0 + i / 100 + k) for k, c in enumerate(("A", "B")) for i in range(20)]
+    ddl = "candidate_id string, country string, spatial_block string, stratum string, longitude double, latitude double"
+    df = spark.createDataFrame(rows, ddl)
+    how = (2, 0.5, "7", {"train": 0.8, "validation": 0.1, "test": 0.1}, ["A", "B"])
+    got = sampling.select_candidates(df, 10, *how).collect()
+    assert sorted(map(str, got)) == sorted(map(str, sampling.select_candidates(df.repartition(5), 10, *how).collect()))
+    assert {c: sum(r.country == c for r in got) for c in ("A", "B")} == {"A": 10, "B": 10} and all(0 < r.inclusion_probability <= 1 for r in got)
+    assert sampling.select_candidates(df, None, *how).count() == 40
+    near = df.unionByName(spark.createDataFrame([("x", "A", "b", "forest", 30.001, -2.0)], ddl))
+    for bad, said in ((near, "minimum_distance"), (df.unionByName(df.limit(1)), "unique_id"), (df.withColumn("country", F.lit("C")), "country")):
+        with pytest.raises(contracts.ContractError, match=said):
+            sampling.select_candidates(bad, None, *how)
+
+
+def test_best_split_scores_sizes_and_mean_class_shares(spark):
+    dice = np.random.default_rng(8)
+    rows = [(int(b), int(c)) for b, c in zip(dice.integers(0, 25, 400), dice.integers(0, 3, 400), strict=True)]
+    df = spark.createDataFrame(rows, "b int, c int")
+    ratios = {"train": 0.6, "validation": 0.2, "test": 0.2}
+    scores = {}
+    for seed in range(30):
+        draw = {b: int(hashlib.sha256(f"{seed}:{b}".encode()).hexdigest()[:16], 16) / 2**64 for b, _ in rows}
+        split = [0 if draw[b] < 0.6 else 1 if draw[b] < 0.8 else 2 for b, _ in rows]
+        n = np.zeros((3, 3))
+        np.add.at(n, (split, [c for _, c in rows]), 1)
+        if n.min() > 0:
+            r = np.array(list(ratios.values()))
+            scores[seed] = np.abs(n.sum(1) / 400 - r).sum() + np.abs(n / n.sum(0) - r[:, None]).mean(1).sum()
+    best = min(scores, key=lambda k: (round(scores[k], 9), k))
+    got = sampling.best_split(df, "b", "c", 30, ratios).head()
+    assert (got.seed, got.score) == (best, pytest.approx(scores[best], abs=1e-8))
+    assert sampling.best_split(df.where("b = 0"), "b", "c", 5, ratios).head().seed is None
+
+
+def test_group_folds(spark):
+    df = spark.createDataFrame([(i % 12, i % 2) for i in range(100)] + [(3, 0)], "g int, y int")
+    got, k = sampling.group_folds(df, "g", "y", 5)
+    assert k and got.select("g", "fold").distinct().count() == 12 and got.select("fold", "y").distinct().count() == 2 * k
+    assert sampling.group_folds(df.where("g = 1"), "g", "y", 5)[1] is None
+
+
+def test_stated_quantiles(spark):
+    dice = np.random.default_rng(2)
+    x = np.round(dice.normal(size=101), 1)
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0), ("c", None)], "k string, x double")
+    got = {r.k: r for r in aggregates.stated_quantiles(df, ["k"], "x", 0.37, ["lower", "higher", "linear"]).collect()}
+    for m in ("lower", "higher", "linear"):
+        assert got["a"][m] == pytest.approx(np.quantile(x, 0.37, method=m)) and got["b"][m] == 1.0
+    assert set(got) == {"a", "b"} and got["a"].n == 101
+
+
+def density_by_hand(x, y, field, shrinkage):
+    """Centres and inverse covariance with labels, fields of a label and rows of a field counting the same."""
+    w = np.array([1 / (len(set(y)) * len(set(field[y == k])) * (field == f).sum()) for k, f in zip(y, field, strict=True)])
+    labels = sorted(set(y))
+    centres = np.array([np.average(x[y == k], axis=0, weights=w[y == k]) for k in labels])
+    r = x - centres[np.searchsorted(labels, y)]
+    cov = (r * w[:, None]).T @ r / w.sum()
+    cov = (1 - shrinkage) * cov + shrinkage * np.trace(cov) / len(cov) * np.eye(len(cov))
+    return centres, np.linalg.inv(cov), w
+
+
+def test_validated_density_matches_numpy(spark):
+    r = np.random.default_rng(6)
+    y = np.repeat([0, 1, 2], 80)
+    field = y * 10 + r.integers(0, 4, 240)
+    x = r.normal(size=(240, 4)) * (1, 2, 0.3, 1) + y[:, None] * 1.2 + (field % 10)[:, None] * 0.4
+    fold = field % 10 % 4
+    df = spark.createDataFrame([(i, int(a), int(f), int(o), v.tolist()) for i, (a, f, o, v) in enumerate(zip(y, field, fold, x, strict=True))], "i int, y int, field int, fold int, v array<double>").repartition(5)
+    model, rows, losses = linear.validated_density(df, "y", "field", "v", "fold")
+    _, _, w = density_by_hand(x, y, field, 0.5)
+    loss = lambda s, t: float(np.sum(w * (np.log(np.exp((s - s.max(1, keepdims=True)) / t).sum(1)) - (s[np.arange(240), y] - s.max(1)) / t)))
+    oof = {}
+    for shrinkage in linear.SHRINKAGES:
+        s = np.empty((240, 3))
+        for k in range(4):
+            c, inv, _ = density_by_hand(x[fold != k], y[fold != k], field[fold != k], shrinkage)
+            d = x[fold == k][:, None, :] - c
+            s[fold == k] = -0.5 * np.einsum("ncd,de,nce->nc", d, inv, d)
+        oof[shrinkage] = s
+    assert [b for _, b in losses] == pytest.approx([loss(oof[a], 1.0) for a in linear.SHRINKAGES])
+    chosen = min(linear.SHRINKAGES, key=lambda a: loss(oof[a], 1.0))
+    grid = np.geomspace(0.25, 8.0, 65)
+    t = grid[np.argmin([loss(oof[chosen], g) for g in grid])]
+    assert model.shrinkage == chosen and model.temperature == pytest.approx(t)
+    got = {row.i: (row.log_scores, row.weight) for row in rows.collect()}
+    assert np.array([got[i][0] for i in range(240)]) == pytest.approx(oof[chosen] / t) and [got[i][1] for i in range(240)] == pytest.approx(w.tolist())
+    c, inv, _ = density_by_hand(x, y, field, chosen)
+    d = x[:, None, :] - c
+    assert model.log_scores(x) == pytest.approx(-0.5 * np.einsum("ncd,de,nce->nc", d, inv, d) / t)
     with pytest.raises(ValueError):
-        aggregates.strata_budget({"a": 30, "b": 30}, 10, 20, 0.5)
+        linear.fit_density([(0, 1.0, [0.0], [0.0])], 0.0)
 
 
 def test_weights_are_equal_per_level(spark):
