@@ -53,20 +53,40 @@ def boxes(e: DataFrame, key: str) -> DataFrame:
 
 
 def rasterised(e: DataFrame, key: str, size: float) -> DataFrame:
-    """(key, ix, iy) of grid cells whose centre is inside or on the polygon."""
-    b = boxes(e, key)
-    lo = lambda c: F.ceil(F.col(c) / size - 0.5).cast("long")
-    hi = lambda c: F.floor(F.col(c) / size - 0.5).cast("long")
-    b = b.where((lo("x_min") <= hi("x_max")) & (lo("y_min") <= hi("y_max")))
-    cells = b.select(key, F.explode(F.sequence(lo("x_min"), hi("x_max"))).alias("ix"), lo("y_min").alias("l"), hi("y_max").alias("h")).select(key, "ix", F.explode(F.sequence("l", "h")).alias("iy"))
-    p = cells.withColumns({"px": (F.col("ix") + 0.5) * size, "py": (F.col("iy") + 0.5) * size})
-    return inside(p, e, [key, "ix", "iy"], key).select(key, "ix", "iy")
-
+    """(key, ix, iy) of grid cells whose centre is inside or on the polygon.
 
-def inside(points: DataFrame, e: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """Rows of points (px, py, key) that lie inside or on the geometry with their key."""
+    By scan lines: an edge gives one crossing for each row of centres that it passes; sorted crossings of a
+    row pair up, and the cells between two of a pair are inside. Work grows with the edges' rows and the
+    cells that come out, not with boxes times edges.
+    """
+    meets, on = _crossings()
+    row = lambda y, d: F.floor(y / size - 0.5).cast("long") + d
+    tall = e.select(key, "x1", "y1", "x2", "y2", F.explode(F.sequence(row(F.least("y1", "y2"), 0), row(F.greatest("y1", "y2"), 1))).alias("iy"))
+    tall = tall.withColumn("py", (F.col("iy") + 0.5) * size)
+    passes = (F.col("y1") <= F.col("py")) != (F.col("y2") <= F.col("py"))
+    at = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1")).otherwise(1.0)
+    w = W.partitionBy(key, "iy").orderBy("_x")
+    pairs = tall.where(passes).select(key, "iy", at.alias("_x")).withColumns({"_i": F.row_number().over(w), "_to": F.lead("_x").over(w)}).where("_i % 2 = 1")
+    span = F.sequence(F.floor(F.col("_x") / size - 0.5).cast("long"), F.floor(F.col("_to") / size - 0.5).cast("long") + 1)
+    within = pairs.withColumn("ix", F.explode(span)).withColumn("px", (F.col("ix") + 0.5) * size).where("px >= _x AND px < _to").select(key, "ix", "iy")
+    # centres on an edge: at its crossing with the row, or along it where it lies in the row
+    level = F.col("y1") == F.col("y2")
+    left, right = F.when(level, F.least("x1", "x2")).otherwise(at), F.when(level, F.greatest("x1", "x2")).otherwise(at)
+    touched = tall.where((F.col("py") >= F.least("y1", "y2")) & (F.col("py") <= F.greatest("y1", "y2")))
+    touched = touched.withColumn("ix", F.explode(F.sequence(F.floor(left / size - 0.5).cast("long"), F.floor(right / size - 0.5).cast("long") + 1)))
+    touched = touched.withColumn("px", (F.col("ix") + 0.5) * size).where(on).select(key, "ix", "iy")
+    return within.unionByName(touched).distinct()
+
+
+def inside(points: DataFrame, e: DataFrame, columns: list[str], key: str, band: float) -> DataFrame:
+    """Rows of points (px, py, key) that lie inside or on the geometry with their key.
+
+    Both meet by key and band of y, so a point sees only the edges at its own height, and a large geometry is many keys.
+    """
     meets, on = _crossings()
-    hit = points.join(e, key).groupBy(*columns).agg(F.sum(meets).alias("_n"), F.bool_or(on).alias("_on"))
+    at = lambda y: F.floor(y / band).cast("long")
+    near = e.select(key, "x1", "y1", "x2", "y2", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))).alias("_band"))
+    hit = points.withColumn("_band", at(F.col("py"))).join(near, [key, "_band"]).groupBy(*columns).agg(F.sum(meets).alias("_n"), F.bool_or(on).alias("_on"))
     return hit.where("_n % 2 = 1 OR _on").drop("_n", "_on")
 
 
@@ -86,19 +106,21 @@ def coverage(e: DataFrame, key: str, size: float) -> DataFrame:
 
     Signed trapezoids: an edge, cut to a column of cells, covers in each row of that column the area
     below it clamped to the row; summed over all edges this is exact. Rings wind as written in the
-    first ring's sense; holes are turned to the other sense first.
+    first ring's sense; holes are turned to the other sense first. An edge gives a row only for the cells
+    it passes and one mark below them, which a running sum down the column carries on; the wholly covered
+    cells between two such rows come from that sum alone.
     """
     ring_area = e.groupBy(key, "ring").agg(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("_s"))
     want = F.when(F.col("ring") == 0, F.lit(-1)).otherwise(F.lit(1))  # outer rings clockwise: area below counts positive
     turn = F.when(F.signum("_s") == want, 1.0).otherwise(-1.0)
-    b = boxes(e, key).select(key, F.floor(F.col("y_min") / size).cast("long").alias("_r0"), (F.ceil(F.col("y_max") / size).cast("long") - 1).alias("_r1"))
-    cut = edge_cells(e.where("x1 <> x2"), key, size).join(ring_area, [key, "ring"]).join(b, key)
+    cut = edge_cells(e.where("x1 <> x2"), key, size).join(ring_area, [key, "ring"])
     a, z = F.greatest(F.least("x1", "x2"), F.col("ix") * size), F.least(F.greatest("x1", "x2"), (F.col("ix") + 1) * size)
     slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
     cut = cut.withColumns({"_a": a, "_z": z, "_k": slope}).where("_z > _a").withColumns({
         "_ya": F.col("y1") + (F.col("_a") - F.col("x1")) * F.col("_k"), "_yz": F.col("y1") + (F.col("_z") - F.col("x1")) * F.col("_k"), "_way": F.signum(F.col("x2") - F.col("x1")) * turn,
     })
-    cut = cut.where("_r1 >= _r0").withColumn("iy", F.explode(F.sequence("_r0", "_r1")))
+    row = lambda c: F.floor(c / size).cast("long")
+    cut = cut.withColumn("_first", row(F.least("_ya", "_yz"))).withColumn("iy", F.explode(F.sequence(F.col("_first") - 1, row(F.greatest("_ya", "_yz")))))
     low = F.col("iy") * size
     lo_y, hi_y = F.least("_ya", "_yz") - low, F.greatest("_ya", "_yz") - low
 
@@ -106,8 +128,14 @@ def coverage(e: DataFrame, key: str, size: float) -> DataFrame:
         return F.when(t <= 0, 0.0).when(t >= size, size * size / 2 + size * (t - size)).otherwise(t * t / 2)
 
     mean = F.when(hi_y - lo_y > 1e-12, (ramp(hi_y) - ramp(lo_y)) / (hi_y - lo_y)).otherwise(F.greatest(F.lit(0.0), F.least(lo_y, F.lit(size))))
-    part = F.col("_way") * (F.col("_z") - F.col("_a")) * mean
-    return cut.groupBy(key, "ix", "iy").agg((F.sum(part) / (size * size)).alias("covered")).where("covered > 1e-12")
+    wide = F.col("_way") * (F.col("_z") - F.col("_a"))
+    below = F.col("iy") < F.col("_first")  # from here on down the edge covers whole rows
+    rows = cut.groupBy(key, "ix", "iy").agg((F.sum(F.when(below, 0.0).otherwise(wide * mean)) / (size * size)).alias("_part"), (F.sum(F.when(below, wide * size).otherwise(0.0)) / (size * size)).alias("_full"))
+    down = W.partitionBy(key, "ix").orderBy(F.desc("iy"))
+    rows = rows.withColumns({"_sum": F.sum("_full").over(down), "_next": F.lead("iy").over(down)})
+    own = rows.select(key, "ix", "iy", (F.col("_part") + F.col("_sum")).alias("covered"))
+    between = rows.where("_sum > 1e-12 AND _next < iy - 1").select(key, "ix", F.explode(F.sequence(F.col("_next") + 1, F.col("iy") - 1)).alias("iy"), F.col("_sum").alias("covered"))
+    return own.unionByName(between).where("covered > 1e-12")
 
 
 def context(cover: DataFrame, key: str) -> DataFrame:
@@ -126,7 +154,7 @@ def regions_of(points: DataFrame, e: DataFrame, point: str, region: str, size: f
     b = b.select(region, "x_min", "x_max", "y_min", "y_max", F.explode(spans("x_min", "x_max")).alias("_gx"), spans("y_min", "y_max").alias("_ys")).withColumn("_gy", F.explode("_ys"))
     p = points.withColumns({"_gx": F.floor(F.col("px") / size).cast("long"), "_gy": F.floor(F.col("py") / size).cast("long")})
     near = p.join(b, ["_gx", "_gy"]).where("px BETWEEN x_min AND x_max AND py BETWEEN y_min AND y_max").select(point, "px", "py", region)
-    got = inside(near, e, [point, region], region).groupBy(point).agg(F.min(region).alias(region), (F.count("*") > 1).alias("ambiguous"))
+    got = inside(near, e, [point, region], region, size).groupBy(point).agg(F.min(region).alias(region), (F.count("*") > 1).alias("ambiguous"))
     return points.select(point).join(got, point, "left").select(point, F.coalesce(region, F.lit(missing)).alias(region), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
@@ -177,8 +205,8 @@ def field_pixels(df: DataFrame, key: str, size: float, wkt: str = "wkt", label:
     """(fields with audit columns, invalid ones kept; membership with overlap and conflict counts)."""
     e = edges(df, key, wkt)
     member = rasterised(e, key, size).join(df.select(key, label), key)
-    pixel = W.partitionBy("ix", "iy")
-    member = member.withColumn("overlap_field_count", F.size(F.collect_set(key).over(pixel))).withColumn("label_conflict", F.size(F.collect_set(label).over(pixel)) > 1)
+    shared = member.groupBy("ix", "iy").agg(F.count_distinct(key).cast("int").alias("overlap_field_count"), (F.count_distinct(label) > 1).alias("label_conflict"))
+    member = member.join(shared, ["ix", "iy"])
     counts = member.groupBy(key).agg(F.count("*").alias("pixel_count"))
     out = df.withColumn("geometry_status", F.coalesce(geometry_status(F.col(wkt)), F.lit("valid"))).join(boxes(e, key).select(key, "area"), key, "left").join(counts, key, "left")
     out = out.join(touched_count(e, key, size), key, "left").join(canonical_hash(e, key), key, "left")

@@ -30,24 +30,31 @@ def overlapping(windows: DataFrame, items: DataFrame, key: str) -> DataFrame:
     return windows.join(items, key).where(ok)
 
 
-def too_close(points: DataFrame, key: str, lon: str, lat: str, metres: float, tolerance: float = 0.0) -> DataFrame:
-    """Pairs (a, b), a < b, nearer than metres: every point goes into its cell, one side also into the eight around.
+def _grid_pairs(own: DataFrame, far: DataFrame, keys: list[str], metres: float) -> DataFrame:
+    """Rows of own (lon1, lat1) with those of far (lon2, lat2) of the same keys that may be nearer than metres.
 
-    Cells are as high as the distance; near the poles, where cells of longitude get narrow, as wide as it needs.
+    Every row of own goes into its cell, those of far also into the cells around. Cells are as high as the
+    distance; near the poles, where cells of longitude get narrow, as wide as it needs.
     """
     size = metres / 111000.0
-    row = F.floor(F.col(lat) / size).cast("long")
+    row = lambda lat: F.floor(F.col(lat) / size).cast("long")
     # cells of one latitude row share a width that holds the distance at the row's poleward edge, one row further
     edge = lambda r: F.least(F.lit(89.9), F.greatest(F.abs(r * size), F.abs((r + 1) * size)) + size)
     width = lambda r: F.least(F.lit(360.0), size / F.cos(F.radians(edge(r))))
-    own = points.select(F.col(key).alias("a"), F.col(lon).alias("lon1"), F.col(lat).alias("lat1"), row.alias("gy"))
-    own = own.withColumn("gx", F.floor((F.col("lon1") + 180) / width(F.col("gy"))).cast("long"))
-    far = points.select(F.col(key).alias("b"), F.col(lon).alias("lon2"), F.col(lat).alias("lat2"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: row + d)).alias("gy"))
-    at = F.floor((F.col("lon2") + 180) / width(F.col("gy"))).cast("long")
-    last = F.floor(F.lit(360.0) / width(F.col("gy"))).cast("long")
+    column = lambda lon: F.floor((F.col(lon) + 180) / width(F.col("_gy"))).cast("long")
+    own = own.withColumn("_gy", row("lat1")).withColumn("_gx", column("lon1"))
+    far = far.withColumn("_gy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: row("lat2") + d)))
+    last = F.floor(F.lit(360.0) / width(F.col("_gy"))).cast("long")
     # two cells each way, around the globe: the last cell of a row may be a narrow rest
-    far = far.withColumn("gx", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: F.pmod(at + d, last + 1)))))
-    pairs = own.join(far, ["gx", "gy"]).where("a < b").select("a", "b", great_circle_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")).alias("metres")).distinct()
+    at = column("lon2")
+    far = far.withColumn("_gx", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: F.pmod(at + d, last + 1)))))
+    return own.join(far, [*keys, "_gy", "_gx"]).drop("_gy", "_gx").withColumn("metres", great_circle_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")))
+
+
+def too_close(points: DataFrame, key: str, lon: str, lat: str, metres: float, tolerance: float = 0.0) -> DataFrame:
+    """Pairs (a, b), a < b, nearer than metres."""
+    side = lambda name, i: points.select(F.col(key).alias(name), F.col(lon).alias(f"lon{i}"), F.col(lat).alias(f"lat{i}"))
+    pairs = _grid_pairs(side("a", 1), side("b", 2), [], metres).where("a < b").select("a", "b", "metres").distinct()
     return pairs.where(F.col("metres") < metres * (1 - tolerance))
 
 
@@ -66,16 +73,28 @@ def pure_cells(df: DataFrame, x: str, y: str, kind: str, halo: int = 1) -> DataF
     return by.where((F.col("_n") == (2 * halo + 1) ** 2) & (F.col("_a") == F.col("_b"))).select(x, y, F.col("_a").alias(kind))
 
 
-def nearest(df: DataFrame, refs: DataFrame, keys: list[str], key: str, most_refs: int = 100_000) -> DataFrame:
+def nearest(df: DataFrame, refs: DataFrame, keys: list[str], key: str, first: float = 50_000.0) -> DataFrame:
     """(key, metres, ref) of the nearest reference with the same keys; refs: keys, ref, rlon, rlat.
 
-    References are a short list: their number is checked before they are broadcast.
+    Both sides meet by grid cell within a distance that grows fourfold for those that found nothing, so neither
+    side is collected and no row sees all references. A row has a few distances to go; only the last one, for
+    rows whose references are a quarter of the globe away, joins by keys alone.
     """
-    if refs.limit(most_refs + 1).count() > most_refs:
-        raise ValueError(f"more than {most_refs} references")
-    d = great_circle_m(F.col("longitude"), F.col("latitude"), F.col("rlon"), F.col("rlat"))
-    pairs = df.join(F.broadcast(refs), keys).withColumn("metres", F.round(d, 3))
-    return pairs.groupBy(key).agg(F.min(F.struct("metres", "ref")).alias("m")).select(key, "m.metres", "m.ref")
+    far = refs.select(*keys, "ref", F.col("rlon").alias("lon2"), F.col("rlat").alias("lat2"))
+    left = df.select(*keys, key, F.col("longitude").alias("lon1"), F.col("latitude").alias("lat1")).join(refs.select(*keys).distinct(), keys, "left_semi").persist()
+    out, metres = None, first
+    while True:
+        last = metres >= 5_000_000
+        if last:
+            pairs = left.join(far, keys).withColumn("metres", great_circle_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")))
+        else:
+            pairs = _grid_pairs(left, far, keys, metres).where(F.col("metres") < metres)
+        found = pairs.groupBy(key).agg(F.min(F.struct(F.round("metres", 3).alias("metres"), "ref")).alias("m")).select(key, "m.metres", "m.ref").persist()
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select(key), key, "left_anti").persist()
+        if last or left.isEmpty():
+            return out
+        metres *= 4
 
 
 def with_fallback(df: DataFrame, table: DataFrame, keys: list[str], narrow: str, value: str, least: int, count: str = "n") -> DataFrame:
