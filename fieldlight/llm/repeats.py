@@ -7,16 +7,20 @@ the same place. Work goes by anchors, about one for every (L - K) / 2 units:
 1. Documents are packed into compressed chunks, stored once in the shared folder.
 2. Hashes at anchors meet in buckets; those seen in two different texts survive. A hash that many
    documents of a chunk share is sent once for the chunk, so no common passage makes a hot bucket.
-3. Chunks send the surroundings of surviving anchors (all windows that have the anchor) to buckets,
-   equal surroundings once per chunk. A bucket finds, for every window, the least document id that
-   has it; how is up to the caller.
-4. Chunks get back the runs of units that an earlier document has, and cut them out.
-
-Exact copies of a text with a smaller id are known from a narrow grouped minimum of digests: every
-window of theirs is repeated, so they take no part in steps 3 and 4. Joins are on chunk numbers or
-digests; nothing is collected and no step holds more than a chunk or a bucket.
-
-Rows with a null id are neither earlier nor later than any other: nothing is cut from them.
+3. Chunks send the surroundings of surviving anchors (all windows that have the anchor) to buckets:
+   equal surroundings once per chunk, with the least document id that has them there. A bucket
+   finds, for every window, the least document id that has it; how is up to the caller. It answers
+   a chunk with the windows that an earlier document outside the chunk has.
+4. An anchor that very many chunks have may have as many different surroundings. Its windows go one
+   by one instead: a grouped minimum over their 128-bit digests, with partial sums before the shuffle.
+5. Chunks compare their own occurrences with the answers, and cut the runs of units out.
+
+Exact copies of a text with a smaller id are known from a narrow grouped minimum of digests, one row
+for a chunk and digest: every window of theirs is repeated, so they take no part in steps 3 to 5. Joins
+are on chunk numbers or digests; nothing is collected and no step holds more than a chunk or a bucket.
+
+Ids must be integers that fit a long. Rows with a null id are neither earlier nor later than any other:
+nothing is cut from them. Columns besides the id and the text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +43,10 @@ from .common import partitions, stored, texts_of
 CHUNK_BYTES = 2 << 20
 HASH_BUCKET_BYTES = 24 << 20
 BUCKET_BYTES = 8 << 20
+#: Rows of a chunk at most, for rows with little text.
+CHUNK_ROWS = 1 << 16
+#: Chunks with one anchor's hash from which its windows go one by one.
+HOT_CHUNKS = 512
 #: Anchors whose leading bytes each chunk adds to the sample for splitters.
 SAMPLE = 32
 SEGMENT = 1 << 17
@@ -47,7 +55,8 @@ PART = 1 << 14
 LOW48 = np.uint64((1 << 48) - 1)
 LOW32 = np.uint64(0xFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
-CHUNK_DDL = "chunk long, ids array<long>, digests array<binary>, leads array<long>, n_bytes long, data binary"
+CHUNK_DDL = "chunk long, ids array<long>, kinds array<int>, digests array<binary>, leasts array<long>, leads array<binary>, n_bytes long, data binary"
+LEAD = 16
 
 
 def packed(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
@@ -150,11 +159,10 @@ def anchors(units: Units, length: int, k: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def leading(units: Units, at: np.ndarray) -> np.ndarray:
-    """The first 7 bytes at each unit as a number that sorts like them."""
-    raw = np.frombuffer(units.data + bytes(8), np.uint8)
+    """The first bytes at each unit, which sort as they are."""
+    raw = np.frombuffer(units.data + bytes(LEAD), np.uint8)
     at = at if units.places is None else units.places[at]
-    lead = raw[at[:, None] + np.arange(7)].astype(np.int64)
-    return lead @ (256 ** np.arange(6, -1, -1, dtype=np.int64))
+    return np.ascontiguousarray(raw[at[:, None] + np.arange(LEAD)]).view(f"S{LEAD}")[:, 0]
 
 
 @dataclass
@@ -174,32 +182,39 @@ def repeats(
     docs: DataFrame, *, id_col: str, text_col: str, length: int, k: int, units: Callable[[list[bytes]], Units], least: Least, by_range: bool
 ) -> DataFrame:
     """(id, n_units, n_removed, runs, kept): kept is the bytes of the units left, words joined by a space."""
+    if not 0 < k <= length < 1 << 15:
+        raise ValueError("0 < k <= length < 32768")
     chunks = stored(_chunks(docs, id_col, text_col, length, k, units), "chunks")
     spark = docs.sparkSession
     size = chunks.agg(F.sum("n_bytes")).head()[0] or 0
     n_hash, n_near = (max(partitions(spark), size // b + 1) for b in (HASH_BUCKET_BYTES, BUCKET_BYTES))
-    split = np.empty(0, np.int64)
-    if by_range:
-        shares = [i / n_near for i in range(1, n_near)] or [0.5]
-        at = chunks.select(F.explode("leads").alias("lead")).agg(F.percentile_approx("lead", shares, 10000)).head()[0]
-        split = np.unique(np.array(at or [], np.int64))
+    split = np.empty(0, f"S{LEAD}")
+    if by_range:  # one splitter a bucket
+        edges = chunks.select(F.explode("leads").alias("lead")).repartitionByRange(n_near, "lead").groupBy(F.spark_partition_id().alias("p")).agg(F.min("lead").alias("lead"))
+        split = np.unique(np.array([bytes(r.lead) for r in edges.collect()], f"S{LEAD}"))[1:]
 
-    narrow = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "digests")).alias("row", "d")).select("chunk", "row", "d.ids", "d.digests").where("ids IS NOT NULL")
-    first = narrow.groupBy("digests").agg(F.min("ids").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = narrow.join(first, "digests").where("ids > first").groupBy("chunk").agg(F.collect_list("row").alias("copies"))
+    narrow = chunks.select("chunk", F.posexplode(F.arrays_zip("digests", "leasts")).alias("kind", "d")).select("chunk", "kind", "d.digests", "d.leasts").where("leasts IS NOT NULL")
+    first = narrow.groupBy("digests").agg(F.min("leasts").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    earlier = narrow.join(first, "digests").where("leasts > first").groupBy("chunk").agg(F.collect_list(F.struct("kind", "first")).alias("earlier"))
 
     hashes = chunks.select("chunk", "data").mapInArrow(_send_hashes(length, k, units, n_hash), "bucket int, chunk long, data binary")
-    alive = hashes.groupBy("bucket").applyInArrow(_surviving, "chunk long, data binary")
-    alive = alive.groupBy("chunk").agg(F.collect_list("data").alias("alive"))
-
-    near = chunks.select("chunk", "ids", "data").join(alive, "chunk").join(copies, "chunk", "left")
-    near = near.mapInArrow(_send_contexts(length, k, units, n_near, split, by_range), "bucket int, chunk long, data binary")
-    cut = near.groupBy("bucket").applyInArrow(_cuts(length, least), "chunk long, data binary")
-    cut = cut.groupBy("chunk").agg(F.collect_list("data").alias("cut"))
+    alive = hashes.groupBy("bucket").applyInArrow(_surviving(HOT_CHUNKS), "chunk long, data binary, hot boolean")
+    alive = stored(alive.groupBy("chunk").agg(F.collect_list("data").alias("alive"), F.bool_or("hot").alias("hot")), "alive")
+
+    seek = _Seek(length, k, units, n_near, split, by_range)
+    asked = chunks.select("chunk", "ids", "kinds", "leasts", "data").join(alive, "chunk", "left").join(earlier, "chunk", "left")
+    sent = asked.where("alive IS NOT NULL").mapInArrow(_send_contexts(seek), "bucket int, chunk long, data binary")
+    back = sent.groupBy("bucket").applyInArrow(_answers(least), "chunk long, bucket int, data binary")
+    back = back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("back"))
+    asked = asked.join(back, "chunk", "left").withColumn("windows", F.lit(None).cast("array<struct<digest:binary,first:long>>"))
+    if not alive.where("hot").isEmpty():
+        apart = asked.where("hot").drop("windows").mapInArrow(_send_windows(seek), "chunk long, digest binary, id long")
+        lowest = apart.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        found = apart.join(lowest, "digest").where("first < id").groupBy("chunk").agg(F.collect_list(F.struct("digest", "first")).alias("windows"))
+        asked = asked.drop("windows").join(found, "chunk", "left")
 
-    out = chunks.select("chunk", "ids", "data").join(cut, "chunk", "left").join(copies, "chunk", "left")
     ddl = f"`{id_col}` long, n_units long, n_removed long, runs array<struct<begin:long,end:long>>, kept binary"
-    return out.select("ids", "data", "cut", "copies").mapInArrow(_cut_out(id_col, length, units), ddl)
+    return asked.mapInArrow(_cut_out(id_col, seek), ddl)
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, length: int, k: int, units: Callable) -> DataFrame:
@@ -213,20 +228,26 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, length: int, k: int, un
             nonlocal held, number
             own = units(texts)
             at = anchors(own, length, k)[0]
-            leads = leading(own, np.sort(at)[:: max(1, len(at) // SAMPLE)]).tolist() if len(at) else []
-            digests = [xxhash.xxh3_128_digest(t) for t in texts]
-            data = packed(np.array(list(map(len, texts)), np.int64), b"".join(texts), level=5)  # shuffled twice
-            row = [number], [list(ids)], [digests], [leads], [held], [data]
-            types = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64(), pa.binary()
+            leads = leading(own, np.sort(at)[:: max(1, len(at) // SAMPLE)]) if len(at) else np.empty(0, f"S{LEAD}")
+            leads = [x.ljust(LEAD, b"\0") for x in leads.tolist()]
+            places: dict[bytes, int] = {}
+            kinds = [places.setdefault(xxhash.xxh3_128_digest(t), len(places)) for t in texts]
+            leasts: list[int | None] = [None] * len(places)
+            for i, kind in zip(ids, kinds, strict=True):
+                if i is not None and (leasts[kind] is None or i < leasts[kind]):
+                    leasts[kind] = i
+            data = packed(np.array(list(map(len, texts)), np.int64), b"".join(texts), level=5)  # shuffled again
+            row = [number], [list(ids)], [kinds], [list(places)], [leasts], [leads], [held], [data]
+            types = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.int64(), pa.binary()
             ids.clear(), texts.clear()
             number, held = number + 1, 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=["chunk", "ids", "digests", "leads", "n_bytes", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=["chunk", "ids", "kinds", "digests", "leasts", "leads", "n_bytes", "data"])
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), texts_of(batch, text_col), strict=True):
                 ids.append(i), texts.append(text)
                 held += len(text)
-                if held >= CHUNK_BYTES:
+                if held >= CHUNK_BYTES or len(ids) >= CHUNK_ROWS:
                     yield out()
         if ids:
             yield out()
@@ -241,7 +262,7 @@ def _texts(data: bytes) -> list[bytes]:
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = {"bucket": pa.int32(), "chunk": pa.int64(), "data": pa.binary()}
+    types = {"bucket": pa.int32(), "chunk": pa.int64(), "data": pa.binary(), "hot": pa.bool_(), "digest": pa.binary(), "id": pa.int64()}
     columns = zip(*rows, strict=True) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, types[n]) for c, n in zip(columns, names, strict=True)], names=names)
 
@@ -288,118 +309,194 @@ def _send_hashes(length: int, k: int, units: Callable, n: int) -> Callable:
     return each
 
 
-def _surviving(group: pa.Table) -> pa.Table:
-    """Hashes of a bucket that two different texts have, back to the chunks they came from."""
-    chunks, hashes, owners = [], [], []
-    for chunk, data in zip(group["chunk"].to_pylist(), group["data"], strict=True):
-        owner, counts, low = unpacked(data.as_py(), "<u8", "<u4", "u1")
-        wide = np.zeros((len(low) // 6, 8), np.uint8)
-        wide[:, :6] = low.reshape(-1, 6)
-        hashes.append(wide.view("<u8")[:, 0]), owners.append(np.repeat(owner, counts)), chunks.append(np.full(len(wide), chunk))
-    h, owner, chunk = np.concatenate(hashes), np.concatenate(owners), np.concatenate(chunks)
-    order = np.argsort(h, kind="stable")
-    h, owner, chunk = h[order], owner[order], chunk[order]
-    heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    low, high = np.minimum.reduceat(owner, heads), np.maximum.reduceat(owner, heads)
-    alive = np.repeat((low != high) | (low == 0), np.diff(np.r_[heads, len(h)]))
-    h, chunk = h[alive], chunk[alive]
-    order = np.argsort(chunk, kind="stable")
-    h, chunk = h[order], chunk[order]
-    rows = [(int(chunk[a]), packed(h[a:b])) for a, b in _spans(chunk)]
-    return pa.Table.from_batches([_rows(rows, ["chunk", "data"])])
-
-
-def _send_contexts(length: int, k: int, units: Callable, n: int, split: np.ndarray, by_range: bool) -> Callable:
-    """Distinct contexts of surviving anchors with the places they occur at."""
+def _surviving(hot_chunks: int) -> Callable:
+    """Hashes of a bucket that two different texts have, back to the chunks they came from; hot: so many chunks have one."""
+
+    def each(group: pa.Table) -> pa.Table:
+        chunks, hashes, owners = [], [], []
+        for chunk, data in zip(group["chunk"].to_pylist(), group["data"], strict=True):
+            owner, counts, low = unpacked(data.as_py(), "<u8", "<u4", "u1")
+            wide = np.zeros((len(low) // 6, 8), np.uint8)
+            wide[:, :6] = low.reshape(-1, 6)
+            hashes.append(wide.view("<u8")[:, 0]), owners.append(np.repeat(owner, counts)), chunks.append(np.full(len(wide), chunk))
+        h, owner, chunk = np.concatenate(hashes), np.concatenate(owners), np.concatenate(chunks)
+        order = np.argsort(h, kind="stable")
+        h, owner, chunk = h[order], owner[order], chunk[order]
+        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        low, high = np.minimum.reduceat(owner, heads), np.maximum.reduceat(owner, heads)
+        times = np.diff(np.r_[heads, len(h)])
+        alive, hot = np.repeat((low != high) | (low == 0), times), np.repeat(times >= hot_chunks, times)
+        h, chunk, hot = h[alive], chunk[alive], hot[alive]
+        order = np.argsort(chunk, kind="stable")
+        h, chunk, hot = h[order], chunk[order], hot[order]
+        rows = [(int(chunk[a]), packed(h[a:b], hot[a:b].astype(np.uint8)), bool(hot[a:b].any())) for a, b in _spans(chunk)]
+        return pa.Table.from_batches([_rows(rows, ["chunk", "data", "hot"])])
+
+    return each
+
+
+@dataclass
+class _Seek:
+    """How a chunk finds its surviving anchors again: the same in every step."""
+
+    length: int
+    k: int
+    units: Callable
+    buckets: int
+    split: np.ndarray
+    by_range: bool
+
+    def anchors(self, row: dict) -> tuple["_Found", "_Found"]:
+        """Occurrences of surviving anchors outside copies: those in surroundings, and those of hot anchors."""
+        own = self.units(_texts(row["data"]))
+        at, g, first, windows = anchors(own, self.length, self.k)
+        doc = np.searchsorted(own.begins, at, "right") - 1
+        ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
+        out_of = copies_of(row) | np.array([i is None for i in row["ids"]], bool)
+        parts = [unpacked(d, "<u8", "u1") for d in row["alive"] or []]
+        alive, hot = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, t) for i, t in ((0, np.uint64), (1, np.uint8)))
+        order = np.argsort(alive)
+        alive, hot = np.r_[alive[order], np.uint64(_ALL)], np.r_[hot[order], np.uint8(0)]  # the last is no hash of 48 bits
+        place = np.searchsorted(alive, g & LOW48)
+        keep = (alive[place] == g & LOW48) & ~out_of[doc]
+        made = []
+        for some in (keep & (hot[place] == 0), keep & (hot[place] == 1)):
+            i = np.flatnonzero(some)
+            made.append(_Found(own, at[i], g[i], first[i], windows[i], doc[i], ids[doc[i]]))
+        return made[0], made[1]
+
+    def contexts(self, f: "_Found") -> Iterator[tuple[int, dict[tuple[bytes, int], list[int]]]]:
+        """Per bucket: the distinct surroundings (text, units before the anchor) with their occurrences."""
+        bucket = np.searchsorted(self.split, leading(f.own, f.at), "right") if self.by_range else _bucket(f.g, self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        begin, end = f.own.slices(f.first, f.first + f.windows + self.length - 2)
+        before = (f.at - f.first).tolist()
+        for a, b in _spans(bucket[order]):
+            seen: dict[tuple[bytes, int], list[int]] = {}
+            for i in order[a:b].tolist():
+                seen.setdefault((f.own.data[begin[i] : end[i]], before[i]), []).append(i)
+            yield int(bucket[order[a]]), seen
+
+    def digests(self, f: "_Found") -> tuple[np.ndarray, list[bytes]]:
+        """(occurrence, digest) of each window of hot anchors."""
+        which = np.repeat(np.arange(len(f.at)), f.windows)
+        start = f.first[which] + np.arange(len(which)) - np.repeat(np.cumsum(f.windows) - f.windows, f.windows)
+        begin, end = f.own.slices(start, start + self.length - 1)
+        return which, [xxhash.xxh3_128_digest(f.own.data[x:y]) for x, y in zip(begin, end, strict=True)]
+
+
+@dataclass
+class _Found:
+    own: Units
+    at: np.ndarray
+    g: np.ndarray
+    first: np.ndarray
+    windows: np.ndarray
+    doc: np.ndarray
+    ids: np.ndarray
+
+
+def copies_of(row: dict) -> np.ndarray:
+    """Documents of a chunk whose whole text an earlier document has."""
+    first = [NO_ID if x is None else x for x in row["leasts"]]
+    for e in row["earlier"] or []:
+        first[e["kind"]] = min(first[e["kind"]], e["first"])
+    return np.array([i is not None and i > first[kind] for i, kind in zip(row["ids"], row["kinds"], strict=True)], bool)
+
+
+def _send_contexts(seek: _Seek) -> Callable:
+    """Distinct surroundings of surviving anchors, with the least id that has them here."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield _rows(_contexts(row, length, k, units, n, split, by_range), ["bucket", "chunk", "data"])
+                f, _ = seek.anchors(row)
+                rows = []
+                for bucket, seen in seek.contexts(f):
+                    heads = np.array([i[0] for i in seen.values()])
+                    lowest = np.array([f.ids[i].min() if len(i) > 1 else f.ids[i[0]] for i in seen.values()], np.int64)
+                    rows.append((bucket, row["chunk"], packed(
+                        np.array([len(c) for c, _ in seen], "<u4"), np.array([x for _, x in seen], "<u2"), f.windows[heads].astype("<u2"), lowest, b"".join(c for c, _ in seen), level=3,
+                    )))
+                yield _rows(rows, ["bucket", "chunk", "data"])
 
     return each
 
 
-def _contexts(row: dict, length: int, k: int, units: Callable, n: int, split: np.ndarray, by_range: bool) -> list[tuple]:
-    own = units(_texts(row["data"]))
-    at, g, first, windows = anchors(own, length, k)
-    doc = np.searchsorted(own.begins, at, "right") - 1
-    ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
-    out_of = np.zeros(len(ids), bool)
-    out_of[row["copies"] or []] = True
-    out_of[[i is None for i in row["ids"]]] = True
-    alive = np.sort(np.concatenate([unpacked(d, "<u8")[0] for d in row["alive"]]))
-    low = g & LOW48
-    found = alive[np.minimum(np.searchsorted(alive, low), len(alive) - 1)] == low
-    keep = np.flatnonzero(found & ~out_of[doc])
-    at, g, first, windows, doc = at[keep], g[keep], first[keep], windows[keep], doc[keep]
-    if by_range:
-        bucket = np.searchsorted(split, leading(own, at), "right")
-    else:
-        bucket = _bucket(g, n)
-    order = np.argsort(bucket, kind="stable")
-    begin, end = own.slices(first, first + windows + length - 2)
-    before, count, spot = (at - first).tolist(), windows.tolist(), (first - own.begins[doc]).tolist()
-    rows = []
-    for a, b in _spans(bucket[order]):
-        seen: dict[tuple[bytes, int], list[int]] = {}
-        for i in order[a:b].tolist():
-            seen.setdefault((own.data[begin[i] : end[i]], before[i]), []).append(i)
-        heads = [own_[0] for own_ in seen.values()]
-        flat = np.array([i for own_ in seen.values() for i in own_], np.int64)
-        rows.append((int(bucket[order[a]]), row["chunk"], packed(
-            np.array([len(c) for c, _ in seen], "<u4"), np.array([x for _, x in seen], "u1"), np.array([count[i] for i in heads], "u1"),
-            np.array([len(x) for x in seen.values()], "<u4"), ids[doc[flat]], doc[flat].astype("<u4"), np.array([spot[i] for i in flat.tolist()], "<u4"),
-            b"".join(c for c, _ in seen), level=3,
-        )))
-    return rows
-
-
-def _cuts(length: int, least: Least) -> Callable:
-    """Per chunk: document, begin and end of runs of units that an earlier document has."""
+def _answers(least: Least) -> Callable:
+    """Per chunk: the surroundings of which another chunk has a window in an earlier document, with the least id of each window."""
 
     def each(group: pa.Table) -> pa.Table:
         texts: list[bytes] = []
-        parts = []
-        for chunk, data in zip(group["chunk"].to_pylist(), group["data"], strict=True):
-            sizes, anchor, windows, times, ids, doc, spot, joined = unpacked(data.as_py(), "<u4", "u1", "u1", "<u4", "<i8", "<u4", "<u4", None)
+        parts, chunks = [], group["chunk"].to_pylist()
+        for data in group["data"]:
+            sizes, anchor, windows, lowest, joined = unpacked(data.as_py(), "<u4", "<u2", "<u2", "<i8", None)
             ends = np.cumsum(sizes, dtype=np.int64).tolist()
             texts += [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            heads = np.cumsum(times, dtype=np.int64) - times
-            parts.append((anchor, windows, np.minimum.reduceat(ids, heads), np.repeat(np.arange(len(times)) + len(texts) - len(times), times), ids, doc, spot, np.full(len(ids), chunk)))
-        anchor, windows, mine, which, ids, doc, spot, chunk = (np.concatenate(c) for c in zip(*parts, strict=True))
-        first = least(Surroundings(texts, anchor.astype(np.int64), windows.astype(np.int64), mine))
-        found = [np.empty((0, 4), np.int64)]
-        for s in range(0, len(ids), PART):
-            own = slice(s, s + PART)
-            earlier = first[which[own]] < ids[own, None]  # NO_ID stands behind the last window
-            step = np.diff(np.pad(earlier, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            row, begin = np.nonzero(step == 1)
-            end = np.nonzero(step == -1)[1]
-            row += s
-            found.append(np.stack([chunk[row], doc[row], spot[row] + begin, spot[row] + end + length - 1], axis=1).astype(np.int64))
-        table = np.concatenate(found)
-        table = table[np.argsort(table[:, 0], kind="stable")]
-        rows = [(int(table[a, 0]), packed(table[a:b, 1].astype("<u4"), table[a:b, 2], table[a:b, 3])) for a, b in _spans(table[:, 0])]
-        return pa.Table.from_batches([_rows(rows, ["chunk", "data"])])
+            parts.append((anchor, windows, lowest))
+        anchor, windows, mine = (np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True))
+        first = least(Surroundings(texts, anchor, windows, mine))  # NO_ID stands behind the last window
+        rows, a = [], 0
+        for chunk, part in zip(chunks, parts, strict=True):
+            b = a + len(part[0])
+            told = np.flatnonzero((first[a:b] < mine[a:b, None]).any(axis=1))
+            if len(told):
+                flat = first[a:b][told]
+                flat = flat[np.arange(flat.shape[1])[None, :] < windows[a:b][told][:, None]]
+                rows.append((chunk, group["bucket"][0].as_py(), packed(told.astype("<u4"), flat)))
+            a = b
+        return pa.Table.from_batches([_rows(rows, ["chunk", "bucket", "data"])])
 
     return each
 
 
-def _cut_out(id_col: str, length: int, units: Callable) -> Callable:
+def _send_windows(seek: _Seek) -> Callable:
+    """Each window of hot anchors once, with the least id that has it here."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = units(_texts(row["data"]))
-                n = np.diff(own.begins)
+                lowest = _lowest(*seek.digests(f := seek.anchors(row)[1]), f.ids)
+                yield _rows([(row["chunk"], d, i) for d, i in lowest.items()], ["chunk", "digest", "id"])
+
+    return each
+
+
+def _lowest(which: np.ndarray, digests: list[bytes], ids: np.ndarray) -> dict[bytes, int]:
+    out: dict[bytes, int] = {}
+    for d, i in zip(digests, ids[which].tolist(), strict=True):
+        if i < out.get(d, NO_ID):
+            out[d] = i
+    return out
+
+
+def _cut_out(id_col: str, seek: _Seek) -> Callable:
+    """Cuts the runs of units that an earlier document has out of a chunk's documents."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                f, hot = seek.anchors(row)
+                own, n = f.own, np.diff(f.own.begins)
                 gone = np.zeros(len(own.tokens) + 1, np.int64)
-                for data in row["cut"] or []:
-                    doc, begin, end = unpacked(data, "<u4", "<i8", "<i8")
-                    np.add.at(gone, own.begins[doc] + begin, 1)
-                    np.add.at(gone, own.begins[doc] + end, -1)
+
+                def cut(start: np.ndarray, windows: np.ndarray) -> None:
+                    np.add.at(gone, start, 1)  # noqa: B023
+                    np.add.at(gone, start + windows + seek.length - 1, -1)  # noqa: B023
+
+                for start, windows in _earlier_here(row, seek, f):
+                    cut(start, windows)
+                if len(hot.at):
+                    which, digests = seek.digests(hot)
+                    lowest = _lowest(which, digests, hot.ids)
+                    for w in row["windows"] or []:
+                        lowest[bytes(w["digest"])] = w["first"]
+                    start = hot.first[which] + np.arange(len(which)) - np.repeat(np.cumsum(hot.windows) - hot.windows, hot.windows)
+                    start = start[np.array([lowest[d] for d in digests], np.int64) < hot.ids[which]]
+                    cut(start, np.ones(len(start), np.int64))
                 gone = np.cumsum(gone[:-1]) > 0
-                for d in row["copies"] or []:
-                    if n[d] >= length:
+                for d in np.flatnonzero(copies_of(row)).tolist():
+                    if n[d] >= seek.length:
                         gone[own.begins[d] : own.begins[d + 1]] = True
                 out = [_left(own, d, gone[own.begins[d] : own.begins[d + 1]]) for d in range(len(n))]
                 run = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -409,6 +506,34 @@ def _cut_out(id_col: str, length: int, units: Callable) -> Callable:
     return each
 
 
+def _earlier_here(row: dict, seek: _Seek, f: _Found) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first windows, numbers of windows) of runs of windows that an earlier document has."""
+    back = {b["bucket"]: b["data"] for b in row["back"] or []}
+    for bucket, seen in seek.contexts(f):
+        told, flat = unpacked(back[bucket], "<u4", "<i8") if bucket in back else (np.empty(0, np.int64), np.empty(0, np.int64))
+        lists = list(seen.values())
+        if not len(told) and all(len(i) == 1 for i in lists):
+            continue
+        which = np.repeat(np.arange(len(lists)), [len(i) for i in lists])
+        occ = np.array([i for own in lists for i in own])
+        lowest = np.minimum.reduceat(f.ids[occ], np.flatnonzero(np.r_[True, which[1:] != which[:-1]]))
+        answer = np.full(len(lists), -1)
+        answer[told] = np.arange(len(told))
+        own = (answer[which] < 0) & (f.ids[occ] > lowest[which])
+        yield f.first[occ[own]], f.windows[occ[own]]
+        if not len(told):
+            continue
+        sizes = f.windows[[lists[t][0] for t in told.tolist()]]
+        first = np.full((len(told), int(sizes.max())), NO_ID, np.int64)
+        first[np.arange(first.shape[1])[None, :] < sizes[:, None]] = flat
+        asked = np.flatnonzero(answer[which] >= 0)
+        for s in range(0, len(asked), PART):
+            i = asked[s : s + PART]
+            step = np.diff(np.pad(first[answer[which[i]]] < f.ids[occ[i], None], ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            at, begin = np.nonzero(step == 1)
+            yield f.first[occ[i[at]]] + begin, np.nonzero(step == -1)[1] - begin
+
+
 def _left(own: Units, d: int, gone: np.ndarray) -> tuple[int, list[dict], bytes]:
     """Removed units, runs of them, and the bytes left of a document."""
     a, b = int(own.begins[d]), int(own.begins[d + 1])

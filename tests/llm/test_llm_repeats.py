@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldlight.llm import repeats, substring_dedup, suffix_dedup
@@ -45,19 +46,23 @@ def rows(seed):
     return [*out, (None, texts[3]), (7, texts[5]), (7, texts[5])]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_dedup(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 512), (2, 512), (1, 2), (2, 3)])
+def test_suffix_dedup(spark, seed, hot, monkeypatch):
     own = rows(seed)
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(repeats, "HOT_CHUNKS", hot)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 2000)
     df = spark.createDataFrame([(*x, 1) for x in own], DOCS).repartition(3)
     got = [(x.doc_id is None, x.doc_id or 0, x.n_units, x.n_removed, len(x.runs), list(bytes(x.kept))) for x in suffix_dedup.suffix_dedup(df).collect()]
     assert sorted(got, key=lambda r: (*r[:5], str(r[5]))) == brute(own, lambda t: list((t or "").encode()), 50)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 512), (2, 512), (1, 2), (2, 3)])
+def test_substring_dedup(spark, seed, hot, monkeypatch):
     own = rows(seed)
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(repeats, "HOT_CHUNKS", hot)
+    monkeypatch.setattr(repeats, "CHUNK_ROWS", 7)
     df = spark.createDataFrame([(*x, 1) for x in own], DOCS).repartition(3)
     got = [(x.doc_id is None, x.doc_id or 0, x.n_units, x.n_removed, len(x.runs), bytes(x.kept).split()) for x in substring_dedup.substring_dedup(df).collect()]
     assert sorted(got, key=lambda r: (*r[:5], str(r[5]))) == brute(own, lambda t: (t or "").encode().split(), 13)
@@ -75,3 +80,39 @@ def test_multikey_sort_orders_rows():
     assert got == sorted(got)
     for i in range(1, len(got)):
         assert differs[i] == next((d for d in range(6) if got[i][d] != got[i - 1][d]), 6)
+
+
+def test_very_long_texts_and_a_common_passage(spark):
+    """Texts longer than a chunk, and a passage in very many documents, in the real sizes."""
+    r = random.Random(6)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(400_000))
+    passage = " ".join(f"p{i}" for i in range(40))
+    own = [(1, long), (2, long[1000:] + " end"), *((10 + i, f"a{i} b{i} {passage} c{i}") for i in range(3000))]
+    df = spark.createDataFrame([(*x, 1) for x in own], DOCS).repartition(4)
+    words = {x.doc_id: (x.n_units, x.n_removed) for x in substring_dedup.substring_dedup(df).collect()}
+    tail = len((long[1000:] + " end").split())
+    assert words[1] == (400_000, 0) and words[2][0] == tail and tail - 2 <= words[2][1] <= tail - 1 and words[10] == (43, 0)
+    assert all(words[10 + i] == (43, 40) for i in range(1, 3000))
+    size = {x.doc_id: (x.n_units, x.n_removed, len(x.runs)) for x in suffix_dedup.suffix_dedup(df).collect()}
+    assert size[1] == (len(long), 0, 0) and size[2] == (len(long) - 996, len(long) - 1000, 1)
+    assert all(size[10 + i][1] >= len(passage) + 3 for i in range(1, 3000))
+
+
+def test_answers_to_a_chunk_do_not_grow_with_its_documents():
+    """A bucket gets a passage once from each chunk, however many of its documents have it."""
+    windows, length = 35, 50
+    text = bytes(range(windows + length - 1))
+    data = [repeats.packed(np.array([len(text)], "<u4"), np.array([34], "<u2"), np.array([windows], "<u2"), np.array([least], "<i8"), text) for least in (40, 7, 90)]
+    group = pa.table({"bucket": pa.array([5] * 3, pa.int32()), "chunk": pa.array([1, 2, 3], pa.int64()), "data": pa.array(data, pa.binary())})
+    out = repeats._answers(lambda found: np.repeat(found.ids.min(), 3)[:, None].repeat(windows, axis=1))(group)
+    assert out["chunk"].to_pylist() == [1, 3] and out["bucket"].to_pylist() == [5, 5]
+    for told in out["data"]:
+        which, first = repeats.unpacked(told.as_py(), "<u4", "<i8")
+        assert which.tolist() == [0] and first.tolist() == [7] * windows
+
+
+def test_bad_lengths(spark):
+    df = spark.createDataFrame([], DOCS)
+    for length, k in ((0, 0), (10, 11), (1 << 15, 16)):
+        with pytest.raises(ValueError, match="length"):
+            suffix_dedup.suffix_dedup(df, length=length, k=k)
