@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session has none (tests)."""
+    """The folder that driver and executors share. Set here only where the session has none and all run in one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -27,14 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders that stored() has written, oldest first.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+def mark() -> int:
+    """A point in the list of stored tables, for release()."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int, upto: int) -> None:
+    """Removes the tables stored between two marks, which no later job may read."""
+    for path in filter(None, _WRITTEN[since:upto]):
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    _WRITTEN[since:upto] = [""] * (min(upto, len(_WRITTEN)) - since)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, with_columns
+from .common import ascii_lower, stored, with_columns
 
 #: Bytes of item text whose patterns are broadcast at once; more items go in further blocks.
 BLOCK_BYTES = 8 << 20
@@ -182,28 +182,24 @@ def decontaminate(
 ) -> DataFrame:
     """Adds n_words, runs of words that occur in a window of a test item, n_hit and the items found.
 
-    The windows are the query set: they are taken in blocks of at most block_bytes, each broadcast
-    alone and searched in all documents. With one block documents are not shuffled at all.
+    The windows are the query set: they are dealt by hash into blocks of about block_bytes, each collected,
+    broadcast and searched in all documents on its own. With one block documents are not shuffled at all.
     Columns of docs called n_words, runs, items or n_hit are replaced.
     """
     docs = docs.drop("n_words", "runs", "items", "n_hit")
     windows = item_windows(benchmark, item_id_col, item_text_col, ngram)
     grouped = windows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    blocks: list[list[tuple[str, list[str]]]] = [[]]
-    held = 0
-    for row in grouped.toLocalIterator():  # the query set, by blocks of bounded size
-        size = len(row.window) * 4 + 64 + sum(map(len, row["items"]))
-        if held and held + size > block_bytes:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.window, list(row["items"])))
-        held += size
-    if len(blocks) == 1:
-        found = _scan(docs, text_col, blocks[0])
+    grouped = stored(grouped, "windows")
+    size = F.length("window") * 4 + 64 + F.aggregate("items", F.lit(0), lambda n, i: n + F.length(i))
+    blocks = -(-(grouped.agg(F.sum(size)).head()[0] or 0) // block_bytes)
+    block = lambda b: [(r.window, list(r["items"])) for r in grouped.where(F.pmod(F.xxhash64("window"), F.lit(max(blocks, 1))) == b).collect()]
+    if blocks <= 1:
+        found = _scan(docs, text_col, block(0))
     else:
         key = [F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_key")]
         small = docs.select(*key, F.col(text_col).alias("_text"))
-        hits = [_scan(small, "_text", b).where("size(runs) > 0").select("_id", "_key", "runs", "items") for b in blocks]
+        # one block after the other: the driver holds the windows of one at a time
+        hits = [stored(_scan(small, "_text", block(b)).where("size(runs) > 0").select("_id", "_key", "runs", "items"), "hits") for b in range(blocks)]
         every = hits[0]
         for more in hits[1:]:
             every = every.unionByName(more)

@@ -6,8 +6,8 @@ the rest, and kept only if it is precise there. The list becomes one ordered Spa
 expression, so that applying it costs no Python and can be read.
 
 Nulls and repeats: a null text has no words; rows without a label, or whose label is null, only get
-the verdict; a document labelled more than once counts with its lowest label; without labels of
-both classes the list is empty and keeps all. Columns of docs named like a statistic are replaced.
+the verdict; a document labelled more than once counts with its lowest label, an id with several texts
+with the least of them; without labels of both classes the list is empty and keeps all. Columns of docs named like a statistic are replaced.
 """
 
 from __future__ import annotations
@@ -187,6 +187,7 @@ def fit(
         .orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     )
     texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # bounded by sample_rows
+    texts = texts.groupBy(id_col, "quality").agg(F.min(F.coalesce(text_col, F.lit(""))).alias(text_col))  # an id may stand in very many rows
     rows = with_counts(texts, text_col=text_col)
     features = [F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()]
     fold = F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(3)).alias("fold")
