@@ -239,3 +239,43 @@ def nearest_centroid(df: DataFrame, v: str, centroids: DataFrame, label: str, by
     joined = df.join(table, by) if by else df.crossJoin(table)  # one row
     d = F.transform("_t", lambda t: F.struct(F.round(vectors.distance(F.col(v), t["c"]), 9).alias("d"), t["l"].alias("l")))
     return joined.withColumn("_b", F.array_min(d)).withColumn("predicted", F.col("_b.l")).withColumn("distance", F.col("_b.d")).drop("_t", "_b")
+
+
+HEALTH_DDL = "cosine_distance double, relational double, cross_correlation double, variance_floor double, covariance_penalty double"
+
+
+def embedding_health(df: DataFrame, keys: list[str], first: str, second: str, weight: Column | None = None, target: float = 1.0, redundancy: float = 5e-3) -> DataFrame:
+    """(keys, HEALTH_DDL) of two vector sets of the same rows, from one matrix of moments a group.
+
+    Weighted mean cosine distance; weighted mean squared difference of the two sets' matrices of cosines over
+    all pairs of rows, from the sets' Gram matrices, so that no pair is made; cross-correlation of standardised
+    dimensions (its diagonal to one, redundancy times the rest to zero); floor of the first set's deviations;
+    its covariances off the diagonal.
+    """
+    w = F.lit(1.0) if weight is None else F.greatest(weight.cast("double"), F.lit(0.0))
+    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(vectors.dot(F.col(c), F.col(c))))
+    rows = df.select(*keys, w.alias("_w"), F.sqrt(w).alias("_root"), F.concat(first, second).alias("_raw"), F.concat(unit(first), unit(second)).alias("_unit"))
+    raw = moments(rows, keys, "_raw").select(*keys, "mass", "total", "gram")
+    units = moments(rows, keys, "_unit", F.col("_root")).select(*keys, F.col("gram").alias("unit"))
+    cos = rows.groupBy(*keys).agg((F.sum(F.col("_w") * F.aggregate(F.slice("_unit", 1, (F.size("_unit") / 2).cast("int")), F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("s")), lambda a, x: F.struct((a["i"] + 1).alias("i"), (a["s"] + x * F.get("_unit", a["i"] + (F.size("_unit") / 2).cast("int"))).alias("s")), lambda a: a["s"])) / F.sum("_w")).alias("cosine"))
+    both = raw.join(units, keys).join(cos, keys) if keys else raw.crossJoin(units).crossJoin(cos)  # one row a group
+
+    def terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                n, d = r.mass, len(r.total) // 2
+                mean = np.array(r.total) / n
+                cov = np.array(r.gram).reshape(2 * d, 2 * d) / n - np.outer(mean, mean)
+                g = np.array(r.unit).reshape(2 * d, 2 * d)
+                sd = np.maximum(np.sqrt(np.maximum(np.diag(cov), 0)), 1e-4)
+                cross = cov[:d, d:] / np.outer(sd[:d], sd[d:])
+                diagonal, own = np.diag(cross), cov[:d, :d] * n / max(n - 1, 1)
+                relational = ((g[:d, :d] ** 2).sum() - 2 * (g[:d, d:] ** 2).sum() + (g[d:, d:] ** 2).sum()) / n**2
+                out.append((
+                    1 - r.cosine, relational, ((diagonal - 1) ** 2).sum() + redundancy * ((cross**2).sum() - (diagonal**2).sum()),
+                    np.maximum(0, target - np.sqrt(np.maximum(np.diag(cov)[:d], 0) + 1e-4)).mean(), ((own**2).sum() - (np.diag(own) ** 2).sum()) / d,
+                ))
+            yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame(out, columns=[x.split()[0] for x in HEALTH_DDL.split(", ")])], axis=1)
+
+    return both.mapInPandas(terms, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields), HEALTH_DDL]))

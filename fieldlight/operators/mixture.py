@@ -154,3 +154,18 @@ def simplex_projection(v: Column, prototypes: np.ndarray) -> Column:
 
     options = F.transform(F.array(*tried), lambda w: F.struct(F.round(loss(w), 12).alias("loss"), F.transform(w, lambda x: F.greatest(x, F.lit(0.0))).alias("w")))
     return F.array_min(options)["w"]
+
+
+def with_simplex(df: DataFrame, v: str, prototypes: np.ndarray, least: float = 1e-9) -> DataFrame:
+    """Adds weights on the simplex of the prototypes, and how well they do: the residual's length, its root mean square,
+    its share of the vector's length (null for a zero vector), and the number of prototypes in use."""
+    if not 2 <= len(prototypes) <= 4:
+        raise ValueError("two to four prototypes")
+    out = df.withColumn("weights", simplex_projection(F.col(v), prototypes))
+    made = F.array(*[sum((float(p[i]) * F.col("weights")[k] for k, p in enumerate(prototypes)), F.lit(0.0)) for i in range(prototypes.shape[1])])
+    out = out.withColumn("residual_norm", vectors.distance(F.col(v), made))
+    length = F.sqrt(vectors.dot(F.col(v), F.col(v)))
+    return out.withColumns({
+        "residual_rmse": F.col("residual_norm") / float(np.sqrt(prototypes.shape[1])), "relative_residual": F.try_divide(F.col("residual_norm"), length),
+        "active_count": F.size(F.filter("weights", lambda w: w > least)),
+    })

@@ -9,42 +9,77 @@ from .inputs import PREDICTIONS, VECTORS
 from .registry import query
 
 
-@query("j32_bootstrap_intervals")
+def _replicates(keys: str, scores: str, text: str, n: int) -> str:
+    """CTEs up to rep (keys, model, replicate, auroc, average_precision): blocks drawn by hash, weights, tied ranks."""
+    by = f"{keys}, " if keys else ""
+    own = f"PARTITION BY {keys} " if keys else ""
+    using = f"({by}block)"
+    return f"""u AS (SELECT {by}block, row_number() OVER ({own}ORDER BY block) - 1 AS i, count(*) OVER ({own}) AS m FROM (SELECT DISTINCT {by}block FROM predictions)),
+sl AS (SELECT DISTINCT {by}m, r AS replicate, unnest(range(m)) AS s FROM u, (SELECT unnest(range({n})) AS r)),
+dr AS (SELECT {by}replicate, CAST(CAST('0x' || substr(sha256({text}), 1, 16) AS UBIGINT) % m AS BIGINT) AS i FROM sl),
+wt AS (SELECT {by}block, replicate, count(*) AS w FROM dr JOIN u USING ({by}i) GROUP BY ALL),
+lg AS (SELECT {by}block, truth, unnest([{scores}]) AS q FROM predictions),
+sc AS (SELECT {by}q.model AS model, replicate, q.score AS score, sum(w * truth) AS p, sum(w * (1 - truth)) AS n FROM lg JOIN wt USING {using} GROUP BY ALL),
+cu AS (SELECT *, sum(p) OVER x AS tp, sum(n) OVER x AS fp FROM sc WINDOW x AS (PARTITION BY {by}model, replicate ORDER BY score DESC)),
+rep AS (SELECT {by}model, replicate, sum(n * (tp - p / 2.0::DOUBLE)) / nullif(sum(p) * sum(n), 0) AS auroc, sum(CASE WHEN tp + fp > 0 THEN p * tp / (tp + fp) END) / nullif(sum(p), 0) AS average_precision FROM cu GROUP BY ALL)"""
+
+
+_ONE = "{'model': 'score', 'score': score}"
+_ENDS = "round(quantile_cont({0}, 0.025), 6) AS low, round(quantile_cont({0}, 0.975), 6) AS high, count({0}) AS replicates_used"
+
+
+@query("j32_bootstrap_intervals", f"WITH {PREDICTIONS}, {_replicates('lang', _ONE, chr(39) + ':' + chr(39) + ' || lang || ' + chr(39) + ':' + chr(39) + ' || replicate || ' + chr(39) + ':' + chr(39) + ' || s', 40)} SELECT lang, {_ENDS.format('auroc')} FROM rep GROUP BY lang")
 def j32(spark, sf):
     return models.bootstrap_metrics(inputs.predictions(spark, sf), "block", "truth", "score", 40, ["lang"])
 
 
-@query("j33_block_bootstrap_delta")
+_TWO = _ONE + ", {'model': 'other', 'score': round(n / 50000.0::DOUBLE, 3)}"
+_J33 = f"""WITH {PREDICTIONS}, {_replicates('', _TWO, "':0:' || replicate || ':' || s", 40)},
+de AS (SELECT replicate, CASE WHEN count(auroc) = 2 THEN sum(CASE WHEN model = 'score' THEN auroc ELSE -auroc END) END AS auroc, CASE WHEN count(average_precision) = 2 THEN sum(CASE WHEN model = 'score' THEN average_precision ELSE -average_precision END) END AS average_precision FROM rep GROUP BY replicate),
+lo AS (SELECT 'auroc' AS metric, round(auroc, 9) AS d FROM de UNION ALL SELECT 'average_precision', round(average_precision, 9) FROM de)
+SELECT metric, {_ENDS.format('d')}, count(d) >= 20 AS usable FROM lo GROUP BY metric"""
+
+
+@query("j33_block_bootstrap_delta", _J33)
 def j33(spark, sf):
-    """AUROC of two scores on the same draws, and whether each has enough replicates."""
+    """AUROC and average precision of two scores on the same draws: intervals of their difference."""
     p = inputs.predictions(spark, sf).withColumn("other", F.round(F.col("n") / 50000.0, 3))
-    a = models.bootstrap_metrics(p, "block", "truth", "score", 40).select(F.lit("score").alias("model"), "low", "high", "replicates_used")
-    b = models.bootstrap_metrics(p, "block", "truth", "other", 40).select(F.lit("n").alias("model"), "low", "high", "replicates_used")
-    return a.unionByName(b).withColumn("usable", F.col("replicates_used") >= 30)
+    return models.paired_deltas(p, "block", "truth", "score", "other", 40)
 
 
 def _pairs(spark, sf):
-    v = inputs.vectors(spark, sf).where("crop < 2").withColumn("truth", F.col("crop")).withColumn("fold", (F.col("field") % 3).cast("int"))
-    return v.select("row_id", "field", "truth", "fold", *[F.col("v")[i].alias(f"x{i}") for i in range(8)])
+    """Every pair of neighbouring crops: rows of both, whole vectors, folds of fields."""
+    v = inputs.vectors(spark, sf).withColumn("pair", F.floor(F.col("crop") / 2).cast("int")).withColumn("truth", F.col("crop") % 2).withColumn("fold", (F.col("field") % 3).cast("int"))
+    return v.select("row_id", "field", "pair", "truth", "fold", *[F.col("v")[i].alias(f"x{i}") for i in range(64)])
+
+
+_ALL = [f"x{i}" for i in range(64)]
 
 
 @query("j34_pair_axis_classifier")
 def j34(spark, sf):
-    return models.out_of_fold(_pairs(spark, sf), [f"x{i}" for i in range(8)], "fold", 3).select("row_id", "truth", "score")
+    """One classifier over the pairs' rows, cross-fitted by fields."""
+    return models.out_of_fold(_pairs(spark, sf), _ALL, "fold", 3).select("row_id", "truth", "score")
 
 
 @query("j35_detector_selection")
 def j35(spark, sf):
     p = _pairs(spark, sf).withColumn("x0", F.when(F.col("row_id") % 7 != 0, F.col("x0")))
-    return models.out_of_fold(p, ["x0", "x1", "x2"], "fold", 3, (0.01, 1.0)).select("row_id", "score", "reg")
+    return models.out_of_fold(p, _ALL, "fold", 3, (0.01, 1.0)).select("row_id", "score", "reg")
 
 
 @query("j36_nested_feature_sets")
 def j36(spark, sf):
+    """Three nested feature sets at four stages, each stage with the windows up to it."""
+    w = inputs.windowed_vectors(spark, sf)
     out = None
-    for name, features in (("narrow", ["x0"]), ("middle", ["x0", "x1", "x2"])):
-        m = evaluation.ranking_metrics(models.out_of_fold(_pairs(spark, sf), features, "fold", 3), [], "truth", "score").select(F.lit(name).alias("features"), F.round("auroc", 6).alias("auroc"))
-        out = m if out is None else out.unionByName(m)
+    for stage in (1, 2, 3, 4):
+        v = w.where(F.col("w") <= stage).groupBy("row_id", "crop", "field").agg(*[F.avg(F.col("v")[i]).alias(f"x{i}") for i in range(64)])
+        v = v.withColumn("truth", F.col("crop") % 2).withColumn("fold", (F.col("field") % 3).cast("int"))
+        for name, features in (("first", _ALL[:8]), ("half", _ALL[:32]), ("all", _ALL)):
+            m = evaluation.ranking_metrics(models.out_of_fold(v, features, "fold", 3), [], "truth", "score")
+            m = m.select(F.lit(stage).alias("stage"), F.lit(name).alias("features"), F.round("auroc", 6).alias("auroc"), F.round("average_precision", 6).alias("average_precision"))
+            out = m if out is None else out.unionByName(m)
     return out
 
 
@@ -63,7 +98,7 @@ def j38(spark, sf):
     """Out-of-fold scores with a threshold per fold from the negatives of the other folds (upper quantile)."""
     from ..operators.aggregates import stated_quantiles
 
-    s = models.out_of_fold(_pairs(spark, sf), ["x0", "x1", "x2", "x3"], "fold", 3)
+    s = models.out_of_fold(_pairs(spark, sf), _ALL, "fold", 3)
     out = None
     for f in range(3):
         t = s.where((F.col("fold") != f) & (F.col("truth") == 0)).transform(lambda d: stated_quantiles(d, [], "score", 0.9, ["higher"])).select(F.col("higher").alias("threshold"))
@@ -79,21 +114,34 @@ def j39(spark, sf):
     return a.unionByName(p.groupBy("lang").agg(F.count("*").cast("double").alias("value")).select(F.lit("rows").alias("metric"), "lang", "value"))
 
 
-def _classified(spark, sf, hidden):
+def _classified(spark, sf, hidden, iterations=(30,)):
     v = inputs.vectors(spark, sf).withColumn("fold", (F.col("field") % 5).cast("int"))
-    p = models.vector_classifier(v.where("fold <> 0"), v.where("fold = 0"), "v", "crop", 10, hidden)
+    p = models.vector_classifier(v.where("fold > 1"), v.where("fold = 0"), "v", "crop", 10, hidden, iterations, v.where("fold = 1"))
     return evaluation.overall_metrics(evaluation.class_metrics(evaluation.confusion(p, "crop", "predicted"), "crop", "predicted"))
 
 
 @query("j40_multinomial_models")
 def j40(spark, sf):
-    m = _classified(spark, sf, None)
-    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+    """Models of three classes of crops over growing numbers of windows, by field means and by pixels on the same folds."""
+    from ..operators.aggregates import mean_vectors
+
+    w = inputs.windowed_vectors(spark, sf).withColumn("group", F.col("crop") % 3).withColumn("fold", (F.col("field") % 5).cast("int"))
+    out = None
+    for stage in (1, 2, 4):
+        seen = w.where(F.col("w") <= stage)
+        pixels = mean_vectors(seen, ["row_id", "field", "group", "fold"], "v")
+        fields = mean_vectors(pixels, ["field", "group", "fold"], "v")
+        for unit, rows in (("field", fields), ("pixel", pixels)):
+            p = models.vector_classifier(rows.where("fold > 0"), rows.where("fold = 0"), "v", "group", 3)
+            m = evaluation.overall_metrics(evaluation.class_metrics(evaluation.confusion(p, "group", "predicted"), "group", "predicted"))
+            m = m.select(F.lit(stage).alias("stage"), F.lit(unit).alias("unit"), *[F.round(c, 6).alias(c) for c in m.columns])
+            out = m if out is None else out.unionByName(m)
+    return out
 
 
 @query("j41_feed_forward_classifier")
 def j41(spark, sf):
-    m = _classified(spark, sf, 16)
+    m = _classified(spark, sf, 16, (10, 30, 60))
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 

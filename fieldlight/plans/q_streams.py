@@ -32,13 +32,13 @@ def k1(spark, sf):
     return r.select("grp", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 6).alias("total"))
 
 
-@query("k1_rolling_stream", _K1 + " HAVING \"start\" < TIMESTAMP '2024-01-18'")
+@query("k1_rolling_stream", _K1 + " HAVING \"start\" + INTERVAL 3 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
 def k1s(spark, sf):
-    """The same over a stream of the files, appended as windows close; the last windows stay open behind the watermark."""
+    """The same over a stream of the files, appended as the watermark, ten days behind the latest event, closes windows."""
     path = f"{sf}/events.parquet"
     e = streams.event_stream(spark, f"{sf}/event[s].parquet", spark.read.parquet(path).schema)  # a pattern: a stream's path is a folder otherwise
-    r = streams.rolling(_events(spark, sf, e), ["grp"], "ts", "3 days", "1 day", "1 hours", "value")
-    out = streams.drained(r, folder(spark)).where(F.col("start") < F.lit("2024-01-18").cast("timestamp"))
+    r = streams.rolling(_events(spark, sf, e), ["grp"], "ts", "3 days", "1 day", "10 days", "value")
+    out = streams.drained(r, folder(spark))
     return out.select("grp", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 6).alias("total"))
 
 

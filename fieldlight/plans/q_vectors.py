@@ -42,26 +42,30 @@ def f18(spark, sf):
     return out.select("row_id", F.transform("pc", lambda x: F.round(x, 6)).alias("pc"), F.round("residual", 6).alias("residual"))
 
 
-@query("f38_embedding_health", f"WITH {VECTORS}, p AS (SELECT a.row_id, a.v AS v, list_transform(a.v, lambda e, i: e + ((a.row_id + i - 1) % 5) * 0.01::DOUBLE) AS u FROM vectors a), n AS (SELECT avg(1 - list_dot_product(v, u) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(u, u))) AS c FROM p) SELECT round(c, 6) AS cosine_distance FROM n")
+_F38 = f"""WITH {VECTORS}, p AS (SELECT row_id, crop, v, list_transform(v, lambda e, i: e + ((row_id + i - 1) % 5) * 0.01::DOUBLE) AS u FROM vectors),
+q AS (SELECT row_id, crop, v, u, list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))) AS s, list_transform(u, lambda e: e / sqrt(list_dot_product(u, u))) AS t FROM p),
+co AS (SELECT crop, avg(1 - list_dot_product(s, t)) AS cosine_distance FROM q GROUP BY crop),
+re AS (SELECT a.crop, avg((list_dot_product(a.s, b.s) - list_dot_product(a.t, b.t)) ** 2) AS relational FROM q a JOIN q b USING (crop) GROUP BY a.crop),
+e AS (SELECT row_id, crop, unnest(v) AS x, unnest(u) AS y, unnest(range(len(v))) AS d FROM p),
+z AS (SELECT row_id, crop, d, x - avg(x) OVER w AS x, (x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-4) AS zx, (y - avg(y) OVER w) / greatest(stddev_pop(y) OVER w, 1e-4) AS zy FROM e WINDOW w AS (PARTITION BY crop, d)),
+cc AS (SELECT a.crop, a.d AS i, b.d AS j, avg(a.zx * b.zy) AS c, sum(a.x * b.x) / (count(*) - 1) AS k, avg(a.x * b.x) AS k0 FROM z a JOIN z b ON a.crop = b.crop AND a.row_id = b.row_id GROUP BY ALL),
+ba AS (SELECT crop, sum(CASE WHEN i = j THEN (c - 1) ** 2 ELSE 0.005::DOUBLE * c * c END) AS cross_correlation, sum(CASE WHEN i = j THEN greatest(0, 1 - sqrt(k0 + 1e-4)) ELSE 0 END) / 64 AS variance_floor, sum(CASE WHEN i <> j THEN k * k ELSE 0 END) / 64 AS covariance_penalty FROM cc GROUP BY crop)"""
+
+
+def _two_sets(spark, sf):
+    return inputs.vectors(spark, sf).withColumn("u", F.transform("v", lambda x, i: x + (F.col("row_id") + i) % 5 * 0.01))
+
+
+@query("f38_embedding_health", _F38 + " SELECT crop, round(cosine_distance, 6) AS cosine_distance, round(relational, 6) AS relational FROM co JOIN re USING (crop)")
 def f38(spark, sf):
-    v = inputs.vectors(spark, sf)
-    u = v.withColumn("u", F.transform("v", lambda x, i: x + (F.col("row_id") + i) % 5 * 0.01))
-    return u.agg(F.round(F.avg(1 - vectors.cosine(F.col("v"), F.col("u"))), 6).alias("cosine_distance"))
+    h = linear.embedding_health(_two_sets(spark, sf), ["crop"], "v", "u")
+    return h.select("crop", *[F.round(c, 6).alias(c) for c in ("cosine_distance", "relational")])
 
 
-@query("f38_redundancy_terms")
+@query("f38_redundancy_terms", _F38 + " SELECT crop, round(cross_correlation, 6) AS cross_correlation, round(variance_floor, 6) AS variance_floor, round(covariance_penalty, 6) AS covariance_penalty FROM ba")
 def f38b(spark, sf):
-    """Per label: variance floor and covariance penalty from moments; Barlow diagonal against turned vectors."""
-    v = inputs.vectors(spark, sf)
-    m = linear.moments(v, ["crop"], "v")
-    d = 64
-    mean = F.transform("total", lambda x: x / F.col("mass"))
-    cov = F.transform(F.col("gram"), lambda x, p: x / F.col("mass") - F.get("_m", F.floor(p / d).cast("int")) * F.get("_m", (p % d).cast("int")))
-    m = m.withColumn("_m", mean).withColumn("_c", cov)
-    diag = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.get("_c", i * (d + 1)))
-    floor = F.aggregate(F.transform(diag, lambda x: F.greatest(F.lit(0.0), 0.1 - F.sqrt(F.greatest(x, F.lit(0.0)) + 1e-4))), F.lit(0.0), lambda a, x: a + x) / d
-    off = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x) - F.aggregate(diag, F.lit(0.0), lambda a, x: a + x * x)
-    return m.select("crop", F.round(floor, 6).alias("variance_floor"), F.round(off / d, 6).alias("covariance_penalty"))
+    h = linear.embedding_health(_two_sets(spark, sf), ["crop"], "v", "u")
+    return h.select("crop", *[F.round(c, 6).alias(c) for c in ("cross_correlation", "variance_floor", "covariance_penalty")])
 
 
 @query("f39_separation", f"WITH {VECTORS}, {_EACH}, m AS (SELECT crop, d, avg(e) AS m FROM each GROUP BY ALL), c AS (SELECT crop, list(m ORDER BY d) AS c FROM m GROUP BY crop), r AS (SELECT sqrt(avg(list_distance(v, c) ** 2)) AS r FROM vectors JOIN c USING (crop)) SELECT a.crop AS a, b.crop AS b, round(list_distance(a.c, b.c) / r, 6) AS separation FROM c a JOIN c b ON a.crop < b.crop, r")
@@ -301,8 +305,8 @@ def j22(spark, sf):
 
 @query("j23_simplex_weights")
 def j23(spark, sf):
-    w = mixture.simplex_projection(F.col("v"), centres(spark, sf)[:4])
-    return inputs.vectors(spark, sf).select("row_id", F.transform(w, lambda x: F.round(x, 6)).alias("weights"))
+    fit = mixture.with_simplex(inputs.vectors(spark, sf), "v", centres(spark, sf)[:4])
+    return fit.select("row_id", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"), *[F.round(c, 6).alias(c) for c in ("residual_norm", "residual_rmse", "relative_residual")], "active_count")
 
 
 @query("j24_segment_projection", _C + ", ab AS (SELECT (SELECT c FROM c WHERE crop = 2) AS a, (SELECT c FROM c WHERE crop = 5) AS b), d AS (SELECT row_id, list_dot_product(list_transform(range(1, 65), lambda i: v[i] - b[i]), list_transform(range(1, 65), lambda i: a[i] - b[i])) / list_dot_product(list_transform(range(1, 65), lambda i: a[i] - b[i]), list_transform(range(1, 65), lambda i: a[i] - b[i])) AS s FROM vectors, ab) SELECT row_id, round(greatest(0, least(1, s)), 6) AS share FROM d")
@@ -351,7 +355,14 @@ def j28(spark, sf):
     return s.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg((F.col("call") == "mixture").cast("double")), 6).alias("mixture_rate"), F.bool_and(F.col("call") != "unclear").alias("all_clear"))
 
 
-@query("j29_reference_bootstrap")
+_FM = f"WITH {VECTORS}, {_EACH}, fm AS (SELECT crop, field, d, avg(e) AS m FROM each GROUP BY ALL)"
+
+
+@query("j29_reference_bootstrap", _FM + f""", u AS (SELECT crop, field, row_number() OVER (PARTITION BY crop ORDER BY field) - 1 AS i, count(*) OVER (PARTITION BY crop) AS m FROM (SELECT DISTINCT crop, field FROM vectors)),
+sl AS (SELECT DISTINCT crop, m, r, unnest(range(m)) AS s FROM u, (SELECT unnest(range(40)) AS r)), dr AS (SELECT crop, r, CAST({_U.format("':' || crop || ':' || r || ':' || s")} % m AS BIGINT) AS i FROM sl),
+wt AS (SELECT crop, field, r, count(*) AS w FROM dr JOIN u USING (crop, i) GROUP BY ALL), pr AS (SELECT r, crop, d, sum(w * m) / sum(w) AS m FROM fm JOIN wt USING (crop, field) GROUP BY ALL),
+ds AS (SELECT a.r, sqrt(sum((a.m - b.m) ** 2)) AS x FROM pr a JOIN pr b ON a.r = b.r AND a.d = b.d AND a.crop = 0 AND b.crop = 1 GROUP BY a.r)
+SELECT round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.975), 6) AS high FROM ds""")
 def j29(spark, sf):
     """Prototypes per replicate from drawn reference fields, and the spread of a distance between two of them."""
     f = aggregates.mean_vectors(inputs.vectors(spark, sf), ["crop", "field"], "v")
@@ -367,7 +378,12 @@ def j30(spark, sf):
     return out_of_fold(spark, sf).select("row_id", "predicted", F.round("distance", 6).alias("distance"))
 
 
-@query("j31_permutation_test")
+@query("j31_permutation_test", _FM + f""", fl AS (SELECT DISTINCT crop, field, field % 5 AS fold FROM vectors), rp AS (SELECT *, r FROM fl, (SELECT unnest(range(10)) AS r)),
+ix AS (SELECT *, row_number() OVER (PARTITION BY r, fold ORDER BY field) AS mine, row_number() OVER (PARTITION BY r, fold ORDER BY {_U.format("r || ':' || field")}) AS theirs FROM rp),
+gv AS (SELECT a.r, a.field, b.crop AS given FROM ix a JOIN ix b ON a.r = b.r AND a.fold = b.fold AND b.mine = CASE WHEN a.r = 0 THEN a.mine ELSE a.theirs END),
+ce AS (SELECT r, given AS label, d, avg(m) AS c FROM gv JOIN fm USING (field) GROUP BY ALL), di AS (SELECT gv.r, gv.field, gv.given, label, round(sqrt(sum((m - c) ** 2)), 9) AS x FROM gv JOIN fm USING (field) JOIN ce ON ce.r = gv.r AND ce.d = fm.d GROUP BY ALL),
+be AS (SELECT r, field, any_value(given) AS given, arg_min(label, (x, label)) AS predicted FROM di GROUP BY r, field)
+SELECT CAST(r AS INTEGER) AS replicate, round(avg(CASE WHEN predicted = given THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy FROM be GROUP BY r""")
 def j31(spark, sf):
     """Accuracy of fields' nearest centroids under labels shuffled among the fields of a fold."""
     f = aggregates.mean_vectors(inputs.vectors(spark, sf), ["crop", "field"], "v").withColumn("fold", F.col("field") % 5)
