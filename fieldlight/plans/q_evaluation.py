@@ -49,35 +49,33 @@ def j33(spark, sf):
 
 def _pairs(spark, sf):
     """Every pair of neighbouring crops: rows of both, whole vectors, folds of fields."""
-    v = inputs.vectors(spark, sf).withColumn("pair", F.floor(F.col("crop") / 2).cast("int")).withColumn("truth", F.col("crop") % 2).withColumn("fold", (F.col("field") % 3).cast("int"))
-    return v.select("row_id", "field", "pair", "truth", "fold", *[F.col("v")[i].alias(f"x{i}") for i in range(64)])
-
-
-_ALL = [f"x{i}" for i in range(64)]
+    v = inputs.vectors(spark, sf).withColumn("truth", F.col("crop") % 2).withColumn("fold", (F.col("field") % 3).cast("int"))
+    return v.select("row_id", "field", "truth", "fold", "v")
 
 
 @query("j34_pair_axis_classifier")
 def j34(spark, sf):
     """One classifier over the pairs' rows, cross-fitted by fields."""
-    return models.out_of_fold(_pairs(spark, sf), _ALL, "fold", 3).select("row_id", "truth", "score")
+    return models.out_of_fold(_pairs(spark, sf), [], "fold", 3, vector="v").select("row_id", "truth", "score")
 
 
 @query("j35_detector_selection")
 def j35(spark, sf):
-    p = _pairs(spark, sf).withColumn("x0", F.when(F.col("row_id") % 7 != 0, F.col("x0")))
-    return models.out_of_fold(p, _ALL, "fold", 3, (0.01, 1.0)).select("row_id", "score", "reg")
+    p = _pairs(spark, sf).withColumn("x0", F.when(F.col("row_id") % 7 != 0, F.col("v")[0])).withColumn("rest", F.slice("v", 2, 63))
+    return models.out_of_fold(p, ["x0"], "fold", 3, (0.01, 1.0), vector="rest").select("row_id", "score", "reg")
 
 
 @query("j36_nested_feature_sets")
 def j36(spark, sf):
     """Three nested feature sets at four stages, each stage with the windows up to it."""
+    from ..operators.aggregates import mean_vectors
+
     w = inputs.windowed_vectors(spark, sf)
     out = None
     for stage in (1, 2, 3, 4):
-        v = w.where(F.col("w") <= stage).groupBy("row_id", "crop", "field").agg(*[F.avg(F.col("v")[i]).alias(f"x{i}") for i in range(64)])
-        v = v.withColumn("truth", F.col("crop") % 2).withColumn("fold", (F.col("field") % 3).cast("int"))
-        for name, features in (("first", _ALL[:8]), ("half", _ALL[:32]), ("all", _ALL)):
-            m = evaluation.ranking_metrics(models.out_of_fold(v, features, "fold", 3), [], "truth", "score")
+        v = mean_vectors(w.where(F.col("w") <= stage), ["row_id", "crop", "field"], "v").withColumn("truth", F.col("crop") % 2).withColumn("fold", (F.col("field") % 3).cast("int"))
+        for name, n in (("first", 8), ("half", 32), ("all", 64)):
+            m = evaluation.ranking_metrics(models.out_of_fold(v.withColumn("own", F.slice("v", 1, n)), [], "fold", 3, vector="own"), [], "truth", "score")
             m = m.select(F.lit(stage).alias("stage"), F.lit(name).alias("features"), F.round("auroc", 6).alias("auroc"), F.round("average_precision", 6).alias("average_precision"))
             out = m if out is None else out.unionByName(m)
     return out
@@ -98,7 +96,7 @@ def j38(spark, sf):
     """Out-of-fold scores with a threshold per fold from the negatives of the other folds (upper quantile)."""
     from ..operators.aggregates import stated_quantiles
 
-    s = models.out_of_fold(_pairs(spark, sf), _ALL, "fold", 3)
+    s = models.out_of_fold(_pairs(spark, sf), [], "fold", 3, vector="v")
     out = None
     for f in range(3):
         t = s.where((F.col("fold") != f) & (F.col("truth") == 0)).transform(lambda d: stated_quantiles(d, [], "score", 0.9, ["higher"])).select(F.col("higher").alias("threshold"))
