@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlight.functions import calendar, grid, radiometry, scalars
-from fieldlight.operators import aggregates, cohort, contracts, evaluation, geometry, joins, linear, mixture, mosaic, sampling, windows
+from fieldlight.operators import aggregates, calls, cohort, contracts, evaluation, geometry, joins, linear, mixture, mosaic, sampling, windows
 from fieldlight.sources import io
 from fieldlight.streaming import streams
 
@@ -340,3 +340,62 @@ def test_sinks_refuse_other_content(spark, tmp_path):
     df.coalesce(1).write.option("header", True).csv(str(tmp_path / "c"))
     with pytest.raises(contracts.ContractError):
         io.read_csv(spark, str(tmp_path / "c"), "id long, y long")
+
+
+def test_statuses_in_order(spark):
+    base = {"passed": True, "rows": 9, "named": True, "blocks": 3, "far": 1.0, "far_threshold": 2.0, "named_mass": 0.9, "mass_threshold": 0.5, "margin": 1.0,
+            "evidence_per_row": 0.5, "evidence_threshold": 0.1, "share": 0.4, "low": 0.2, "high": 0.6}
+    cases = [
+        ({"passed": None}, 0), ({"passed": False, "rows": 1}, 0), ({"rows": 1, "blocks": 1}, 1), ({"blocks": 1, "far": 9.0}, 2), ({"named": False, "blocks": 1}, 5), ({"far": 9.0, "margin": -1.0}, 3),
+        ({"margin": -0.1}, 4), ({"named_mass": 0.4}, 4), ({}, 5), ({"low": 0.01}, 6), ({"low": None, "high": None}, 6), ({"named": False, "low": None}, 5),
+        ({"share": 0.99}, 7), ({"share": 0.0}, 8), ({"evidence_per_row": 0.1}, 9), ({"evidence_per_row": 0.0, "share": 0.98}, 7),
+    ]
+    kinds = {"passed": "boolean", "rows": "long", "named": "boolean", "blocks": "long"}
+    df = spark.createDataFrame([(i, *(base | c).values()) for i, (c, _) in enumerate(cases)], "i int, " + ", ".join(f"{k} {kinds.get(k, 'double')}" for k in base))
+    got = {r.i: r.status for r in df.withColumn("status", calls.status()).collect()}
+    assert got == {i: calls.STATUSES[n] for i, (_, n) in enumerate(cases)}
+
+
+def test_thresholds_and_gates(spark):
+    dice = np.random.default_rng(9)
+    rows = [(p, f"{p}-{i}", p * 2 + i % 2, 3 if i < 8 else 9, float(1 - i % 2), *map(float, np.round(dice.random(4), 6))) for p in (0, 1) for i in range(11)]
+    df = spark.createDataFrame(rows, "pair int, field string, label int, rows long, truth double, share double, evidence_per_row double, named_mass double, far double").withColumn("bin", scalars.count_bin(F.col("rows")))
+    got = {(r.pair, r.bin): r for r in calls.thresholds(df, "pair").collect()}
+    assert len(got) == 2 * len(calls.BINS)
+    for p in (0, 1):
+        own = [r for r in rows if r[0] == p]
+        few, every = [r[6] for r in own if r[3] == 3], [r[6] for r in own]
+        assert got[p, "3-4"].evidence_threshold == np.quantile(few, 0.95, method="higher") and got[p, "3-4"].source == "matching_bin"
+        assert got[p, "9-16"].evidence_threshold == np.quantile(every, 0.95, method="higher") and got[p, "9-16"].source == "all_controls"
+        assert got[p, "1"].mass_threshold == np.quantile([r[7] for r in own], 0.05, method="lower") and got[p, "1"].far_threshold == np.quantile([r[8] for r in own], 0.95, method="higher")
+    made = spark.createDataFrame([(0, 0.5, 0.4)], "pair int, truth double, share double")
+    limits = {"fields": 5, "accuracy": 0.5, "endpoint": 0.9, "synthetic": 0.2}
+    gate = {r.pair: r for r in calls.gates(df, made, "pair", 5, 0.6, limits).collect()}
+    assert gate[0].passed and not gate[1].passed and gate[0].endpoint_mae == pytest.approx(np.mean([abs(r[5] - r[4]) for r in rows if r[0] == 0]))
+    assert not calls.gates(df, made, "pair", 5, 0.4, limits).where("passed").count() and not calls.gates(df, made, "pair", 1, 0.6, limits).where("passed").count()
+
+
+def test_simplex_residuals_match_numpy(spark):
+    dice = np.random.default_rng(5)
+    protos, x = dice.normal(size=(4, 6)), np.vstack([dice.normal(size=(40, 6)), np.zeros((1, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>")
+    grid = np.array([(a, b, c, 40 - a - b - c) for a in range(41) for b in range(41 - a) for c in range(41 - a - b)]) / 40
+    for r in mixture.with_simplex(df, "v", protos).collect():
+        w = np.array(r.weights)
+        rest = x[r.i] - w @ protos
+        assert w.min() >= 0 and w.sum() == pytest.approx(1) and r.residual_norm == pytest.approx(np.linalg.norm(rest))
+        assert r.residual_norm <= np.linalg.norm(x[r.i] - grid @ protos, axis=1).min() + 1e-9
+        assert r.residual_rmse == pytest.approx(np.sqrt((rest**2).mean())) and r.active_count == (w > 1e-9).sum()
+        assert r.relative_residual == (None if r.i == 40 else pytest.approx(np.linalg.norm(rest) / np.linalg.norm(x[r.i])))
+
+
+def test_nearest_equals_brute_force(spark):
+    dice = np.random.default_rng(7)
+    p = [(i, "ab"[i % 2], float(x), float(y)) for i, (x, y) in enumerate(zip(dice.uniform(-180, 180, 60), dice.uniform(-88, 88, 60), strict=True))]
+    q = [(f"r{i}", "abc"[i % 3], float(x), float(y)) for i, (x, y) in enumerate(zip(dice.uniform(-180, 180, 30), dice.uniform(-88, 88, 30), strict=True))]
+    df = spark.createDataFrame([*p, (99, "z", 0.0, 0.0)], "id int, k string, longitude double, latitude double")
+    refs = spark.createDataFrame(q, "ref string, k string, rlon double, rlat double")
+    d = grid.great_circle_m(F.col("longitude"), F.col("latitude"), F.col("rlon"), F.col("rlat"))
+    want = df.join(refs, "k").groupBy("id").agg(F.min(F.struct(F.round(d, 3).alias("m"), "ref")).alias("b")).select("id", "b.m", "b.ref")
+    got = joins.nearest(df, refs, ["k"], "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 60
