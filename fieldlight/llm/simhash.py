@@ -239,7 +239,8 @@ def _matched(rows: DataFrame, names: list[str], limit: int) -> DataFrame:
             yield edges(pa.concat_batches(held))
 
     kind = rows.schema["node"].dataType.simpleString()
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(match, f"a {kind}, b {kind}, apart int")
+    # in one order, so that the same edges are chosen again after a lost executor
+    return rows.repartition("key").sortWithinPartitions("key", *names).mapInArrow(match, f"a {kind}, b {kind}, apart int")
 
 
 def _hot_links(rows: DataFrame, names: list[str], limit: int, block: int) -> DataFrame:
