@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import contracts
+from ..operators import contracts, geometry
 from ..sources import io
 from . import inputs
 from .inputs import CANDIDATES, ITEMS, OBSERVATIONS, VECTORS, WINDOWED
+from .q_geometry import POLYS, polys
 from .registry import query
 
 
@@ -147,9 +148,17 @@ def a12(spark, sf):
     return io.deduped_items(inputs.items(spark, sf), "item_id", "doc", "acquired", at("1996-01-01"), at("1998-01-01"))[0].select("item_id", "acquired")
 
 
-@query("a13_polygon_table", "SELECT s_suppkey AS field_uid, s_name AS label FROM supplier")
+@query("a13_polygon_table", f"WITH {POLYS} SELECT k AS field_uid, s_name AS label, k % 50 <> 0 AS valid, CASE WHEN k % 50 <> 0 THEN round((x1 - x0) * (y1 - y0), 6) END AS area FROM polys JOIN supplier ON s_suppkey = k")
 def a13(spark, sf):
-    return io.polygon_table(inputs.table(spark, sf, "supplier"), {"field_uid": "s_suppkey", "label": "s_name"})
+    """Ground truth stored under its own column names, every fiftieth geometry broken: read by configured names, with status and area."""
+    p = polys(spark, sf).join(inputs.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), "s_name"), "k")
+    geom = F.when(F.col("k") % 50 == 0, F.concat(F.lit("POINT "), "wkt")).otherwise(F.col("wkt"))
+    path = folder(spark)
+    p.select(F.col("k").alias("Field ID"), F.col("s_name").alias("Crop"), geom.alias("geom")).write.parquet(path)
+    t = io.polygon_table(spark.read.parquet(path), {"field_uid": "Field ID", "label": "Crop", "wkt": "geom"})
+    t = t.withColumn("valid", geometry.geometry_status(F.col("wkt")).isNull())
+    area = geometry.boxes(geometry.edges(t.where("valid"), "field_uid"), "field_uid").select("field_uid", F.round("area", 6).alias("area"))
+    return t.join(area, "field_uid", "left").select("field_uid", "label", "valid", "area")
 
 
 @query("a14_run_bound_table", "SELECT 'column' AS rule, 'absent' AS key UNION ALL SELECT 'row_count', 'false' FROM supplier HAVING count(*) <> 7 UNION ALL SELECT 'same_run', 'other'")
