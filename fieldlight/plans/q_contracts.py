@@ -19,9 +19,11 @@ def d1(spark, sf):
     return found.where("rule <> 'unique_place'")
 
 
-@query("d1_unique_place", f"WITH {CANDIDATES} SELECT printf('%.1f', longitude) || '|' || printf('%.1f', latitude) AS key, CAST(count(*) AS VARCHAR) AS detail FROM candidates GROUP BY longitude, latitude HAVING count(*) > 1")
+@query("d1_unique_place", f"WITH {CANDIDATES}, c AS (SELECT floor(longitude / 15) * 15 AS longitude, floor(latitude / 15) * 15 AS latitude FROM candidates) SELECT printf('%.1f', longitude) || '|' || printf('%.1f', latitude) AS key, CAST(count(*) AS VARCHAR) AS detail FROM c GROUP BY longitude, latitude HAVING count(*) > 1")
 def d1b(spark, sf):
-    return contracts.candidate_contract(inputs.candidates(spark, sf), []).where("rule = 'unique_place'").select("key", "detail")
+    """Places on a lattice of fifteen degrees, where many meet."""
+    snap = {c: (F.floor(F.col(c) / 15) * 15).cast("double") for c in ("longitude", "latitude")}
+    return contracts.candidate_contract(inputs.candidates(spark, sf).withColumns(snap), []).where("rule = 'unique_place'").select("key", "detail")
 
 
 @query("d2_block_leakage", f"WITH {CANDIDATES} SELECT 'one_split' AS rule, spatial_block AS key, min(stratum) || '|' || max(stratum) AS detail FROM candidates GROUP BY spatial_block HAVING min(stratum) <> max(stratum)")
@@ -144,9 +146,10 @@ def d20(spark, sf):
     return contracts.class_mapping(v, "crop", "field", "split", ["train"]).where("rule <> 'one_label'").select("rule", "key")
 
 
-@query("d21_private_pixels", f"WITH {MEMBERSHIPS}, l AS (SELECT * FROM memberships WHERE field_uid NOT IN (SELECT field_uid FROM memberships WHERE tile % 7 = 0)), c AS (SELECT pixel FROM l GROUP BY pixel HAVING count(DISTINCT field_uid) = 1 AND count(DISTINCT label) = 1) SELECT field_uid, pixel, label, line FROM l WHERE pixel IN (SELECT pixel FROM c)")
+@query("d21_private_pixels", f"WITH {MEMBERSHIPS}, m AS (SELECT field_uid, pixel * 10 + line AS pixel, label, line, tile FROM memberships), l AS (SELECT * FROM m WHERE field_uid NOT IN (SELECT field_uid FROM m WHERE tile % 7 = 0)), c AS (SELECT pixel FROM l GROUP BY pixel HAVING count(DISTINCT field_uid) = 1 AND count(DISTINCT label) = 1) SELECT field_uid, pixel, label, line FROM l WHERE pixel IN (SELECT pixel FROM c)")
 def d21(spark, sf):
-    m = inputs.memberships(spark, sf)
+    """Parts times line numbers stand for pixels, so that many belong to few fields."""
+    m = inputs.memberships(spark, sf).withColumn("pixel", F.col("pixel") * 10 + F.col("line"))
     return cohort.private_pixels(m, m.where("tile % 7 = 0"), "field_uid", "pixel", "label").select("field_uid", "pixel", "label", "line")
 
 
