@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,30 +32,57 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Folders that stored() has written, oldest first.
-_WRITTEN: list[str] = []
+#: The folder that scratch() has opened in this thread.
+_OPEN: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def _folder(spark: SparkSession, what: str) -> str:
+    return f"{_OPEN.get() or shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, _folder(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
-def mark() -> int:
-    """A point in the list of stored tables, for release()."""
-    return len(_WRITTEN)
-
-
-def release(spark: SparkSession, since: int, upto: int) -> None:
-    """Removes the tables stored between two marks, which no later job may read."""
-    for path in filter(None, _WRITTEN[since:upto]):
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-    _WRITTEN[since:upto] = [""] * (min(upto, len(_WRITTEN)) - since)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside, in this thread, goes to a folder of its own, removed at the end, with or without an exception."""
+    path = _folder(spark, "scratch")
+    before = _OPEN.set(path)
+    try:
+        yield
+    finally:
+        _OPEN.reset(before)
+        _remove(spark, path)
+
+
+class Tables:
+    """Stored tables of one call, which it can remove when no later job reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.own = spark, []
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        path = _folder(self.spark, what)
+        self.own.append((path, None))  # a write that fails may leave a part
+        df.write.option("compression", "zstd").parquet(path)
+        self.own[-1] = path, self.spark.read.parquet(path)
+        return self.own[-1][1]
+
+    def clear(self, *but: DataFrame) -> None:
+        """Removes all tables but these."""
+        gone = [(p, df) for p, df in self.own if not any(df is x for x in but)]
+        self.own = [x for x in self.own if x not in gone]
+        for path, _ in gone:
+            _remove(self.spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mark, release, stored
+from .common import Tables
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,12 +30,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge; root is the least node reachable."""
-    now = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
-    seen, at = None, mark() - 1
+    tables = Tables(edges.sparkSession)
+    now = tables.stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
+    seen = None
     while True:
-        now = stored(_star(_star(now, True), False), "links")
-        release(edges.sparkSession, at, mark() - 1)  # the step before is not read any more
-        at = mark() - 1
+        now = tables.stored(_star(_star(now, True), False), "links")
+        tables.clear(now)  # the step before is not read any more
         fresh = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if fresh == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin digests of their results over whole tables."""
+"""The registered queries of the thirteen operators: thin digests of their results over whole tables."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_trees, read_back
+from .collocations import collocations
 from .common import stored, table
 from .decontaminate import decontaminate
+from .exact_dedup import exact_duplicates
+from .hard_negatives import hard_negatives
 from .packing import pack, with_crc
 from .quality import quality_rules
 from .secrets import BASE, secret_spans, spans_text
@@ -95,6 +98,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(bundles, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations(table(spark, sf_dir, "documents"), longest=5, min_count=100, top=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS1 = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -175,13 +192,46 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
   CASE WHEN page_id <> first THEN first END AS refers_to FROM b
 """
 
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+k AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k)),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM k GROUP BY ALL HAVING count(*) >= 100),
+x AS (SELECT lang, k, unnest([array_to_string(s[:-2], ' '), array_to_string(s[2:], ' ')]) AS phrase, a FROM (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE k > 2)),
+m AS (SELECT lang, phrase, max(a) AS wider FROM x GROUP BY lang, phrase),
+c AS (SELECT f.*, string_split(phrase, ' ') AS s FROM f LEFT JOIN m USING (lang, phrase) WHERE k > 1 AND (wider IS NULL OR wider < a)),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+j AS (SELECT u.lang, u.phrase, u.a, u.cut, h.a AS l, e.a AS r, n, CAST(1000::HUGEINT * u.a * n // (h.a::HUGEINT * e.a) AS BIGINT) AS score
+  FROM u JOIN f h ON h.lang = u.lang AND h.phrase = array_to_string(u.s[:u.cut], ' ') JOIN f e ON e.lang = u.lang AND e.phrase = array_to_string(u.s[u.cut + 1:], ' ') JOIN t ON t.lang = u.lang),
+b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000
+"""
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
 
 def queries() -> dict[str, Query]:
     named = [
         op1_decontaminate, op2_simhash, op3_suffix_array, op4_chat, op5_quality, op6_secrets, op7_urls, op8_packing, op9_warc, op10_substring,
+        op11_exact_dedup, op12_collocations, op13_hard_negatives,
     ]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_suffix_array": OP3_SQL, "op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op9_warc": OP9_SQL, "op10_substring": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_suffix_array": OP3_SQL, "op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op9_warc": OP9_SQL, "op10_substring": OP10_SQL,
+            "op11_exact_dedup": OP11_SQL, "op12_collocations": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -22,7 +22,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations", "labels"):
+    for t in ("documents", "benchmark", "pages", "conversations", "labels", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
