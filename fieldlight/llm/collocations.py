@@ -5,8 +5,10 @@
    two Burrows-Wheeler transforms, of the words and of the words in reverse. Suffixes are sorted by their
    first eight words, which is all that steps up to eight words need.
 2. Word counts of the shards are summed. Only words as frequent as a phrase must be are given back to shards.
-3. A shard extends the intervals of its frequent words by one word to the right, in both indexes at once,
-   and reports each pair of frequent words with its count. Counts are summed; frequent pairs go back.
+3. Shards also count their pairs of neighbours in BUCKETS hashed buckets. The sums over all shards are upper
+   bounds: a pair whose bucket is too small is not frequent. One bit a bucket, a fixed size, goes to all tasks.
+   A shard extends the intervals of its frequent words by one word to the right and reports each pair
+   of frequent words in a large bucket with its exact count. Counts are summed; frequent pairs go back.
 4. A shard extends the intervals of its frequent pairs, in turn to the left and to the right, wherever the
    new pair of neighbours is frequent, down to the longest phrase, and reports phrases with counts. They are
    summed again.
@@ -28,21 +30,47 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Tables, partitions, slices, stored
-from .repeats import packed, unpacked
 
 #: Words of a shard, and the bytes of text that are cut into words at once.
 SHARD_WORDS = 1 << 21
 CUT_BYTES = 1 << 24
+#: Buckets of hashed pairs (a power of two from 64 on; 512 KB of bits), and the parts in which their counts are added up.
+BUCKETS, SEGMENTS = 1 << 22, 64
 #: A-Z lower-cased, what ends a piece as byte 255 (which UTF-8 never has), tabs as spaces.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\v\f\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\xff" * 10 + b" ")
-SHARD_DDL = "shard long, lang string, words array<string>, counts array<long>, index binary"
-SHARD_TYPES = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+SHARD_DDL = "shard long, lang string, words array<string>, counts array<long>, forward binary, reverse binary, buckets array<binary>"
+SHARD_TYPES = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+SHARD_NAMES = ["shard", "lang", "words", "counts", "forward", "reverse", "buckets"]
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """32-bit integers, compressed byte by byte of each."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def restored(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A hash of every word of a vocabulary, 0 for the separator before it."""
+    return np.array([0, *(xxhash.xxh3_64_intdigest(w.encode()) for w in words)], np.uint64)
+
+
+def bucket_of(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each pair of words."""
+    x = hashes[a] * np.uint64(0x9E3779B97F4A7C15) + hashes[b]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
 class _Ids(dict):
@@ -62,14 +90,16 @@ class _Shard:
         self.parts += [np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
         self.size += len(words)
 
-    def row(self, shard: int, lang: str) -> tuple | None:
+    def row(self, shard: int, lang: str, buckets: int) -> tuple | None:
         text = np.concatenate(self.parts)
         text = text[np.r_[True, (text[1:] != 0) | (text[:-1] != 0)]]  # runs of separators are one
         counts = np.bincount(text, minlength=len(self.ids))[1:]
         if not len(counts):
             return None
         words = [w.decode("utf-8", "replace") for w in self.ids][1:]
-        return shard, lang, words, counts.tolist(), packed(transform(text), transform(text[::-1]))
+        at = np.flatnonzero((text[1:] != 0) & (text[:-1] != 0))
+        pairs = np.bincount(bucket_of(word_hashes(words), text[at], text[at + 1], buckets), minlength=buckets)
+        return shard, lang, words, counts.tolist(), squeezed(transform(text)), squeezed(transform(text[::-1])), [squeezed(x) for x in np.split(pairs, SEGMENTS)]
 
 
 def transform(text: np.ndarray) -> np.ndarray:
@@ -79,9 +109,10 @@ def transform(text: np.ndarray) -> np.ndarray:
         key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        rank = np.empty(len(text), np.int64)
-        rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
-    return text[np.argsort(rank, kind="stable") - 1]
+        if step < 4:
+            rank = np.empty(len(text), np.int64)
+            rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    return text[order - 1]
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -94,16 +125,16 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _shards(text_col: str, lang_col: str, size: int):
+def _shards(text_col: str, lang_col: str, size: int, buckets: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, open_, made = TaskContext.get().partitionId() << 24, {}, 0
 
         def closed(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal made
-            row = open_.pop(lang).row(base + made, lang)
+            row = open_.pop(lang).row(base + made, lang, buckets)
             made += 1
             if row:
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, SHARD_TYPES, strict=True)], names=["shard", "lang", "words", "counts", "index"])
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, SHARD_TYPES, strict=True)], names=SHARD_NAMES)
 
         for batch in slices(batches):
             texts = batch.column(text_col).cast(pa.string()).cast(pa.binary()).to_pylist()
@@ -122,15 +153,38 @@ def _shards(text_col: str, lang_col: str, size: int):
     return make
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the buckets' counts by segment, row by row."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            segment, counts = batch["segment"][i].as_py(), restored(batch["counts"][i].as_py())
+            total[segment] = np.minimum(total.get(segment, 0) + counts, 2**32 - 1)
+    yield pa.RecordBatch.from_pydict({"segment": pa.array(list(total), pa.int32()), "counts": pa.array([squeezed(x) for x in total.values()], pa.binary())})
+
+
+def _large(shards: DataFrame, min_count: int, buckets: int) -> bytes:
+    """One bit a bucket: whether its count over all shards reaches min_count."""
+    parts, ddl = shards.select(F.posexplode("buckets").alias("segment", "counts")), "segment int, counts binary"
+    some = parts.mapInArrow(_added, ddl).withColumn("part", F.spark_partition_id() % int(partitions(shards.sparkSession) ** 0.5 + 1))
+    some = some.repartition("segment", "part").drop("part").mapInArrow(_added, ddl).repartition("segment").mapInArrow(_added, ddl)
+    rows = {r.segment: restored(r.counts) >= min_count for r in some.collect()}  # of fixed size: a count for each bucket
+    empty = np.zeros(buckets // SEGMENTS, bool)
+    return np.packbits(np.concatenate([rows.get(i, empty) for i in range(SEGMENTS)])).tobytes()
+
+
 class BiIndex:
-    """Intervals of phrases in both indexes, grown by one word at either end; arrays of phrases at once."""
+    """Intervals of phrases in the index of a text and in that of its reverse, grown by one word at either end; arrays of phrases at once.
 
-    def __init__(self, index: bytes, sigma: int) -> None:
-        self.sigma = sigma
-        self.bwt = [x.astype(np.int64) for x in unpacked(index, "i4", "i4")]  # of the words, of the words in reverse
-        self.n = len(self.bwt[0])
-        self.steps = [np.sort(b * self.n + np.arange(self.n)) for b in self.bwt]
-        self.first = np.searchsorted(np.sort(self.bwt[0]), np.arange(sigma + 1))
+    With one of the two transforms only that end grows.
+    """
+
+    def __init__(self, forward: np.ndarray | None, reverse: np.ndarray | None, sigma: int) -> None:
+        self.sigma, self.bwt = sigma, [forward, reverse]
+        some = forward if forward is not None else reverse
+        self.n = len(some)
+        self.steps = [None if b is None else np.sort(b * self.n + np.arange(self.n)) for b in self.bwt]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(some, minlength=sigma))])
 
     def words(self, ids: np.ndarray) -> np.ndarray:
         """Rows (start in the index, start in the reverse one, length) of single words."""
@@ -161,27 +215,33 @@ def _table(shard: int, lang: str, phrases: pa.Array, counts: np.ndarray, extra:
                      "phrase": phrases, "n": pa.array(counts)})
 
 
-def _opened(shards: pa.Table) -> tuple[int, str, pa.Array, BiIndex]:
+def _opened(shards: pa.Table, *sides: str) -> tuple[int, str, pa.Array, BiIndex]:
     words = pa.concat_arrays([pa.array([""]), shards["words"].combine_chunks().flatten().cast(pa.string())])
-    return shards["shard"][0].as_py(), shards["lang"][0].as_py(), words, BiIndex(shards["index"][0].as_py(), len(words))
+    return shards["shard"][0].as_py(), shards["lang"][0].as_py(), words, BiIndex(*[restored(shards[k][0].as_py()) if k in sides else None for k in ("forward", "reverse")], len(words))
 
 
 PAIR_DDL = "shard long, lang string, i int, j int, phrase string, n long"
 _PAIR = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-def _pairs(shards: pa.Table, allowed: pa.Table) -> pa.Table:
-    """Pairs of allowed words of one shard, by an extension to the right."""
-    if not shards.num_rows or not allowed.num_rows:
-        return _PAIR.empty_table()
-    shard, lang, words, index = _opened(shards)
-    ok = np.zeros(index.sigma, bool)
-    ok[allowed["i"].to_numpy()] = True
-    first = np.flatnonzero(ok)
-    who, second, at = index.grown(index.words(first), False, lambda _, w: ok[w])
-    left = first[who]
-    phrases = pc.binary_join_element_wise(words.take(pa.array(left)), words.take(pa.array(second)), " ")
-    return _table(shard, lang, phrases, at[:, 2], {"i": left, "j": second}).select(_PAIR.names).cast(_PAIR)
+def _pairs(large: bytes):
+    many = np.unpackbits(np.frombuffer(large, np.uint8)).astype(bool)
+
+    def grow(shards: pa.Table, allowed: pa.Table) -> pa.Table:
+        """Pairs of allowed words of one shard, in large buckets, by an extension to the right."""
+        if not shards.num_rows or not allowed.num_rows:
+            return _PAIR.empty_table()
+        shard, lang, words, index = _opened(shards, "reverse")
+        hashes = word_hashes(words.to_pylist()[1:])
+        ok = np.zeros(index.sigma, bool)
+        ok[allowed["i"].to_numpy()] = True
+        first = np.flatnonzero(ok)
+        who, second, at = index.grown(index.words(first), False, lambda p, w: ok[w] & many[bucket_of(hashes, first[p], w, len(many))])
+        left = first[who]
+        phrases = pc.binary_join_element_wise(words.take(pa.array(left)), words.take(pa.array(second)), " ")
+        return _table(shard, lang, phrases, at[:, 2], {"i": left, "j": second}).select(_PAIR.names).cast(_PAIR)
+
+    return grow
 
 
 LONG_DDL = "lang string, size int, phrase string, n long"
@@ -193,7 +253,7 @@ def _longer(longest: int):
         """Phrases of three words to the longest, whose neighbours are allowed pairs, grown in turn at the left and the right end."""
         if not shards.num_rows or not allowed.num_rows:
             return _LONG.empty_table()
-        shard, lang, words, index = _opened(shards)
+        shard, lang, words, index = _opened(shards, "forward", "reverse")
         pairs = np.unique(allowed["i"].to_numpy().astype(np.int64) * index.sigma + allowed["j"].to_numpy())
         known = lambda a, b: pairs[np.minimum(np.searchsorted(pairs, a * index.sigma + b), len(pairs) - 1)] == a * index.sigma + b
         first = np.unique(pairs // index.sigma)
@@ -211,27 +271,30 @@ def _longer(longest: int):
     return grow
 
 
-def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 100, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 100, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases of up to longest words with f >= min_count, and (lang, total) words of each language."""
     if not 2 <= longest <= 8:
         raise ValueError("phrases have 2 to 8 words")
+    if buckets < SEGMENTS or buckets & (buckets - 1):
+        raise ValueError("buckets must be a power of two, 64 at least")
     tables = Tables(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    shards = tables.stored(rows.mapInArrow(_shards("text", "lang", shard_words), SHARD_DDL), "shards")
+    shards = tables.stored(rows.mapInArrow(_shards("text", "lang", shard_words, buckets), SHARD_DDL), "shards")
     seen = shards.select("shard", "lang", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("w")).select("lang", "w.word", "w.n")
     words = tables.stored(seen.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     totals = tables.stored(words.groupBy("lang").agg(F.sum("f").alias("total")), "totals")
     frequent = tables.stored(words.where(F.col("f") >= min_count).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f"), "phrases")
 
-    index = shards.select("shard", "lang", "words", "index").groupBy("shard")
     places = shards.select("shard", "lang", F.posexplode("words").alias("i", "phrase"))
     mine = places.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select(F.col("shard").alias("of"), (F.col("i") + 1).alias("i"))
-    pairs = tables.stored(index.cogroup(mine.groupBy("of")).applyInArrow(_pairs, PAIR_DDL), "pairs")
+    index = shards.select("shard", "lang", "words", "reverse").groupBy("shard")
+    pairs = tables.stored(index.cogroup(mine.groupBy("of")).applyInArrow(_pairs(_large(shards, min_count, buckets)), PAIR_DDL), "pairs")
     two = pairs.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
     two = tables.stored(two.select("lang", "phrase", F.lit(2).alias("size"), "f"), "phrases")
     kept, after = frequent.unionByName(two), [totals, frequent, two]
     if longest > 2:
         mine = pairs.join(two.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select(F.col("shard").alias("of"), "i", "j")
+        index = shards.select("shard", "lang", "words", "forward", "reverse").groupBy("shard")
         more = index.cogroup(mine.groupBy("of")).applyInArrow(_longer(longest), LONG_DDL)
         more = more.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("f")).where(F.col("f") >= min_count)
         after.append(tables.stored(more.select("lang", "phrase", "size", "f"), "phrases"))
@@ -260,13 +323,13 @@ def _best(rows: DataFrame, top: int, salts: int) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).drop("part")
 
 
-def collocations(docs: DataFrame, longest: int = 5, min_count: int = 100, top: int = 2000, scale: int = 1000, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 5, min_count: int = 100, top: int = 2000, scale: int = 1000, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """The first phrases of each language by score: lang, rank, phrase, size, a, cut, l, r, n, score.
 
     a: occurrences of the phrase; cut: the words before its weakest cut; l, r: occurrences of the parts there;
     n: the language's words; score: floor(scale * a * n / (l * r)). A phrase goes if a longer one around it is as frequent.
     """
-    found, totals = phrase_counts(docs, longest, min_count, text_col, lang_col, shard_words)
+    found, totals = phrase_counts(docs, longest, min_count, text_col, lang_col, shard_words, buckets)
     phrases = found.where("size > 1")
     # A phrase around another of the same count: so is the one that is longer by one word, as counts only fall.
     first = F.expr("substring_index(phrase, ' ', size - 1)")

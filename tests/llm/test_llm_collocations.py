@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 
 from fieldlight.llm import collocations as c
-from fieldlight.llm.repeats import packed
 
 
 def brute(rows, longest, least, top, scale=1000):
@@ -41,10 +40,10 @@ def rows():
     return [*out, ("no stop " * 4000, "en"), ("", "fr"), (" \t.,", "fr")]
 
 
-@pytest.mark.parametrize(("longest", "least", "top", "shard"), [(5, 5, 2000, c.SHARD_WORDS), (5, 4, 30, 200), (2, 4, 2000, 200), (8, 20, 2000, 1000)])
-def test_equals_brute_force(spark, longest, least, top, shard):
+@pytest.mark.parametrize(("longest", "least", "top", "shard", "buckets"), [(5, 5, 2000, c.SHARD_WORDS, 1 << 22), (5, 4, 30, 200, 64), (2, 4, 2000, 200, 256), (8, 20, 2000, 1000, 64)])
+def test_equals_brute_force(spark, longest, least, top, shard, buckets):
     docs = spark.createDataFrame(rows(), "text string, lang string").selectExpr("*", "1 AS phrase", "2 AS shard", "3 AS words")
-    found = c.collocations(docs, longest=longest, min_count=least, top=top, shard_words=shard).collect()
+    found = c.collocations(docs, longest=longest, min_count=least, top=top, shard_words=shard, buckets=buckets).collect()
     got = sorted((r.lang, r["rank"], r.phrase, r.a, r.cut, r.l, r.r, r.n, r.score) for r in found)
     assert got == brute(rows(), longest, least, top)
 
@@ -64,7 +63,7 @@ def test_intervals_stay_together():
     """Growing at either end gives the same counts, and both indexes hold intervals of the same phrase."""
     rng = np.random.default_rng(5)
     text = np.r_[0, rng.integers(0, 6, 500), 0].astype(np.int32)
-    index = c.BiIndex(packed(c.transform(text), c.transform(text[::-1])), 6)
+    index = c.BiIndex(*[c.restored(c.squeezed(c.transform(t))) for t in (text, text[::-1])], 6)
     where = lambda p: sum(tuple(text[i : i + len(p)]) == tuple(p) for i in range(len(text)))
     yes = lambda who, word: np.ones(len(who), bool)
     phrases, at = np.arange(1, 6)[:, None], index.words(np.arange(1, 6))
