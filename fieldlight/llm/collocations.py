@@ -3,20 +3,18 @@
 1. Each task gathers the words of its rows by language into shards of about SHARD_WORDS words, with a
    separator wherever a phrase may not go across, and writes for each shard its vocabulary with counts and
    two Burrows-Wheeler transforms, of the words and of the words in reverse. Suffixes are sorted by their
-   first eight words, which is all that steps up to eight words need.
-2. Word counts of the shards are summed. Only words as frequent as a phrase must be are given back to shards.
-3. Shards also count their pairs of neighbours in BUCKETS hashed buckets. The sums over all shards are upper
-   bounds: a pair whose bucket is too small is not frequent. One bit a bucket, a fixed size, goes to all tasks.
-   A shard extends the intervals of its frequent words by one word to the right and reports each pair
-   of frequent words in a large bucket with its exact count. Counts are summed; frequent pairs go back.
-4. A shard extends the intervals of its frequent pairs, in turn to the left and to the right, wherever the
-   new pair of neighbours is frequent, down to the longest phrase, and reports phrases with counts. They are
-   summed again.
-5. Frequent phrases, their parts and their extensions by one word meet in equi-joins for the scores.
-
-No phrase that reaches min_count is lost: all its words and pairs reach it too. Frequent words and pairs
-are joined, never broadcast or collected; a shard gets only its own. Counts that shards report are partial
-sums, so that a common phrase costs one row a shard.
+   first eight words, which is all that steps up to eight words need. The shards are stored once and never shuffled.
+2. Upper bounds: the counts of pairs, then of triples of large pairs, are added up over all shards in hashed
+   buckets. A phrase with a bucket below min_count is not frequent. One bit a bucket goes to all tasks: at most
+   MOST_BUCKETS bits, whatever the input.
+3. Exact counts: a shard extends the intervals of its words in both indexes at once, in turn to the right and to the
+   left, down to the longest phrase, as long as all pairs and triples lie in large buckets, and reports
+   phrases with their counts in the shard. Spark sums them; those below min_count go.
+4. Frequent phrases, their parts and their extensions by one word meet in equi-joins for the scores.
+
+No phrase that reaches min_count is lost: its pairs and triples reach it too, and so do their buckets. Buckets only
+save work; where they are too few for the input more phrases are counted and dropped. A common phrase costs one row a
+shard. Nothing that grows with the input is broadcast or collected.
 
 Defined results: a null text is empty, a null language is 'und'. Repeated rows count each. A piece without
 words has no phrase. Other columns are not read. An empty table gives an empty result. Texts of any length
@@ -40,15 +38,15 @@ from pyspark.sql.window import Window
 from .common import Tables, partitions, slices, stored
 
 #: Words of a shard, and the bytes of text that are cut into words at once.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 22
 CUT_BYTES = 1 << 24
-#: Buckets of hashed pairs (a power of two from 64 on; 512 KB of bits), and the parts in which their counts are added up.
-BUCKETS, SEGMENTS = 1 << 22, 64
+#: Words for which there is a bucket, the most buckets (16 MB of bits), and the parts in which their counts are added up.
+WORDS_A_BUCKET, MOST_BUCKETS, SEGMENTS = 8, 1 << 27, 64
 #: A-Z lower-cased, what ends a piece as byte 255 (which UTF-8 never has), tabs as spaces.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\v\f\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\xff" * 10 + b" ")
-SHARD_DDL = "shard long, lang string, words array<string>, counts array<long>, forward binary, reverse binary, buckets array<binary>"
-SHARD_TYPES = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary())]
-SHARD_NAMES = ["shard", "lang", "words", "counts", "forward", "reverse", "buckets"]
+SHARD_DDL = "shard long, lang string, words array<string>, counts array<long>, forward binary, reverse binary"
+SHARD_TYPES = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+SHARD_NAMES = ["shard", "lang", "words", "counts", "forward", "reverse"]
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -66,9 +64,11 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array([0, *(xxhash.xxh3_64_intdigest(w.encode()) for w in words)], np.uint64)
 
 
-def bucket_of(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each pair of words."""
-    x = hashes[a] * np.uint64(0x9E3779B97F4A7C15) + hashes[b]
+def bucket_of(hashes: np.ndarray, phrases: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each phrase (rows of word numbers)."""
+    x = hashes[phrases[:, 0]]
+    for c in phrases.T[1:]:
+        x = x * np.uint64(0x9E3779B97F4A7C15) + hashes[c]
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (x >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
@@ -90,16 +90,14 @@ class _Shard:
         self.parts += [np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
         self.size += len(words)
 
-    def row(self, shard: int, lang: str, buckets: int) -> tuple | None:
+    def row(self, shard: int, lang: str) -> tuple | None:
         text = np.concatenate(self.parts)
         text = text[np.r_[True, (text[1:] != 0) | (text[:-1] != 0)]]  # runs of separators are one
         counts = np.bincount(text, minlength=len(self.ids))[1:]
         if not len(counts):
             return None
         words = [w.decode("utf-8", "replace") for w in self.ids][1:]
-        at = np.flatnonzero((text[1:] != 0) & (text[:-1] != 0))
-        pairs = np.bincount(bucket_of(word_hashes(words), text[at], text[at + 1], buckets), minlength=buckets)
-        return shard, lang, words, counts.tolist(), squeezed(transform(text)), squeezed(transform(text[::-1])), [squeezed(x) for x in np.split(pairs, SEGMENTS)]
+        return shard, lang, words, counts.tolist(), squeezed(transform(text)), squeezed(transform(text[::-1]))
 
 
 def transform(text: np.ndarray) -> np.ndarray:
@@ -125,13 +123,13 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _shards(text_col: str, lang_col: str, size: int, buckets: int):
+def _shards(text_col: str, lang_col: str, size: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, open_, made = TaskContext.get().partitionId() << 24, {}, 0
 
         def closed(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal made
-            row = open_.pop(lang).row(base + made, lang, buckets)
+            row = open_.pop(lang).row(base + made, lang)
             made += 1
             if row:
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, SHARD_TYPES, strict=True)], names=SHARD_NAMES)
@@ -153,154 +151,184 @@ def _shards(text_col: str, lang_col: str, size: int, buckets: int):
     return make
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the buckets' counts by segment, row by row."""
-    total: dict[int, np.ndarray] = {}
+class BiIndex:
+    """Intervals of phrases in the index of a text and in that of its reverse, grown by one word at either end; arrays of phrases at once."""
+
+    def __init__(self, forward: np.ndarray, reverse: np.ndarray, sigma: int) -> None:
+        self.sigma, self.bwt = sigma, [forward, reverse]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(forward, minlength=sigma))])
+        self.steps = []  # where the word before a row's suffix begins its own
+        for b in self.bwt:
+            step = np.empty(len(b), np.int32)
+            step[np.argsort(b, kind="stable")] = np.arange(len(b), dtype=np.int32)
+            self.steps.append(step)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words, and their rows (start in the index, start in the reverse one, length)."""
+        return np.arange(1, self.sigma)[:, None], np.stack([self.first[1:-1], self.first[1:-1], np.diff(self.first)[1:]], 1)
+
+    def grown(self, phrases: np.ndarray, at: np.ndarray, left: bool, fits) -> tuple[np.ndarray, np.ndarray]:
+        """All phrases longer by a word at one end for which fits(phrases), and their intervals. Works in slices of bounded size."""
+        own, other = (0, 1) if left else (1, 0)
+        ends = np.cumsum(at[:, 2])
+        cuts = np.unique([0, *(np.searchsorted(ends, np.arange(SLICE, at[:, 2].sum(), SLICE)) + 1), len(at)])
+        out = [(np.empty((0, phrases.shape[1] + 1), np.int64), np.empty((0, 3), np.int64))]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part, length = at[a:b], at[a:b, 2]
+            who = np.repeat(np.arange(len(part)), length)
+            rows = np.arange(len(who)) - np.repeat(np.cumsum(length) - length, length) + part[who, own]
+            key, seen, count = np.unique(who * self.sigma + self.bwt[own][rows], return_index=True, return_counts=True)
+            who, word = np.divmod(key, self.sigma)
+            before = np.cumsum(count) - count  # of an interval's rows, those with smaller words
+            before -= before[np.searchsorted(who, who)]
+            new = np.empty((len(who), 3), np.int64)
+            new[:, own], new[:, other], new[:, 2] = self.steps[own][rows[seen]], part[who, other] + before, count
+            longer = np.column_stack([word, phrases[a:b][who]] if left else [phrases[a:b][who], word])
+            keep = np.flatnonzero(word > 0)
+            keep = keep[fits(longer[keep])]
+            out.append((longer[keep], new[keep]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+#: Rows of intervals that are looked at together.
+SLICE = 1 << 20
+
+
+class _Filter:
+    """Which phrases may be frequent, by the buckets of the pairs and triples at their ends."""
+
+    def __init__(self, words: list[str], large: dict[int, np.ndarray]) -> None:
+        self.hashes, self.large = word_hashes(words), large
+
+    def __call__(self, phrases: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(phrases), bool)
+        for size, many in self.large.items():
+            if size <= phrases.shape[1]:
+                for part in {0, phrases.shape[1] - size}:
+                    rest = np.flatnonzero(ok)
+                    ok[rest] = many[bucket_of(self.hashes, phrases[rest, part : part + size], len(many))]
+        return ok
+
+
+def _bits(large: dict[int, bytes]) -> dict[int, np.ndarray]:
+    return {size: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for size, b in large.items()}
+
+
+def _opened(batches: Iterator[pa.RecordBatch], large: dict[int, bytes]) -> Iterator[tuple]:
+    """(language, vocabulary with the separator first, index, filter) of each shard."""
+    bits = _bits(large)
     for batch in batches:
         for i in range(batch.num_rows):
-            segment, counts = batch["segment"][i].as_py(), restored(batch["counts"][i].as_py())
-            total[segment] = np.minimum(total.get(segment, 0) + counts, 2**32 - 1)
-    yield pa.RecordBatch.from_pydict({"segment": pa.array(list(total), pa.int32()), "counts": pa.array([squeezed(x) for x in total.values()], pa.binary())})
+            words = ["", *batch["words"][i].as_py()]
+            index = BiIndex(*[restored(batch[k][i].as_py()) for k in ("forward", "reverse")], len(words))
+            yield batch["lang"][i].as_py(), words, index, _Filter(words[1:], bits)
 
 
-def _large(shards: DataFrame, min_count: int, buckets: int) -> bytes:
-    """One bit a bucket: whether its count over all shards reaches min_count."""
-    parts, ddl = shards.select(F.posexplode("buckets").alias("segment", "counts")), "segment int, counts binary"
-    some = parts.mapInArrow(_added, ddl).withColumn("part", F.spark_partition_id() % int(partitions(shards.sparkSession) ** 0.5 + 1))
-    some = some.repartition("segment", "part").drop("part").mapInArrow(_added, ddl).repartition("segment").mapInArrow(_added, ddl)
-    rows = {r.segment: restored(r.counts) >= min_count for r in some.collect()}  # of fixed size: a count for each bucket
-    empty = np.zeros(buckets // SEGMENTS, bool)
-    return np.packbits(np.concatenate([rows.get(i, empty) for i in range(SEGMENTS)])).tobytes()
+def _phrases(index: BiIndex, fits: _Filter, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Phrases of two words to the longest that pass, and their intervals: grown at the right and the left end in turn."""
+    phrases, at = index.words()
+    for size in range(2, longest + 1):
+        phrases, at = index.grown(phrases, at, size % 2 == 1, fits)
+        yield phrases, at
 
 
-class BiIndex:
-    """Intervals of phrases in the index of a text and in that of its reverse, grown by one word at either end; arrays of phrases at once.
+BUCKET_DDL = "segment int, places binary, counts binary"
 
-    With one of the two transforms only that end grows.
-    """
 
-    def __init__(self, forward: np.ndarray | None, reverse: np.ndarray | None, sigma: int) -> None:
-        self.sigma, self.bwt = sigma, [forward, reverse]
-        some = forward if forward is not None else reverse
-        self.n = len(some)
-        self.steps = [None if b is None else np.sort(b * self.n + np.arange(self.n)) for b in self.bwt]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(some, minlength=sigma))])
+def _segments(total: np.ndarray) -> pa.RecordBatch:
+    parts = [(i, np.flatnonzero(x), x) for i, x in enumerate(np.split(total, SEGMENTS))]
+    parts = [(i, np.diff(at, prepend=0), x[at]) for i, at, x in parts if len(at)]
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), *[pa.array([squeezed(p[k]) for p in parts], pa.binary()) for k in (1, 2)]], names=["segment", "places", "counts"])
 
-    def words(self, ids: np.ndarray) -> np.ndarray:
-        """Rows (start in the index, start in the reverse one, length) of single words."""
-        return np.stack([self.first[ids], self.first[ids], self.first[ids + 1] - self.first[ids]], 1)
 
-    def grown(self, at: np.ndarray, left: bool, allowed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All extensions of intervals by a word: (phrase, word, interval). allowed(phrase, word) -> mask."""
-        own, other = (0, 1) if left else (1, 0)
-        length = at[:, 2]
-        who = np.repeat(np.arange(len(at)), length)
-        rows = np.arange(len(who)) - np.repeat(np.cumsum(length) - length, length) + at[who, own]
-        key, count = np.unique(who * self.sigma + self.bwt[own][rows], return_counts=True)
-        who, word = np.divmod(key, self.sigma)
-        before = np.cumsum(count) - count  # of an interval's rows, those with smaller words
-        before -= before[np.searchsorted(who, who)]
-        new = np.empty((len(who), 3), np.int64)
-        new[:, own] = np.searchsorted(self.steps[own], word * self.n + at[who, own])
-        new[:, other] = at[who, other] + before
-        new[:, 2] = count
-        keep = word > 0
-        keep[keep] = allowed(who[keep], word[keep])
-        return who[keep], word[keep], new[keep]
-
-
-def _table(shard: int, lang: str, phrases: pa.Array, counts: np.ndarray, extra: dict[str, np.ndarray]) -> pa.Table:
-    n = len(counts)
-    return pa.table({"shard": pa.array(np.full(n, shard)), "lang": pa.array([lang] * n, pa.string()), **{k: pa.array(v.astype(np.int32)) for k, v in extra.items()},
-                     "phrase": phrases, "n": pa.array(counts)})
-
-
-def _opened(shards: pa.Table, *sides: str) -> tuple[int, str, pa.Array, BiIndex]:
-    words = pa.concat_arrays([pa.array([""]), shards["words"].combine_chunks().flatten().cast(pa.string())])
-    return shards["shard"][0].as_py(), shards["lang"][0].as_py(), words, BiIndex(*[restored(shards[k][0].as_py()) if k in sides else None for k in ("forward", "reverse")], len(words))
-
-
-PAIR_DDL = "shard long, lang string, i int, j int, phrase string, n long"
-_PAIR = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-
-
-def _pairs(large: bytes):
-    many = np.unpackbits(np.frombuffer(large, np.uint8)).astype(bool)
-
-    def grow(shards: pa.Table, allowed: pa.Table) -> pa.Table:
-        """Pairs of allowed words of one shard, in large buckets, by an extension to the right."""
-        if not shards.num_rows or not allowed.num_rows:
-            return _PAIR.empty_table()
-        shard, lang, words, index = _opened(shards, "reverse")
-        hashes = word_hashes(words.to_pylist()[1:])
-        ok = np.zeros(index.sigma, bool)
-        ok[allowed["i"].to_numpy()] = True
-        first = np.flatnonzero(ok)
-        who, second, at = index.grown(index.words(first), False, lambda p, w: ok[w] & many[bucket_of(hashes, first[p], w, len(many))])
-        left = first[who]
-        phrases = pc.binary_join_element_wise(words.take(pa.array(left)), words.take(pa.array(second)), " ")
-        return _table(shard, lang, phrases, at[:, 2], {"i": left, "j": second}).select(_PAIR.names).cast(_PAIR)
-
-    return grow
-
-
-LONG_DDL = "lang string, size int, phrase string, n long"
-_LONG = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-
-
-def _longer(longest: int):
-    def grow(shards: pa.Table, allowed: pa.Table) -> pa.Table:
-        """Phrases of three words to the longest, whose neighbours are allowed pairs, grown in turn at the left and the right end."""
-        if not shards.num_rows or not allowed.num_rows:
-            return _LONG.empty_table()
-        shard, lang, words, index = _opened(shards, "forward", "reverse")
-        pairs = np.unique(allowed["i"].to_numpy().astype(np.int64) * index.sigma + allowed["j"].to_numpy())
-        known = lambda a, b: pairs[np.minimum(np.searchsorted(pairs, a * index.sigma + b), len(pairs) - 1)] == a * index.sigma + b
-        first = np.unique(pairs // index.sigma)
-        who, word, at = index.grown(index.words(first), False, lambda p, w: known(first[p], w))
-        phrases = np.stack([first[who], word], 1)
-        out = [_LONG.empty_table()]
-        for size in range(3, longest + 1):
-            left = size % 2 == 1
-            who, word, at = index.grown(at, left, (lambda p, w: known(w, phrases[p, 0])) if left else (lambda p, w: known(phrases[p, -1], w)))  # noqa: B023
-            phrases = np.column_stack([word, phrases[who]] if left else [phrases[who], word])
-            texts = pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in phrases.T], " ")
-            out.append(_table(shard, lang, texts, at[:, 2], {"size": np.full(len(who), size)}).select(_LONG.names).cast(_LONG))
-        return pa.concat_tables(out)
-
-    return grow
-
-
-def phrase_counts(docs: DataFrame, longest: int = 5, min_count: int = 100, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, size, f) of all phrases of up to longest words with f >= min_count, and (lang, total) words of each language."""
+def _bucket_counts(size: int, buckets: int, large: dict[int, bytes]):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.uint32)
+        for _, _, index, fits in _opened(batches, large):
+            *_, (phrases, at) = _phrases(index, fits, size)
+            where, back = np.unique(bucket_of(fits.hashes, phrases, buckets), return_inverse=True)
+            total[where] = np.minimum(total[where] + np.bincount(back, at[:, 2], len(where)), 2**32 - 1)
+        yield _segments(total)
+
+    return each
+
+
+def _added(buckets: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the counts of each segment, row by row."""
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                now = total.setdefault(batch["segment"][i].as_py(), np.zeros(buckets // SEGMENTS, np.uint32))
+                at = np.cumsum(restored(batch["places"][i].as_py()))
+                now[at] = np.minimum(now[at] + restored(batch["counts"][i].as_py()), 2**32 - 1)
+        for segment, counts in total.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "places": pa.array([squeezed(np.diff(at, prepend=0))]), "counts": pa.array([squeezed(counts[at])])})
+
+    return each
+
+
+def _large(shards: DataFrame, size: int, min_count: int, buckets: int, large: dict[int, bytes]) -> bytes:
+    """One bit a bucket: whether the phrases of a size in it have min_count occurrences together."""
+    some = shards.mapInArrow(_bucket_counts(size, buckets, large), BUCKET_DDL)
+    some = some.withColumn("part", F.spark_partition_id() % int(partitions(shards.sparkSession) ** 0.5 + 1))
+    some = some.repartition("segment", "part").drop("part").mapInArrow(_added(buckets), BUCKET_DDL).repartition("segment").mapInArrow(_added(buckets), BUCKET_DDL)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                flags = np.zeros(buckets // SEGMENTS, bool)
+                flags[np.cumsum(restored(batch["places"][i].as_py()))] = restored(batch["counts"][i].as_py()) >= min_count
+                yield pa.RecordBatch.from_pydict({"segment": batch["segment"].slice(i, 1), "bits": pa.array([np.packbits(flags).tobytes()])})
+
+    rows = {r.segment: r.bits for r in some.mapInArrow(bits, "segment int, bits binary").collect()}  # a bit for each bucket
+    return b"".join(rows.get(i, bytes(buckets // SEGMENTS // 8)) for i in range(SEGMENTS))
+
+
+FOUND_DDL = "lang string, size int, phrase string, n long"
+
+
+def _counted(longest: int, large: dict[int, bytes]):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, index, fits in _opened(batches, large):
+            names = pa.array(words)
+            for phrases, at in _phrases(index, fits, longest):
+                texts = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in phrases.T], " ")
+                size = pa.array(np.full(len(at), phrases.shape[1], np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), size, texts, pa.array(at[:, 2])], names=["lang", "size", "phrase", "n"])
+
+    return each
+
+
+def phrase_counts(
+    docs: DataFrame, longest: int = 5, min_count: int = 100, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS, buckets: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, size, f) of all phrases of up to longest words with f >= min_count, and (lang, total) words of each language.
+
+    buckets: a power of two from 512 on; by default one for WORDS_A_BUCKET words.
+    """
     if not 2 <= longest <= 8:
         raise ValueError("phrases have 2 to 8 words")
-    if buckets < SEGMENTS or buckets & (buckets - 1):
-        raise ValueError("buckets must be a power of two, 64 at least")
     tables = Tables(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    shards = tables.stored(rows.mapInArrow(_shards("text", "lang", shard_words, buckets), SHARD_DDL), "shards")
-    seen = shards.select("shard", "lang", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("w")).select("lang", "w.word", "w.n")
+    shards = tables.stored(rows.mapInArrow(_shards("text", "lang", shard_words), SHARD_DDL), "shards")
+    seen = shards.select("lang", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("w")).select("lang", "w.word", "w.n")
     words = tables.stored(seen.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     totals = tables.stored(words.groupBy("lang").agg(F.sum("f").alias("total")), "totals")
     frequent = tables.stored(words.where(F.col("f") >= min_count).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f"), "phrases")
 
-    places = shards.select("shard", "lang", F.posexplode("words").alias("i", "phrase"))
-    mine = places.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select(F.col("shard").alias("of"), (F.col("i") + 1).alias("i"))
-    index = shards.select("shard", "lang", "words", "reverse").groupBy("shard")
-    pairs = tables.stored(index.cogroup(mine.groupBy("of")).applyInArrow(_pairs(_large(shards, min_count, buckets)), PAIR_DDL), "pairs")
-    two = pairs.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    two = tables.stored(two.select("lang", "phrase", F.lit(2).alias("size"), "f"), "phrases")
-    kept, after = frequent.unionByName(two), [totals, frequent, two]
-    if longest > 2:
-        mine = pairs.join(two.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select(F.col("shard").alias("of"), "i", "j")
-        index = shards.select("shard", "lang", "words", "forward", "reverse").groupBy("shard")
-        more = index.cogroup(mine.groupBy("of")).applyInArrow(_longer(longest), LONG_DDL)
-        more = more.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("f")).where(F.col("f") >= min_count)
-        after.append(tables.stored(more.select("lang", "phrase", "size", "f"), "phrases"))
-        kept = kept.unionByName(after[-1])
-    tables.clear(*after)
-    return kept, totals
+    wanted = (totals.agg(F.sum("total")).head()[0] or 0) // WORDS_A_BUCKET
+    buckets = buckets or min(MOST_BUCKETS, max(1 << 16, 1 << int(wanted).bit_length()))
+    if buckets < 8 * SEGMENTS or buckets & (buckets - 1):
+        raise ValueError("buckets must be a power of two, 512 at least")
+    index, large = shards.select("lang", "words", "forward", "reverse"), {}
+    for size in range(2, min(3, longest) + 1):
+        large[size] = _large(index, size, min_count, buckets, dict(large))
+    more = index.mapInArrow(_counted(longest, large), FOUND_DDL).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    more = tables.stored(more.select("lang", "phrase", "size", "f"), "phrases")
+    tables.clear(totals, frequent, more)
+    return frequent.unionByName(more), totals
 
 
 def floor_ratio(above: list, below: list) -> Column:
@@ -323,7 +351,7 @@ def _best(rows: DataFrame, top: int, salts: int) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).drop("part")
 
 
-def collocations(docs: DataFrame, longest: int = 5, min_count: int = 100, top: int = 2000, scale: int = 1000, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS, buckets: int = BUCKETS) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 5, min_count: int = 100, top: int = 2000, scale: int = 1000, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS, buckets: int | None = None) -> DataFrame:
     """The first phrases of each language by score: lang, rank, phrase, size, a, cut, l, r, n, score.
 
     a: occurrences of the phrase; cut: the words before its weakest cut; l, r: occurrences of the parts there;
