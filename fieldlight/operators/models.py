@@ -1,56 +1,16 @@
-"""Evaluated models: folds as a short driver loop, rows and fits in pyspark.ml."""
+"""Vector classifiers in pyspark.ml, and block bootstraps of measures."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluation
 
 
-def detector(features: list[str], reg: float, weight: str | None = None, vector: str | None = None) -> Pipeline:
-    """Median imputation with missing flags of single features, a vector as it is, scaling, logistic regression."""
-    filled = [f"{c}_filled" for c in features]
-    stages = [Imputer(inputCols=features, outputCols=filled, strategy="median")] if features else []
-    stages += [
-        VectorAssembler(inputCols=[*filled, *[f"{c}_missing" for c in features], *(["_vector"] if vector else [])], outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", labelCol="truth", regParam=reg, maxIter=30, **({"weightCol": weight} if weight else {})),
-    ]
-    return Pipeline(stages=stages)
-
-
-def with_flags(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in features}).withColumns({c: F.col(c).cast("double") for c in features})
-
-
-def out_of_fold(df: DataFrame, features: list[str], fold: str, k: int, regs: tuple[float, ...] = (0.1,), weight: str | None = None, vector: str | None = None) -> DataFrame:
-    """Rows with score and reg, each scored by a model of the other folds; the regularisation is the best by average precision on the next fold."""
-    df = with_flags(df, features)
-    df = (df.withColumn("_vector", array_to_vector(vector)) if vector else df).persist()  # read by every fit
-    out = None
-    for f in range(k):
-        outer = df.where(F.col(fold) != f)
-        reg = regs[0]
-        if len(regs) > 1:
-            inner, held = outer.where(F.col(fold) != (f + 1) % k), outer.where(F.col(fold) == (f + 1) % k)
-            tried = []
-            for r in regs:
-                got = scored(detector(features, r, weight, vector).fit(inner).transform(held))
-                tried.append((-(evaluation.ranking_metrics(got, [], "truth", "score").head().average_precision or 0.0), r))
-            reg = min(tried)[1]
-        got = scored(detector(features, reg, weight, vector).fit(outer).transform(df.where(F.col(fold) == f))).withColumn("reg", F.lit(reg))
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def scored(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.round(vector_to_array("probability")[1], 6)).drop("raw", "x", "_vector", "rawPrediction", "probability", "prediction")
-
-
 #: Steps of class weight that a network sees, as copies of rows.
 WEIGHT_STEPS = 8
 

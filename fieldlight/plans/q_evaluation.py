@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import encoding, evaluation, joins, models
+from ..operators import encoding, evaluation, joins, models, nested
 from . import inputs
 from .inputs import PREDICTIONS, VECTORS
 from .registry import query
@@ -47,38 +47,59 @@ def j33(spark, sf):
     return models.paired_deltas(p, "block", "truth", "score", "other", 40)
 
 
-def _pairs(spark, sf):
-    """Every pair of neighbouring crops: rows of both, whole vectors, folds of fields."""
-    v = inputs.vectors(spark, sf).withColumn("truth", F.col("crop") % 2).withColumn("fold", (F.col("field") % 3).cast("int"))
-    return v.select("row_id", "field", "truth", "fold", "v")
+def _folded(df):
+    """Folds of fields: two outer ones, two base or inner ones inside each."""
+    f = F.col("field") % 5
+    return df.withColumns({"outer": (f % 2).cast("int"), "base": (F.floor(f / 2) % 2).cast("int"), "truth": (F.col("crop") % 2).cast("int"), "pair": F.floor(F.col("crop") / 2).cast("int")})
+
+
+def _axes(spark, sf):
+    """Axis of each pair of neighbouring crops in each window, cross-fitted by fields."""
+    rows = _folded(inputs.windowed_vectors(spark, sf)).select("pair", "w", "row_id", "field", "truth", "outer", "base", "v")
+    return nested.axis_scores(rows, "pair", "w", "row_id", "field", "v", "truth", "outer", "base", 2, 2)
 
 
 @query("j34_pair_axis_classifier")
 def j34(spark, sf):
-    """One classifier over the pairs' rows, cross-fitted by fields."""
-    return models.out_of_fold(_pairs(spark, sf), [], "fold", 3, vector="v").select("row_id", "truth", "score")
+    return _axes(spark, sf).select("pair", "w", "row_id", "outer_fold", "role", F.round("score", 6).alias("score"))
 
 
 @query("j35_detector_selection")
 def j35(spark, sf):
-    p = _pairs(spark, sf).withColumn("x0", F.when(F.col("row_id") % 7 != 0, F.col("v")[0])).withColumn("rest", F.slice("v", 2, 63))
-    return models.out_of_fold(p, ["x0"], "fold", 3, (0.01, 1.0), vector="rest").select("row_id", "score", "reg")
+    """Missing features are filled and flagged; the strength is chosen by average precision over inner folds."""
+    v = _folded(inputs.vectors(spark, sf)).withColumn("v", F.transform("v", lambda x, i: F.when((i > 0) | (F.col("row_id") % 7 != 0), x)))
+    rows = v.select("row_id", "truth", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("outer_fold"), "outer", F.col("base").alias("inner"), "v")
+    rows = rows.withColumn("test", (F.col("outer") == F.col("outer_fold")).cast("int"))
+    found = nested.detected(rows, [], "row_id", "v", "truth", 2, (0.01, 0.1, 1.0))
+    return found.select("outer_fold", "row_id", F.round("score", 6).alias("score"), "strength", "call")
+
+
+def _stages(rows, keys, width):
+    """For stages 1 to 4 the arrays of the windows up to it, then their differences from one window to the next."""
+    by = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("w") == w, F.col("own"))).alias(f"w{w}") for w in (1, 2, 3, 4)])
+    minus = lambda a, b: F.zip_with(a, b, lambda x, y: y - x)
+    made = [F.concat(*[f"w{w}" for w in range(1, s + 1)], *[minus(f"w{w}", f"w{w + 1}") for w in range(1, s)]) for s in (1, 2, 3, 4)]
+    return by.select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), x.alias("x")) for s, x in zip((1, 2, 3, 4), made, strict=True)])).alias("s")).select(*keys, "s.stage", "s.x")
 
 
 @query("j36_nested_feature_sets")
 def j36(spark, sf):
-    """Three nested feature sets at four stages, each stage with the windows up to it."""
-    from ..operators.aggregates import mean_vectors
-
-    w = inputs.windowed_vectors(spark, sf)
-    out = None
-    for stage in (1, 2, 3, 4):
-        v = mean_vectors(w.where(F.col("w") <= stage), ["row_id", "crop", "field"], "v").withColumn("truth", F.col("crop") % 2).withColumn("fold", (F.col("field") % 3).cast("int"))
-        for name, n in (("first", 8), ("half", 32), ("all", 64)):
-            m = evaluation.ranking_metrics(models.out_of_fold(v.withColumn("own", F.slice("v", 1, n)), [], "fold", 3, vector="own"), [], "truth", "score")
-            m = m.select(F.lit(stage).alias("stage"), F.lit(name).alias("features"), F.round("auroc", 6).alias("auroc"), F.round("average_precision", 6).alias("average_precision"))
-            out = m if out is None else out.unionByName(m)
-    return out
+    """Mean vectors, parent evidence and both, over four stages: axes, their distributions, deltas and detectors nested in outer folds."""
+    from ..operators.aggregates import distribution, mean_vectors
+
+    keys = ["field", "truth", "inner", "outer_fold", "test"]
+    axes = _axes(spark, sf).withColumns({"test": (F.col("role") == "test").cast("int"), "inner": (F.floor(F.col("field") % 5 / 2) % 2).cast("int")})
+    shape = distribution("score")
+    names = ["mean", "std", "q10", "q25", "q50", "q75", "q90", "iqr", "balance", "low_tail", "high_tail", "entropy"]
+    parent = axes.groupBy(*keys, "w").agg(*shape).select(*keys, "w", F.array(*names).alias("own"))
+    means = mean_vectors(inputs.windowed_vectors(spark, sf), ["field", "w"], "v").select("field", "w", F.slice("v", 1, 16).alias("vector"))
+    both = parent.join(means, ["field", "w"])
+    sets = {"vector": F.col("vector"), "parent": F.col("own"), "both": F.concat("vector", "own")}
+    rows = both.select(*keys, "w", F.explode(F.array(*[F.struct(F.lit(n).alias("features"), x.alias("own")) for n, x in sets.items()])).alias("s")).select(*keys, "w", "s.*")
+    found = nested.detected(_stages(rows, [*keys, "features"], 4), ["features", "stage"], "field", "x", "truth", 2, (0.1, 1.0))
+    m = evaluation.ranking_metrics(found, ["features", "stage"], "truth", "score")
+    calls = evaluation.threshold_metrics(found, ["features", "stage"], "truth", "call")
+    return m.join(calls, ["features", "stage"]).select("features", "stage", *[F.round(c, 6).alias(c) for c in ("auroc", "average_precision", "recall", "fpr")])
 
 
 _AUC = f"""WITH {PREDICTIONS}, s AS (SELECT lang, score, sum(truth) AS p, sum(1 - truth) AS n FROM predictions GROUP BY ALL), c AS (SELECT *, sum(p) OVER (PARTITION BY lang ORDER BY score DESC) AS tp FROM s),
@@ -93,16 +114,23 @@ def j37(spark, sf):
 
 @query("j38_lens_evaluation")
 def j38(spark, sf):
-    """Out-of-fold scores with a threshold per fold from the negatives of the other folds (upper quantile)."""
-    from ..operators.aggregates import stated_quantiles
+    """Seven lenses on fields: place, shape, both, early values, early values with both, all values, mean vectors."""
+    from ..operators.aggregates import mean_vectors
 
-    s = models.out_of_fold(_pairs(spark, sf), [], "fold", 3, vector="v")
-    out = None
-    for f in range(3):
-        t = s.where((F.col("fold") != f) & (F.col("truth") == 0)).transform(lambda d: stated_quantiles(d, [], "score", 0.9, ["higher"])).select(F.col("higher").alias("threshold"))
-        m = s.where(F.col("fold") == f).crossJoin(t).withColumn("call", (F.col("score") > F.col("threshold")).cast("int"))  # one row
-        out = m if out is None else out.unionByName(m)
-    return evaluation.threshold_metrics(out, ["fold"], "truth", "call").select("fold", F.round("recall", 6).alias("recall"), F.round("fpr", 6).alias("fpr"))
+    w = _folded(inputs.windowed_vectors(spark, sf))
+    place = w.where("w = 1").groupBy("field", "truth", "outer", "base").agg(
+        F.array(F.avg("x"), F.avg("y")).alias("place"), F.array(F.log(F.count("*")), (F.max("x") - F.min("x")).cast("double"), (F.max("y") - F.min("y")).cast("double")).alias("shape"))
+    by = mean_vectors(w, ["field", "w"], "v").groupBy("field").agg(*[F.max(F.when(F.col("w") == i, F.col("v"))).alias(f"m{i}") for i in (1, 2, 3, 4)])
+    few = lambda i: F.slice(f"m{i}", 1, 8)
+    early = F.concat(few(1), few(2), F.zip_with(few(1), few(2), lambda a, b: b - a))
+    lenses = {"location_only": F.col("place"), "geometry_only": F.col("shape"), "nuisance_only": F.concat("place", "shape"), "raw_safe": early,
+              "raw_safe_plus_context": F.concat(early, "place", "shape"), "raw_full": F.concat(early, few(3), few(4)), "vectors": F.col("m2")}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("lens"), x.alias("x")) for n, x in lenses.items()])).alias("l")
+    rows = place.join(by, "field").select("field", "truth", "outer", "base", each).select("field", "truth", "outer", "base", "l.*")
+    found = nested.lens_decisions(rows, "lens", "field", "x", "truth", "outer", "base", 2)
+    m = evaluation.ranking_metrics(found, ["lens"], "truth", "score")
+    calls = evaluation.threshold_metrics(found, ["lens"], "truth", "decision")
+    return m.join(calls, "lens").select("lens", *[F.round(c, 6).alias(c) for c in ("auroc", "average_precision", "recall", "fpr")])
 
 
 @query("j39_scorecard", _AUC + " SELECT 'auroc' AS metric, lang, round(auroc, 6) AS value FROM g UNION ALL SELECT 'rows', lang, CAST(count(*) AS DOUBLE) FROM predictions GROUP BY lang")
@@ -123,18 +151,15 @@ def j40(spark, sf):
     """Models of three classes of crops over growing numbers of windows, by field means and by pixels on the same folds."""
     from ..operators.aggregates import mean_vectors
 
-    w = inputs.windowed_vectors(spark, sf).withColumn("group", F.col("crop") % 3).withColumn("fold", (F.col("field") % 5).cast("int"))
-    out = None
-    for stage in (1, 2, 4):
-        seen = w.where(F.col("w") <= stage)
-        pixels = mean_vectors(seen, ["row_id", "field", "group", "fold"], "v")
-        fields = mean_vectors(pixels, ["field", "group", "fold"], "v")
-        for unit, rows in (("field", fields), ("pixel", pixels)):
-            p = models.vector_classifier(rows.where("fold > 0"), rows.where("fold = 0"), "v", "group", 3)
-            m = evaluation.overall_metrics(evaluation.class_metrics(evaluation.confusion(p, "group", "predicted"), "group", "predicted"))
-            m = m.select(F.lit(stage).alias("stage"), F.lit(unit).alias("unit"), *[F.round(c, 6).alias(c) for c in m.columns])
-            out = m if out is None else out.unionByName(m)
-    return out
+    w = inputs.windowed_vectors(spark, sf).withColumns({"group": (F.col("crop") % 3).cast("int"), "fold": (F.col("field") % 5).cast("int")})
+    stages = w.withColumn("stage", F.explode(F.array(*[F.lit(s) for s in (1, 2, 4)]))).where("w <= stage")
+    pixels = mean_vectors(stages, ["row_id", "field", "group", "fold", "stage"], "v")
+    fields = mean_vectors(pixels, ["field", "group", "fold", "stage"], "v")
+    one = lambda d, unit, key: d.select(F.lit(unit).alias("unit"), "stage", F.col(key).cast("long").alias("key"), "group", "fold", "v")
+    called = nested.staged_classes(one(fields, "field", "field").unionByName(one(pixels, "pixel", "row_id")), ["unit", "stage"], "key", "v", "group", "fold", 5, 3)
+    keys = ["unit", "stage"]
+    m = evaluation.overall_metrics(evaluation.class_metrics(evaluation.confusion(called, "group", "predicted", keys=keys), "group", "predicted", keys), keys)
+    return m.select(*keys, *[F.round(c, 6).alias(c) for c in m.columns if c not in keys])
 
 
 @query("j41_feed_forward_classifier")
