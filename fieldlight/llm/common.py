@@ -85,6 +85,17 @@ class Tables:
             _remove(self.spark, path)
 
 
+def packed_up(df: DataFrame, apart: str) -> DataFrame:
+    """All columns but one as the struct _doc, beside that one as _text: no name of df can clash with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != apart]
+    return df.select(F.struct(*(rest or [F.lit(0).alias("_none")])).alias("_doc"), F.col(f"`{apart}`").alias("_text"))
+
+
+def unpacked_as(df: DataFrame, apart: str) -> list[Column]:
+    """The columns of df again, from what packed_up made of it."""
+    return [F.col("_text").alias(c) if c == apart else F.col("_doc")[c].alias(c) for c in df.columns]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, with_columns
+from .common import ascii_lower, packed_up, stored, unpacked_as, with_columns
 
 #: Bytes of item text whose patterns are broadcast at once; more items go in further blocks.
 BLOCK_BYTES = 8 << 20
 #: Bytes of normalised document text searched at once.
 BATCH_BYTES = 4 << 20
 LANE = 2048
-TABLE_BITS = 18
+#: Bits of a shift table for few patterns, and at most; between, by the number of patterns and their blocks.
+TABLE_BITS, MOST_TABLE_BITS = 18, 22
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SCAN_DDL = "n_words long, runs array<struct<start:long,end:long>>, items array<string>"
 _TO_SPACE = bytes(
@@ -39,8 +40,8 @@ def normalised(text: bytes) -> list[bytes]:
     return text.translate(_TO_SPACE).split()
 
 
-def _block_hash(block: np.ndarray) -> np.ndarray:
-    return ((block * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def _block_hash(block: np.ndarray, bits: int) -> np.ndarray:
+    return ((block * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class _Class:
@@ -51,11 +52,13 @@ class _Class:
         self.m = min(map(len, patterns))
         self.block = min(8, max(1, self.m // 2))
         self.mask = np.uint64(0xFFFFFFFFFFFFFFFF >> (64 - 8 * self.block))
-        shift = np.full(1 << TABLE_BITS, self.m - self.block + 1, np.int32)
+        wanted = len(patterns) * (self.m - self.block + 1) * 4
+        self.bits = min(MOST_TABLE_BITS, max(TABLE_BITS, wanted.bit_length()))
+        shift = np.full(1 << self.bits, self.m - self.block + 1, np.int16 if self.m < 1 << 15 else np.int32)
         heads = np.frombuffer(b"".join(p[: self.m] + bytes(8) for p in patterns), np.uint8)
         heads = heads.reshape(len(patterns), self.m + 8)
         for at in range(self.m - self.block + 1):
-            h = _block_hash(np.ascontiguousarray(heads[:, at : at + 8]).view("<u8")[:, 0] & self.mask)
+            h = _block_hash(np.ascontiguousarray(heads[:, at : at + 8]).view("<u8")[:, 0] & self.mask, self.bits)
             np.minimum.at(shift, h, self.m - self.block - at)
         self.shift = shift
         order = np.argsort(h, kind="stable")  # h: of the last block, by which the buckets go
@@ -67,7 +70,7 @@ class _Class:
         at, stop = starts.copy(), np.minimum(starts + LANE, end - self.m + 1)
         raw = data.tobytes()
         while len(at):
-            h = _block_hash(blocks[at + (self.m - self.block)] & self.mask)
+            h = _block_hash(blocks[at + (self.m - self.block)] & self.mask, self.bits)
             step = self.shift[h]
             if (hit := np.flatnonzero(step == 0)).size:
                 lo, hi = np.searchsorted(self.keys, h[hit], "left"), np.searchsorted(self.keys, h[hit], "right")
@@ -184,9 +187,10 @@ def decontaminate(
 
     The windows are the query set: they are dealt by hash into blocks of about block_bytes, each collected,
     broadcast and searched in all documents on its own. With one block documents are not shuffled at all.
-    Columns of docs called n_words, runs, items or n_hit are replaced.
+    Columns of docs called n_words, runs, items or n_hit are replaced; others pass through, whatever their names.
     """
     docs = docs.drop("n_words", "runs", "items", "n_hit")
+    rows = packed_up(docs, text_col)
     windows = item_windows(benchmark, item_id_col, item_text_col, ngram)
     grouped = windows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
     grouped = stored(grouped, "windows")
@@ -194,10 +198,10 @@ def decontaminate(
     blocks = -(-(grouped.agg(F.sum(size)).head()[0] or 0) // block_bytes)
     block = lambda b: [(r.window, list(r["items"])) for r in grouped.where(F.pmod(F.xxhash64("window"), F.lit(max(blocks, 1))) == b).collect()]
     if blocks <= 1:
-        found = _scan(docs, text_col, block(0))
+        found = _scan(rows, "_text", block(0))
     else:
-        key = [F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_key")]
-        small = docs.select(*key, F.col(text_col).alias("_text"))
+        key = [F.col("_doc")[id_col].alias("_id"), F.sha2(F.coalesce("_text", F.lit("")), 256).alias("_key")]
+        small = rows.select(*key, "_text")
         # one block after the other: the driver holds the windows of one at a time
         hits = [stored(_scan(small, "_text", block(b)).where("size(runs) > 0").select("_id", "_key", "runs", "items"), "hits") for b in range(blocks)]
         every = hits[0]
@@ -207,12 +211,12 @@ def decontaminate(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         ).withColumn("runs", _merged(F.col("runs")))
-        words = F.size(F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"({_WORD})")))
-        left = docs.withColumns({"_id2": key[0], "_key2": key[1], "n_words": words.cast("long")})
+        words = F.size(F.regexp_extract_all(ascii_lower(F.coalesce("_text", F.lit(""))), F.lit(f"({_WORD})")))
+        left = rows.withColumns({"_id2": key[0], "_key2": key[1], "n_words": words.cast("long")})
         found = left.join(merged, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_key2") == F.col("_key")), "left")
-        found = found.select(*docs.columns, "n_words", F.coalesce("runs", F.array().cast("array<struct<start:long,end:long>>")).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        found = found.select("_doc", "_text", "n_words", F.coalesce("runs", F.array().cast("array<struct<start:long,end:long>>")).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    return found.withColumn("n_hit", n_hit)
+    return found.select(*unpacked_as(docs, text_col), "n_words", "runs", "items", n_hit.alias("n_hit"))
 
 
 def _merged(runs):

@@ -1,7 +1,8 @@
 """URL filters: a trie over reversed host labels and path prefixes, broadcast.
 
 A rule names a host (it and all subdomains) and a path prefix, and allows or blocks. The most
-specific rule that fits wins: the longest text of host and path; block wins a tie. Hosts are cut
+specific rule that fits wins: the longest text of host and path; block wins a tie, then the
+greater text. Hosts are cut
 out of the url as it stands (port and user stay part of it), A-Z lower-cased.
 
 Nulls and repeats: a null url, or one without ://, has empty host and path, fits no rule and gets
@@ -36,7 +37,8 @@ class Trie:
             node = node.setdefault("/", {})
             for segment in whole:
                 node = node.setdefault(segment, {})
-            ends = node.setdefault(None, {})
+            lengths, ends = node.setdefault(None, (set(), {}))
+            lengths.add(len(tail))
             if ends.get(tail, ("",))[0] != "block":
                 ends[tail] = (action, host + path)
 
@@ -50,7 +52,7 @@ class Trie:
                 break
             if "/" in node:
                 found = self._below(node["/"], path)
-                if found and (best is None or (len(found[1]), found[0]) > (len(best[1]), best[0])):
+                if found and (best is None or (len(found[1]), *found) > (len(best[1]), *best)):
                     best = found
         return best
 
@@ -58,9 +60,11 @@ class Trie:
     def _below(node: dict, path: str) -> tuple[str, str] | None:
         best = None
         for segment in path.split("/"):
-            for tail, found in node.get(None, {}).items():
-                if segment.startswith(tail) and (best is None or len(found[1]) > len(best[1])):
-                    best = found
+            lengths, ends = node.get(None, ((), {}))  # tails are looked up, one for each of their lengths
+            for n in sorted((n for n in lengths if n <= len(segment)), reverse=True):
+                if found := ends.get(segment[:n]):
+                    best = found  # longer than what a segment before has found, as its path goes on
+                    break
             node = node.get(segment)
             if node is None:
                 break

@@ -26,6 +26,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from .common import packed_up, unpacked_as
 
 #: Bytes of records in a frame and of a bundle before compression.
 FRAME_BYTES = 256 << 10
@@ -151,21 +154,31 @@ def parse(raw: bytes) -> dict:
 
 
 def with_originals(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Adds refers_to: the least id with the same payload, null for that row itself and for payloads under least_bytes."""
-    payload = F.coalesce(F.col(html_col), F.lit(""))
-    narrow = pages.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_digest"), F.octet_length(payload).alias("_n")).where("_id IS NOT NULL")
+    """Adds refers_to: the least id with the same payload, null for that row itself and for payloads under least_bytes.
+
+    Ids may have any type that has an order; other columns pass through, whatever their names. A column refers_to is replaced.
+    """
+    pages = pages.drop("refers_to")
+    rows, payload = packed_up(pages, html_col), F.coalesce("_text", F.lit(""))
+    narrow = rows.select(F.col("_doc")[id_col].alias("_id"), F.sha1(payload).alias("_digest"), F.octet_length(payload).alias("_n")).where("_id IS NOT NULL")
     first = narrow.where(F.col("_n") >= least_bytes).groupBy("_digest").agg(F.min("_id").alias("refers_to"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
     again = narrow.join(first, "_digest").where("_id <> refers_to").select("_id", "_digest", "refers_to").distinct()
-    marked = pages.drop("refers_to").withColumn("_digest2", F.sha1(payload))
-    out = marked.join(again, (F.col(id_col) == F.col("_id")) & (F.col("_digest2") == F.col("_digest")), "left")
-    return out.drop("_id", "_digest", "_digest2")
+    marked = rows.withColumn("_digest2", F.sha1(payload))
+    out = marked.join(again, (F.col("_doc")[id_col] == F.col("_id")) & (F.col("_digest2") == F.col("_digest")), "left")
+    return out.select(*unpacked_as(pages, html_col), "refers_to")
 
 
 def write_bundles(
     pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0,
     frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES,
 ) -> DataFrame:
-    """Rows of bundles (bundle, records, content) that hold one record per page."""
+    """Rows of bundles (bundle, records, content) that hold one record per page.
+
+    Ids are integers that fit a long, or null; another type is refused with a TypeError before any work. Other columns are not
+    read. A frame closes after the record that fills it, so it is as large as frame_bytes and its last record.
+    """
+    if not isinstance(pages.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, not {pages.schema[id_col].dataType.simpleString()}")
     rows = with_originals(pages, id_col=id_col, html_col=html_col, least_bytes=least_bytes).select(F.col(id_col).cast("string"), url_col, html_col, F.col("refers_to").cast("string"))
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
