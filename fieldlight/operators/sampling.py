@@ -11,7 +11,7 @@ from .aggregates import stratum_targets
 from .cohort import unambiguous
 from .contracts import candidate_contract, constant, enforce
 from .joins import one_block_groups, only_in_one, too_close
-from .windows import first_rows, spaced_rows
+from .windows import first_rows, placed, spaced_rows
 
 
 def split_of(block: Column, seed: str, ratios: dict[str, float]) -> Column:
@@ -93,20 +93,85 @@ def balanced_folds(df: DataFrame, block: str, label: str, k: int, seeds: int) ->
     return s.agg(F.min(F.struct(F.round("score", 9).alias("score"), "seed")).alias("b")).select("b.seed", "b.score")
 
 
+#: Hashed assignments that a balanced one is held against.
+HASHED = 8
+
+
+def _assignments(groups: DataFrame, group: str, label: str, low: int, high: int) -> DataFrame:
+    """(k, way, group, fold): for every k the groups dealt in rounds by size, in two ways, and by HASHED hashes.
+
+    A round gives its k largest groups to the folds, forwards and backwards in turn, so that the fold with the largest gets the smallest next.
+    Way 0 deals the groups of each label by themselves, each from where the last one ended; way 1 deals all together; from way 2 on hashes.
+    """
+    own = W.partitionBy(group)
+    sized = groups.withColumns({"_all": F.sum("n").over(own), "_r": F.row_number().over(own.orderBy(F.desc("n"), F.col(label).cast("string")))}).where("_r = 1")
+    tie = F.sha2(F.col(group).cast("string"), 256)
+    # positions by counted ranges of sizes, label by label, then over all; one row a group
+    by_label = sized.withColumn("_own", F.row_number().over(W.partitionBy(label).orderBy(F.desc("n"), tie)) - 1)
+    counts = by_label.groupBy(label).agg(F.count("*").alias("_c")).withColumn("_ahead", F.coalesce(F.sum("_c").over(W.orderBy(F.col(label).cast("string")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed_ = placed(by_label.join(counts, label).withColumns({"_minus": -F.col("_all"), "_tie": tie}), ["_minus", "_tie"])
+    each = placed_.withColumn("k", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    round_ = lambda at: F.when((F.floor(at / F.col("k")) % 2) == 0, at % F.col("k")).otherwise(F.col("k") - 1 - at % F.col("k")).cast("int")
+    hashed = [F.pmod(hash_rank(F.lit("g" if i == 0 else f"g{i}"), F.col(group).cast("string")), F.col("k").cast("decimal(20,0)")).cast("int") for i in range(HASHED)]
+    ways = [round_(F.col("_ahead") + F.col("_own")), round_(F.col("place") - 1), *hashed]
+    return each.select("k", group, F.posexplode(F.array(*ways)).alias("way", "fold"))
+
+
+def imbalance(cells: DataFrame, keys: list[str], label: str, k: str) -> DataFrame:
+    """(keys, score, full): sum over labels and folds of |share - 1/k|; full: every fold has every label."""
+    shares = cells.withColumn("_t", F.sum("n").over(W.partitionBy(*keys, label)))
+    off = F.abs(F.col("n") / F.col("_t") - 1 / F.col(k)) - 1 / F.col(k)  # an empty cell counts 1/k
+    out = shares.groupBy(*keys).agg(F.sum(off).alias("_s"), F.count("*").alias("_cells"), F.count_distinct(label).alias("_labels"))
+    return out.select(*keys, F.round(F.col("_s") + F.col("_labels"), 9).alias("score"), (F.col("_cells") == F.col(k) * F.col("_labels")).alias("full"))
+
+
+def balanced_group_folds(df: DataFrame, group: str, label: str, most: int, least: int = 2) -> tuple[DataFrame, int | None, str]:
+    """(group and fold, k, status): the largest k up to most with every class in every fold, and for it the assignment with the least imbalance.
+
+    Status is '<k>_fold', or why no k can be tested: 'one_class', 'too_few_groups' or 'not_testable' (then no rows and k is None). Rows are read once,
+    for counts by group and label; every k and every way is judged in one grouped pass. Never less balanced than the hashes it is held against.
+    """
+    groups = df.groupBy(group, label).agg(F.count("*").alias("n")).persist()
+    try:
+        seen = groups.agg(F.count_distinct(label).alias("labels"), F.count_distinct(group).alias("groups")).head()
+        none = groups.select(group, F.lit(None).cast("int").alias("fold")).limit(0)
+        if seen.labels < 2:
+            return none, None, "one_class"
+        high = min(most, seen.groups)
+        if high < least:
+            return none, None, "too_few_groups"
+        ways = _assignments(groups, group, label, least, high)
+        cells = ways.join(groups, group).groupBy("k", "way", label, "fold").agg(F.sum("n").alias("n"))
+        best = imbalance(cells, ["k", "way"], label, "k").where("full").agg(F.max(F.struct(F.col("k"), (-F.col("score")).alias("s"), (-F.col("way")).alias("w"))).alias("b")).head().b
+        if best is None:
+            return none, None, "not_testable"
+        return ways.where((F.col("k") == best.k) & (F.col("way") == -best.w)).select(group, "fold"), best.k, f"{best.k}_fold"
+    finally:
+        groups.unpersist()
+
+
 def group_folds(df: DataFrame, group: str, label: str, most: int, least: int = 2) -> tuple[DataFrame, int | None]:
-    """(rows with fold, k): largest k up to `most` with every class in every fold, else (rows, None): not testable.
+    """(rows with fold, k); fold is null where no k is testable."""
+    folds, k, _ = balanced_group_folds(df, group, label, most, least)
+    return df.join(folds, group, "left"), k
+
+
+def calibrated_folds(df: DataFrame, group: str, label: str, most: int, inner: int = 3) -> tuple[DataFrame, int | None, str]:
+    """(group, outer_fold, role, k, status): the outer folds, and inside the training groups of each a calibration part.
 
-    Rows are read once, for the distinct groups and labels; one job then judges every k.
+    role: test, calibration (fold 0 of up to `inner` balanced folds of the training groups) or fit. An outer fold whose training groups cannot
+    be divided has role train for all of them.
     """
-    rank = hash_rank(F.lit("g"), F.col(group).cast("string"))
-    fold = lambda k: F.pmod(rank, k.cast("decimal(20,0)")).cast("int")
-    pairs = df.select(group, label).distinct().persist()
-    tried = pairs.withColumn("k", F.explode(F.sequence(F.lit(least), F.lit(most)))).select("k", fold(F.col("k")).alias("fold"), label).distinct()
-    labels = pairs.select(label).distinct().agg(F.count("*").alias("labels"))
-    full = tried.groupBy("k").agg(F.count("*").alias("cells")).crossJoin(labels).where(F.col("cells") == F.col("k") * F.col("labels"))
-    k = full.agg(F.max("k").alias("k")).head().k
-    pairs.unpersist()
-    return df.withColumn("fold", F.lit(None).cast("int") if k is None else fold(F.lit(k))), k
+    folds, k, status = balanced_group_folds(df, group, label, most)
+    if k is None:
+        return folds.select(group, F.lit(0).alias("outer_fold"), F.lit("").alias("role")), k, status
+    rows, out = df.join(folds, group), None
+    for o in range(k):  # k is small, and each is one grouped pass over counts
+        inside, parts, _ = balanced_group_folds(rows.where(F.col("fold") != o), group, label, inner)
+        train = F.lit("train") if parts is None else F.when(F.col("_in") == 0, "calibration").otherwise("fit")
+        own = folds.join(inside.withColumnRenamed("fold", "_in"), group, "left").select(group, F.lit(o).alias("outer_fold"), F.when(F.col("fold") == o, "test").otherwise(train).alias("role"))
+        out = own if out is None else out.unionByName(own)
+    return out, k, status
 
 
 def classification_rows(

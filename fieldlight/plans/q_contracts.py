@@ -1,5 +1,6 @@
 """Queries of contracts and filters (D). Most report violations that the stand-in tables really have."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
@@ -114,12 +115,13 @@ def d15(spark, sf):
     return a
 
 
-@query("d16_band_order", f"WITH {OBSERVATIONS} SELECT CAST(sample_id AS VARCHAR) AS sample_id, list(kind ORDER BY obs_id)[1:3] = ['click', 'view', 'purchase'] AS canonical FROM observations GROUP BY sample_id")
+@query("d16_band_order", f"WITH {OBSERVATIONS}, r AS (SELECT *, (row_number() OVER (PARTITION BY sample_id ORDER BY obs_id) - 1) // 3 AS part FROM observations) SELECT CAST(sample_id AS VARCHAR) AS sample_id, part, list(kind ORDER BY obs_id) = ['click', 'view', 'purchase'] AS canonical FROM r GROUP BY ALL")
 def d16(spark, sf):
-    """The kinds of a sample's first three observations stand for the bands of a stored array."""
-    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("obs_id", "kind"))), lambda x: x["kind"]), 1, 3)
-    o = inputs.observations(spark, sf).groupBy(F.col("sample_id").cast("string").alias("sample_id")).agg(first.alias("bands"))
-    return contracts.band_order(o, "bands", ["click", "view", "purchase"]).select("sample_id", "canonical")
+    """The kinds of every three observations of a sample in a row stand for the bands of a stored array."""
+    o = inputs.observations(spark, sf).withColumn("part", F.floor((F.row_number().over(Window.partitionBy("sample_id").orderBy("obs_id")) - 1) / 3))
+    bands = F.transform(F.array_sort(F.collect_list(F.struct("obs_id", "kind"))), lambda x: x["kind"])  # three at most
+    o = o.groupBy(F.col("sample_id").cast("string").alias("sample_id"), "part").agg(bands.alias("bands"))
+    return contracts.band_order(o, "bands", ["click", "view", "purchase"]).select("sample_id", "part", "canonical")
 
 
 @query("d17_missing_rate", f"WITH {OBSERVATIONS} SELECT 'missing_rate' AS rule, CAST(sample_id AS VARCHAR) AS key FROM observations GROUP BY sample_id HAVING avg(CASE WHEN valid THEN 0.0 ELSE 1.0 END) > 0.2")

@@ -163,9 +163,9 @@ def e21(spark, sf):
     return cohort.canonical_fields(inputs.fields(spark, sf), "geometry_sha256", "landcover", "field_uid").select("field_uid", "canonical", "conflict")
 
 
-@query("e22_features_vectors_members", f"WITH {VECTORS}, {MEMBERSHIPS}, m AS (SELECT DISTINCT pixel AS row_id, tile FROM memberships WHERE line = 1 AND pixel < 500), f AS (SELECT block, count(*) AS phase_n FROM vectors GROUP BY block) SELECT row_id, tile, phase_n, round(v[1], 6) AS head FROM vectors JOIN m USING (row_id) JOIN f USING (block)")
+@query("e22_features_vectors_members", f"WITH {VECTORS}, {MEMBERSHIPS}, m AS (SELECT DISTINCT pixel AS row_id, tile FROM memberships), f AS (SELECT block, count(*) AS phase_n FROM vectors GROUP BY block) SELECT row_id, tile, phase_n, round(v[1], 6) AS head FROM vectors JOIN m USING (row_id) JOIN f USING (block)")
 def e22(spark, sf):
     v = inputs.vectors(spark, sf)
-    m = inputs.memberships(spark, sf).where("line = 1 AND pixel < 500").select(F.col("pixel").alias("row_id"), "tile").distinct()
+    m = inputs.memberships(spark, sf).select(F.col("pixel").alias("row_id"), "tile").distinct()
     f = v.groupBy("block").agg(F.count("*").alias("phase_n"))
     return v.join(m, "row_id").join(f, "block").select("row_id", "tile", "phase_n", F.round(F.col("v")[0], 6).alias("head"))

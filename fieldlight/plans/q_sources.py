@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import contracts, geometry
-from ..sources import io
+from ..sources import commits, io
 from . import inputs
 from .inputs import CANDIDATES, ITEMS, OBSERVATIONS, VECTORS, WINDOWED
 from .q_geometry import POLYS, polys
@@ -228,13 +228,26 @@ def a21(spark, sf):
     return io.receipt_row(inputs.vectors(spark, sf), {"rows": F.count("*"), "classes": F.count_distinct("crop")})
 
 
-@query("a22_single_run_scan", "SELECT s_suppkey, 'r1' AS run_fingerprint FROM supplier")
+@query("a22_single_run_scan", "SELECT s_suppkey, s_nationkey FROM supplier")
 def a22(spark, sf):
+    """A finished root: every partition has its marker, its rows are counted and all are of one run."""
     path = folder(spark)
-    io.run_bound(inputs.table(spark, sf, "supplier"), "r1").write.parquet(path)
-    s = spark.read.parquet(path)
-    contracts.enforce(contracts.cardinality(s, F.count_distinct("run_fingerprint") == 1, "one_run"))
-    return s.select("s_suppkey", "run_fingerprint")
+    commits.resumed(inputs.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), path, ["s_nationkey"], "r1")
+    return commits.committed(spark, path, ["s_nationkey"]).select("s_suppkey", F.col("s_nationkey").cast("long").alias("s_nationkey"))
+
+
+@query("a22_unfinished_partitions", "SELECT 'marker' AS rule, '{\"s_nationkey\":\"' || s_nationkey || '\"}' AS key FROM supplier WHERE s_nationkey % 5 = 1 GROUP BY s_nationkey UNION ALL "
+       "SELECT 'rows', '{\"s_nationkey\":\"' || s_nationkey || '\"}' FROM supplier WHERE s_nationkey % 5 = 2 GROUP BY s_nationkey HAVING count(*) > 1 UNION ALL SELECT 'one_run', 'r1' FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey % 5 = 3)")
+def a22b(spark, sf):
+    """A root with partitions whose writer stopped before the marker, partitions that lost rows, and partitions of another run."""
+    path = folder(spark)
+    s = inputs.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    part = lambda n: s.where(F.col("s_nationkey") % 5 == n)
+    commits.resumed(s.where(F.col("s_nationkey") % 5 == 0).unionByName(part(2)).unionByName(part(4)), path, ["s_nationkey"], "r1")
+    commits.resumed(part(3), path, ["s_nationkey"], "r2")
+    commits.write_data(part(1), path, ["s_nationkey"])
+    commits.write_data(part(2).groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey")), path, ["s_nationkey"])
+    return commits.unfinished(spark, path, ["s_nationkey"]).select("rule", "key")
 
 
 @query("a23_evidence_cross_check", "SELECT 'extra' AS side, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")

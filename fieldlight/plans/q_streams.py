@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins
 from ..operators.mosaic import daily_first_valid
+from ..sources import commits
 from ..streaming import streams
 from . import inputs
 from .inputs import OBSERVATIONS
@@ -90,13 +91,13 @@ def k5(spark, sf):
 
 @query("k6_resumed_groups", f"WITH {OBSERVATIONS} SELECT epoch_day, count(*) AS n FROM observations GROUP BY epoch_day")
 def k6(spark, sf):
-    """A run that stopped after some days: the rerun writes the missing days' partitions only."""
+    """A run that finished some days and stopped inside the next ones, before their markers: the rerun writes the unmarked days only."""
     path = folder(spark)
     g = inputs.observations(spark, sf).groupBy("epoch_day").agg(F.count("*").alias("n"))
-    g.where("epoch_day < 19735").write.partitionBy("epoch_day").parquet(path)
-    done = spark.read.parquet(path).select("epoch_day").distinct()
-    g.join(done, "epoch_day", "left_anti").write.mode("append").partitionBy("epoch_day").parquet(path)
-    return spark.read.parquet(path).select("epoch_day", "n")
+    commits.resumed(g.where("epoch_day < 19735"), path, ["epoch_day"], "r1")
+    commits.write_data(g.where("epoch_day BETWEEN 19735 AND 19740").withColumn("n", F.lit(-1).cast("long")), path, ["epoch_day"])  # stopped here
+    commits.resumed(g, path, ["epoch_day"], "r1")
+    return commits.committed(spark, path, ["epoch_day"]).select("epoch_day", "n")
 
 
 @query("k7_stream_dedup", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
@@ -108,6 +109,29 @@ def k7(spark, sf):
     return streams.drained(d, folder(spark)).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
+@query("k4_keyed_state", _K4)
+def k4c(spark, sf):
+    """The same windows from a stream of files in any order, with state by hash of the key."""
+    o = inputs.observations(spark, sf).select("obs_id", "sample_id", "epoch_day", "value")
+    path, w = folder(spark), streams.window_table(spark, 19723, 19753, 7, 3)
+    o.repartition(3, "value").write.parquet(f"{path}/in")
+    stream = streams.event_stream(spark, f"{path}/in", o.schema)
+    streams.micro_batches(stream, f"{path}/state", f"{path}/out", w, "sample_id", "epoch_day", "obs_id", "value", f"{path}/check", 16)
+    return spark.read.parquet(f"{path}/out").select("sample_id", "w", "n", F.round("total", 6).alias("total"))
+
+
+@query("k7_conflicting_content", "SELECT event_id, 'accepted' AS kind FROM events UNION ALL SELECT event_id, 'conflict' FROM events WHERE event_id % 11 = 0")
+def k7b(spark, sf):
+    """Each event comes twice, every eleventh with another value the second time: that one goes to the side."""
+    e = inputs.table(spark, sf, "events").select("event_id", "user_id", "value")
+    path = folder(spark)
+    e.coalesce(1).write.parquet(f"{path}/in")
+    e.withColumn("value", F.when(F.col("event_id") % 11 == 0, F.col("value") + 1).otherwise(F.col("value"))).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    streams.accepted_once(streams.event_stream(spark, f"{path}/in", e.schema), f"{path}/ok", f"{path}/odd", "event_id", ["user_id", "value"], f"{path}/check", 16)
+    side = lambda at, kind: spark.read.parquet(f"{path}/{at}").select("event_id", F.lit(kind).alias("kind"))
+    return side("ok", "accepted").unionByName(side("odd", "conflict"))
+
+
 @query("k8_many_windows", _K4)
 def k8(spark, sf):
     w = streams.window_table(spark, 19723, 19753, 7, 3)

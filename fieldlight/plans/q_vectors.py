@@ -128,13 +128,33 @@ def j6(spark, sf):
     return sampling.balanced_folds(v, "b", "crop", 4, 20)
 
 
-@query("j7_group_folds", f"WITH {VECTORS} SELECT row_id, CAST({_U.format(chr(39) + 'g:' + chr(39) + ' || (row_id % 60)')} % 4 AS INTEGER) AS fold FROM vectors")
+_SNAKE = "CASE WHEN ({0}) // k % 2 = 0 THEN ({0}) % k ELSE k - 1 - ({0}) % k END"
+_J7 = f"""WITH {VECTORS}, g AS (SELECT row_id % 60 AS g, row_id % 2 AS half, count(*) AS n FROM vectors GROUP BY ALL), h AS (SELECT half, count(*) AS c FROM g GROUP BY half),
+b AS (SELECT half, coalesce(sum(c) OVER (ORDER BY CAST(half AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM h),
+o AS (SELECT g, half, n, ahead + row_number() OVER (PARTITION BY half ORDER BY n DESC, sha256(CAST(g AS VARCHAR))) - 1 AS own, row_number() OVER (ORDER BY n DESC, sha256(CAST(g AS VARCHAR))) - 1 AS pos FROM g JOIN b USING (half)),
+w AS (SELECT *, CASE way WHEN 0 THEN {_SNAKE.format('own')} WHEN 1 THEN {_SNAKE.format('pos')} ELSE {_U.format("CASE way WHEN 2 THEN 'g' ELSE 'g' || (way - 2) END || ':' || g")} % k END AS fold
+  FROM o, (SELECT unnest(range(2, 5)) AS k), (SELECT unnest(range(10)) AS way)),
+c AS (SELECT k, way, half, fold, sum(n) AS n FROM w GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY k, way, half) AS t FROM c),
+s AS (SELECT k, way, round(sum(abs(n / t - 1.0::DOUBLE / k) - 1.0::DOUBLE / k) + count(DISTINCT half), 9) AS score FROM t GROUP BY k, way HAVING count(*) = k * count(DISTINCT half)),
+x AS (SELECT k, way FROM s ORDER BY k DESC, score, way LIMIT 1) SELECT row_id, CAST(fold AS INTEGER) AS fold FROM vectors JOIN w ON w.g = row_id % 60 JOIN x USING (k, way)"""
+
+
+def _halves(spark, sf):
+    return inputs.vectors(spark, sf).withColumns({"g": F.col("row_id") % 60, "half": F.col("row_id") % 2})
+
+
+@query("j7_group_folds", _J7)
 def j7(spark, sf):
-    v = inputs.vectors(spark, sf).withColumn("g", F.col("row_id") % 60)
-    got, _ = sampling.group_folds(v.withColumn("half", F.col("row_id") % 2), "g", "half", 4)
+    got, _ = sampling.group_folds(_halves(spark, sf), "g", "half", 4)
     return got.select("row_id", "fold")
 
 
+@query("j7_calibrated_folds")
+def j7b(spark, sf):
+    """Blocks by role in each outer fold: test, calibration and fit."""
+    return sampling.calibrated_folds(_halves(spark, sf), "g", "half", 4)[0].select("g", "outer_fold", "role")
+
+
 @query("j8_pure_samples", f"""WITH {VECTORS}, c AS (SELECT DISTINCT x, y, CAST(floor(x / 4) + floor(y / 5) * 7 AS BIGINT) % 5 AS kind FROM vectors), p AS (SELECT a.x, a.y, any_value(a.kind) AS kind FROM c a JOIN c b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.x, a.y HAVING count(*) = 9 AND min(b.kind) = max(b.kind)),
 k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {_U.format("'p:' || x || ':' || y")}) AS r FROM p) SELECT x, y, kind FROM k WHERE r <= 6""")
 def j8(spark, sf):

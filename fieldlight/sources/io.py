@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, BooleanType, ByteType, IntegerType, Sho
 
 from ..functions.hashing import stable_id
 from ..operators.contracts import ContractError, enforce, unique, violations
+from .commits import exists
 
 CANDIDATE_DDL = "candidate_id string, country string, longitude double, latitude double, spatial_block string, stratum string"
 MANIFEST_DDL = (
@@ -55,12 +56,8 @@ def write_once(df: DataFrame, path: str, partition_by: list[str] | None = None)
     """Writes Parquet where nothing is; the same content there is fine, other content an error. Returns the rows."""
     spark = df.sparkSession
     mine = content_fingerprint(df)
-    try:
-        there = content_fingerprint(spark.read.parquet(path).select(df.columns))
-    except Exception:  # no such table yet
-        there = None
-    if there is not None:
-        if there != mine:
+    if exists(spark, path):
+        if content_fingerprint(spark.read.parquet(path).select(df.columns)) != mine:
             raise ContractError(f"{path} holds other content")
         return mine[1]
     writer = df.write.mode("errorifexists").option("compression", "zstd")

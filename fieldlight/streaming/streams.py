@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.aggregates import upsert
+from ..sources.commits import exists
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -65,17 +67,79 @@ def recomputed(old: DataFrame, rows: DataFrame, late: DataFrame, windows: DataFr
     return old.join(hit, [key, "w"], "left_anti").unionByName(fresh)
 
 
-def micro_batches(stream: DataFrame, state: str, results: str, windows: DataFrame, key: str, day: str, item: str, value: str, checkpoint: str) -> None:
-    """foreachBatch form of recomputed(): every batch writes the next version of rows and results; a replayed batch writes its version again."""
+#: Parts of a state table; a batch reads and rewrites only those that its keys fall into.
+BUCKETS = 64
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def _touched(batch: DataFrame) -> list[int]:
+    """Parts that a batch touches: no more than there are."""
+    return [r.bucket for r in batch.select("bucket").distinct().collect()]
+
+
+def _state(spark: SparkSession, path: str, schema, buckets: list[int]) -> DataFrame:
+    """The named parts of a state table partitioned by bucket, read by their folders; an empty one before the first batch."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
+
+
+def _replace(df: DataFrame, path: str, *parts: str) -> None:
+    """Rewrites exactly the partitions that df has rows of."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def micro_batches(stream: DataFrame, state: str, results: str, windows: DataFrame, key: str, day: str, item: str, value: str, checkpoint: str, buckets: int = BUCKETS) -> None:
+    """Window results kept up to date by foreachBatch: equal to the batch form over all rows, in any order of files.
+
+    Rows and results are tables partitioned by a hash of the key. A batch reads the parts of its own keys, puts its rows in (the later
+    one of an item wins), computes the windows they fall into again and rewrites those parts alone. Both steps give the same
+    when they are repeated, so a batch that stopped half-way is simply applied again.
+    """
+    spark = stream.sparkSession
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch = batch.dropDuplicates([item]).withColumn("bucket", _bucket(key, buckets)).persist()
+        try:
+            mine = _touched(batch)
+            if not mine:
+                return
+            rows = upsert(_state(spark, state, batch.schema, mine), batch, item)
+            _replace(rows, state, "bucket")
+            kept = _state(spark, state, batch.schema, mine)
+            ddl = f"{key} {batch.schema[key].dataType.simpleString()}, w int, n long, total double, bucket int"
+            old = _state(spark, results, StructType.fromDDL(ddl), mine).drop("bucket")
+            now = recomputed(old, kept.drop("bucket"), batch.drop("bucket"), windows, key, day, item, value)
+            _replace(now.withColumn("bucket", _bucket(key, buckets)).select(*StructType.fromDDL(ddl).names), results, "bucket")
+        finally:
+            batch.unpersist()
+
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def accepted_once(stream: DataFrame, accepted: str, conflicts: str, key: str, content: list[str], checkpoint: str, buckets: int = BUCKETS) -> None:
+    """Arriving rows by id: the first content of an id goes to accepted, the same again nowhere, other content to conflicts.
+
+    The digest of an id's content is kept beside the accepted rows, in tables partitioned by a hash of the id and the batch, of which a
+    batch reads only the parts of its own ids. Of several contents of a new id in one batch that with the least digest is
+    first. A repeated batch rewrites its own partitions. No id is forgotten, however late its next row comes.
+    """
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates([item])
-        before = f"/v{number - 1}"
-        rows = spark.read.parquet(state + before) if number else batch.limit(0)
-        empty = spark.createDataFrame([], f"{key} {batch.schema[key].dataType.simpleString()}, w int, n long, total double")
-        old = spark.read.parquet(results + before) if number else empty
-        recomputed(old, rows, batch, windows, key, day, item, value).write.mode("overwrite").parquet(f"{results}/v{number}")
-        upsert(rows, batch, item).write.mode("overwrite").parquet(f"{state}/v{number}")
+        digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
+        rows = batch.withColumns({"digest": digest, "bucket": _bucket(key, buckets)}).dropDuplicates([key, "digest"]).withColumn("batch", F.lit(number).cast("long")).persist()
+        try:
+            mine = _touched(rows)
+            known = _state(spark, accepted, rows.schema, mine).where(F.col("batch") < number).select(key, F.col("digest").alias("_known"))
+            first = F.min("digest").over(Window.partitionBy(key))
+            judged = rows.join(known, key, "left").withColumn("_first", F.coalesce("_known", first))
+            _replace(judged.where("_known IS NULL AND digest = _first").select(*rows.columns), accepted, "bucket", "batch")
+            _replace(judged.where("digest <> _first").select(*rows.columns), conflicts, "bucket", "batch")
+        finally:
+            rows.unpersist()
 
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
