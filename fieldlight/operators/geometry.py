@@ -165,13 +165,42 @@ def lattice(spark, west: float, south: float, columns: int, rows: int, size: flo
     return r.select("id", ix.alias("ix"), iy.alias("iy"), (F.lit(west) + (ix + 0.5) * size).alias("px"), (F.lit(south) + (iy + 0.5) * size).alias("py"))
 
 
+def _occupied(e: DataFrame, key: str) -> DataFrame:
+    """Edges with the cells (ix, iy) of a grid of their own geometry that they pass: about as many cells as the root of its edges on each side."""
+    ends = [F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")]
+    box = e.groupBy(key).agg(F.min(ends[0]).alias("_x0"), F.max(ends[1]).alias("_x9"), F.min(ends[2]).alias("_y0"), F.max(ends[3]).alias("_y9"), F.count("*").alias("_e"))
+    side = F.greatest(F.col("_x9") - F.col("_x0"), F.col("_y9") - F.col("_y0"))
+    box = box.withColumn("_s", F.greatest(side / F.sqrt("_e"), F.lit(1e-12))).select(key, "_x0", "_y0", "_s")
+    cell = lambda v, start: F.floor((v - F.col(start)) / F.col("_s")).cast("long")
+    columns = e.join(box, key).withColumn("ix", F.explode(F.sequence(cell(ends[0], "_x0"), cell(ends[1], "_x0"))))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    near, far = F.col("_x0") + F.col("ix") * F.col("_s"), F.col("_x0") + (F.col("ix") + 1) * F.col("_s")
+    at = lambda x: F.when(dx == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("x1")) / F.when(dx != 0, dx).otherwise(1.0))))
+    t1, t2 = at(near), F.when(dx == 0, 1.0).otherwise(at(far))
+    ya, yb = F.col("y1") + t1 * dy, F.col("y1") + t2 * dy
+    return columns.withColumn("iy", F.explode(F.sequence(cell(F.least(ya, yb), "_y0"), cell(F.greatest(ya, yb), "_y0"))))
+
+
 def edge_distance(points: DataFrame, e: DataFrame, point: str, key: str) -> DataFrame:
-    """(point, key, distance) to the nearest edge of the geometry with the point's key."""
+    """(point, key, distance) to the nearest edge of the geometry with the point's key.
+
+    Each geometry has a grid of its own with about as many cells as the root of its edges on a side. A point first meets the occupied cells: the least of
+    their greatest distances bounds its distance, and only cells that begin within the bound give their edges. So a point looks at
+    about the root of the edges, not at all of them, however far away it is.
+    """
+    passed = _occupied(e, key)
+    cells = passed.select(key, "ix", "iy", "_x0", "_y0", "_s").distinct()
+    low, high = lambda i, z: F.col(z) + F.col(i) * F.col("_s"), lambda i, z: F.col(z) + (F.col(i) + 1) * F.col("_s")
+    gap = lambda p, i, z: F.greatest(F.lit(0.0), low(i, z) - F.col(p), F.col(p) - high(i, z))
+    reach = lambda p, i, z: F.greatest(F.abs(F.col(p) - low(i, z)), F.abs(F.col(p) - high(i, z)))
+    met = points.select(point, key, "px", "py").join(cells, key)
+    bound = met.groupBy(point, key).agg((F.min(F.hypot(reach("px", "ix", "_x0"), reach("py", "iy", "_y0"))) * (1 + 1e-9)).alias("_most"))
+    kept = met.join(bound, [point, key]).where(F.hypot(gap("px", "ix", "_x0"), gap("py", "iy", "_y0")) <= F.col("_most")).select(point, key, "px", "py", "ix", "iy")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = ((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-18))
+    t = ((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-300))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     d = F.hypot(F.col("px") - (F.col("x1") + t * dx), F.col("py") - (F.col("y1") + t * dy))
-    return points.join(e, key).groupBy(point, key).agg(F.min(d).alias("distance"))
+    return kept.join(passed.select(key, "ix", "iy", "x1", "y1", "x2", "y2"), [key, "ix", "iy"]).groupBy(point, key).agg(F.min(d).alias("distance"))
 
 
 def square_wkt(ix: Column, iy: Column, cells: int, size: float) -> Column:
