@@ -241,6 +241,41 @@ def nearest_centroid(df: DataFrame, v: str, centroids: DataFrame, label: str, by
     return joined.withColumn("_b", F.array_min(d)).withColumn("predicted", F.col("_b.l")).withColumn("distance", F.col("_b.d")).drop("_t", "_b")
 
 
+def balanced_centroids(df: DataFrame, v: str, label: str, field: str, fold: str, folds: int, floor: float = 1e-8) -> DataFrame:
+    """(fold, mean, scale, centroids): for each fold, from the rows of the others, with rows equal in a field, fields equal in a label and labels equal.
+
+    Rows are read once, for the moments of each field; every fold then takes the field moments of the others. centroids: array of (label, standardised centroid).
+    """
+    from .aggregates import mean_vectors
+
+    both = df.withColumn("_b", F.concat(v, F.transform(v, lambda x: x * x)))
+    fields = mean_vectors(both, [label, field, fold], "_b")
+    each = fields.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col("_f") != F.col(fold))
+    labels = mean_vectors(each.select("_f", label, "_b"), ["_f", label], "_b")
+    whole = mean_vectors(labels, ["_f"], "_b")
+    half = (F.size("_b") / 2).cast("int")
+    first, second = F.slice("_b", F.lit(1), half), F.slice("_b", half + 1, half)
+    deviation = F.zip_with("_q", "mean", lambda q, m: F.sqrt(F.greatest(q - m * m, F.lit(0.0))))
+    whole = whole.select("_f", first.alias("mean"), second.alias("_q")).withColumn("scale", F.transform(deviation, lambda s: F.when(s < floor, 1.0).otherwise(s))).drop("_q")
+    own = labels.select("_f", F.col(label).alias("l"), first.alias("_c")).join(whole, "_f")
+    own = own.withColumn("c", F.transform("_c", lambda x, i: (x - F.get("mean", i)) / F.get("scale", i)))
+    table = own.groupBy("_f").agg(F.array_sort(F.collect_list(F.struct("l", "c"))).alias("centroids"))  # one entry per label
+    return table.join(whole, "_f").withColumnRenamed("_f", fold)
+
+
+def centroid_distances(df: DataFrame, v: str, table: DataFrame, fold: str) -> DataFrame:
+    """Adds distances: array of (l, d), the squared distance of the standardised row to each centroid of its fold's table."""
+    joined = df.join(table, fold).withColumn("_z", F.transform(v, lambda x, i: (x - F.get("mean", i)) / F.get("scale", i)))
+    square = lambda c: F.aggregate(F.zip_with("_z", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return joined.withColumn("distances", F.transform("centroids", lambda t: F.struct(t["l"].alias("l"), square(t["c"]).alias("d")))).drop("_z", "centroids", "mean", "scale")
+
+
+def field_decisions(rows: DataFrame, field: str, keep: list[str]) -> DataFrame:
+    """(field, keep, predicted, distance): the label with the least mean distance over a field's rows, the lesser of equals."""
+    each = rows.select(field, *keep, F.explode("distances").alias("e")).groupBy(field, *keep, "e.l").agg(F.round(F.avg("e.d"), 9).alias("d"))
+    return each.groupBy(field, *keep).agg(F.min(F.struct("d", "l")).alias("b")).select(field, *keep, F.col("b.l").alias("predicted"), F.col("b.d").alias("distance"))
+
+
 HEALTH_DDL = "cosine_distance double, relational double, cross_correlation double, variance_floor double, covariance_penalty double"
 
 

@@ -418,9 +418,27 @@ def j29(spark, sf):
     return pair.agg(q.alias("q")).select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "median", "high"))])
 
 
-@query("j30_nearest_centroid", _NC + " SELECT row_id, arg_min(label, (d, label)) AS predicted, round(min(d), 6) AS distance FROM x GROUP BY row_id")
+_WC = f"""WITH {VECTORS}, {_EACH}, fq AS (SELECT crop, field, d, avg(e) AS m, avg(e * e) AS q FROM each GROUP BY ALL),
+c AS (SELECT fold, crop AS label, d, avg(m) AS m, avg(q) AS q FROM fq, (SELECT unnest(range(5)) AS fold) WHERE field % 5 <> fold GROUP BY ALL),
+t AS (SELECT fold, d, avg(m) AS mu, sqrt(greatest(avg(q) - avg(m) * avg(m), 0)) AS sd FROM c GROUP BY ALL),
+z AS (SELECT row_id, e.crop, field, label, sum(((e.e - c.m) / CASE WHEN sd < 1e-8 THEN 1 ELSE sd END) ** 2) AS d2 FROM each e JOIN c ON c.fold = e.field % 5 AND c.d = e.d JOIN t ON t.fold = c.fold AND t.d = e.d GROUP BY ALL)"""
+
+
+def _distances(spark, sf):
+    v = inputs.vectors(spark, sf).withColumn("fold", (F.col("field") % 5).cast("int"))
+    return linear.centroid_distances(v, "v", linear.balanced_centroids(v, "v", "crop", "field", "fold", 5), "fold")
+
+
+@query("j30_nearest_centroid", _WC + " SELECT row_id, arg_min(label, (round(d2, 9), label)) AS predicted, round(min(d2), 4) AS distance FROM z GROUP BY row_id")
 def j30(spark, sf):
-    return out_of_fold(spark, sf).select("row_id", "predicted", F.round("distance", 6).alias("distance"))
+    best = F.array_min(F.transform("distances", lambda t: F.struct(F.round(t["d"], 9).alias("d"), t["l"].alias("l"))))
+    return _distances(spark, sf).select("row_id", best["l"].alias("predicted"), F.round(best["d"], 4).alias("distance"))
+
+
+@query("j30_field_decisions", _WC + ", f AS (SELECT field, crop, label, round(avg(d2), 9) AS d FROM z GROUP BY ALL) SELECT field, crop, arg_min(label, (d, label)) AS predicted, round(min(d), 4) AS distance FROM f GROUP BY field, crop")
+def j30b(spark, sf):
+    """A field is of the crop whose centroid its rows are nearest to on average."""
+    return linear.field_decisions(_distances(spark, sf), "field", ["crop"]).withColumn("distance", F.round("distance", 4))
 
 
 @query("j31_permutation_test", _FM + f""", fl AS (SELECT DISTINCT crop, field, field % 5 AS fold FROM vectors), rp AS (SELECT *, r FROM fl, (SELECT unnest(range(10)) AS r)),
