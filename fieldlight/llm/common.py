@@ -36,8 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 _OPEN: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
-def _folder(spark: SparkSession, what: str) -> str:
-    return f"{_OPEN.get() or shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession, what: str, base: str | None = None) -> str:
+    return f"{base or _OPEN.get() or shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -65,13 +65,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 class Tables:
-    """Stored tables of one call, which it can remove when no later job reads them."""
+    """Stored tables of one call, which it can remove when no later job reads them.
+
+    They lie where tables were stored when it was made, also if a scratch() is opened later.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.own = spark, []
+        self.spark, self.own, self.base = spark, [], _OPEN.get() or shared_dir(spark)
 
     def stored(self, df: DataFrame, what: str) -> DataFrame:
-        path = _folder(self.spark, what)
+        path = _folder(self.spark, what, self.base)
         self.own.append((path, None))  # a write that fails may leave a part
         df.write.option("compression", "zstd").parquet(path)
         self.own[-1] = path, self.spark.read.parquet(path)

@@ -122,7 +122,10 @@ def test_threads_keep_their_stored_tables(spark):
             if fails:
                 raise RuntimeError("stopped")
 
-    left = []
+    left, before = [], common.Tables(spark)
+    with common.scratch(spark):
+        outlives = before.stored(spark.range(4), "outlives")
+    assert outlives.count() == 4
     outer(False)
     with pytest.raises(RuntimeError, match="stopped"):
         outer(True)
