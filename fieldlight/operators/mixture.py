@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.hashing import hash_rank
-from .linear import HELD_GROUPS, added, literal
+from .aggregates import mean_vectors
+from .linear import HELD_GROUPS, added, literal, moments
+from .windows import placed
 
 
 def grid_likelihoods(df: DataFrame, keys: list[str], a: str, b: str, points: int, weight: str | None = None) -> DataFrame:
@@ -93,19 +95,21 @@ def best_pair(shares: DataFrame, keys: list[str]) -> DataFrame:
 def draws(groups: DataFrame, keys: list[str], unit: str, replicates: int, seed: str = "") -> DataFrame:
     """(keys, replicate, unit, weight): each replicate draws as many units as a group has, with replacement.
 
-    groups has distinct (keys, unit); slots pick units by hash, so the draws are the same everywhere.
+    groups has distinct (keys, unit). Units are numbered in order by a range partition, and each is a slot, which picks a
+    number by hash in every replicate: no row holds the units of a group, and the draws are the same everywhere.
     """
-    listed = groups.groupBy(*keys).agg(F.sort_array(F.collect_list(unit)).alias("_u"))  # units are blocks or fields of a group
-    slots = listed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.size("_u") - 1)))
-    pick = F.pmod(hash_rank(F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("replicate").cast("string"), F.col("_s").cast("string")), F.size("_u").cast("decimal(20,0)")).cast("int")
-    drawn = slots.select(*keys, "replicate", F.get("_u", pick).alias(unit))
-    return drawn.groupBy(*keys, "replicate", unit).agg(F.count("*").cast("double").alias("weight"))
+    at = placed(groups.select(*keys, unit), [*keys, unit])
+    at = at.join(at.groupBy(*keys).agg(F.min("place").alias("_first"), F.count("*").alias("_m")), keys).withColumn("_s", F.col("place") - F.col("_first"))
+    slots = at.select(*keys, "_s", "_m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    pick = F.pmod(hash_rank(F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("replicate").cast("string"), F.col("_s").cast("string")), F.col("_m").cast("decimal(20,0)")).cast("long")
+    drawn = slots.select(*keys, "replicate", pick.alias("_s")).groupBy(*keys, "replicate", "_s").agg(F.count("*").cast("double").alias("weight"))
+    return drawn.join(at.select(*keys, "_s", unit), [*keys, "_s"]).select(*keys, "replicate", unit, "weight")
 
 
 def bootstrap_share(df: DataFrame, keys: list[str], block: str, a: str, b: str, replicates: int, points: int = 51) -> DataFrame:
     """(keys, low, median, high): share over block bootstrap replicates, from block sums per grid point."""
     blocks = grid_likelihoods(df, [*keys, block], a, b, points)
-    w = draws(blocks.select(*keys, block), keys, block, replicates)
+    w = draws(df.select(*keys, block).distinct(), keys, block, replicates)
     scaled = blocks.join(w, [*keys, block]).withColumn("ll", F.transform("ll", lambda x: x * F.col("weight")))
     total = added(scaled, [*keys, "replicate"], [], ["ll"])
     q = F.percentile("share", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
@@ -113,6 +117,44 @@ def bootstrap_share(df: DataFrame, keys: list[str], block: str, a: str, b: str,
     return out.select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))
 
 
+def reference_replicates(references: DataFrame, rows: DataFrame, pairs: DataFrame, window: str, label: str, field: str, v: str, group: str, replicates: int, seed: str = "") -> DataFrame:
+    """(window, group, field, replicate, share): mean share of a pair's first label in the rows of each field, by drawn reference fields.
+
+    references: window, label, field, v; rows: window, group, field, v; pairs: group, a, b (labels), one row a group. A replicate draws the
+    fields of a label once for all windows; prototypes are the means of their means. A row gets an array of shares, one per
+    replicate, clipped to 0..1, so rows are not copied; what a group's rows meet are `replicates` vectors. A replicate in which a
+    window has no drawn field of a label has no share there.
+    """
+    signatures = mean_vectors(references, [window, label, field], v)
+    drawn = draws(signatures.select(label, field).distinct(), [label], field, replicates, seed)
+    p = mean_vectors(signatures.join(drawn, [label, field]), [window, label, "replicate"], v, F.col("weight"))
+    side = lambda c: p.select(window, F.col(label).alias(c), "replicate", F.col(v).alias(f"_{c}"))
+    wanted = rows.select(window, group).distinct().join(pairs.select(group, "a", "b"), group).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    ends = wanted.join(side("a"), [window, "a", "replicate"], "left").join(side("b"), [window, "b", "replicate"], "left")
+    way = ends.withColumn("_d", vectors.minus(F.col("_a"), F.col("_b"))).withColumn("_n", F.greatest(vectors.dot(F.col("_d"), F.col("_d")), F.lit(1e-300)))
+    line = F.struct("replicate", vectors.scaled(F.col("_d"), 1 / F.col("_n")).alias("u"), (vectors.dot(F.col("_b"), F.col("_d")) / F.col("_n")).alias("c"))
+    lines = way.groupBy(window, group).agg(F.sort_array(F.collect_list(line)).alias("_lines"))  # one entry a replicate
+    clipped = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), vectors.dot(F.col(v), x["u"]) - x["c"]))
+    share = F.transform("_lines", lambda x: F.when(x["c"].isNotNull(), clipped(x)).otherwise(F.lit(float("nan"))))
+    m = moments(rows.join(lines, [window, group]).select(window, group, field, share.alias("_share")), [window, group, field], "_share", gram=False)
+    return m.select(window, group, field, F.posexplode(F.transform("total", lambda x: x / F.col("mass"))).alias("replicate", "share")).where(~F.isnan("share"))
+
+
+def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, low, median, high, replicates_used): the middle 95 % and the median of the replicates."""
+    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"), F.count("*").alias("replicates_used"))
+    return q.select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("low", "median", "high"))], "replicates_used")
+
+
+def group_replicates(shares: DataFrame, fields: DataFrame, window: str, group: str, field: str, replicates: int, seed: str = "g") -> DataFrame:
+    """(window, group, replicate, share): the mean over fields drawn in each replicate, the same for all windows, of reference_replicates' shares.
+
+    fields: distinct (group, field). Both parts of a replicate vary, references and fields.
+    """
+    drawn = draws(fields.select(group, field), [group], field, replicates, seed)
+    return shares.join(drawn, [group, field, "replicate"]).groupBy(window, group, "replicate").agg((F.sum(F.col("weight") * F.col("share")) / F.sum("weight")).alias("share"))
+
+
 def segment_projection(v: Column, a: np.ndarray, b: np.ndarray) -> tuple[Column, Column, Column]:
     """(share of a clipped to 0..1, raw share, residual distance) on the segment from b to a."""
     d = a - b

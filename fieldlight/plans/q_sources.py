@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import contracts, geometry
-from ..sources import commits, io
+from ..sources import bundles, commits, inventory, io, late
 from . import inputs
 from .inputs import CANDIDATES, ITEMS, OBSERVATIONS, VECTORS, WINDOWED
 from .q_geometry import POLYS, polys
@@ -124,6 +124,52 @@ def a8(spark, sf):
     return io.catalog_items(s).select("query", "id", F.col("acquired").cast("timestamp_ntz").alias("acquired"), "digest")
 
 
+def damaged_catalog(spark, sf):
+    """(snapshots, expected, raw): one snapshot per order and year of shipping; orders are damaged in twelve ways by their number modulo 13."""
+    li = inputs.table(spark, sf, "lineitem")
+    z, at = F.col("l_orderkey") % 13, F.col("l_shipdate")
+    west, south = (F.col("l_partkey") % 300 - 150).cast("double"), (F.col("l_suppkey") % 120 - 60).cast("double")
+    text = lambda t: F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(z == 10, "").otherwise("Z"))
+    i = li.select(
+        z.alias("z"), F.year(at).alias("ship_year"), F.concat_ws("-", "l_orderkey", F.year(at)).alias("query"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.lit("lines").alias("collection"),
+        F.when(z == 9, F.array(west + 10, south, west, south + 8)).otherwise(F.array(west, south, west + 10, south + 8)).alias("bbox"), text(at).alias("datetime"),
+        text(F.when(z == 12, at.cast("timestamp_ntz") + F.expr("INTERVAL 1 SECOND")).otherwise(at.cast("timestamp_ntz"))).alias("raw_datetime"), F.concat(F.lit("part/"), "l_partkey").alias("href"), F.col("l_returnflag").alias("orbit"),
+    )
+    doc = F.to_json(F.struct("id", "collection", "bbox", F.create_map(F.lit("B1"), F.struct("href")).alias("assets"), F.create_map(F.lit("datetime"), F.col("raw_datetime"), F.lit("orbit"), F.col("orbit")).alias("properties")))
+    i = i.withColumn("raw", doc).withColumn("digest", F.sha2("raw", 256))
+    raw = i.where("z <> 4").select("digest", F.when(F.col("z") == 3, F.concat("raw", F.lit(" "))).otherwise(F.col("raw")).alias("doc")).dropDuplicates(["digest"])
+    summary = F.struct(
+        F.when(F.col("z") == 6, F.concat("id", F.lit("?"))).otherwise(F.col("id")).alias("id"), "collection", "bbox", "datetime", F.create_map(F.lit("B1"), F.when(F.col("z") == 8, "other").otherwise(F.col("href"))).alias("assets"),
+        F.create_map(F.lit("orbit"), F.when(F.col("z") == 7, "?").otherwise(F.col("orbit"))).alias("properties"), F.when(F.col("z") == 5, "xyz").otherwise(F.col("digest")).alias("raw_item_sha256"),
+    )
+    s = i.groupBy("query", "z", "ship_year").agg(F.collect_list(summary).alias("items"))  # the lines of one order
+    s = s.select("query", "z", F.lit(1).alias("schema_version"), F.lit("s2").alias("modality"), F.col("query").alias("tile"), (F.col("ship_year") + (F.col("z") == 11).cast("int")).alias("year"), F.lit("lines").alias("collection"), F.array(F.lit("B1")).alias("band_order"), "items")
+    expected = s.select("query", *bundles.IDENTITY)
+    s = s.withColumn("modality", F.when(F.col("z") == 2, "s1").otherwise(F.col("modality"))).withColumn("doc", F.to_json(F.struct(*bundles.IDENTITY, "items")))
+    return s.select("query", "doc", F.when(F.col("z") == 1, "0").otherwise(F.sha2("doc", 256)).alias("receipt")), expected, raw
+
+
+_LINES = "lines AS (SELECT l_orderkey % 13 AS z, l_orderkey || '-' || year(l_shipdate) AS query, l_orderkey || '-' || l_linenumber AS id, l_shipdate FROM lineitem)"
+
+
+@query("a8_snapshot_rules", f"""WITH {_LINES} SELECT CASE z WHEN 1 THEN 'receipt' ELSE 'identity' END AS rule, query AS key FROM lines WHERE z IN (1, 2) GROUP BY z, query UNION ALL
+SELECT CASE z WHEN 3 THEN 'raw_corrupt' WHEN 4 THEN 'raw_missing' WHEN 5 THEN 'digest' WHEN 6 THEN 'raw_identity' WHEN 7 THEN 'properties' WHEN 8 THEN 'assets' WHEN 9 THEN 'bbox' WHEN 10 THEN 'datetime' WHEN 11 THEN 'year' ELSE 'raw_datetime' END,
+ query || '|' || id || CASE z WHEN 6 THEN '?' ELSE '' END FROM lines WHERE z >= 3""")
+def a8b(spark, sf):
+    """Every rule of snapshots and items, found in the orders that break it and in no others."""
+    return bundles.catalog_snapshot(*damaged_catalog(spark, sf))[1].select("rule", "key")
+
+
+@query("a8_verified_items", f"WITH {_LINES} SELECT query, id, CAST(l_shipdate AS TIMESTAMP) AS acquired FROM lines WHERE z = 0")
+def a8c(spark, sf):
+    """The items of the snapshots of undamaged orders, after the check."""
+    snapshots_, expected, raw = damaged_catalog(spark, sf)
+    sound = F.substring_index("query", "-", 1).cast("long") % 13 == 0
+    items, told = bundles.catalog_snapshot(snapshots_.where(sound), expected.where(sound), raw)
+    contracts.enforce(told)
+    return items.select("query", "id", F.col("acquired").cast("timestamp_ntz").alias("acquired"))
+
+
 @query("a9_documents_once", f"WITH {ITEMS} SELECT DISTINCT sha256(doc) AS digest FROM items WHERE sha256(doc) NOT IN (SELECT sha256(doc) FROM items WHERE tile < 5)")
 def a9(spark, sf):
     i = inputs.items(spark, sf).select(F.col("tile").alias("query"), F.col("item_id").alias("id"), F.sha2("doc", 256).alias("digest"), "doc")
@@ -192,19 +238,38 @@ def a16(spark, sf):
 
 @query("a17_late_vectors", f"WITH {VECTORS} SELECT row_id, round(v[1], 6) AS head FROM vectors WHERE block = 2")
 def a17(spark, sf):
+    """Vectors of one block's rows, from a store whose other folders are not opened."""
     v = inputs.vectors(spark, sf)
-    got = io.late_vectors(v.where("block = 2").select("row_id"), v, "row_id", "v")
-    return got.select("row_id", F.round(F.col("v")[0], 6).alias("head"))
+    store = late.BucketStore(folder(spark), "row_id", ("block",), 64)
+    store.write(v.select("row_id", "block", "v"))
+    return store.fetch(v.where("block = 2").select("row_id", "block"), ["v"]).select("row_id", F.round(F.col("v")[0], 6).alias("head"))
 
 
-@query("a18_file_inventory")
-def a18(spark, sf):
-    """Files of a written table against their receipt, of which one entry is wrong and one is missing."""
+def _nation_files(spark, sf) -> str:
+    """One text file a nation, of its suppliers' names in order."""
     path = folder(spark)
-    inputs.table(spark, sf, "orders").repartition(4).write.option("compression", "none").parquet(path)
-    inv = io.file_inventory(spark, f"{path}/*.parquet")
-    r = inv.withColumn("path", F.when(F.substring("path", 6, 5) == "00001", "lost").otherwise(F.col("path"))).withColumn("sha256", F.when(F.substring("path", 6, 5) == "00002", "0").otherwise(F.col("sha256")))
-    return io.against_receipt(inv, r).select("rule")
+    s = inputs.table(spark, sf, "supplier").select("s_nationkey", "s_name")
+    s.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_name").write.partitionBy("s_nationkey").text(path)
+    return path
+
+
+_NATION = F.regexp_extract("path", "s_nationkey=([0-9]+)/", 1)
+
+
+@query("a18_file_inventory", "SELECT s_nationkey, CAST(sum(strlen(s_name) + 1) AS BIGINT) AS n_bytes, sha256(string_agg(s_name, chr(10) ORDER BY s_name) || chr(10)) AS sha256 FROM supplier GROUP BY 1")
+def a18(spark, sf):
+    """Digests of files, of which those over 200 bytes are read in blocks."""
+    inv = inventory.file_inventory(spark, _nation_files(spark, sf), whole=200)
+    return inv.select(_NATION.cast("long").alias("s_nationkey"), "n_bytes", "sha256")
+
+
+@query("a18_receipt_rules", "SELECT CASE s_nationkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'extra' WHEN 2 THEN 'n_bytes' ELSE 'sha256' END AS rule, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier WHERE s_nationkey % 5 < 4 GROUP BY s_nationkey")
+def a18b(spark, sf):
+    """Files against a receipt with entries for lost files, without some, and with wrong lengths and digests."""
+    inv = inventory.file_inventory(spark, _nation_files(spark, sf), whole=200)
+    kind = _NATION.cast("int") % 5
+    receipt = inv.where(kind != 1).withColumns({"n_bytes": F.col("n_bytes") + (kind == 2).cast("int"), "sha256": F.when(kind == 3, F.reverse("sha256")).otherwise(F.col("sha256"))})
+    return inventory.against_receipt(inv.where(kind != 0), receipt).select("rule", F.regexp_extract("key", "s_nationkey=([0-9]+)/", 1).alias("nation"))
 
 
 @query("a19_timeline_round_trip", f"WITH {OBSERVATIONS} SELECT obs_id, sample_id, epoch_day FROM observations")
@@ -257,6 +322,26 @@ def a23(spark, sf):
     return contracts.same_rows(li, o, "ids").groupBy(F.col("detail").alias("side")).agg(F.count("*").alias("n")).where("side = 'extra'")
 
 
+@query("a23_pack_rules", f"""WITH {WINDOWED} SELECT 'windows' AS rule, '{{"window_id":"w' || w || '"}}' AS key, 'missing' AS detail FROM windowed WHERE w = 4 GROUP BY w UNION ALL SELECT 'windows', '{{"window_id":"w5"}}', 'extra' FROM vectors HAVING count(*) > 0 UNION ALL
+SELECT 'fields', CAST(row_id AS VARCHAR), 'missing' FROM vectors WHERE row_id % 7 = 1 UNION ALL SELECT 'fields', CAST(-row_id AS VARCHAR), 'extra' FROM vectors WHERE row_id % 7 = 2 UNION ALL SELECT 'one_report', CAST(row_id AS VARCHAR), '2' FROM vectors WHERE row_id % 7 = 3 UNION ALL
+SELECT 'columns', 'scores.evidence_threshold', NULL FROM vectors HAVING count(*) > 0 UNION ALL SELECT 'complete', 'figures_complete', NULL FROM vectors HAVING count(*) FILTER (row_id % 7 = 1) > 0""")
+def a23b(spark, sf):
+    """An exported pack of tables and JSON documents, read back, that breaks every rule but that of the run: a field is a row id."""
+    path, v = folder(spark), inputs.vectors(spark, sf)
+    kind = F.col("row_id") % 7
+    embedding_rows(spark, sf).select(F.col("row_id").alias("field_uid"), "window_id", "outcome").write.parquet(f"{path}/scores")
+    copies = F.when(kind == 1, F.array().cast("array<long>")).when(kind == 2, F.array("row_id", -F.col("row_id"))).when(kind == 3, F.array("row_id", "row_id")).otherwise(F.array("row_id"))
+    v.select(F.explode(copies).alias("field_uid")).write.json(f"{path}/reports")
+    n = v.agg(F.count_if(kind == 1).alias("lost"))
+    n.select(F.lit("r1").alias("analysis_id"), F.lit(True).alias("gallery_complete"), (F.col("lost") == 0).alias("figures_complete")).write.json(f"{path}/completion")
+    n.select(F.lit("r1").alias("analysis_id"), F.array(*[F.lit(f"w{i}") for i in (1, 2, 3, 5)]).alias("windows")).write.json(f"{path}/manifest")
+    read = lambda name, ddl: spark.read.schema(ddl).option("mode", "FAILFAST").json(f"{path}/{name}")
+    return bundles.pack_violations(
+        read("completion", "analysis_id string, gallery_complete boolean, figures_complete boolean"), read("manifest", "analysis_id string, windows array<string>"), read("reports", "field_uid long"),
+        {"scores": spark.read.parquet(f"{path}/scores")}, {"scores": ["field_uid", "window_id", "evidence_threshold"]}, "scores",
+    )
+
+
 @query("a24_newest_finalised", f"WITH {ITEMS} SELECT tile, arg_max(item_id, (acquired, item_id)) AS item_id FROM items GROUP BY tile")
 def a24(spark, sf):
     return io.newest(inputs.items(spark, sf), ["tile"], "item_id", "acquired")

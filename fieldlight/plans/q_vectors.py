@@ -418,6 +418,41 @@ def j29(spark, sf):
     return pair.agg(q.alias("q")).select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "median", "high"))])
 
 
+_RB = f"""WITH {inputs.WINDOWED}, we AS (SELECT * EXCLUDE (v), unnest(v) AS e, unnest(range(len(v))) AS d FROM windowed), fm AS (SELECT w, crop, field, d, avg(e) AS m FROM we GROUP BY ALL),
+u AS (SELECT crop, field, row_number() OVER (PARTITION BY crop ORDER BY field) - 1 AS i, count(*) OVER (PARTITION BY crop) AS c FROM (SELECT DISTINCT crop, field FROM vectors)),
+dr AS (SELECT crop, r, CAST({_U.format("':' || crop || ':' || r || ':' || i")} % c AS BIGINT) AS i FROM u, (SELECT unnest(range(20)) AS r)), wt AS (SELECT crop, field, r, count(*) AS n FROM dr JOIN u USING (crop, i) GROUP BY ALL),
+pr AS (SELECT w, r, crop, d, sum(n * m) / sum(n) AS m FROM fm JOIN wt USING (crop, field) GROUP BY ALL),
+ln AS (SELECT a.w, a.r, a.crop // 2 AS pair, a.d, a.m - b.m AS dm, b.m AS mb FROM pr a JOIN pr b ON a.w = b.w AND a.r = b.r AND a.d = b.d AND a.crop % 2 = 0 AND b.crop = a.crop + 1), l2 AS (SELECT w, r, pair, sum(dm * dm) AS n2, sum(mb * dm) AS c FROM ln GROUP BY ALL),
+dt AS (SELECT row_id, w, r, field, pair, sum(e * dm) AS x FROM (SELECT *, (crop // 2 + 4) % 5 AS pair FROM we) JOIN ln USING (w, pair, d) GROUP BY ALL),
+fs AS (SELECT w, pair, field, r, avg(least(1, greatest(0, (x - c) / n2))) AS s FROM dt JOIN l2 USING (w, r, pair) GROUP BY ALL)"""
+
+
+def _replicates(spark, sf):
+    """(shares by replicate, rows): a crop's fields are held against the pair of crops before it, in all windows."""
+    v = inputs.windowed_vectors(spark, sf)
+    rows = v.withColumn("pair", ((F.floor(F.col("crop") / 2) + 4) % 5).cast("int"))
+    pairs = spark.createDataFrame([(p, 2 * p, 2 * p + 1) for p in range(5)], "pair int, a int, b int")
+    return mixture.reference_replicates(v, rows, pairs, "w", "crop", "field", "v", "pair", 20), rows
+
+
+@query("j29_field_intervals", _RB + " SELECT w, CAST(pair AS INTEGER) AS pair, field, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.975), 6) AS high, count(*) AS replicates_used FROM fs GROUP BY ALL")
+def j29b(spark, sf):
+    """Intervals of every field's share in every window, from the same drawn reference fields in all of them."""
+    out = mixture.spread(_replicates(spark, sf)[0], ["w", "pair", "field"], "share")
+    return out.withColumns({c: F.round(c, 6) for c in ("low", "median", "high")})
+
+
+@query("j29_group_intervals", _RB + f""", gu AS (SELECT pair, field, row_number() OVER (PARTITION BY pair ORDER BY field) - 1 AS i, count(*) OVER (PARTITION BY pair) AS c FROM (SELECT DISTINCT pair, field FROM fs)),
+gd AS (SELECT pair, r, CAST({_U.format("'g:' || pair || ':' || r || ':' || i")} % c AS BIGINT) AS i FROM gu, (SELECT unnest(range(20)) AS r)), gw AS (SELECT pair, field, r, count(*) AS n FROM gd JOIN gu USING (pair, i) GROUP BY ALL),
+gs AS (SELECT w, pair, r, sum(n * s) / sum(n) AS s FROM fs JOIN gw USING (pair, field, r) GROUP BY ALL)
+SELECT w, CAST(pair AS INTEGER) AS pair, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.975), 6) AS high, count(*) AS replicates_used FROM gs GROUP BY ALL""")
+def j29c(spark, sf):
+    """Intervals of every pair's mean share in every window: fields are drawn too, the same in all windows."""
+    shares, rows = _replicates(spark, sf)
+    g = mixture.group_replicates(shares, rows.select("pair", "field").distinct(), "w", "pair", "field", 20)
+    return mixture.spread(g, ["w", "pair"], "share").withColumns({c: F.round(c, 6) for c in ("low", "median", "high")})
+
+
 _WC = f"""WITH {VECTORS}, {_EACH}, fq AS (SELECT crop, field, d, avg(e) AS m, avg(e * e) AS q FROM each GROUP BY ALL),
 c AS (SELECT fold, crop AS label, d, avg(m) AS m, avg(q) AS q FROM fq, (SELECT unnest(range(5)) AS fold) WHERE field % 5 <> fold GROUP BY ALL),
 t AS (SELECT fold, d, avg(m) AS mu, sqrt(greatest(avg(q) - avg(m) * avg(m), 0)) AS sd FROM c GROUP BY ALL),

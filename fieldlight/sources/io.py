@@ -154,25 +154,6 @@ def of_run(df: DataFrame, fingerprint: str, rows: int, columns: list[str]) -> Da
     return found
 
 
-def late_vectors(selected: DataFrame, store: DataFrame, key: str, vector: str) -> DataFrame:
-    """The heavy column for selected rows only."""
-    return selected.join(store.select(key, vector), key)
-
-
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n_bytes, sha256) of files."""
-    f = spark.read.format("binaryFile").load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def against_receipt(inventory: DataFrame, receipt: DataFrame) -> DataFrame:
-    """Files that are missing, extra or changed."""
-    r = receipt.select("path", F.col("n_bytes").alias("_n"), F.col("sha256").alias("_s"))
-    both = inventory.join(r, "path", "full")
-    rule = F.when(F.col("sha256").isNull(), "missing").when(F.col("_s").isNull(), "extra").when((F.col("sha256") != F.col("_s")) | (F.col("n_bytes") != F.col("_n")), "changed")
-    return both.select(rule.alias("rule"), F.col("path").alias("key"), F.lit(None).cast("string").alias("detail")).where("rule IS NOT NULL")
-
-
 def lookup_cells(points: DataFrame, cells: DataFrame, keys: list[str], value: str, known: list[int]) -> tuple[DataFrame, DataFrame]:
     """(points with the class of their cell, violations for cells that are missing or of an unknown class)."""
     got = points.join(cells, keys, "left")
