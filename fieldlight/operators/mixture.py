@@ -106,10 +106,13 @@ def draws(groups: DataFrame, keys: list[str], unit: str, replicates: int, seed:
     return drawn.join(at.select(*keys, "_s", unit), [*keys, "_s"]).select(*keys, "replicate", unit, "weight")
 
 
-def bootstrap_share(df: DataFrame, keys: list[str], block: str, a: str, b: str, replicates: int, points: int = 51) -> DataFrame:
-    """(keys, low, median, high): share over block bootstrap replicates, from block sums per grid point."""
+def bootstrap_share(df: DataFrame, keys: list[str], block: str, a: str, b: str, replicates: int, points: int = 51, units: DataFrame | None = None) -> DataFrame:
+    """(keys, low, median, high): share over block bootstrap replicates, from block sums per grid point.
+
+    units: the distinct (keys, block) of df, where the caller has them without the work behind a and b.
+    """
     blocks = grid_likelihoods(df, [*keys, block], a, b, points)
-    w = draws(df.select(*keys, block).distinct(), keys, block, replicates)
+    w = draws(df.select(*keys, block).distinct() if units is None else units, keys, block, replicates)
     scaled = blocks.join(w, [*keys, block]).withColumn("ll", F.transform("ll", lambda x: x * F.col("weight")))
     total = added(scaled, [*keys, "replicate"], [], ["ll"])
     q = F.percentile("share", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))

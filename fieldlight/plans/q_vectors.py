@@ -271,7 +271,8 @@ def j17(spark, sf):
 
 @query("j18_bootstrap_share")
 def j18(spark, sf):
-    return mixture.bootstrap_share(two_source(spark, sf), ["field"], "block", "a", "b", 50, 21)
+    units = inputs.vectors(spark, sf).select("field", "block").distinct()
+    return mixture.bootstrap_share(two_source(spark, sf), ["field"], "block", "a", "b", 50, 21, units)
 
 
 def _paired(spark, sf):
