@@ -253,23 +253,24 @@ def _nation_files(spark, sf) -> str:
     return path
 
 
-_NATION = F.regexp_extract("path", "s_nationkey=([0-9]+)/", 1)
+def _nation(path: str = "path"):
+    return F.regexp_extract(path, "s_nationkey=([0-9]+)/", 1)
 
 
 @query("a18_file_inventory", "SELECT s_nationkey, CAST(sum(strlen(s_name) + 1) AS BIGINT) AS n_bytes, sha256(string_agg(s_name, chr(10) ORDER BY s_name) || chr(10)) AS sha256 FROM supplier GROUP BY 1")
 def a18(spark, sf):
     """Digests of files, of which those over 200 bytes are read in blocks."""
     inv = inventory.file_inventory(spark, _nation_files(spark, sf), whole=200)
-    return inv.select(_NATION.cast("long").alias("s_nationkey"), "n_bytes", "sha256")
+    return inv.select(_nation().cast("long").alias("s_nationkey"), "n_bytes", "sha256")
 
 
 @query("a18_receipt_rules", "SELECT CASE s_nationkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'extra' WHEN 2 THEN 'n_bytes' ELSE 'sha256' END AS rule, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier WHERE s_nationkey % 5 < 4 GROUP BY s_nationkey")
 def a18b(spark, sf):
     """Files against a receipt with entries for lost files, without some, and with wrong lengths and digests."""
     inv = inventory.file_inventory(spark, _nation_files(spark, sf), whole=200)
-    kind = _NATION.cast("int") % 5
+    kind = _nation().cast("int") % 5
     receipt = inv.where(kind != 1).withColumns({"n_bytes": F.col("n_bytes") + (kind == 2).cast("int"), "sha256": F.when(kind == 3, F.reverse("sha256")).otherwise(F.col("sha256"))})
-    return inventory.against_receipt(inv.where(kind != 0), receipt).select("rule", F.regexp_extract("key", "s_nationkey=([0-9]+)/", 1).alias("nation"))
+    return inventory.against_receipt(inv.where(kind != 0), receipt).select("rule", _nation("key").alias("nation"))
 
 
 @query("a19_timeline_round_trip", f"WITH {OBSERVATIONS} SELECT obs_id, sample_id, epoch_day FROM observations")

@@ -3,6 +3,8 @@
 import hashlib
 import json
 import random
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -136,3 +138,9 @@ def test_draws_of_a_large_group(spark):
     g = spark.range(50_000).select(F.lit("k").alias("k"), F.col("id").alias("unit"))
     got = mixture.draws(g, ["k"], "unit", 3).groupBy("replicate").agg(F.sum("weight").alias("s"), F.count("*").alias("n")).collect()
     assert [r.s for r in got] == [50_000.0] * 3 and all(0.62 < r.n / 50_000 < 0.645 for r in got)  # 1 - 1/e
+
+
+def test_queries_are_listed_without_a_session():
+    root = Path(__file__).resolve().parents[1]
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
