@@ -532,6 +532,68 @@ def j45(spark, sf):
     return mosaic.outcomes(o.select("sample_id").distinct(), o.where("kind = 'click'"), ["sample_id"], F.col("valid"), 15).select("sample_id", "outcome")
 
 
+_SAMPLED = f"""WITH {inputs.ITEMS}, {CANDIDATES}, p AS (SELECT candidate_id, item_id || '|' || doc || '|' || quantity AS item_id, acquired, year(acquired) AS period, orbit, quantity, CAST(floor(north - latitude) * 10 + floor(longitude - west) AS BIGINT) AS j
+ FROM candidates c JOIN items i ON i.tile % 10 = c_custkey % 10 AND longitude BETWEEN west AND east AND latitude BETWEEN south AND north),
+o AS (SELECT *, (quantity + j * 3) % 12 AS class, (quantity * 7 + j) % 100 AS red FROM p WHERE orbit = 'N'), r AS (SELECT *, (quantity + j) % 4 AS vv, (quantity * 3 + j) % 5 AS vh FROM p WHERE orbit <> 'N')"""
+
+
+def _single(spark, sf):
+    """Items in ten tiles; the tables repeat line numbers, so document and quantity are part of the id."""
+    return inputs.items(spark, sf).withColumns({"tile": F.col("tile") % 10, "item_id": F.concat_ws("|", "item_id", "doc", "quantity")})
+
+
+def _asked(spark, sf):
+    """Points and the items that hold them: what is sampled, with the items' own columns."""
+    c = inputs.candidates(spark, sf).withColumn("tile", F.col("c_custkey") % 10)
+    return joins.point_in_boxes(c, _single(spark, sf), ["tile"], "longitude", "latitude")
+
+
+def _landed(spark, sf):
+    """Rasters of 10 by 8 cells for all items, class and red of optical ones, vv and vh of others, and the values at the asked points."""
+    from ..sources import samples
+    from .q_sources import folder
+
+    q, cells = F.col("quantity"), F.sequence(F.lit(0), F.lit(79))
+    per = lambda f: F.transform(cells, f).cast("array<double>")
+    one = lambda asset, f: F.struct(F.lit(asset).alias("asset"), per(f).alias("values"))
+    optical = F.array(one("class", lambda j: (q + j * 3) % 12), one("red", lambda j: (q * 7 + j) % 100))
+    radar = F.array(one("vv", lambda j: (q + j) % 4), one("vh", lambda j: (q * 3 + j) % 5))
+    i = _single(spark, sf).withColumn("_a", F.explode(F.when(F.col("orbit") == "N", optical).otherwise(radar)))
+    rasters = i.select("tile", F.col("item_id").alias("item"), "_a.asset", "west", "north", F.lit(1.0).alias("step"), F.lit(10).alias("width"), "_a.values")
+    asked = _asked(spark, sf).select("tile", F.col("item_id").alias("item"), F.col("candidate_id").alias("point"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    path = folder(spark)
+    samples.land(rasters, asked, path)
+    return samples.read_samples(spark, path)
+
+
+@query("l3_sampler_source", _SAMPLED + " SELECT item_id AS item, candidate_id AS point, asset, CAST(v AS DOUBLE) AS value FROM (SELECT item_id, candidate_id, unnest(['class', 'red']) AS asset, unnest([class, red]) AS v FROM o UNION ALL SELECT item_id, candidate_id, unnest(['vv', 'vh']), unnest([vv, vh]) FROM r)")
+def l3_source(spark, sf):
+    """Values of landed rasters at points, read by a data source with a task a tile and file of points."""
+    return _landed(spark, sf).select("item", "point", "asset", "value")
+
+
+@query("j45_sampled_histories", _SAMPLED + """, od AS (SELECT candidate_id, period, coalesce(bool_or(class IN (4, 5, 6)), false) AS valid, coalesce(arg_min(red, (acquired, item_id)) FILTER (class IN (4, 5, 6)), 0) AS band FROM o GROUP BY ALL),
+rd AS (SELECT candidate_id, period, orbit, coalesce(arg_min(vv, (acquired, item_id)) FILTER (vv <> 0), 0) AS vv, coalesce(arg_min(vh, (acquired, item_id)) FILTER (vh <> 0), 0) AS vh FROM r GROUP BY ALL),
+m AS (SELECT candidate_id, 's2' AS modality, valid, band FROM od UNION ALL SELECT candidate_id, 's1', vv <> 0 AND vh <> 0, vv FROM rd)
+SELECT c.candidate_id, x.modality, count(m.band) AS rows, count(*) FILTER (m.valid) AS valid_rows, CAST(coalesce(sum(m.band), 0) AS DOUBLE) AS band_sum,
+ CASE WHEN count(m.band) = 0 THEN 'none' WHEN count(*) FILTER (m.valid) = 0 THEN 'insufficient' ELSE 'complete' END AS outcome
+FROM candidates c CROSS JOIN (SELECT unnest(['s2', 's1']) AS modality) x LEFT JOIN m ON m.candidate_id = c.candidate_id AND m.modality = x.modality GROUP BY ALL""")
+def j45_sampled(spark, sf):
+    """Items that hold a point, their sampled values, one mosaic a period (optical: first valid item; radar: each band by itself, by orbit), outcomes."""
+    asked = _asked(spark, sf).select(F.col("item_id").alias("item"), F.col("candidate_id").alias("point"), "acquired", "orbit", F.year("acquired").alias("period"))
+    at = lambda asset: F.max(F.when(F.col("asset") == asset, F.col("value"))).alias(asset)
+    rows = asked.join(_landed(spark, sf), ["item", "point"]).groupBy("item", "point", "acquired", "orbit", "period").agg(*map(at, ("class", "red", "vv", "vh")))
+    optical = rows.where("orbit = 'N'").withColumns({"valid": F.col("class").isin(4, 5, 6), "bands": F.array("red", "class")})
+    s2 = mosaic.daily_first_valid(optical, ["point", "period"], ["acquired", "item"], "valid", "bands", "item").select("point", F.lit("s2").alias("modality"), "valid", F.get("bands", F.lit(0)).alias("band"))
+    s1 = mosaic.first_nonzero_each(rows.where("orbit <> 'N'"), ["point", "period", "orbit"], ["acquired", "item"], ["vv", "vh"], "item")
+    s1 = s1.select("point", F.lit("s1").alias("modality"), ((F.col("vv") != 0) & (F.col("vh") != 0)).alias("valid"), F.col("vv").alias("band"))
+    history = s2.unionByName(s1)
+    keys = ["point", "modality"]
+    expected = joins.cross_small(inputs.candidates(spark, sf).select(F.col("candidate_id").alias("point")), ["s2", "s1"], "modality")
+    expected = expected.join(history.groupBy(*keys).agg(F.sum("band").alias("band_sum")), keys, "left").fillna(0.0, ["band_sum"])
+    return mosaic.outcomes(expected, history, keys, F.col("valid"), 1).withColumnRenamed("point", "candidate_id")
+
+
 @query("j46_field_features", f"WITH {VECTORS}, {_EACH}, m AS (SELECT crop, field, d, avg(e) AS m FROM each GROUP BY ALL), s AS (SELECT field, round(sum(m), 6) AS mean_sum FROM m GROUP BY field), g AS (SELECT field, any_value(crop) AS crop, count(*) AS n, max(x) - min(x) + 1 AS width FROM vectors GROUP BY field) SELECT field, crop, n, width, mean_sum FROM g JOIN s USING (field)")
 def j46(spark, sf):
     v = inputs.vectors(spark, sf)

@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 WHOLE_BYTES, BLOCK_BYTES = 1 << 26, 1 << 23
 
 
-def _digest(path: str) -> str:
-    """SHA-256 of a file, of which one block is in memory at a time."""
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path as Spark writes it, and the name there."""
     scheme = urlsplit(path).scheme
     system, name = (fs.LocalFileSystem(), path.removeprefix("file:")) if scheme in ("", "file") else fs.FileSystem.from_uri(path)
-    if name.startswith("//"):
-        name = "/" + name.lstrip("/")
+    return system, "/" + name.lstrip("/") if name.startswith("//") else name
+
+
+def _digest(path: str) -> str:
+    """SHA-256 of a file, of which one block is in memory at a time."""
+    system, name = located(path)
     seen = hashlib.sha256()
     with system.open_input_stream(name, compression=None, buffer_size=0) as data:
         while block := data.read(BLOCK_BYTES):
