@@ -165,6 +165,36 @@ def lattice(spark, west: float, south: float, columns: int, rows: int, size: flo
     return r.select("id", ix.alias("ix"), iy.alias("iy"), (F.lit(west) + (ix + 0.5) * size).alias("px"), (F.lit(south) + (iy + 0.5) * size).alias("py"))
 
 
+def envelope_lattice(e: DataFrame, key: str, size: float) -> DataFrame:
+    """(key, ix, iy, px, py): the lattice's cell centres in each shape's envelope. Columns are spread before they become cells, so a large shape is many tasks."""
+    first = lambda c: F.ceil(F.col(c) / size - 0.5).cast("long")
+    last = lambda c: F.floor(F.col(c) / size - 0.5).cast("long")
+    some = lambda lo, hi: F.explode(F.when(last(hi) >= first(lo), F.sequence(first(lo), last(hi))))
+    columns = boxes(e, key).select(key, "y_min", "y_max", some("x_min", "x_max").alias("ix")).repartition(key, "ix")
+    cells = columns.select(key, "ix", some("y_min", "y_max").alias("iy"))
+    return cells.select(key, "ix", "iy", ((F.col("ix") + 0.5) * size).alias("px"), ((F.col("iy") + 0.5) * size).alias("py"))
+
+
+def candidate_frame(centres: DataFrame, boundary: DataFrame, country: str, land: Column, excluded: dict[str, list[int]], regions: DataFrame, region: str, size: float) -> DataFrame:
+    """Every centre with its outcome: outside_boundary, the reason its land cover is excluded for, missing_region, or candidate.
+
+    Reasons go in this order, so each centre counts once; a centre without a land-cover class has the reason no_land_cover. centres as of
+    envelope_lattice; boundary and regions are edges. A point on several regions takes the lowest and is marked ambiguous.
+    Only centres inside their boundary and on wanted land look for a region. Group by country and outcome for the counters.
+    """
+    cell = [country, "ix", "iy"]
+    within = inside(centres, boundary, cell, country, size).select(*cell).distinct().withColumn("_in", F.lit(True))
+    reason = F.when(F.col("_in").isNull(), "outside_boundary").when(F.col("_land").isNull(), "no_land_cover")
+    for name, classes in excluded.items():
+        reason = reason.when(F.col("_land").isin(classes), name)
+    judged = centres.withColumn("_land", land).join(within, cell, "left").withColumn("_why", reason)
+    named = judged.where("_why IS NULL").select(F.struct(*cell).alias("_cell"), "px", "py")
+    found = regions_of(named, regions, "_cell", region, size).where(F.col(region) >= 0).select(*[F.col("_cell")[c].alias(c) for c in cell], region, "ambiguous")
+    out = judged.join(found, cell, "left")
+    outcome = F.coalesce("_why", F.when(F.col(region).isNull(), "missing_region").otherwise("candidate"))
+    return out.select(*cell, "px", "py", F.col("_land").alias("land"), region, F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), outcome.alias("outcome"))
+
+
 def _occupied(e: DataFrame, key: str) -> DataFrame:
     """Edges with the cells (ix, iy) of a grid of their own geometry that they pass: about as many cells as the root of its edges on each side."""
     ends = [F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")]

@@ -107,6 +107,36 @@ def j4(spark, sf):
     return p.join(r, "id").select("id", F.col("k").alias("region"), land.alias("land"), block.alias("spatial_block")).where("land <> 8")
 
 
+_FRAME = f"""WITH {POLYS}, ct AS (SELECT n_nationkey AS country, n_nationkey * 9.7::DOUBLE + 0.1307::DOUBLE AS a, 0.1307::DOUBLE AS b, (SELECT (floor(count(*) / 37) + 1) * 5.5::DOUBLE FROM supplier) AS h FROM nation),
+gx AS (SELECT *, unnest(range(CAST(ceil(a / 0.5::DOUBLE - 0.5) AS BIGINT), CAST(floor((a + 9.5::DOUBLE) / 0.5::DOUBLE - 0.5) AS BIGINT) + 1)) AS ix FROM ct),
+gy AS (SELECT *, unnest(range(CAST(ceil(b / 0.5::DOUBLE - 0.5) AS BIGINT), CAST(floor((b + h) / 0.5::DOUBLE - 0.5) AS BIGINT) + 1)) AS iy FROM gx),
+p AS (SELECT *, (ix + 0.5) * 0.5::DOUBLE AS px, (iy + 0.5) * 0.5::DOUBLE AS py FROM gy), q AS (SELECT *, (floor(px) * 31 + floor(py) * 17) % 11 AS land, (px - a) / 9.5::DOUBLE + (py - b) / h <= 1 AS inside FROM p),
+rg AS (SELECT country, ix, iy, min(k) AS region, count(*) > 1 AS ambiguous FROM q JOIN polys ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 WHERE inside AND land NOT IN (0, 8) GROUP BY ALL),
+fr AS (SELECT country, ix, iy, region, coalesce(ambiguous, false) AS ambiguous, CASE WHEN NOT inside THEN 'outside_boundary' WHEN land = 0 THEN 'land_nodata' WHEN land = 8 THEN 'permanent_water' WHEN region IS NULL THEN 'missing_region' ELSE 'candidate' END AS outcome FROM q LEFT JOIN rg USING (country, ix, iy))"""
+
+
+def _frame(spark, sf):
+    """Countries are triangles over the supplier polygons, which are the regions; the lattice has half a unit."""
+    suppliers = inputs.table(spark, sf, "supplier").agg(((F.floor(F.count("*") / 37) + 1) * 5.5).alias("h"))
+    n = inputs.table(spark, sf, "nation").select(F.col("n_nationkey").alias("country"), (F.col("n_nationkey") * 9.7 + 0.1307).alias("a"), F.lit(0.1307).alias("b")).crossJoin(F.broadcast(suppliers))
+    corners = [F.col("a"), F.col("b"), F.col("a") + 9.5, F.col("b"), F.col("a"), F.col("b") + F.col("h"), F.col("a"), F.col("b")]
+    e = geometry.edges(n.withColumn("wkt", F.format_string("POLYGON ((%.4f %.4f, %.4f %.4f, %.4f %.4f, %.4f %.4f))", *corners)), "country")
+    land = F.pmod(F.floor("px") * 31 + F.floor("py") * 17, F.lit(11))
+    centres = geometry.envelope_lattice(e, "country", 0.5)
+    return geometry.candidate_frame(centres, e, "country", land, {"land_nodata": [0], "permanent_water": [8]}, geometry.edges(polys(spark, sf), "k"), "k", 8.0)
+
+
+@query("j4_frame_rows", _FRAME + " SELECT country, ix, iy, region, ambiguous FROM fr WHERE outcome = 'candidate'")
+def j4_rows(spark, sf):
+    return _frame(spark, sf).where("outcome = 'candidate'").select("country", "ix", "iy", F.col("k").alias("region"), "ambiguous")
+
+
+@query("j4_frame_counters", _FRAME + " SELECT country, outcome, count(*) AS n, count(*) FILTER (ambiguous) AS ambiguous FROM fr GROUP BY ALL")
+def j4_counters(spark, sf):
+    """What each country's lattice lost and why, and what it kept."""
+    return _frame(spark, sf).groupBy("country", "outcome").agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("ambiguous"))
+
+
 def _best_split(rows: str, block: str, label: str, seeds: int) -> str:
     """CTEs up to best (seed, score): the deviation of sizes, and of the classes' shares in the mean."""
     return f"""bn AS (SELECT {block} AS b, {label} AS crop, count(*) AS n FROM {rows} GROUP BY ALL), bt AS (SELECT crop, sum(n) AS t FROM bn GROUP BY crop), sd AS (SELECT unnest(range({seeds})) AS seed),
