@@ -21,21 +21,24 @@ from .inventory import located
 SCHEMA = "tile string, item string, asset string, point string, value double"
 RASTERS = ["tile", "item", "asset", "west", "north", "step", "width", "values"]
 REQUESTS = ["tile", "item", "point", "x", "y"]
-#: Points in a file, so that what a task holds does not grow with its tile; values that make up one batch; rasters read at a time.
-FILE_POINTS, BATCH_VALUES, BATCH_RASTERS = 500_000, 50_000, 64
+#: Points in a file, so that what a task holds does not grow with its tile; values that make up one batch; cells and rasters looked at at a time.
+FILE_POINTS, BATCH_VALUES, BATCH_CELLS, BATCH_RASTERS = 500_000, 50_000, 4_000_000, 8192
+#: Bytes of a row group, which a reader holds whole.
+GROUP_BYTES = 8 << 20
 
 
 def land(rasters: DataFrame, requests: DataFrame, path: str, file_points: int = FILE_POINTS) -> None:
-    """Writes both tables by tile, sorted by item inside files, so that a file of points reads the row groups of its items only.
+    """Writes both tables by tile, in ranges of items and sorted by them, so that a file of points reads the row groups of its items only.
 
     rasters: tile, item, asset, west, north, step, width, values (row by row from the top); requests: tile, item, point, x, y. Tiles and
-    items are texts here. Rows without one of them answer nothing and are left out. Large tiles are split, small ones joined, by size.
+    items are texts here. Rows without one of them answer nothing and are left out. Ranges split large tiles, and items of many points.
     """
     for name, rows, columns in (("rasters", rasters, RASTERS), ("requests", requests, REQUESTS)):
         rows = rows.select(*columns).withColumns({c: F.col(c).cast("string") for c in ("tile", "item")}).where("tile <> '' AND item IS NOT NULL")
         if name == "requests":
             rows = rows.withColumn("point", F.col("point").cast("string"))
-        laid = rows.hint("rebalance", "tile").sortWithinPartitions("tile", "item").write.partitionBy("tile").option("compression", "zstd")
+        ranges = rows.repartitionByRange("tile", "item", "asset" if name == "rasters" else "point")
+        laid = ranges.sortWithinPartitions("tile", "item").write.partitionBy("tile").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES)
         laid.option("maxRecordsPerFile", file_points).mode("errorifexists").parquet(f"{path}/{name}")
 
 
@@ -97,45 +100,45 @@ class SampleReader(DataSourceReader):
         asked = pq.ParquetFile(partition.requests, filesystem=system).read(["item", "point", "x", "y"]).sort_by("item").combine_chunks()
         if asked.num_rows == 0:
             return
-        item = asked["item"].to_numpy()
-        names, first = np.unique(item, return_index=True)
-        spans = dict(zip(names, zip(first, [*first[1:], len(item)])))
+        runs = pc.run_end_encode(_whole(asked["item"]))
+        names, ends = runs.values, runs.run_ends.to_numpy().astype(np.int64)
+        first, count = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
         x, y = (asked[c].cast(pa.float64()).to_numpy() for c in ("x", "y"))
+        points = _whole(asked["point"])
         where = (ds.field("item") >= names[0]) & (ds.field("item") <= names[-1])
         if self.wanted["asset"] is not None:
             where &= ds.field("asset").isin(pa.array(sorted(self.wanted["asset"]), pa.string()))
         data = ds.dataset(list(partition.rasters), format="parquet", filesystem=system)
-        held, ready = [], 0
         for rasters in data.to_batches(columns=RASTERS[1:], filter=where, batch_size=BATCH_RASTERS, batch_readahead=1, fragment_readahead=1):
-            rasters = rasters.filter(pc.is_in(rasters["item"], value_set=pa.array(names, pa.string())))
-            for part in _sampled(rasters, spans, asked["point"], x, y, partition.tile):
-                held.append(part)
-                ready += part.num_rows
-                if ready >= BATCH_VALUES:
-                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                    held, ready = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
-def _sampled(rasters: pa.RecordBatch, spans: dict, points: pa.ChunkedArray, x: np.ndarray, y: np.ndarray, tile: str) -> Iterator[pa.RecordBatch]:
-    """The value under each point of each raster's item; null outside of it."""
-    cells = rasters["values"].flatten()
-    sizes = pc.fill_null(pc.list_value_length(rasters["values"]), 0).to_numpy(zero_copy_only=False)
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    for i, r in enumerate(rasters.select(["item", "asset", "west", "north", "step", "width"]).to_pylist()):
-        a, z = spans[r["item"]]
-        placed = None not in (r["west"], r["north"], r["step"], r["width"]) and r["step"] > 0 and r["width"] > 0
-        at, inside = np.zeros(z - a, np.int64), np.zeros(z - a, bool)
-        if placed:
-            column, row = np.floor((x[a:z] - r["west"]) / r["step"]), np.floor((r["north"] - y[a:z]) / r["step"])
-            inside = (column >= 0) & (column < r["width"]) & (row >= 0) & (row < sizes[i] // r["width"])  # false for NaN
-            at[inside] = starts[i] + (row[inside] * r["width"] + column[inside]).astype(np.int64)
-        n = z - a
-        yield pa.RecordBatch.from_arrays(
-            [pa.repeat(tile, n), pa.repeat(r["item"], n), pa.array([r["asset"]] * n, pa.string()), _whole(points.slice(a, n)), cells.take(pa.array(at, mask=~inside)).cast(pa.float64())],
-            names=["tile", "item", "asset", "point", "value"],
-        )
+            at = pc.index_in(rasters["item"], value_set=names)
+            rasters, at = rasters.filter(at.is_valid()), at.drop_null().to_numpy().astype(np.int64)
+            sizes = pc.fill_null(pc.list_value_length(rasters["values"]), 0).to_numpy(zero_copy_only=False)
+            # cuts where the values or the cells of the rasters so far fill a batch
+            full = np.maximum(np.cumsum(count[at]) // BATCH_VALUES, np.cumsum(sizes.astype(np.int64)) // BATCH_CELLS)
+            cuts = [0, *(np.flatnonzero(np.diff(full)) + 1).tolist(), len(at)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if a < z:
+                    yield _sampled(rasters.slice(a, z - a), sizes[a:z], first[at[a:z]], count[at[a:z]], points, x, y, partition.tile)
+
+
+def _sampled(rasters: pa.RecordBatch, sizes: np.ndarray, first: np.ndarray, count: np.ndarray, points: pa.Array, x: np.ndarray, y: np.ndarray, tile: str) -> pa.RecordBatch:
+    """The value under each point (count of them from first) of each raster's item; null outside of it."""
+    of = np.repeat(np.arange(len(count)), count)
+    asked = np.arange(len(of)) + np.repeat(first - (np.cumsum(count) - count), count)
+    west, north, step = (pc.fill_null(rasters[c].cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)[of] for c in ("west", "north", "step"))
+    width = pc.fill_null(rasters["width"], 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    height, width = (sizes // np.maximum(width, 1))[of], width[of]
+    starts = (np.cumsum(sizes, dtype=np.int64) - sizes)[of]
+    with np.errstate(all="ignore"):
+        column, row = np.floor((x[asked] - west) / step), np.floor((north - y[asked]) / step)
+        inside = (step > 0) & (column >= 0) & (column < width) & (row >= 0) & (row < height)  # false for NaN
+    at = np.zeros(len(of), np.int64)
+    at[inside] = starts[inside] + row[inside].astype(np.int64) * width[inside] + column[inside].astype(np.int64)
+    of, cells = pa.array(of), rasters["values"].flatten()
+    return pa.RecordBatch.from_arrays(
+        [pa.repeat(tile, len(of)), rasters["item"].take(of), rasters["asset"].cast(pa.string()).take(of), points.take(pa.array(asked)), cells.take(pa.array(at, mask=~inside)).cast(pa.float64())],
+        names=["tile", "item", "asset", "point", "value"],
+    )
 
 
 def _whole(c: pa.ChunkedArray | pa.Array) -> pa.Array:
@@ -146,8 +149,9 @@ def _whole(c: pa.ChunkedArray | pa.Array) -> pa.Array:
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """The values of all points that a store was asked for, by item and asset; filters on tile and asset reach the files.
 
-    A task holds one file of points and BATCH_RASTERS rasters. Points outside of their raster, or without a place, have null; points whose
+    A task holds one file of points and row groups of rasters. Points outside of their raster, or without a place, have null; points whose
     item has no raster have no row, repeated points or rasters one each. Turns on Spark's filters for Python sources, which this source takes.
+    Spark keeps one set of them a frame: read again where a plan needs two.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RasterSamples)

@@ -73,3 +73,20 @@ def test_nulls_repeated_rows_and_nothing(spark, tmp_path):
     assert {tuple(r) for r in got} == {("i", "a", "p", 4.0, 4), ("i", "a", "q", None, 2), ("j", "a", "p", None, 1), ("k", None, None, None, 1)}
     assert samples.read_samples(spark, laid(spark, tmp_path, [], [])).count() == 0
     assert samples.read_samples(spark, laid(spark, tmp_path, rasters, [])).count() == 0
+
+
+def test_a_file_of_points_holds_a_range_of_items(spark, tmp_path):
+    """Files of one tile meet at one item at most, so that points in many files do not each pass over all rasters."""
+    rasters, requests = made()
+    rasters, requests = [(1, *r[1:]) for r in rasters], [(1, *r[1:]) for r in requests]
+    few = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "300b", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in few.items():
+        spark.conf.set(name, value)
+    try:
+        path = laid(spark, tmp_path, rasters, requests)
+    finally:
+        for name in few:
+            spark.conf.unset(name)
+    assert sorted(map(tuple, samples.read_samples(spark, path).collect()), key=str) == sorted(by_hand(rasters, requests), key=str)
+    spans = sorted((min(i), max(i)) for i in ([r.item for r in spark.read.parquet(str(f)).collect()] for f in Path(path).glob("requests/tile=1/*.parquet")))
+    assert len(spans) > 2 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
