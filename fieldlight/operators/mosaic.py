@@ -68,9 +68,10 @@ def extended_timeline(seed: DataFrame, source: DataFrame, day: str, cutoff: int)
     return seed.where(F.col(day) < cutoff).unionByName(source.where(F.col(day) >= cutoff))
 
 
-def outcomes(expected: DataFrame, rows: DataFrame, keys: list[str], valid: Column, least: int) -> DataFrame:
-    """complete, insufficient or none per expected key, by the number of valid rows."""
-    n = rows.groupBy(*keys).agg(F.count_if(valid).alias("valid_rows"), F.count("*").alias("rows"))
+def outcomes(expected: DataFrame, rows: DataFrame, keys: list[str], valid: Column, least: int, sums: dict[str, str] | None = None) -> DataFrame:
+    """complete, insufficient or none per expected key, by the number of valid rows; sums: columns of rows to be added up, and their names."""
+    added = [F.sum(c).alias(name) for c, name in (sums or {}).items()]
+    n = rows.groupBy(*keys).agg(F.count_if(valid).alias("valid_rows"), F.count("*").alias("rows"), *added)
     out = expected.join(n, keys, "left").fillna(0, ["valid_rows", "rows"])
     status = F.when(F.col("rows") == 0, "none").when(F.col("valid_rows") < least, "insufficient").otherwise("complete")
     return out.withColumn("outcome", status)

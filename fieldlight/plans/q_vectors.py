@@ -578,8 +578,8 @@ def _asked(spark, sf):
     return joins.point_in_boxes(c, _single(spark, sf), ["tile"], "longitude", "latitude")
 
 
-def _landed(spark, sf):
-    """Rasters of 10 by 8 cells for all items, class and red of optical ones, vv and vh of others, and the values at the asked points."""
+def _store(spark, sf):
+    """The folder of rasters of 10 by 8 cells for all items, class and red of optical ones, vv and vh of others, and the values at the asked points."""
     from ..sources import samples
     from .q_sources import folder
 
@@ -593,13 +593,15 @@ def _landed(spark, sf):
     asked = _asked(spark, sf).select("tile", F.col("item_id").alias("item"), F.col("candidate_id").alias("point"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
     path = folder(spark)
     samples.land(rasters, asked, path)
-    return samples.read_samples(spark, path)
+    return path
 
 
 @query("l3_sampler_source", _SAMPLED + " SELECT item_id AS item, candidate_id AS point, asset, CAST(v AS DOUBLE) AS value FROM (SELECT item_id, candidate_id, unnest(['class', 'red']) AS asset, unnest([class, red]) AS v FROM o UNION ALL SELECT item_id, candidate_id, unnest(['vv', 'vh']), unnest([vv, vh]) FROM r)")
 def l3_source(spark, sf):
     """Values of landed rasters at points, read by a data source with a task a tile and file of points."""
-    return _landed(spark, sf).select("item", "point", "asset", "value")
+    from ..sources import samples
+
+    return samples.read_samples(spark, _store(spark, sf)).select("item", "point", "asset", "value")
 
 
 @query("j45_sampled_histories", _SAMPLED + """, od AS (SELECT candidate_id, period, coalesce(bool_or(class IN (4, 5, 6)), false) AS valid, coalesce(arg_min(red, (acquired, item_id)) FILTER (class IN (4, 5, 6)), 0) AS band FROM o GROUP BY ALL),
@@ -610,18 +612,21 @@ SELECT c.candidate_id, x.modality, count(m.band) AS rows, count(*) FILTER (m.val
 FROM candidates c CROSS JOIN (SELECT unnest(['s2', 's1']) AS modality) x LEFT JOIN m ON m.candidate_id = c.candidate_id AND m.modality = x.modality GROUP BY ALL""")
 def j45_sampled(spark, sf):
     """Items that hold a point, their sampled values, one mosaic a period (optical: first valid item; radar: each band by itself, by orbit), outcomes."""
-    asked = _asked(spark, sf).select(F.col("item_id").alias("item"), F.col("candidate_id").alias("point"), "acquired", "orbit", F.year("acquired").alias("period"))
+    from ..sources import samples
+
+    items = _single(spark, sf).select(F.col("item_id").alias("item"), "acquired", "orbit", F.year("acquired").alias("period")).distinct()
     at = lambda asset: F.max(F.when(F.col("asset") == asset, F.col("value"))).alias(asset)
-    rows = asked.join(_landed(spark, sf), ["item", "point"]).groupBy("item", "point", "acquired", "orbit", "period").agg(*map(at, ("class", "red", "vv", "vh")))
-    optical = rows.where("orbit = 'N'").withColumns({"valid": F.col("class").isin(4, 5, 6), "bands": F.array("red", "class")})
+    store, ids = _store(spark, sf), ["item", "point", "acquired", "orbit", "period"]
+    of = lambda *assets: items.join(samples.read_samples(spark, store).where(F.col("asset").isin(*assets)), "item").groupBy(*ids).agg(*map(at, assets))
+    optical = of("class", "red").where("orbit = 'N'").withColumns({"valid": F.col("class").isin(4, 5, 6), "bands": F.array("red", "class")})
     s2 = mosaic.daily_first_valid(optical, ["point", "period"], ["acquired", "item"], "valid", "bands", "item").select("point", F.lit("s2").alias("modality"), "valid", F.get("bands", F.lit(0)).alias("band"))
-    s1 = mosaic.first_nonzero_each(rows.where("orbit <> 'N'"), ["point", "period", "orbit"], ["acquired", "item"], ["vv", "vh"], "item")
+    s1 = mosaic.first_nonzero_each(of("vv", "vh").where("orbit <> 'N'"), ["point", "period", "orbit"], ["acquired", "item"], ["vv", "vh"], "item")
     s1 = s1.select("point", F.lit("s1").alias("modality"), ((F.col("vv") != 0) & (F.col("vh") != 0)).alias("valid"), F.col("vv").alias("band"))
     history = s2.unionByName(s1)
     keys = ["point", "modality"]
     expected = joins.cross_small(inputs.candidates(spark, sf).select(F.col("candidate_id").alias("point")), ["s2", "s1"], "modality")
-    expected = expected.join(history.groupBy(*keys).agg(F.sum("band").alias("band_sum")), keys, "left").fillna(0.0, ["band_sum"])
-    return mosaic.outcomes(expected, history, keys, F.col("valid"), 1).withColumnRenamed("point", "candidate_id")
+    out = mosaic.outcomes(expected, history, keys, F.col("valid"), 1, sums={"band": "band_sum"})
+    return out.fillna(0.0, ["band_sum"]).withColumnRenamed("point", "candidate_id")
 
 
 @query("j46_field_features", f"WITH {VECTORS}, {_EACH}, m AS (SELECT crop, field, d, avg(e) AS m FROM each GROUP BY ALL), s AS (SELECT field, round(sum(m), 6) AS mean_sum FROM m GROUP BY field), g AS (SELECT field, any_value(crop) AS crop, count(*) AS n, max(x) - min(x) + 1 AS width FROM vectors GROUP BY field) SELECT field, crop, n, width, mean_sum FROM g JOIN s USING (field)")
