@@ -154,29 +154,33 @@ def fitted(rows: DataFrame, x: str, y: str, fits: str = "fits", strength=1.0, cl
     A fit without rows of every class (y from 0) has no model.
     """
     of = strength if callable(strength) else (lambda _: strength)
-    everything = _starts(rows, x, y, fits, classes, balanced)
-    size = max((m.beta.nbytes for m in everything.values()), default=1)
-    names, at_once = sorted(everything), max(1, MODEL_BYTES // (4 * size))
-    done: dict[str, Model] = {}
-    for begin in range(0, len(names), at_once):
-        now = {k: everything[k] for k in names[begin : begin + at_once]}
-        last: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}  # loss, coefficients and step where each came from
-        for n in range(most_steps):
-            for k, (loss, step) in _stepped(now, rows, x, y, fits, of).items():
-                m = now[k]
-                if k in last and loss > last[k][0] + 1e-9 * max(1.0, abs(last[k][0])):  # too far: half the way
-                    before = last[k]
-                    last[k] = before[0], before[1], before[2] / 2
-                    now[k] = replace(m, beta=before[1] + before[2] / 2)
-                    continue
-                last[k] = loss, m.beta, step
-                now[k] = replace(m, beta=m.beta + step, steps=n + 1)
-                if np.abs(step).max() <= tolerance * max(1.0, np.abs(m.beta).max()):
-                    done[k] = now.pop(k)
-            if not now:
-                break
-        done |= now
-    return done
+    rows = rows.select(x, y, fits).persist()  # every step passes over them
+    try:
+        everything = _starts(rows, x, y, fits, classes, balanced)
+        size = max((m.beta.nbytes for m in everything.values()), default=1)
+        names, at_once = sorted(everything), max(1, MODEL_BYTES // (4 * size))
+        done: dict[str, Model] = {}
+        for begin in range(0, len(names), at_once):
+            now = {k: everything[k] for k in names[begin : begin + at_once]}
+            last: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}  # loss, coefficients and step where each came from
+            for n in range(most_steps):
+                for k, (loss, step) in _stepped(now, rows, x, y, fits, of).items():
+                    m = now[k]
+                    if k in last and loss > last[k][0] + 1e-9 * max(1.0, abs(last[k][0])):  # too far: half the way
+                        before = last[k]
+                        last[k] = before[0], before[1], before[2] / 2
+                        now[k] = replace(m, beta=before[1] + before[2] / 2)
+                        continue
+                    last[k] = loss, m.beta, step
+                    now[k] = replace(m, beta=m.beta + step, steps=n + 1)
+                    if np.abs(step).max() <= tolerance * max(1.0, np.abs(m.beta).max()):
+                        done[k] = now.pop(k)
+                if not now:
+                    break
+            done |= now
+        return done
+    finally:
+        rows.unpersist()
 
 
 def scored(rows: DataFrame, x: str, models: dict[str, Model], by: str | Column, name: str = "scores") -> DataFrame:
