@@ -52,9 +52,16 @@ def _grid_pairs(own: DataFrame, far: DataFrame, keys: list[str], metres: float)
 
 
 def too_close(points: DataFrame, key: str, lon: str, lat: str, metres: float, tolerance: float = 0.0) -> DataFrame:
-    """Pairs (a, b), a < b, nearer than metres."""
-    side = lambda name, i: points.select(F.col(key).alias(name), F.col(lon).alias(f"lon{i}"), F.col(lat).alias(f"lat{i}"))
-    pairs = _grid_pairs(side("a", 1), side("b", 2), [], metres).where("a < b").select("a", "b", "metres").distinct()
+    """Pairs (a, b), a < b, nearer than metres.
+
+    A pair of places meets in one cell, so only pairs of keys with several places can repeat; no others are compared for that.
+    """
+    places = points.select(key, lon, lat).distinct()
+    many = places.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    once, more = places.join(many, key, "left_anti"), places.join(many, key, "left_semi")
+    side = lambda df, name, i: df.select(F.col(key).alias(name), F.col(lon).alias(f"lon{i}"), F.col(lat).alias(f"lat{i}"))
+    met = lambda one, two: _grid_pairs(side(one, "a", 1), side(two, "b", 2), [], metres).where("a < b").select("a", "b", "metres")
+    pairs = met(once, once).unionByName(met(more, places).unionByName(met(once, more)).distinct())
     return pairs.where(F.col("metres") < metres * (1 - tolerance))
 
 

@@ -40,3 +40,20 @@ def test_fits_compute_their_rows_once(spark):
     df = spark.createDataFrame(rows, "x array<double>, y int").mapInPandas(counted, "x array<double>, y int")
     models = logistic.fitted(df.withColumn("fits", F.array(F.struct(F.lit("a").alias("fit"), F.lit(1.0).alias("weight")))), "x", "y")
     assert models["a"].steps > 2 and seen.value == 100
+
+
+def test_pairs_of_places_are_not_shuffled(spark):
+    """Many keys at one place, a repeated row, keys with several places: pairs as by hand, exchanges hold points only."""
+    dice = random.Random(4)
+    rows = [(f"k{i:03}", 10.0, 20.0) for i in range(120)] + [(f"p{i:02}", dice.uniform(-180, 180), dice.uniform(-89, 89)) for i in range(60)]
+    rows += [rows[0], ("k001", 10.5, 20.0), ("k001", 9.5, 20.0), ("k002", 179.9, 0.0), ("k003", -179.9, 0.0), (None, 10.0, 20.0), ("n", None, 1.0)]
+    points = spark.createDataFrame(rows, "key string, lon double, lat double").repartition(3)
+    got = joins.too_close(points, "key", "lon", "lat", 100_000.0)
+    found = [(r.a, r.b, round(r.metres, 6)) for r in got.collect()]
+    one = points.distinct()
+    both = one.select(F.col("key").alias("a"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1")).crossJoin(one.select(F.col("key").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")))
+    metres = great_circle_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
+    want = both.where("a < b").select("a", "b", metres.alias("metres")).where("metres < 100000").distinct()
+    assert sorted(found) == sorted((r.a, r.b, round(r.metres, 6)) for r in want.collect()) and len(found) > 7000
+    df = joins.too_close(spark.createDataFrame(rows[:120], "key string, lon double, lat double"), "key", "lon", "lat", 100_000.0)
+    assert len(df.collect()) == 7140 and max(shuffled(df)) <= 120 * 15
