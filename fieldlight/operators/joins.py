@@ -22,12 +22,18 @@ def point_in_boxes(points: DataFrame, items: DataFrame, keys: list[str], lon: st
     return hit.where((F.col(lon) >= F.col("west")) & (F.col(lon) <= F.col("east")) & (F.col(lat) >= F.col("south")) & (F.col(lat) <= F.col("north"))).drop("_gx", "_gy")
 
 
-def overlapping(windows: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Boxes of one key that overlap with positive area; unknown boxes and boxes over the antimeridian stay."""
-    ok = F.col("west").isNull() | (F.col("west") > F.col("east")) | (
-        (F.col("w0") < F.col("east")) & (F.col("west") < F.col("w1")) & (F.col("s0") < F.col("north")) & (F.col("south") < F.col("s1"))
-    )
-    return windows.join(items, key).where(ok)
+def overlapping(windows: DataFrame, items: DataFrame, key: str, size: float = 15.0) -> DataFrame:
+    """Boxes of one key that overlap with positive area; unknown boxes and boxes over the antimeridian stay.
+
+    Both sides meet by key and grid cell, a pair in the cell of its overlap's lower corner; only boxes that stay in any case meet by key alone.
+    """
+    always = F.coalesce(F.col("west").isNull() | (F.col("west") > F.col("east")), F.lit(False))
+    at = lambda c: F.floor(F.greatest(F.lit(-720.0), F.least(F.lit(720.0), c)) / size).cast("long")
+    cells = lambda df, w, s, e, n: df.withColumn("_gx", F.explode(F.sequence(at(F.col(w)), at(F.col(e))))).withColumn("_gy", F.explode(F.sequence(at(F.col(s)), at(F.col(n)))))
+    near = cells(windows, "w0", "s0", "w1", "s1").join(cells(items.where(~always), "west", "south", "east", "north"), [key, "_gx", "_gy"])
+    ok = (F.col("w0") < F.col("east")) & (F.col("west") < F.col("w1")) & (F.col("s0") < F.col("north")) & (F.col("south") < F.col("s1"))
+    corner = (F.col("_gx") == at(F.greatest("w0", "west"))) & (F.col("_gy") == at(F.greatest("s0", "south")))
+    return near.where(ok & corner).drop("_gx", "_gy").unionByName(windows.join(items.where(always), key))
 
 
 def _grid_pairs(own: DataFrame, far: DataFrame, keys: list[str], metres: float) -> DataFrame:

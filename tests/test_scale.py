@@ -57,3 +57,18 @@ def test_pairs_of_places_are_not_shuffled(spark):
     assert sorted(found) == sorted((r.a, r.b, round(r.metres, 6)) for r in want.collect()) and len(found) > 7000
     df = joins.too_close(spark.createDataFrame(rows[:120], "key string, lon double, lat double"), "key", "lon", "lat", 100_000.0)
     assert len(df.collect()) == 7140 and max(shuffled(df)) <= 120 * 15
+
+
+def test_boxes_meet_by_cell(spark):
+    """Boxes of all sizes, touching, unknown, over the antimeridian: as by the plain condition, and the join has cells among its keys."""
+    dice = random.Random(8)
+    box = lambda: (lambda w, s, a, b: (w, s, w + a, s + b))(dice.randint(-150, 150) * 1.0, dice.randint(-80, 80) * 1.0, dice.choice([0.0, 5.0, 15.0, 30.0, 200.0]), dice.choice([0.0, 5.0, 15.0, 90.0]))
+    items = [(i, i % 2, *box()) for i in range(300)] + [(900, 0, None, 0.0, 5.0, 5.0), (901, 1, 170.0, 0.0, -170.0, 9.0), (902, 0, None, None, None, None), (903, 1, 0.0, None, 5.0, 5.0), (904, 1, 0.0, 0.0, None, 5.0)]
+    items = spark.createDataFrame(items, "item int, tile int, west double, south double, east double, north double")
+    shift = [(k, k % 2, *box()) for k in range(150)] + [(950, 1, 5.0, 5.0, 1.0, 1.0), (951, 0, None, 0.0, 1.0, 1.0)]
+    windows = spark.createDataFrame(shift, "grp int, tile int, w0 double, s0 double, w1 double, s1 double")
+    ok = "west IS NULL OR west > east OR (w0 < east AND west < w1 AND s0 < north AND south < s1)"
+    want = sorted((r.grp, r.item) for r in windows.join(items, "tile").where(ok).collect())
+    got = joins.overlapping(windows, items, "tile")
+    assert sorted((r.grp, r.item) for r in got.collect()) == want and len(want) > 1000
+    assert "_gx" in got._jdf.queryExecution().optimizedPlan().toString()
