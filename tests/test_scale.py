@@ -72,3 +72,20 @@ def test_boxes_meet_by_cell(spark):
     got = joins.overlapping(windows, items, "tile")
     assert sorted((r.grp, r.item) for r in got.collect()) == want and len(want) > 1000
     assert "_gx" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_boxes_are_not_spread(spark):
+    """Boxes of all sizes, on cell edges, unknown and turned round: as by the plain condition; boxes of a cell's size are shuffled once."""
+    dice = random.Random(3)
+    box = lambda: (lambda w, s, a, b: (w, s, w + a, s + b))(dice.randint(-150, 150) * 1.0, dice.randint(-80, 80) * 1.0, dice.choice([-5.0, 0.0, 5.0, 10.0, 200.0]), dice.choice([0.0, 5.0, 20.0, 90.0]))
+    items = [(i, i % 2, *box()) for i in range(300)] + [(900, 0, None, 0.0, 5.0, 5.0), (901, 1, 9.7, -0.1, 19.7, 9.9)]
+    items = spark.createDataFrame(items, "item int, tile int, west double, south double, east double, north double")
+    points = [(k, k % 2, dice.choice([dice.randint(-15, 15) * 10.0, dice.uniform(-180, 180)]), dice.randint(-90, 90) * 1.0) for k in range(300)] + [(950, 1, None, 0.0), (951, 1, 19.7, 9.9), (952, 1, 9.7, -0.1)]
+    points = spark.createDataFrame(points, "point int, tile int, lon double, lat double")
+    ok = "lon BETWEEN west AND east AND lat BETWEEN south AND north"
+    want = sorted((r.point, r.item) for r in points.join(items, "tile").where(ok).collect())
+    assert sorted((r.point, r.item) for r in joins.point_in_boxes(points, items, ["tile"], "lon", "lat").collect()) == want and len(want) > 500
+    small = spark.range(3000).selectExpr("id AS item", "0 AS tile", "id % 300 - 150.0D AS west", "id % 90 - 60.0D AS south").selectExpr("*", "west + 10 AS east", "south + 8 AS north")
+    df = joins.point_in_boxes(points.limit(100), small.repartition(2), ["tile"], "lon", "lat")
+    df.collect()
+    assert max(shuffled(df)) <= 3000
