@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from fieldlight.functions.grid import great_circle_m
 from fieldlight.operators import joins, logistic
+from fieldlight.sources import bundles
 
 
-def shuffled(df):
-    """Rows written by each exchange of the plan, after the action."""
+def shuffled(df, what="shuffleRecordsWritten"):
+    """Rows (or another metric) written by each exchange of the plan, after the action."""
     plan, out = [df._jdf.queryExecution().executedPlan()], []
     while plan:
         p = plan.pop()
@@ -22,7 +23,7 @@ def shuffled(df):
             plan.append(p.plan())
             continue
         if p.nodeName() == "Exchange":
-            out.append(p.metrics().get("shuffleRecordsWritten").get().value())
+            out.append(p.metrics().get(what).get().value())
         plan += [p.children().apply(i) for i in range(p.children().size())]
     return out
 
@@ -89,3 +90,21 @@ def test_small_boxes_are_not_spread(spark):
     df = joins.point_in_boxes(points.limit(100), small.repartition(2), ["tile"], "lon", "lat")
     df.collect()
     assert max(shuffled(df)) <= 3000
+
+
+def test_items_of_a_snapshot_do_not_meet_what_was_asked_for(spark):
+    """A snapshot of 3000 items: rules of snapshots shuffle what it says of itself, not its items."""
+    items = ",".join(f'{{"id":"i{k}","collection":"c","raw_item_sha256":"{k:064x}"}}' for k in range(3000))
+    head = '"schema_version":1,"modality":"s2","tile":"t","year":2020,"collection":"c","band_order":["B1"]'
+    snapshots = spark.createDataFrame([("q", f"{{{head},\"items\":[{items}]}}", "0"), ("r", f"{{{head},\"items\":[]}}", "0"), ("s", "no", "0")], "query string, doc string, receipt string").repartition(2)
+    expected = spark.createDataFrame([("q", 1, "s2", "t", 2021, "c", ["B1"]), ("r", 1, "s2", "t", 2020, "c", ["B1"]), ("u", 1, "s2", "t", 2020, "c", ["B1"])], "query string, schema_version int, modality string, tile string, year int, collection string, band_order array<string>")
+    raw = spark.createDataFrame([], "digest string, doc string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = bundles.catalog_snapshot(snapshots, expected, raw)[1].where("rule IN ('receipt', 'json', 'identity', 'items', 'expected', 'absent')")
+        got = sorted((r.rule, r.key) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("absent", "u"), ("expected", "s"), ("identity", "q"), ("items", "r"), ("json", "s"), ("receipt", "q"), ("receipt", "r"), ("receipt", "s")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert " AS s#" not in plan[plan.index("Join FullOuter"):].splitlines()[1]
