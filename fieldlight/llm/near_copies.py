@@ -1,18 +1,16 @@
-"""SimHash near-duplicates at a similarity of word shingles, verified on the texts.
+"""Near-duplicates at a Jaccard similarity of word shingles: SimHash finds groups, an exact join finds the links it left out.
 
-op2's operator with fingerprints wide enough for a Jaccard similarity of `least`, over sets of
-shingles (`width` words each):
+Nodes are distinct shingle sets (`width` words a shingle), by 128-bit digest.
 
-1. Distinct fingerprints of `bits` bits; candidates and a spanning forest of each key's links by the
-   pivot tables of `simhash`, up to MARGIN deviations beyond the distance that `least` stands for.
-2. Links that lie as far below that distance join groups. Of the others only the nearest one between
-   two groups is kept, so that a large group of copies does not send its texts for every pair.
-3. Those are verified: exact similarity of both texts' shingle sets.
-4. Components of all links.
-
-A link can be missed in step 1 (a pair at the distance of `least` is found with probability `recall`, a
-nearer one with more), and where the one link that step 1 or 2 keeps between two groups fails while
-another would hold. The README has the recall measured against all pairs.
+1. Links by op2's operator, with fingerprints wide enough for a similarity of `least`: pivot tables, up to MARGIN deviations beyond the distance that
+   `least` stands for. A pair at that distance is found with probability `recall`.
+2. The nearest link of each node is verified on the texts (exact similarity of both sets) and joins groups; then the nearest link between two
+   groups is. No link is taken unverified.
+3. Links between the groups that are left, by prefixes: with all shingles in one order, two sets of similarity `least` share one of
+   their first n - ceil(least * n) + 1. Nodes meet by these; pairs of one group, of too different sizes, or whose places in the order leave
+   too little to share are dropped, and the others are verified. This escapes no pair, so groups are those of all pairs, whatever step 1 missed.
+   Frequent shingles come last in the order. How frequent they are is taken from a sample, which decides the work and not the result.
+4. Components of all verified links.
 
 Nulls and ties: null or word-less texts have the same, empty set; fewer words than the width are one
 shingle; repeated rows share a component; a null id is kept as a row and gets the least non-null id
@@ -27,16 +25,20 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts_of
+from .common import slices, stored, texts_of, with_columns
 from .components import components
-from .simhash import BLOCK, limit_of, near_links, nodes_of, shingle_hashes, with_fingerprints
+from .simhash import BLOCK, limit_of, near_links, shingle_hashes, words_of
 
 BITS = 256
-#: Standard deviations of a pair's distance: those beyond it that are still asked, those below it that are not asked any more.
-MARGIN, SURE = 2.0, 3.0
+#: Standard deviations of a pair's distance beyond it that are still asked.
+MARGIN = 2.0
+#: Sets of the sample for the order of shingles, times in it from which a shingle counts as frequent, and frequent ones that are told apart.
+SAMPLE, OFTEN, MOST_FREQUENT = 5_000, 5, 50_000
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -67,6 +69,92 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
     return stored(both.select("a", "b", "ta", "tb").mapInArrow(each, f"a {kind}, b {kind}"), "verified")
 
 
+def _frequent(sets: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the shingles that many sets of a sample have. They only order shingles."""
+    n = max(sets.count() // SAMPLE, 1)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, width) for t in texts_of(batch, "text")]).view(np.int64))], names=["h"])
+
+    counts = sets.where(F.pmod("by", F.lit(n)) == 0).select("text").mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    rows = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()  # of bounded length
+    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(hashes: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first hashes of a sorted set, in the common order, of which sets of similarity `least` share one."""
+    names, counts = frequent
+    often = np.zeros(len(hashes), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+        often = np.where(names[at] == hashes, counts[at], 0)
+    return hashes[np.argsort(often, kind="stable")][: len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1]
+
+
+def _met(batch: pa.RecordBatch, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of one shingle that may be similar and are of different groups; the rows are sorted by shingle and size."""
+    token, size, place, by = (batch.column(c).to_numpy() for c in ("token", "size", "place", "by"))
+    group = pc.coalesce(batch.column("root"), batch.column("by")).to_numpy()
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    ends = np.repeat(np.r_[starts[1:], len(token)], np.diff(np.r_[starts, len(token)]))
+    differs = np.add.reduceat(np.r_[False, (token[1:] == token[:-1]) & (group[1:] != group[:-1])], starts) > 0 if len(starts) else np.empty(0, bool)
+    alive = np.flatnonzero(np.repeat(differs, np.diff(np.r_[starts, len(token)])))
+    a, b, step = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 1
+    while len(alive):  # neighbours at each distance, until sizes differ too much
+        alive = alive[alive + step < ends[alive]]
+        alive = alive[size[alive] >= least * size[alive + step] - 1e-9]
+        i, j = alive, alive + step
+        both = size[i] + size[j]
+        ok = (group[i] != group[j]) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= np.ceil(least / (1 + least) * both - 1e-9))
+        a.append(np.minimum(by[i[ok]], by[j[ok]])), b.append(np.maximum(by[i[ok]], by[j[ok]]))
+        step += 1
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def exact_pairs(sets: DataFrame, width: int, least: float) -> DataFrame:
+    """Distinct (a, b) by the number `by`: all pairs of different groups whose sets may have a similarity of `least`, and few others.
+
+    sets: by (long), root (the group, a long; null for a set on its own, whose group is itself), text.
+    """
+    frequent = _frequent(sets, width)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            of = [shingle_set(t, width) for t in texts_of(batch, "text")]
+            first = [prefix(h, least, frequent) for h in of]
+            n = np.array([len(p) for p in first], np.int64)
+            row = np.repeat(np.arange(len(of)), n)
+            size, place = np.array([len(h) for h in of], np.int32)[row], (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            columns = [pa.array(np.concatenate(first).view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("by", "root")), pa.array(size), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "by", "root", "size", "place"])
+        pa.default_memory_pool().release_unused()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _met(rows, least)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = batch.column("token").to_numpy()
+            cut = int(np.searchsorted(tokens, tokens[-1]))  # the last shingle may go on in the next batch
+            if cut or held and held[-1].column("token")[-1].as_py() != tokens[-1]:
+                yield pairs(pa.concat_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield pairs(pa.concat_batches(held))
+
+    dealt = sets.select("by", "root", "text").mapInArrow(deal, "token long, by long, root long, size int, place int")
+    return dealt.repartition("token").sortWithinPartitions("token", "size", "by").mapInArrow(meet, "a long, b long").distinct()
+
+
 def near_copies(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bits: int = BITS, recall: float = 0.97, block: int = BLOCK
 ) -> DataFrame:
@@ -75,25 +163,47 @@ def near_copies(
     Only the id and the text are read, so other columns of docs may have any name.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = stored(with_fingerprints(docs, width=width, bits=bits, distinct=True), "fingerprints")
-    reps = stored(nodes_of(marked), "fingerprints-distinct")
-    usual = limit_of(least, bits)
-    deviation = sqrt(usual * (1 - usual / bits))
-    limit, sure = usual + int(MARGIN * deviation), usual - int(SURE * deviation)
-    links = stored(near_links(reps, bits=bits, limit=limit, recall=recall, usual=usual, block=block), "links")
 
-    close = links.where(F.col("apart") <= sure).select("a", "b")
-    labels = components(close, "a", "b")
-    open_ = links.where(F.col("apart") > sure)
+    def marks(texts: list[bytes]) -> tuple[list, list]:
+        sets = [shingle_set(t, width) for t in texts]
+        return [words_of(h, bits // 64).view(np.int64) for h in sets], [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+
+    marked = stored(with_columns(docs, "text", "fp array<long>, shingles binary", [pa.list_(pa.int64()), pa.binary()], lambda: marks), "fingerprints")
+    reps = marked.groupBy("shingles").agg(F.min("id").alias("_id"), F.min("fp").alias("fp"))
+    node = F.struct(F.col("_id").isNull().alias("orphan"), F.col("_id").alias("id"), F.xxhash64("shingles").alias("by")).alias("node")
+    reps = stored(reps.select("shingles", "fp", node), "sets")
+    usual = limit_of(least, bits)
+    limit = usual + int(MARGIN * sqrt(usual * (1 - usual / bits)))
+    links = stored(near_links(reps.select("fp", "node"), bits=bits, limit=limit, recall=recall, usual=usual, block=block), "links")
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        """(node, text) of one row for each node of the pairs."""
+        asked = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("shingles", "node")
+        return stored(marked.select("shingles", "text").join(asked, "shingles").groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        return _verified(pairs, texts(pairs), width, least)
+
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    nearest = both.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+    found = checked(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = components(found, "a", "b")
+    open_ = links
     for end in ("a", "b"):
         of = labels.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}"))
         open_ = open_.join(of, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
     best = F.min(F.struct("apart", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).alias("best")
     pairs = open_.where("of_a <> of_b").groupBy(F.least("of_a", "of_b").alias("x"), F.greatest("of_a", "of_b").alias("y")).agg(best)
-    pairs = stored(pairs.select("best.a", "best.b"), "pairs")
-    asked = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("fp", "node")
-    texts = stored(marked.select("fp", "text").join(asked, "fp").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    found = stored(found.unionByName(checked(pairs.select("best.a", "best.b"))), "found")
 
-    roots = components(close.unionByName(_verified(pairs, texts, width, least)), "a", "b")
-    of = reps.join(roots, "node", "left").select("fp", F.coalesce("root", "node")["id"].alias("component_id"))
-    return marked.select("id", "fp").join(of, "fp").select(F.col("id").alias(id_col), "component_id")
+    # what fingerprints left out: exact, between the groups that there are now
+    groups = reps.join(components(found, "a", "b"), "node", "left").select("shingles", "node", F.col("root.by").alias("root"))
+    sets = marked.select("shingles", "text").join(groups.select("shingles", F.col("node.by").alias("by"), "root"), "shingles")
+    numbered = reps.select(F.col("node.by").alias("_by"), "node")
+    late = exact_pairs(sets, width, least)
+    for end in ("a", "b"):
+        late = late.join(numbered.select(F.col("_by").alias(end), F.col("node").alias(f"node_{end}")), end)
+    roots = components(found.unionByName(checked(late.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))), "a", "b")
+    of = reps.join(roots, "node", "left").select("shingles", F.coalesce("root", "node")["id"].alias("component_id"))
+    return marked.select("id", "shingles").join(of, "shingles").select(F.col("id").alias(id_col), "component_id")

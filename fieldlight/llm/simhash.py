@@ -70,7 +70,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def fingerprint_words(text: bytes, width: int, words: int, distinct: bool) -> np.ndarray:
     """64 bits a word; the first word is by the shingles' XXH64, more by numbers derived from it."""
     hashes = shingle_hashes(text, width)
-    hashes = np.unique(hashes) if distinct else hashes
+    return words_of(np.unique(hashes) if distinct else hashes, words)
+
+
+def words_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint of shingle hashes."""
     out = np.zeros(words, np.uint64)
     for w in range(words if len(hashes) else 0):
         own = _mixed(hashes + np.uint64(w * _ODD[0] & 0xFFFFFFFFFFFFFFFF)) if w else hashes

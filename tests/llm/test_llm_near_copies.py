@@ -89,3 +89,28 @@ def test_stage_drops_copies_with_one_word_changed(spark):
     docs = docs_of(spark, own)
     kept = corpus_pipeline.dedup(spark, docs, "").select(F.col("doc_id")).collect()
     assert sorted(x.doc_id for x in kept) == list(range(0, len(own), 2))
+
+
+def test_fingerprints_that_find_next_to_nothing_leave_no_link_out(spark):
+    """With keys that find one pair in twenty, groups are those of all pairs: the exact join finds the others."""
+    own = [*varied(5), None, "", "one two"]
+    for k in range(30):  # texts that share most of a passage that very many have, and so no rare shingle
+        own.append(" ".join([*(f"p{i}" for i in range(60)), *(f"q{k}x{i}" for i in range(2 + k % 3))]))
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(docs_of(spark, own), recall=0.05).collect()}
+    assert [got[i] for i in range(len(own))] == groups_brute(own)
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Any order, sets of exactly the least similarity and empty ones."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n in (1, 2, 4, 5, 9, 10, 45, 90):
+        for _ in range(20):
+            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            gone = int(len(a) * 0.2)  # n - gone of n: a similarity of 0.8 at least
+            b = np.sort(r.permutation(a)[: len(a) - gone])
+            often = np.sort(r.permutation(a)[: n // 2])
+            frequent = often, r.integers(3, 90, len(often))
+            assert np.intersect1d(near_copies.prefix(a, 0.8, frequent), near_copies.prefix(b, 0.8, frequent)).size
+    assert not len(near_copies.prefix(np.empty(0, np.uint64), 0.8, (np.empty(0, np.uint64), np.empty(0, np.int64))))
