@@ -8,13 +8,13 @@
    buckets. A phrase with a bucket below min_count is not frequent. One bit a bucket goes to all tasks: at most
    MOST_BUCKETS bits, whatever the input.
 3. Exact counts: a shard extends the intervals of its words in both indexes at once, in turn to the right and to the
-   left, down to the longest phrase, as long as all pairs and triples lie in large buckets, and reports
-   phrases with their counts in the shard. Spark sums them; those below min_count go.
+   left, down to the longest phrase, as long as all pairs and triples lie in large buckets. A task adds up the counts of
+   its shards and reports phrases with their counts there. Spark sums them; those below min_count go.
 4. Frequent phrases, their parts and their extensions by one word meet in equi-joins for the scores.
 
 No phrase that reaches min_count is lost: its pairs and triples reach it too, and so do their buckets. Buckets only
 save work; where they are too few for the input more phrases are counted and dropped. A common phrase costs one row a
-shard. Nothing that grows with the input is broadcast or collected.
+task, of which there is one for TASK_WORDS words (or a core). Nothing that grows with the input is broadcast or collected.
 
 Defined results: a null text is empty, a null language is 'und'. Repeated rows count each. A piece without
 words has no phrase. Other columns are not read. An empty table gives an empty result. Texts of any length
@@ -287,16 +287,34 @@ def _large(shards: DataFrame, size: int, min_count: int, buckets: int, large: di
 
 
 FOUND_DDL = "lang string, size int, phrase string, n long"
+#: Words whose shards one task counts at least, where that leaves work for all cores, and phrases that it holds to add them up.
+TASK_WORDS, HELD_PHRASES = 4 * SHARD_WORDS, 1 << 19
 
 
-def _counted(longest: int, large: dict[int, bytes]):
+def _counted(longest: int, large: dict[int, bytes], most: int = HELD_PHRASES):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        total = 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "size", "phrase", "n"])
+
         for lang, words, index, fits in _opened(batches, large):
             names = pa.array(words)
             for phrases, at in _phrases(index, fits, longest):
                 texts = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in phrases.T], " ")
                 size = pa.array(np.full(len(at), phrases.shape[1], np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), size, texts, pa.array(at[:, 2])], names=["lang", "size", "phrase", "n"])
+                held.append(pa.table({"lang": pa.array([lang] * len(at), pa.string()), "size": size, "phrase": texts, "n": pa.array(at[:, 2])}))
+                total += len(at)
+            if total > most:  # the shards of a task share most of their phrases
+                held = [summed()]
+                total = held[0].num_rows
+                if total > most // 2:
+                    yield from held.pop().combine_chunks().to_batches(max_chunksize=1 << 16)
+                    total = 0
+        if held:
+            yield from summed().combine_chunks().to_batches(max_chunksize=1 << 16)
+        pa.default_memory_pool().release_unused()
 
     return each
 
@@ -318,14 +336,15 @@ def phrase_counts(
     totals = tables.stored(words.groupBy("lang").agg(F.sum("f").alias("total")), "totals")
     frequent = tables.stored(words.where(F.col("f") >= min_count).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f"), "phrases")
 
-    wanted = (totals.agg(F.sum("total")).head()[0] or 0) // WORDS_A_BUCKET
-    buckets = buckets or min(MOST_BUCKETS, max(1 << 16, 1 << int(wanted).bit_length()))
+    everything = int(totals.agg(F.sum("total")).head()[0] or 0)
+    buckets = buckets or min(MOST_BUCKETS, max(1 << 16, 1 << (everything // WORDS_A_BUCKET).bit_length()))
     if buckets < 8 * SEGMENTS or buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two, 512 at least")
     index, large = shards.select("lang", "words", "forward", "reverse"), {}
     for size in range(2, min(3, longest) + 1):
         large[size] = _large(index, size, min_count, buckets, dict(large))
-    more = index.mapInArrow(_counted(longest, large), FOUND_DDL).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    gathered = index.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, everything // TASK_WORDS + 1))
+    more = gathered.mapInArrow(_counted(longest, large), FOUND_DDL).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
     more = tables.stored(more.select("lang", "phrase", "size", "f"), "phrases")
     tables.clear(totals, frequent, more)
     return frequent.unionByName(more), totals

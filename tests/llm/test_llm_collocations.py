@@ -71,3 +71,17 @@ def test_intervals_stay_together(monkeypatch):
         phrases, at = index.grown(phrases, at, left, lambda p: np.ones(len(p), bool))
         assert [where(p) for p in phrases] == at[:, 2].tolist()
         assert len({tuple(p) for p in phrases}) == len(phrases)
+
+
+@pytest.mark.parametrize("most", [c.HELD_PHRASES, 64])
+def test_a_task_reports_a_phrase_once(spark, most):
+    """Many shards of a language in one task: its phrases come with their sums, not once a shard; also where few are held."""
+    docs = spark.createDataFrame([("a b c d. " * 60, "en"), ("a b c e. " * 60, "de")] * 20, "text string, lang string").coalesce(1)
+    shards = docs.mapInArrow(c._shards("text", "lang", 300), c.SHARD_DDL).localCheckpoint()
+    every = np.packbits(np.ones(512, bool)).tobytes()
+    found = shards.select("lang", "words", "forward", "reverse").mapInArrow(c._counted(3, {2: every}, most), c.FOUND_DDL).collect()
+    total = Counter()
+    for r in found:
+        total[r.lang, r.phrase] += r.n
+    assert shards.count() > 20 and len(found) == 10
+    assert total == {(lang, w): 1200 for lang, x in (("en", "d"), ("de", "e")) for w in ("a b", "b c", f"c {x}", "a b c", f"b c {x}")}
