@@ -165,13 +165,28 @@ def lattice(spark, west: float, south: float, columns: int, rows: int, size: flo
     return r.select("id", ix.alias("ix"), iy.alias("iy"), (F.lit(west) + (ix + 0.5) * size).alias("px"), (F.lit(south) + (iy + 0.5) * size).alias("py"))
 
 
+def spread_over(spark) -> int:
+    """Tasks of a shuffle that is not to be merged by the bytes of its rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+#: Cells of a lattice that one row stands for before they are made.
+STRIP = 4096
+
+
 def envelope_lattice(e: DataFrame, key: str, size: float) -> DataFrame:
-    """(key, ix, iy, px, py): the lattice's cell centres in each shape's envelope. Columns are spread before they become cells, so a large shape is many tasks."""
+    """(key, ix, iy, px, py): the lattice's cell centres in each shape's envelope.
+
+    Strips of a column are spread before they become cells, so a large shape or a tall column is many tasks. Their number of tasks is
+    given, as Spark would merge rows as small as strips into one task by their bytes, and all cells would be made there.
+    """
     first = lambda c: F.ceil(F.col(c) / size - 0.5).cast("long")
     last = lambda c: F.floor(F.col(c) / size - 0.5).cast("long")
-    some = lambda lo, hi: F.explode(F.when(last(hi) >= first(lo), F.sequence(first(lo), last(hi))))
-    columns = boxes(e, key).select(key, "y_min", "y_max", some("x_min", "x_max").alias("ix")).repartition(key, "ix")
-    cells = columns.select(key, "ix", some("y_min", "y_max").alias("iy"))
+    some = lambda lo, hi, step=1: F.explode(F.when(hi >= lo, F.sequence(lo, hi, F.lit(step).cast("long"))))
+    columns = boxes(e, key).select(key, first("y_min").alias("_lo"), last("y_max").alias("_hi"), some(first("x_min"), last("x_max")).alias("ix"))
+    strips = columns.select(key, "ix", "_hi", some(F.col("_lo"), F.col("_hi"), STRIP).alias("_lo"))
+    strips = strips.repartition(spread_over(e.sparkSession), key, "ix", "_lo")
+    cells = strips.select(key, "ix", some(F.col("_lo"), F.least(F.col("_hi"), F.col("_lo") + STRIP - 1)).alias("iy"))
     return cells.select(key, "ix", "iy", ((F.col("ix") + 0.5) * size).alias("px"), ((F.col("iy") + 0.5) * size).alias("py"))
 
 
@@ -181,14 +196,15 @@ def candidate_frame(centres: DataFrame, boundary: DataFrame, country: str, land:
     Reasons go in this order, so each centre counts once; a centre without a land-cover class has the reason no_land_cover. centres as of
     envelope_lattice; boundary and regions are edges. A point on several regions takes the lowest and is marked ambiguous.
     Only centres inside their boundary and on wanted land look for a region. Group by country and outcome for the counters.
+    Cells are small rows that sorts and maps make large, so the shuffles in which they meet keep their number of tasks.
     """
-    cell = [country, "ix", "iy"]
+    cell, tasks = [country, "ix", "iy"], spread_over(centres.sparkSession)
     within = inside(centres, boundary, cell, country, size).select(*cell).distinct().withColumn("_in", F.lit(True))
     reason = F.when(F.col("_in").isNull(), "outside_boundary").when(F.col("_land").isNull(), "no_land_cover")
     for name, classes in excluded.items():
         reason = reason.when(F.col("_land").isin(classes), name)
-    judged = centres.withColumn("_land", land).join(within, cell, "left").withColumn("_why", reason)
-    named = judged.where("_why IS NULL").select(F.struct(*cell).alias("_cell"), "px", "py")
+    judged = centres.repartition(tasks, *cell).withColumn("_land", land).join(within, cell, "left").withColumn("_why", reason)
+    named = judged.where("_why IS NULL").select(F.struct(*cell).alias("_cell"), "px", "py").repartition(tasks, "_cell")
     found = regions_of(named, regions, "_cell", region, size).where(F.col(region) >= 0).select(*[F.col("_cell")[c].alias(c) for c in cell], region, "ambiguous")
     out = judged.join(found, cell, "left")
     outcome = F.coalesce("_why", F.when(F.col(region).isNull(), "missing_region").otherwise("candidate"))

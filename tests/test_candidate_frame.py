@@ -33,3 +33,13 @@ def test_no_countries_no_regions_and_a_shape_between_centres(spark):
     assert frame(spark, [], [(7, SQUARE.format(0, 0, 2, 1))]).count() == 0
     assert {r.outcome for r in frame(spark, [(1, SQUARE.format(0, 0, 2, 2))], []).collect()} == {"missing_region"}
     assert frame(spark, [(1, SQUARE.format(0.6, 0.6, 0.9, 0.9))], []).count() == 0
+
+
+def test_cells_are_made_in_many_tasks(spark):
+    """Few tall columns: their cells are whole, once each, and not all made in the one task that their few rows would be merged into."""
+    shapes = spark.createDataFrame([("a", "POLYGON ((0.2 0.2, 2.1 0.2, 2.1 20000.1, 0.2 20000.1, 0.2 0.2))"), ("b", "POLYGON ((5.6 0, 5.7 0, 5.7 9, 5.6 0))")], "k string, wkt string")
+    cells = geometry.envelope_lattice(geometry.edges(shapes, "k"), "k", 1.0).withColumn("task", F.spark_partition_id()).persist()
+    by = cells.groupBy("task").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in by) == cells.select("k", "ix", "iy").distinct().count() == 2 * 20000 and len(by) > 1 and max(r.n for r in by) < 30000
+    assert tuple(cells.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).head()) == (0, 1, 0, 19999)
+    cells.unpersist()
