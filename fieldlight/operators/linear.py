@@ -24,13 +24,17 @@ HELD_GROUPS = 4096
 MERGE_PARTS = 256
 
 
-def added(partial: DataFrame, keys: list[str], sums: list[str], arrays: list[str]) -> DataFrame:
-    """Partial rows added by keys: numbers, and arrays of one length element by element, in two levels."""
+def summed(partial: DataFrame, keys: list[str], sums: list[str], arrays: list[str]) -> DataFrame:
+    """Partial rows added by keys: numbers, and arrays of one length element by element."""
     zero = lambda c: F.transform(F.first(c), lambda x: F.lit(0.0))
     add = lambda c: F.aggregate(F.collect_list(c), zero(c), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(c)
-    every = [*[F.sum(c).alias(c) for c in sums], *map(add, arrays)]
-    parts = partial.withColumn("_part", F.spark_partition_id() % MERGE_PARTS).groupBy(*keys, "_part").agg(*every)
-    return parts.groupBy(*keys).agg(*every)
+    return partial.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *map(add, arrays))
+
+
+def added(partial: DataFrame, keys: list[str], sums: list[str], arrays: list[str]) -> DataFrame:
+    """As summed, in two levels."""
+    parts = summed(partial.withColumn("_part", F.spark_partition_id() % MERGE_PARTS), [*keys, "_part"], sums, arrays)
+    return summed(parts, keys, sums, arrays)
 
 
 def moments(df: DataFrame, keys: list[str], v: str, weight: Column | None = None, gram: bool = True) -> DataFrame:

@@ -13,21 +13,55 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..functions.hashing import hash_rank
 from .aggregates import mean_vectors
-from .linear import HELD_GROUPS, added, literal, moments
+from .linear import HELD_GROUPS, MERGE_PARTS, added, literal, moments, summed
 from .windows import placed
 
 
+#: Rows whose likelihoods at all grid points are held at once.
+GRID_ROWS = 2048
+
+
+def _grid_sums(la: np.ndarray, lb: np.ndarray, wt: np.ndarray, group: np.ndarray, groups: int, grid: np.ndarray) -> np.ndarray:
+    """(groups, grid) sums of the rows' log likelihoods; group is ascending."""
+    out = np.zeros((groups, len(grid)))
+    for at in range(0, len(group), GRID_ROWS):
+        a, b, w, own = (x[at : at + GRID_ROWS] for x in (la[:, None], lb[:, None], wt[:, None], group))
+        top = np.maximum(a, b)
+        ll = w * (top + np.log(grid * np.exp(a - top) + (1 - grid) * np.exp(b - top) + 1e-300))
+        heads = np.flatnonzero(np.r_[True, np.diff(own) != 0])
+        out[own[heads]] += np.add.reduceat(ll, heads, axis=0)
+    return out
+
+
 def grid_likelihoods(df: DataFrame, keys: list[str], a: str, b: str, points: int, weight: str | None = None) -> DataFrame:
     """(keys, rows, ll): log likelihood of each group at each share of an even grid, as an array.
 
-    Every task gives one partial array per group, and those are added; rows are never multiplied by
-    grid points, and a hot group is spread over all partitions.
+    Rows are never multiplied by grid points. A batch gives one partial array for a group whose rows in it take more room than that,
+    and those meet in MERGE_PARTS parts first, so a hot group is spread over all tasks; of other groups it gives the rows as they
+    are, and an array is made where they meet.
     """
     w = F.lit(1.0) if weight is None else F.col(weight)
     rows = df.select(*keys, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), w.cast("double").alias("_w"))
     grid = np.linspace(0, 1, points)
+    least = points // 3  # rows of three numbers as large as an array
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            group = frame.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            many = np.bincount(group)[group] > least
+            if not many.all():
+                yield frame[~many].assign(rows=1, ll=None, _thick=False)
+            if many.any():
+                order = np.flatnonzero(many)[np.argsort(group[many], kind="stable")]
+                heads = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+                counts = np.diff(np.r_[heads, len(order)])
+                la, lb, wt = (frame[c].to_numpy()[order] for c in ("_a", "_b", "_w"))
+                ll = _grid_sums(la, lb, wt, np.repeat(np.arange(len(heads)), counts), len(heads), grid)
+                yield frame[[*keys]].iloc[order[heads]].assign(_a=np.nan, _b=np.nan, _w=np.nan, rows=counts, ll=list(ll), _thick=True)
+
+    def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for frame in frames:
             if not len(frame):
@@ -35,13 +69,16 @@ def grid_likelihoods(df: DataFrame, keys: list[str], a: str, b: str, points: int
             group = frame.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
             order = np.argsort(group, kind="stable")
             heads = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
-            la, lb, wt = (frame[c].to_numpy()[order][:, None] for c in ("_a", "_b", "_w"))
-            top = np.maximum(la, lb)
-            ll = wt * (top + np.log(grid * np.exp(la - top) + (1 - grid) * np.exp(lb - top) + 1e-300))
+            thick = frame["_thick"].to_numpy(dtype=bool)
+            thin = order[~thick[order]]
+            la, lb, wt = (frame[c].to_numpy()[thin] for c in ("_a", "_b", "_w"))
+            ll = _grid_sums(la, lb, wt, group[thin], len(heads), grid)
+            for i in np.flatnonzero(thick):
+                ll[group[i]] += frame["ll"].iat[i]
             out = frame[keys].iloc[order[heads]].reset_index(drop=True)
-            out = out.assign(rows=np.diff(np.r_[heads, len(order)]), ll=list(np.add.reduceat(ll, heads, axis=0)))
+            out = out.assign(rows=np.add.reduceat(frame["rows"].to_numpy()[order], heads), ll=list(ll))
             held = out if held is None else pd.concat([held, out], ignore_index=True)
-            if len(held) >= HELD_GROUPS:  # batches of a task are added here, so that a hot group is one array a task
+            if len(held) >= HELD_GROUPS:
                 held = held.groupby(keys, dropna=False, sort=False, as_index=False).agg({"rows": "sum", "ll": "sum"})
                 if len(held) >= HELD_GROUPS // 2:
                     yield held
@@ -49,8 +86,12 @@ def grid_likelihoods(df: DataFrame, keys: list[str], a: str, b: str, points: int
         if held is not None:
             yield held.groupby(keys, dropna=False, sort=False, as_index=False).agg({"rows": "sum", "ll": "sum"})
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields), "rows long, ll array<double>"])
-    return added(rows.mapInPandas(part, ddl), keys, ["rows"], ["ll"])
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    some = rows.mapInPandas(part, f"{own}, _a double, _b double, _w double, rows long, ll array<double>, _thick boolean")
+    where = F.when(F.col("_thick"), 1 + F.spark_partition_id() % MERGE_PARTS).otherwise(0)
+    some = some.withColumn("_part", where).repartition(*keys, "_part").sortWithinPartitions(*keys).drop("_part")
+    partial = some.mapInPandas(met, f"{own}, rows long, ll array<double>")
+    return summed(partial, keys, ["rows"], ["ll"])
 
 
 def _best(ll: Column, points: int) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fieldlight.functions.grid import great_circle_m
-from fieldlight.operators import joins, logistic
+from fieldlight.operators import joins, logistic, mixture
 from fieldlight.sources import bundles
 
 
@@ -108,3 +108,16 @@ def test_items_of_a_snapshot_do_not_meet_what_was_asked_for(spark):
     assert got == [("absent", "u"), ("expected", "s"), ("identity", "q"), ("items", "r"), ("json", "s"), ("receipt", "q"), ("receipt", "r"), ("receipt", "s")]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert " AS s#" not in plan[plan.index("Join FullOuter"):].splitlines()[1]
+
+
+def test_likelihoods_of_small_groups_are_shuffled_as_rows(spark):
+    """Groups of few rows, one hot group, a null key, as by NumPy; a small group gives one array where it has met, not one a task."""
+    dice = random.Random(5)
+    rows = [(None if k == 0 else k, -dice.random(), -dice.random()) for k in range(40) for _ in range(12)] + [(99, -dice.random(), -dice.random()) for _ in range(4000)]
+    df = mixture.grid_likelihoods(spark.createDataFrame(rows, "k int, a double, b double").repartition(8), ["k"], "a", "b", 101)
+    found, grid = {r.k: r for r in df.collect()}, np.linspace(0, 1, 101)
+    sizes = shuffled(df)
+    for k in {r[0] for r in rows}:
+        a, b = np.array([r[1:] for r in rows if r[0] == k]).T[:, :, None]
+        assert found[k].rows == len(a) and np.allclose(found[k].ll, np.log(grid * np.exp(a) + (1 - grid) * np.exp(b)).sum(0))
+    assert len(found) == 41 and min(sizes) <= 41 + 8  # what is added at last: one array a small group, at most one a task of the hot one
