@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from .joins import observations_in_windows
 
 #: Windows of one call; the result has a row for each key and window, so more of them go in further calls.
 MOST_WINDOWS = 1000
+#: Series whose results are held at once.
+SERIES_ROWS = 256
 Encoder = Callable[[np.ndarray, np.ndarray], np.ndarray]  # (observations, bands), days -> vector
 
 
@@ -39,20 +41,36 @@ def windows_of(obs: DataFrame, windows: DataFrame, key: str, day: str, bands: st
     return out.withColumns({"bucket": bucket_size(F.col("n")), "content_key": content})
 
 
+def _series(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bands, days) of each series, as views of the Arrow batch: no Python object an observation."""
+    flat = column.flatten()
+    days = flat.field("day").cast(pa.float64()).to_numpy(zero_copy_only=False)
+    bands = flat.field("bands")
+    values = bands.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    widths = bands.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    at = np.r_[0, np.cumsum(np.maximum(widths, 0))]
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    for a, z in zip(np.r_[0, ends[:-1]], ends, strict=True):
+        if (widths[a:z] != max(widths[a], 0)).any():
+            raise ValueError("the observations of a series must have the same number of bands")
+        yield values[at[a] : at[z]].reshape(z - a, -1), days[a:z]
+
+
 def encoded(rows: DataFrame, key: str, encode: Encoder = summary_encoder) -> DataFrame:
     """(key, w, content_key, outcome, vector); windows of one bucket come together, empty ones have no vector."""
     kind = rows.schema[key].dataType.simpleString()
     full = rows.where("n > 0").repartition("bucket", F.pmod(F.xxhash64(key, "w"), F.lit(64)))  # a bucket may hold most rows
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for series in frame["series"]:
-                out.append(encode(np.array([list(s["bands"]) for s in series], float), np.array([s["day"] for s in series], float)).tolist())
-            yield frame[[key, "w", "content_key"]].assign(outcome="complete", vector=out)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SERIES_ROWS):
+                batch = whole.slice(at, SERIES_ROWS)
+                out = pa.array([encode(bands.copy(), days.copy()).tolist() for bands, days in _series(batch.column("series"))], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.select([key, "w", "content_key"]).columns, pa.array(["complete"] * batch.num_rows), out], names=[key, "w", "content_key", "outcome", "vector"])
+        pa.default_memory_pool().release_unused()
 
     ddl = f"`{key}` {kind}, w int, content_key string, outcome string, vector array<double>"
-    done = full.select(key, "w", "content_key", "series").mapInPandas(each, ddl)
+    done = full.select(key, "w", "content_key", "series").mapInArrow(each, ddl)
     empty = rows.where("n = 0").select(key, "w", "content_key", F.lit("empty_window").alias("outcome"), F.lit(None).cast("array<double>").alias("vector"))
     return done.unionByName(empty)
 

@@ -4,10 +4,12 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from fieldlight.functions.grid import great_circle_m
-from fieldlight.operators import joins, logistic, mixture
+from fieldlight.operators import encoding, joins, logistic, mixture
 from fieldlight.sources import bundles
 
 
@@ -121,3 +123,15 @@ def test_likelihoods_of_small_groups_are_shuffled_as_rows(spark):
         a, b = np.array([r[1:] for r in rows if r[0] == k]).T[:, :, None]
         assert found[k].rows == len(a) and np.allclose(found[k].ll, np.log(grid * np.exp(a) + (1 - grid) * np.exp(b)).sum(0))
     assert len(found) == 41 and min(sizes) <= 41 + 8  # what is added at last: one array a small group, at most one a task of the hot one
+
+
+def test_series_are_views_of_a_batch():
+    """Series of a slice of a batch: no Python object an observation; unknown values are NaN, uneven bands an error."""
+    kind = pa.list_(pa.struct([("day", pa.int32()), ("item", pa.int64()), ("bands", pa.list_(pa.float64()))]))
+    one = lambda day, *bands: {"day": day, "item": day, "bands": list(bands)}
+    column = pa.array([[one(9, 9.0)], [one(1, 1.0, 2.0), one(2, 3.0, None)], [one(3, 5.0)]], kind)
+    (b, d), (c, e) = encoding._series(column.slice(1))
+    assert b.base is not None and np.array_equal(b, [[1, 2], [3, np.nan]], equal_nan=True) and d.tolist() == [1, 2]
+    assert c.tolist() == [[5]] and e.tolist() == [3]
+    with pytest.raises(ValueError, match="same number"):
+        list(encoding._series(pa.array([[one(1, 1.0), one(2, 1.0, 2.0)]], kind)))
