@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import spread_over
+
 _NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 _RING = rf"\(\s*({_NUMBER}\s+{_NUMBER}(?:\s*,\s*{_NUMBER}\s+{_NUMBER})*)\s*\)"
 
@@ -165,11 +167,6 @@ def lattice(spark, west: float, south: float, columns: int, rows: int, size: flo
     return r.select("id", ix.alias("ix"), iy.alias("iy"), (F.lit(west) + (ix + 0.5) * size).alias("px"), (F.lit(south) + (iy + 0.5) * size).alias("py"))
 
 
-def spread_over(spark) -> int:
-    """Tasks of a shuffle that is not to be merged by the bytes of its rows."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 #: Cells of a lattice that one row stands for before they are made.
 STRIP = 4096
 

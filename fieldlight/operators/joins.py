@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.grid import great_circle_m
 
 
+def spread_over(spark) -> int:
+    """Tasks of a shuffle that is not to be merged by the bytes of its rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df shuffled by keys into the set number of tasks, for sorts and maps that take much more room than the rows' bytes.
+
+    Joins and groups by these keys and others need no further shuffle.
+    """
+    return df.repartition(spread_over(df.sparkSession), *keys)
+
+
 def cross_small(df: DataFrame, values: list[tuple[str, object]] | list, name: str) -> DataFrame:
     """Rows times a short literal list, as an explode: no join at all."""
     return df.withColumn(name, F.explode(F.array(*map(F.lit, values))))

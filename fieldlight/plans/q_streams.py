@@ -125,9 +125,10 @@ def k7b(spark, sf):
     """Each event comes twice, every eleventh with another value the second time: that one goes to the side."""
     e = inputs.table(spark, sf, "events").select("event_id", "user_id", "value")
     path = folder(spark)
-    e.coalesce(1).write.parquet(f"{path}/in")
-    e.withColumn("value", F.when(F.col("event_id") % 11 == 0, F.col("value") + 1).otherwise(F.col("value"))).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    streams.accepted_once(streams.event_stream(spark, f"{path}/in", e.schema), f"{path}/ok", f"{path}/odd", "event_id", ["user_id", "value"], f"{path}/check", 16)
+    e.write.parquet(f"{path}/in")
+    files = len(spark.read.parquet(f"{path}/in").inputFiles())  # a batch has the files of one write
+    e.withColumn("value", F.when(F.col("event_id") % 11 == 0, F.col("value") + 1).otherwise(F.col("value"))).write.mode("append").parquet(f"{path}/in")
+    streams.accepted_once(streams.event_stream(spark, f"{path}/in", e.schema, files), f"{path}/ok", f"{path}/odd", "event_id", ["user_id", "value"], f"{path}/check", 16)
     side = lambda at, kind: spark.read.parquet(f"{path}/{at}").select("event_id", F.lit(kind).alias("kind"))
     return side("ok", "accepted").unionByName(side("odd", "conflict"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.aggregates import upsert
+from ..operators.joins import dealt
 from ..sources.commits import exists
 
 
@@ -131,7 +132,8 @@ def accepted_once(stream: DataFrame, accepted: str, conflicts: str, key: str, co
 
     def apply(batch: DataFrame, number: int) -> None:
         digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
-        rows = batch.withColumns({"digest": digest, "bucket": _bucket(key, buckets)}).dropDuplicates([key, "digest"]).withColumn("batch", F.lit(number).cast("long")).persist()
+        # digests are large beside their rows, and repeats, first contents and known ones all meet by id: one shuffle, whose tasks are not merged
+        rows = dealt(batch, [key]).withColumns({"digest": digest, "bucket": _bucket(key, buckets)}).dropDuplicates([key, "digest"]).withColumn("batch", F.lit(number).cast("long")).persist()
         try:
             mine = _touched(rows)
             known = _state(spark, accepted, rows.schema, mine).where(F.col("batch") < number).select(key, F.col("digest").alias("_known"))
