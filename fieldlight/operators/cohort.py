@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import dealt
 from .windows import first_rows
 
 
@@ -16,6 +17,7 @@ def distinct_over(value: str, keys: list[str]) -> Column:
 
 def with_group_counts(df: DataFrame, keys: list[str], **values: str) -> DataFrame:
     """Distinct counts of a group joined to its rows: pre-aggregated, so hot groups do not meet in one window."""
+    df = dealt(df, keys)
     counts = df.groupBy(*keys).agg(*[F.count_distinct(c).alias(k) for k, c in values.items()])
     return df.join(counts, keys)
 
@@ -39,8 +41,10 @@ def attrition(stages: list[tuple[str, DataFrame]], key: str) -> DataFrame:
 def private_pixels(member: DataFrame, excluded: DataFrame, field: str, pixel: str, label: str) -> DataFrame:
     """Membership rows after excluded fields went, whose pixel then belongs to one field and one label."""
     left = member.join(excluded.select(field).distinct(), field, "left_anti")
-    counted = with_group_counts(left, [pixel], overlap=field, labels=label)
-    return counted.where("overlap = 1 AND labels = 1").drop("overlap", "labels")
+    left = dealt(left, [pixel])
+    one = lambda c: F.min(c) == F.max(c)
+    own = left.groupBy(pixel).agg((one(field) & one(label)).alias("_own")).where("_own")
+    return left.join(own.select(pixel), pixel, "left_semi")
 
 
 def unambiguous(df: DataFrame, pixel: str, label: str, ok: Column, order: list) -> tuple[DataFrame, DataFrame]:

@@ -438,7 +438,7 @@ def g20(spark, sf):
 @query("g21_private_counts", f"WITH {MEMBERSHIPS}, c AS (SELECT pixel, count(DISTINCT label) AS labels, count(DISTINCT field_uid) AS fields FROM memberships GROUP BY pixel) SELECT field_uid, count(DISTINCT pixel) AS pixels, count(DISTINCT CASE WHEN fields <= 25 THEN pixel END) AS private_pixels FROM memberships JOIN c USING (pixel) GROUP BY field_uid")
 def g21(spark, sf):
     m = cohort.with_group_counts(inputs.memberships(spark, sf), ["pixel"], labels="label", fields="field_uid")
-    return m.groupBy("field_uid").agg(F.count_distinct("pixel").alias("pixels"), F.count_distinct(F.when(F.col("fields") <= 25, F.col("pixel"))).alias("private_pixels"))
+    return joins.dealt(m.select("field_uid", "pixel", "fields"), ["field_uid"]).groupBy("field_uid").agg(F.count_distinct("pixel").alias("pixels"), F.count_distinct(F.when(F.col("fields") <= 25, F.col("pixel"))).alias("private_pixels"))
 
 
 @query("g22_first_available", "SELECT l_orderkey, arg_min(l_shipmode, p) AS w FROM (SELECT l_orderkey, CASE l_linenumber WHEN 2 THEN 'w2' WHEN 3 THEN 'w3' WHEN 1 THEN 'w1' WHEN 4 THEN 'w4' END AS l_shipmode, CASE l_linenumber WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 1 THEN 3 WHEN 4 THEN 4 END AS p FROM lineitem WHERE l_linenumber <= 4) GROUP BY l_orderkey")

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlight.functions.grid import great_circle_m
-from fieldlight.operators import encoding, joins, logistic, mixture
+from fieldlight.operators import cohort, contracts, encoding, joins, logistic, mixture
+from fieldlight.plans import inputs
 from fieldlight.sources import bundles
 
 
@@ -135,3 +136,15 @@ def test_series_are_views_of_a_batch():
     assert c.tolist() == [[5]] and e.tolist() == [3]
     with pytest.raises(ValueError, match="same number"):
         list(encoding._series(pa.array([[one(1, 1.0), one(2, 1.0, 2.0)]], kind)))
+
+
+def test_small_rows_are_not_merged_into_one_task(spark):
+    """Memberships, counts beside rows and references are made in as many tasks as shuffles have, not in one by their bytes."""
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    rows = spark.range(4000).selectExpr("id % 1000 AS pixel", "id % 7 AS field", "id % 3 AS label")
+    assert tasks(inputs.memberships(spark, "/root/testdata/sf0.001")) == 4
+    assert tasks(cohort.with_group_counts(rows, ["pixel"], n="field")) == 4
+    assert tasks(contracts.references(rows, "pixel", rows.where("pixel > 500"), "r")) == 4
+    assert tasks(contracts.unique(rows, ["pixel"], "u")) == 4
+    own = cohort.private_pixels(spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (2, 2, "a"), (3, 2, "a"), (4, 3, "a"), (4, 3, "b"), (5, 4, None), (None, 5, "a"), (6, 6, "a"), (6, 6, None), (9, 7, "a")], "field int, pixel int, label string"), spark.createDataFrame([(9,)], "field int"), "field", "pixel", "label")
+    assert sorted((r.field, r.pixel, r.label or "") for r in own.collect()) == [(1, 1, "a"), (1, 1, "a"), (6, 6, ""), (6, 6, "a")]
