@@ -64,6 +64,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _remove(spark, path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of each query that runs inside when the query ends, not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Tables:
     """Stored tables of one call, which it can remove when no later job reads them.
 

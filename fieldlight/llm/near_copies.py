@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts_of, with_columns
+from .common import Tables, scratch, shuffles_removed, slices, stored, texts_of, with_columns
 from .components import components
 from .simhash import BLOCK, limit_of, near_links, shingle_hashes, words_of
 
@@ -66,7 +66,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
         pa.default_memory_pool().release_unused()
 
     both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return stored(both.select("a", "b", "ta", "tb").mapInArrow(each, f"a {kind}, b {kind}"), "verified")
+    return both.select("a", "b", "ta", "tb").mapInArrow(each, f"a {kind}, b {kind}")
 
 
 def _frequent(sets: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,27 +163,54 @@ def near_copies(
     Only the id and the text are read, so other columns of docs may have any name.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    kept = Tables(spark)  # what the returned frame reads; all else goes at the end
+    try:
+        with scratch(spark), shuffles_removed(spark):
+            marked, nodes, roots = _grouped(docs, kept, width, least, bits, recall, block)
+    except BaseException:
+        kept.clear()
+        raise
+    of = nodes.join(roots, "node", "left").select("shingles", F.coalesce("root", "node")["id"].alias("component_id"))
+    return marked.join(of, "shingles").select(F.col("id").alias(id_col), "component_id")
+
+
+def _grouped(docs: DataFrame, kept: Tables, width: int, least: float, bits: int, recall: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, shingles) of all rows, (shingles, node) of all sets, (node, root) of those that are linked. What only one step reads goes after it."""
+    spark = docs.sparkSession
+    work = Tables(spark)
 
     def marks(texts: list[bytes]) -> tuple[list, list]:
         sets = [shingle_set(t, width) for t in texts]
         return [words_of(h, bits // 64).view(np.int64) for h in sets], [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
 
-    marked = stored(with_columns(docs, "text", "fp array<long>, shingles binary", [pa.list_(pa.int64()), pa.binary()], lambda: marks), "fingerprints")
-    reps = marked.groupBy("shingles").agg(F.min("id").alias("_id"), F.min("fp").alias("fp"))
-    node = F.struct(F.col("_id").isNull().alias("orphan"), F.col("_id").alias("id"), F.xxhash64("shingles").alias("by")).alias("node")
-    reps = stored(reps.select("shingles", "fp", node), "sets")
-    usual = limit_of(least, bits)
-    limit = usual + int(MARGIN * sqrt(usual * (1 - usual / bits)))
-    links = stored(near_links(reps.select("fp", "node"), bits=bits, limit=limit, recall=recall, usual=usual, block=block), "links")
-
-    def texts(pairs: DataFrame) -> DataFrame:
-        """(node, text) of one row for each node of the pairs."""
-        asked = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("shingles", "node")
-        return stored(marked.select("shingles", "text").join(asked, "shingles").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    with scratch(spark):
+        every = stored(with_columns(docs, "text", "fp array<long>, shingles binary", [pa.list_(pa.int64()), pa.binary()], lambda: marks), "fingerprints")
+        marked = kept.stored(every.select("id", "shingles"), "marked")
+        reps = every.groupBy("shingles").agg(F.min("id").alias("_id"), F.min("fp").alias("fp"), F.min("text").alias("text"))
+        node = F.struct(F.col("_id").isNull().alias("orphan"), F.col("_id").alias("id"), F.xxhash64("shingles").alias("by")).alias("node")
+        sets = work.stored(reps.select("shingles", "fp", "text", node), "sets")
+    nodes = kept.stored(sets.select("shingles", "node"), "nodes")
+    numbered = nodes.select(F.col("node.by").alias("_by"), "node")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        """Pairs of numbers as pairs of nodes."""
+        for end in ("a", "b"):
+            pairs = pairs.withColumnRenamed(end, "_by").join(numbered.withColumnRenamed("node", end), "_by").drop("_by")
+        return pairs
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        return _verified(pairs, texts(pairs), width, least)
+        with scratch(spark):
+            pairs = stored(pairs, "pairs")
+            asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            texts = stored(sets.select("node", "text").join(asked, "node"), "texts")
+            return work.stored(_verified(pairs, texts, width, least), "verified")
+
+    usual = limit_of(least, bits)
+    limit = usual + int(MARGIN * sqrt(usual * (1 - usual / bits)))
+    with scratch(spark):  # fingerprints meet by number, which is shorter than a node
+        near = stored(near_links(sets.select("fp", F.col("node.by").alias("node")), bits=bits, limit=limit, recall=recall, usual=usual, block=block), "near")
+        links = work.stored(named(near), "links")
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
     nearest = both.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
@@ -195,15 +222,10 @@ def near_copies(
         open_ = open_.join(of, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
     best = F.min(F.struct("apart", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).alias("best")
     pairs = open_.where("of_a <> of_b").groupBy(F.least("of_a", "of_b").alias("x"), F.greatest("of_a", "of_b").alias("y")).agg(best)
-    found = stored(found.unionByName(checked(pairs.select("best.a", "best.b"))), "found")
+    found = work.stored(found.unionByName(checked(pairs.select("best.a", "best.b"))), "found")
+    work.clear(sets, found)
 
-    # what fingerprints left out: exact, between the groups that there are now
-    groups = reps.join(components(found, "a", "b"), "node", "left").select("shingles", "node", F.col("root.by").alias("root"))
-    sets = marked.select("shingles", "text").join(groups.select("shingles", F.col("node.by").alias("by"), "root"), "shingles")
-    numbered = reps.select(F.col("node.by").alias("_by"), "node")
-    late = exact_pairs(sets, width, least)
-    for end in ("a", "b"):
-        late = late.join(numbered.select(F.col("_by").alias(end), F.col("node").alias(f"node_{end}")), end)
-    roots = components(found.unionByName(checked(late.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))), "a", "b")
-    of = reps.join(roots, "node", "left").select("shingles", F.coalesce("root", "node")["id"].alias("component_id"))
-    return marked.select("id", "shingles").join(of, "shingles").select(F.col("id").alias(id_col), "component_id")
+    # what fingerprints left out: exact, between the groups that there are now; one row a set
+    own = sets.select("node", "text").join(components(found, "a", "b"), "node", "left").select(F.col("node.by").alias("by"), F.col("root.by").alias("root"), "text")
+    late = checked(named(exact_pairs(own, width, least)))
+    return marked, nodes, kept.stored(components(found.unionByName(late), "a", "b"), "roots")

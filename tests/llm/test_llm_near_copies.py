@@ -1,12 +1,13 @@
 """Near copies against brute force, and the pipeline's stage on copies that one fingerprint does not link."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldlight.llm import near_copies
+from fieldlight.llm import common, near_copies
 from tests.llm.test_llm_small import docs_of, words_of
 
 
@@ -114,3 +115,25 @@ def test_prefixes_of_similar_sets_meet():
             frequent = often, r.integers(3, 90, len(often))
             assert np.intersect1d(near_copies.prefix(a, 0.8, frequent), near_copies.prefix(b, 0.8, frequent)).size
     assert not len(near_copies.prefix(np.empty(0, np.uint64), 0.8, (np.empty(0, np.uint64), np.empty(0, np.int64))))
+
+
+def test_disk_holds_only_what_the_result_reads(spark):
+    """Tables of the steps go with the steps: what is left is three tables without texts."""
+    with common.scratch(spark):
+        got = near_copies.near_copies(docs_of(spark, varied()[:60]))
+        there = Path(common._folder(spark, "x").removeprefix("file://")).parent
+        assert sorted(p.name.split("-")[0] for p in there.iterdir() if p.is_dir()) == ["marked", "nodes", "roots"]
+        assert got.count() == 60
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    def files():
+        return set(Path(spark.sparkContext.getConf().get("spark.local.dir", "/tmp")).glob("blockmgr-*/*/shuffle_*.data"))
+
+    rows = spark.range(1000).repartition("id")
+    start = files()
+    with common.shuffles_removed(spark):
+        rows.write.parquet(f"{tmp_path}/inside")
+    assert not files() - start
+    rows.write.parquet(f"{tmp_path}/outside")
+    assert files() - start and spark.read.parquet(f"{tmp_path}/outside").count() == 1000
