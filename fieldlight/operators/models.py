@@ -13,6 +13,8 @@ from . import evaluation
 
 #: Steps of class weight that a network sees, as copies of rows.
 WEIGHT_STEPS = 8
+#: Training rows of a part, beyond one part a core.
+PART_ROWS = 20_000
 
 
 def vector_classifier(
@@ -30,14 +32,16 @@ def vector_classifier(
     prepared = lambda d: d.withColumn("raw", array_to_vector(v)).withColumn("label_", F.col(label).cast("double"))
     scaler = StandardScaler(inputCol="raw", outputCol="_x", withMean=True).fit(prepared(t))
     t = scaler.transform(prepared(t)).persist()
+    # every task of every iteration sends the driver a result, so parts are as many as rows need, not as many as the input has
+    parts = max(t.sparkSession.sparkContext.defaultParallelism, -(-t.count() // PART_ROWS))
     models = []
     for n in iterations:
         if hidden is None:
-            models.append(LogisticRegression(featuresCol="_x", labelCol="label_", weightCol="_w", regParam=0.05, maxIter=n, family="multinomial").fit(t))
+            models.append(LogisticRegression(featuresCol="_x", labelCol="label_", weightCol="_w", regParam=0.05, maxIter=n, family="multinomial").fit(t.coalesce(parts)))
         else:
             copies = t.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(F.col("_w") * WEIGHT_STEPS).cast("int")))))
             size = len(t.select(v).head()[0])
-            models.append(MultilayerPerceptronClassifier(featuresCol="_x", labelCol="label_", layers=[size, hidden, classes], seed=1, maxIter=n).fit(copies))
+            models.append(MultilayerPerceptronClassifier(featuresCol="_x", labelCol="label_", layers=[size, hidden, classes], seed=1, maxIter=n).fit(copies.coalesce(parts)))
     called = lambda m, d: m.transform(scaler.transform(prepared(d))).withColumn("predicted", F.col("prediction").cast("int")).drop("raw", "_x", "label_", "rawPrediction", "probability", "prediction")
     best = models[0]
     if len(models) > 1:

@@ -148,3 +148,19 @@ def test_small_rows_are_not_merged_into_one_task(spark):
     assert tasks(contracts.unique(rows, ["pixel"], "u")) == 4
     own = cohort.private_pixels(spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (2, 2, "a"), (3, 2, "a"), (4, 3, "a"), (4, 3, "b"), (5, 4, None), (None, 5, "a"), (6, 6, "a"), (6, 6, None), (9, 7, "a")], "field int, pixel int, label string"), spark.createDataFrame([(9,)], "field int"), "field", "pixel", "label")
     assert sorted((r.field, r.pixel, r.label or "") for r in own.collect()) == [(1, 1, "a"), (1, 1, "a"), (6, 6, ""), (6, 6, "a")]
+
+
+def test_networks_train_in_parts_by_rows_not_by_input_parts(spark):
+    """Each iteration's tasks report to the driver; an input of 60 small parts trains in as many tasks as there are cores."""
+    from fieldlight.operators import models
+
+    rows = spark.createDataFrame([(i, i % 2, [float(i % 2) + i % 7 / 9, float(i % 5)]) for i in range(600)], "id long, y int, v array<double>").repartition(60)
+    for hidden in (3, None):
+        spark.sparkContext.setJobGroup(f"network {hidden}", "")
+        got = models.vector_classifier(rows, rows, "v", "y", 2, hidden, (20,)).where("predicted = y").count()
+        tracker, wide = spark.sparkContext.statusTracker(), 0
+        for job in tracker.getJobIdsForGroup(f"network {hidden}"):
+            stages = [tracker.getStageInfo(s) for s in tracker.getJobInfo(job).stageIds]
+            wide += any(s is not None and s.numTasks >= 60 and s.numCompletedTasks for s in stages)
+        spark.sparkContext.setJobGroup("after", "")
+        assert got > 500 and wide <= 8, (got, wide)  # the table's own scans; iterations are narrower
