@@ -20,7 +20,7 @@ of its component (null if there is none).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import sqrt
 
 import numpy as np
@@ -191,6 +191,7 @@ def _grouped(docs: DataFrame, kept: Tables, width: int, least: float, bits: int,
         node = F.struct(F.col("_id").isNull().alias("orphan"), F.col("_id").alias("id"), F.xxhash64("shingles").alias("by")).alias("node")
         sets = work.stored(reps.select("shingles", "fp", "text", node), "sets")
     nodes = kept.stored(sets.select("shingles", "node"), "nodes")
+    most = max(nodes.count(), 1)
     numbered = nodes.select(F.col("node.by").alias("_by"), "node")
 
     def named(pairs: DataFrame) -> DataFrame:
@@ -204,7 +205,9 @@ def _grouped(docs: DataFrame, kept: Tables, width: int, least: float, bits: int,
             pairs = stored(pairs, "pairs")
             asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             texts = stored(sets.select("node", "text").join(asked, "node"), "texts")
-            return work.stored(_verified(pairs, texts, width, least), "verified")
+            rounds = max(1, -(-pairs.count() // most))  # no more pairs with their texts at once than there are sets
+            own = [pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == r) for r in range(rounds)]
+            return reduce(DataFrame.unionByName, [work.stored(_verified(p, texts, width, least), "verified") for p in own])
 
     usual = limit_of(least, bits)
     limit = usual + int(MARGIN * sqrt(usual * (1 - usual / bits)))
