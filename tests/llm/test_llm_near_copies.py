@@ -137,3 +137,12 @@ def test_shuffle_files_go_with_their_query(spark, tmp_path):
     assert not files() - start
     rows.write.parquet(f"{tmp_path}/outside")
     assert files() - start and spark.read.parquet(f"{tmp_path}/outside").count() == 1000
+
+
+def test_pairs_are_verified_in_rounds_of_about_as_many_as_sets(spark, monkeypatch):
+    own = [" ".join([*(f"p{k // 4}x{i}" for i in range(64)), *(f"q{k}x{i}" for i in range(10))]) for k in range(40)]  # six pairs of 0.75 to four texts
+    counts, was = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: counts.append(pairs.count()) or was(pairs, *rest))
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(docs_of(spark, own), recall=0.05).collect()}
+    assert sum(counts) > len(own) > max(counts), counts
+    assert [got[i] for i in range(len(own))] == groups_brute(own)
