@@ -11,13 +11,15 @@ the same place. Work goes by anchors, about one for every (L - K) / 2 units:
    equal surroundings once per chunk, with the least document id that has them there. A bucket
    finds, for every window, the least document id that has it; how is up to the caller. It answers
    a chunk with the windows that an earlier document outside the chunk has.
-4. An anchor that very many chunks have may have as many different surroundings. Its windows go one
-   by one instead: a grouped minimum over their 128-bit digests, with partial sums before the shuffle.
+4. An anchor with very many different surroundings, each counted once for a chunk, would make a bucket of them
+   all. Its windows go one by one instead: the least id of each 128-bit digest, one row for a chunk and digest.
+   That is several times as much as surroundings, so the number of chunks alone does not decide it.
 5. Chunks compare their own occurrences with the answers, and cut the runs of units out.
 
 Exact copies of a text with a smaller id are known from a narrow grouped minimum of digests, one row
 for a chunk and digest: every window of theirs is repeated, so they take no part in steps 3 to 5. Joins
-are on chunk numbers or digests; nothing is collected and no step holds more than a chunk or a bucket.
+are on chunk numbers or digests; nothing is collected and no step holds more than a chunk or a bucket. Shuffle
+files of steps 2 to 4 go with the step; the result reads the chunks, the surviving hashes and the answers.
 
 Ids must be integers that fit a long. Rows with a null id are neither earlier nor later than any other:
 nothing is cut from them. Columns besides the id and the text, whatever their names, are not read.
@@ -36,8 +38,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import partitions, stored, texts_of
+from .common import partitions, shuffles_removed, stored, texts_of
 
 #: Bytes of text in a chunk, in the share of a hash bucket and of a bucket of surroundings.
 CHUNK_BYTES = 2 << 20
@@ -45,8 +48,10 @@ HASH_BUCKET_BYTES = 24 << 20
 BUCKET_BYTES = 8 << 20
 #: Rows of a chunk at most, for rows with little text.
 CHUNK_ROWS = 1 << 16
-#: Chunks with one anchor's hash from which its windows go one by one.
-HOT_CHUNKS = 512
+#: Surroundings of one anchor's hash, each counted once for a chunk that has it, from which its windows go one by one.
+HOT_CHUNKS = 1 << 16
+#: Occurrences of a hash in a chunk up to which each counts as a surrounding of its own.
+FEW = 4
 #: Anchors whose leading bytes each chunk adds to the sample for splitters.
 SAMPLE = 32
 SEGMENT = 1 << 17
@@ -184,8 +189,17 @@ def repeats(
     """(id, n_units, n_removed, runs, kept): kept is the bytes of the units left, words joined by a space."""
     if not 0 < k <= length < 1 << 15:
         raise ValueError("0 < k <= length < 32768")
-    chunks = stored(_chunks(docs, id_col, text_col, length, k, units), "chunks")
     spark = docs.sparkSession
+    with shuffles_removed(spark):
+        asked, seek = _answered(docs, id_col, text_col, length, k, units, least, by_range)
+    ddl = f"`{id_col}` long, n_units long, n_removed long, runs array<struct<begin:long,end:long>>, kept binary"
+    return asked.mapInArrow(_cut_out(id_col, seek), ddl)
+
+
+def _answered(docs: DataFrame, id_col: str, text_col: str, length: int, k: int, units: Callable, least: Least, by_range: bool) -> tuple[DataFrame, "_Seek"]:
+    """Chunks beside all that they are told by others."""
+    spark = docs.sparkSession
+    chunks = stored(_chunks(docs, id_col, text_col, length, k, units), "chunks")
     size = chunks.agg(F.sum("n_bytes")).head()[0] or 0
     n_hash, n_near = (max(partitions(spark), size // b + 1) for b in (HASH_BUCKET_BYTES, BUCKET_BYTES))
     split = np.empty(0, f"S{LEAD}")
@@ -205,16 +219,15 @@ def repeats(
     asked = chunks.select("chunk", "ids", "kinds", "leasts", "data").join(alive, "chunk", "left").join(earlier, "chunk", "left")
     sent = asked.where("alive IS NOT NULL").mapInArrow(_send_contexts(seek), "bucket int, chunk long, data binary")
     back = sent.groupBy("bucket").applyInArrow(_answers(least), "chunk long, bucket int, data binary")
-    back = back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("back"))
-    asked = asked.join(back, "chunk", "left").withColumn("windows", F.lit(None).cast("array<struct<digest:binary,first:long>>"))
-    if not alive.where("hot").isEmpty():
-        apart = asked.where("hot").drop("windows").mapInArrow(_send_windows(seek), "chunk long, digest binary, id long")
-        lowest = apart.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        found = apart.join(lowest, "digest").where("first < id").groupBy("chunk").agg(F.collect_list(F.struct("digest", "first")).alias("windows"))
-        asked = asked.drop("windows").join(found, "chunk", "left")
-
-    ddl = f"`{id_col}` long, n_units long, n_removed long, runs array<struct<begin:long,end:long>>, kept binary"
-    return asked.mapInArrow(_cut_out(id_col, seek), ddl)
+    back = stored(back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("back")), "back")
+    windows = F.lit(None).cast("array<struct<digest:binary,first:long>>").alias("windows")
+    if alive.where("hot").isEmpty():
+        return asked.join(back, "chunk", "left").select("*", windows), seek
+    apart = asked.where("hot").select("*", F.lit(None).cast("array<struct<bucket:int,data:binary>>").alias("back"), windows)
+    apart = apart.mapInArrow(_send_windows(seek), "chunk long, digest binary, id long")
+    found = apart.withColumn("first", F.min("id").over(Window.partitionBy("digest"))).where("first < id")  # shuffled once
+    found = stored(found.groupBy("chunk").agg(F.collect_list(F.struct("digest", "first")).alias("windows")), "windows")
+    return asked.join(back, "chunk", "left").join(found, "chunk", "left"), seek
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, length: int, k: int, units: Callable) -> DataFrame:
@@ -281,51 +294,56 @@ def _spans(sorted_: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _send_hashes(length: int, k: int, units: Callable, n: int) -> Callable:
-    """Distinct anchor hashes of a chunk; owner 0 means that two texts of the chunk have it."""
+    """Distinct anchor hashes of a chunk, with the number of their surroundings; owner 0 means that two texts of the chunk have it."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
                 texts = _texts(data.as_py())
                 own = units(texts)
-                at, g, _, _ = anchors(own, length, k)
+                at, g, first, windows = anchors(own, length, k)
                 owner = np.array([xxhash.xxh64_intdigest(t) or 1 for t in texts], np.uint64)
                 owner = owner[np.searchsorted(own.begins, at, "right") - 1]
                 order = np.lexsort((owner, g))
                 g, owner = g[order], owner[order]
                 heads = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, np.int64)
                 many = np.add.reduceat(np.r_[False, (g[1:] == g[:-1]) & (owner[1:] != owner[:-1])], heads) > 0 if len(g) else heads
+                kinds = np.diff(np.r_[heads, len(g)])
+                for h in np.flatnonzero(kinds > FEW).tolist():
+                    i = order[heads[h] : heads[h] + kinds[h]]
+                    begin, end = own.slices(first[i], first[i] + windows[i] + length - 2)
+                    kinds[h] = len({(own.data[x:y], z) for x, y, z in zip(begin, end, (at[i] - first[i]).tolist(), strict=True)})
                 g, owner = g[heads], np.where(many, np.uint64(0), owner[heads])
                 bucket = _bucket(g, n)
                 order = np.lexsort((owner, bucket))
-                g, owner, bucket = g[order], owner[order], bucket[order]
+                g, owner, bucket, kinds = g[order], owner[order], bucket[order], kinds[order]
                 rows = []
                 for a, b in _spans(bucket):
                     low = np.ascontiguousarray((g[a:b] & LOW48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
                     starts = np.flatnonzero(np.r_[True, owner[a + 1 : b] != owner[a : b - 1]])
-                    rows.append((int(bucket[a]), chunk, packed(owner[a:b][starts], np.diff(np.r_[starts, b - a]).astype("<u4"), low)))
+                    rows.append((int(bucket[a]), chunk, packed(owner[a:b][starts], np.diff(np.r_[starts, b - a]).astype("<u4"), low, kinds[a:b].astype("<u4"))))
                 yield _rows(rows, ["bucket", "chunk", "data"])
 
     return each
 
 
-def _surviving(hot_chunks: int) -> Callable:
-    """Hashes of a bucket that two different texts have, back to the chunks they came from; hot: so many chunks have one."""
+def _surviving(most: int) -> Callable:
+    """Hashes of a bucket that two different texts have, back to the chunks they came from; hot: chunks have so many surroundings of one."""
 
     def each(group: pa.Table) -> pa.Table:
-        chunks, hashes, owners = [], [], []
+        chunks, hashes, owners, kinds = [], [], [], []
         for chunk, data in zip(group["chunk"].to_pylist(), group["data"], strict=True):
-            owner, counts, low = unpacked(data.as_py(), "<u8", "<u4", "u1")
+            owner, counts, low, own = unpacked(data.as_py(), "<u8", "<u4", "u1", "<u4")
             wide = np.zeros((len(low) // 6, 8), np.uint8)
             wide[:, :6] = low.reshape(-1, 6)
-            hashes.append(wide.view("<u8")[:, 0]), owners.append(np.repeat(owner, counts)), chunks.append(np.full(len(wide), chunk))
-        h, owner, chunk = np.concatenate(hashes), np.concatenate(owners), np.concatenate(chunks)
+            hashes.append(wide.view("<u8")[:, 0]), owners.append(np.repeat(owner, counts)), chunks.append(np.full(len(wide), chunk)), kinds.append(own)
+        h, owner, chunk, kind = (np.concatenate(x) for x in (hashes, owners, chunks, kinds))
         order = np.argsort(h, kind="stable")
-        h, owner, chunk = h[order], owner[order], chunk[order]
+        h, owner, chunk, kind = h[order], owner[order], chunk[order], kind[order]
         heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         low, high = np.minimum.reduceat(owner, heads), np.maximum.reduceat(owner, heads)
         times = np.diff(np.r_[heads, len(h)])
-        alive, hot = np.repeat((low != high) | (low == 0), times), np.repeat(times >= hot_chunks, times)
+        alive, hot = np.repeat((low != high) | (low == 0), times), np.repeat(np.add.reduceat(kind.astype(np.int64), heads) >= most, times)
         h, chunk, hot = h[alive], chunk[alive], hot[alive]
         order = np.argsort(chunk, kind="stable")
         h, chunk, hot = h[order], chunk[order], hot[order]

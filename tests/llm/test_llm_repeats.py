@@ -111,6 +111,38 @@ def test_answers_to_a_chunk_do_not_grow_with_its_documents():
         assert which.tolist() == [0] and first.tolist() == [7] * windows
 
 
+def survivors(chunks):
+    """Whether chunks (lists of texts) have a hot anchor by the module's own bound; all hashes go to one bucket."""
+    rows = [repeats.packed(np.array([len(t) for t in own], np.int64), b"".join(own)) for own in chunks]
+    sent = repeats._send_hashes(50, 16, repeats.byte_units, 1)([pa.RecordBatch.from_pydict({"chunk": list(range(len(rows))), "data": pa.array(rows, pa.binary())})])
+    return repeats._surviving(repeats.HOT_CHUNKS)(pa.Table.from_batches(list(sent)))
+
+
+def test_hot_is_by_surroundings_not_by_chunks(monkeypatch):
+    """Windows one by one are several times as much as surroundings, so an anchor in many chunks, with one surrounding in each, is not hot."""
+    passage = b" ".join(b"p%d" % i for i in range(40))
+    told = survivors([[b"%06d %s" % (i, passage)] for i in range(700)])
+    assert told.num_rows == 700 and not any(told["hot"].to_pylist())
+    r = random.Random(4)
+    noise = lambda: bytes(r.randrange(97, 123) for _ in range(60))
+    monkeypatch.setattr(repeats, "HOT_CHUNKS", 100)
+    common = noise()[:16]
+    while survivors([[b"x" * 40 + common + b"x" * 40], [b"y" * 40 + common + b"y" * 40]]).num_rows < 2:  # an anchor wherever it stands is likelier in runs of one letter
+        common = noise()[:16]
+    assert not any(survivors([[b"x" * 40 + common + b"x" * 40] * 300, [b"y" * 40 + common + b"y" * 40]])["hot"].to_pylist())
+    apart = [b"x" * 40 + common + noise() for _ in range(200)]
+    assert any(survivors([apart, [b"y" * 40 + common + b"y" * 40]])["hot"].to_pylist())
+
+
+def test_result_keeps_no_shuffle_files_of_its_steps(spark, monkeypatch):
+    """Answers and windows of hot anchors are tables when the result is asked for: its plan has neither their groups nor their digests."""
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(repeats, "HOT_CHUNKS", 2)
+    df = spark.createDataFrame([(*x, 1) for x in rows(1)], DOCS).repartition(3)
+    plan = suffix_dedup.suffix_dedup(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInArrow" not in plan
+
+
 def test_bad_lengths(spark):
     df = spark.createDataFrame([], DOCS)
     for length, k in ((0, 0), (10, 11), (1 << 15, 16)):
