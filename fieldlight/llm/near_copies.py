@@ -9,6 +9,7 @@ Nodes are distinct shingle sets (`width` words a shingle), by 128-bit digest.
 3. Links between the groups that are left, by prefixes: with all shingles in one order, two sets of similarity `least` share one of
    their first n - ceil(least * n) + 1. Nodes meet by these; pairs of one group, of too different sizes, or whose places in the order leave
    too little to share are dropped, and the others are verified. This escapes no pair, so groups are those of all pairs, whatever step 1 missed.
+   Before texts travel, pairs are dropped whose parity sketches differ in more bits than sets of similarity `least` can (`sketch`): a bound, so no link is lost.
    Frequent shingles come last in the order. How frequent they are is taken from a sample, which decides the work and not the result.
 4. Components of all verified links.
 
@@ -39,6 +40,8 @@ BITS = 256
 MARGIN = 2.0
 #: Sets of the sample for the order of shingles, times in it from which a shingle counts as frequent, and frequent ones that are told apart.
 SAMPLE, OFTEN, MOST_FREQUENT = 5_000, 5, 50_000
+#: Hashes of a set from which it has a sketch.
+SKETCHED = 96
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -54,6 +57,46 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of a set's hashes in buckets, about one a hash: sketches of two sets differ in no more bits than the sets differ in hashes.
+
+    Empty for a set of few hashes, whose text is hardly longer than the rows that a sketch would spare.
+    """
+    if len(hashes) < SKETCHED:
+        return b""
+    bits = 64 << max(0, (len(hashes) - 1).bit_length() - 6)
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(s: bytes, size: int) -> np.ndarray:
+    """A sketch as one of fewer buckets, a power of two."""
+    x = np.frombuffer(s, "<u8")
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def may_be_similar(n: int, s: bytes, m: int, t: bytes, least: float) -> bool:
+    """Whether sets of n and m hashes with these sketches can have a similarity of `least`."""
+    size = min(len(s), len(t))
+    apart = max(abs(n - m), int(np.bitwise_count(_folded(s, size) ^ _folded(t, size)).sum()) if size else 0)
+    return n + m - apart >= 2 * least / (1 + least) * (n + m) - 1e-9  # those in both, twice
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches (node, n, sketch) do not rule a similarity of `least` out."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sides = (batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*x, least) for x in zip(*sides, strict=True)], pa.bool_()))
+
+    both = pairs.join(sketches.toDF("b", "nb", "sb"), "b").join(sketches.toDF("a", "na", "sa"), "a")
+    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(each, f"a {kind}, b {kind}")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -180,16 +223,16 @@ def _grouped(docs: DataFrame, kept: Tables, width: int, least: float, bits: int,
     spark = docs.sparkSession
     work = Tables(spark)
 
-    def marks(texts: list[bytes]) -> tuple[list, list]:
+    def marks(texts: list[bytes]) -> tuple[list, ...]:
         sets = [shingle_set(t, width) for t in texts]
-        return [words_of(h, bits // 64).view(np.int64) for h in sets], [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+        return [words_of(h, bits // 64).view(np.int64) for h in sets], [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], list(map(len, sets)), list(map(sketch, sets))
 
     with scratch(spark):
-        every = stored(with_columns(docs, "text", "fp array<long>, shingles binary", [pa.list_(pa.int64()), pa.binary()], lambda: marks), "fingerprints")
+        every = stored(with_columns(docs, "text", "fp array<long>, shingles binary, n int, sketch binary", [pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()], lambda: marks), "fingerprints")
         marked = kept.stored(every.select("id", "shingles"), "marked")
-        reps = every.groupBy("shingles").agg(F.min("id").alias("_id"), F.min("fp").alias("fp"), F.min("text").alias("text"))
+        reps = every.groupBy("shingles").agg(F.min("id").alias("_id"), *[F.min(c).alias(c) for c in ("fp", "text", "n", "sketch")])
         node = F.struct(F.col("_id").isNull().alias("orphan"), F.col("_id").alias("id"), F.xxhash64("shingles").alias("by")).alias("node")
-        sets = work.stored(reps.select("shingles", "fp", "text", node), "sets")
+        sets = work.stored(reps.select("shingles", "fp", "text", "n", "sketch", node), "sets")
     nodes = kept.stored(sets.select("shingles", "node"), "nodes")
     most = max(nodes.count(), 1)
     numbered = nodes.select(F.col("node.by").alias("_by"), "node")
@@ -202,7 +245,7 @@ def _grouped(docs: DataFrame, kept: Tables, width: int, least: float, bits: int,
 
     def checked(pairs: DataFrame) -> DataFrame:
         with scratch(spark):
-            pairs = stored(pairs, "pairs")
+            pairs = stored(_possible(stored(pairs, "pairs"), sets.select("node", "n", "sketch"), least), "pairs")
             asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             texts = stored(sets.select("node", "text").join(asked, "node"), "texts")
             rounds = max(1, -(-pairs.count() // most))  # no more pairs with their texts at once than there are sets

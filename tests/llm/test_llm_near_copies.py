@@ -146,3 +146,31 @@ def test_pairs_are_verified_in_rounds_of_about_as_many_as_sets(spark, monkeypatc
     got = {x.doc_id: x.component_id for x in near_copies.near_copies(docs_of(spark, own), recall=0.05).collect()}
     assert sum(counts) > len(own) > max(counts), counts
     assert [got[i] for i in range(len(own))] == groups_brute(own)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    """Any sizes, folded sketches and sets without one; unlike sets are ruled out."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for n in (0, 1, 95, 96, 127, 128, 129, 500, 513, 3000):
+        for _ in range(20):
+            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            gone, new = int(r.integers(0, n // 5 + 1)), int(r.integers(0, n // 8 + 1))
+            b = np.unique(np.r_[r.permutation(a)[: len(a) - gone], r.integers(0, 2**63, new).astype(np.uint64)])
+            near = near_copies.similarity(a, b)
+            told = near_copies.may_be_similar(len(a), near_copies.sketch(a), len(b), near_copies.sketch(b), near)
+            assert told and near_copies.may_be_similar(len(b), near_copies.sketch(b), len(a), near_copies.sketch(a), near)
+    a, b = (np.unique(r.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(2))
+    assert not near_copies.may_be_similar(300, near_copies.sketch(a), 300, near_copies.sketch(b), 0.8)
+
+
+def test_texts_of_pairs_that_sketches_rule_out_do_not_travel(spark, monkeypatch):
+    """Candidates of a similarity of 0.66 that share rare shingles: all of them were verified on their texts."""
+    own = [" ".join([*(f"p{k // 4}x{i}" for i in range(240)), *(f"q{k}x{i}" for i in range(60))]) for k in range(40)]
+    own += [" ".join([*own[-1].split(), "one", "more"])]
+    counts, was = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: counts.append(pairs.count()) or was(pairs, *rest))
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(docs_of(spark, own), recall=0.05).collect()}
+    assert [got[i] for i in range(len(own))] == groups_brute(own) and got[40] == 39
+    assert 1 <= sum(counts) < 10, counts
