@@ -7,12 +7,12 @@
 3. Groups meet pages of zone maps, never vectors. Interval arithmetic gives the least and largest score that a
    block can have with an anchor: a block is read for an anchor's positives only if it may reach the known
    score, and for the window of a positive only if its scores may fall into the window.
-4. Chosen blocks and groups meet by block number; a task keeps the best rows of each window and reports those;
-   reports meet in a window function. Positives come first, then the windows that they open.
+4. A group goes once to each cell (CELL_BLOCKS blocks in a row) of its chosen blocks; a task keeps the best rows of each
+   window and reports those; reports meet in a window function. Positives come first, then the windows that they open.
 
 All rows are searched for every anchor: bounds only leave out blocks that cannot have a result. Work is in tiles
-of bounded size (a group by a page, a group by a block), and nothing of the size of the data is broadcast
-or collected; a label, vector or place on the curve that many rows share is cut into many blocks by id.
+of bounded size (a group by a page, a group by a block), and nothing is broadcast or collected: joins are merges, since
+Spark judges a stored table by its compressed bytes, and vectors and windows are many times as large in the driver; a label, vector or place on the curve that many rows share is cut into many blocks by id.
 
 Defined results: rows without an id, a label or a vector, or with a null or non-finite component take no part.
 Vectors of different lengths are filled up with zeros. Components so large that inner products might not fit a
@@ -38,6 +38,7 @@ from .common import Tables, partitions
 BLOCK_ROWS = 256
 GROUP_ROWS = 256
 PAGE_BLOCKS = 1024
+CELL_BLOCKS = 32
 #: Dimensions and bits of the Hilbert curve.
 CURVE_DIMS, CURVE_BITS = 16, 4
 #: Groups whose best rows a task keeps at once.
@@ -327,12 +328,22 @@ def hard_negatives(
     pages = tables.stored(blocks.select("block", "label", "low", "high").mapInArrow(_pages, PAGE_DDL), "pages")
     vectors = blocks.select("block", F.col("ids").alias("block_ids"), F.col("vecs").alias("block_vecs"))
 
+    cell = F.floor(F.col("block") / CELL_BLOCKS).alias("cell")
+    vectors = vectors.select("*", cell)
+    spread_out = max(1, min(shards, pages.count()))
+
+    def met(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        """A join in all tasks; the rows of right with one key are few, those of left stream past them."""
+        return left.repartition(shards, key).hint("merge").join(right.repartition(shards, key), key)
+
     def searched(groups: DataFrame, same: bool, k: int) -> DataFrame:
         """The k best rows of every window of the groups, with rank."""
-        spread_out = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        tiles = spread_out.join(pages.withColumn("shard", F.pmod(F.xxhash64("page"), F.lit(shards)).cast("int")), "shard").drop("shard", "ids")
+        dealt = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(spread_out - 1))))
+        tiles = met(dealt, pages.withColumn("shard", F.pmod(F.xxhash64("page"), F.lit(spread_out)).cast("int")), "shard").drop("shard", "ids")
         chosen = tables.stored(tiles.mapInArrow(_choose(dims, same), CHOSEN_DDL), "chosen")
-        read = chosen.join(groups, "group").join(vectors, "block").drop("block", "label")
+        wanted = chosen.repartition(shards, "group").groupBy("group", cell).agg(F.map_from_entries(F.collect_list(F.struct("block", "mask"))).alias("wanted"))
+        read = met(met(wanted, groups, "group"), vectors, "cell").withColumn("mask", F.try_element_at("wanted", "block")).where("mask is not null")
+        read = read.drop("wanted", "cell", "block", "label")
         found = read.mapInArrow(_read(dims, k), FOUND_DDL)
         first = Window.partitionBy("group", "slot").orderBy(F.desc("score"), "id")
         return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
@@ -342,9 +353,9 @@ def hard_negatives(
     windows = near.select("group", slot, F.col("slot").alias("at"), F.expr(f"score * {least} div 100 + if(score * {least} % 100 > 0, 1, 0)").alias("low"),
                           F.expr(f"score * {most} div 100 - if(score * {most} % 100 < 0, 1, 0)").alias("high")).where("low <= high")
     windows = windows.groupBy("group").agg(F.collect_list(F.struct(F.col("slot"), F.col("at"), F.col("low"), F.col("high"))).alias("slots"))  # a group's anchors times positives
-    groups = tables.stored(groups.drop("slots").join(windows, "group"), "groups")
+    groups = tables.stored(groups.drop("slots").hint("merge").join(windows, "group"), "groups")
     far = searched(groups, False, negatives).select("group", "slot", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     near = near.select("group", slot, F.col("own").alias("anchor_id"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-    out = tables.stored(near.join(far, ["group", "slot"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "negatives")
+    out = tables.stored(near.hint("merge").join(far, ["group", "slot"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "negatives")
     tables.clear(out)
     return out

@@ -50,6 +50,18 @@ def test_equals_brute_force(spark, rows, kind, more):
     assert got == brute(rows, 10, *(more.get(k, d) for k, d in (("positives", 5), ("negatives", 5), ("least", 80), ("most", 100)))) and got
 
 
+def test_nothing_is_broadcast(spark):
+    """Stored tables are compressed, so those that look small are many times as large in the driver: vectors, groups and their windows."""
+    told = spark._jsparkSession.sharedState().statusStore()
+    before = told.executionsCount()
+    docs = spark.createDataFrame(table(400, 4, [0, 1]), "vec_id long, embedding array<double>, label int")
+    assert h.hard_negatives(docs, F.col("vec_id") % 10 == 0, block_rows=4).count()
+    runs = told.executionsList()
+    nodes = [told.planGraph(runs.apply(i).executionId()).allNodes() for i in range(int(before), runs.size())]
+    names = [n.apply(j).name() for n in nodes for j in range(n.size())]
+    assert "SortMergeJoin" in names and not [n for n in names if n.startswith("Broadcast")]
+
+
 def test_tables_with_nothing_to_find(spark):
     schema = "vec_id long, embedding array<float>, label int"
     for rows in ([], [(0, [], 1), (1, [], 2)], [(0, [1.0], 1)], [(None, [1.0], 1)], [(0, [1.0], 1), (1, [1.0], 1)]):
