@@ -572,36 +572,46 @@ def _single(spark, sf):
     return inputs.items(spark, sf).withColumns({"tile": F.col("tile") % 10, "item_id": F.concat_ws("|", "item_id", "doc", "quantity")})
 
 
-def _asked(spark, sf):
-    """Points and the items that hold them: what is sampled, with the items' own columns."""
+def _points(spark, sf):
+    """Points with their tile and their place, a text: points of one tile at the same longitude and latitude have one."""
     c = inputs.candidates(spark, sf).withColumn("tile", F.col("c_custkey") % 10)
-    return joins.point_in_boxes(c, _single(spark, sf), ["tile"], "longitude", "latitude")
+    return c.withColumn("place", F.concat_ws("|", "tile", "longitude", "latitude"))
+
+
+def _asked(spark, sf):
+    """Places and the items that hold them: what is sampled, with the items' own columns. However many points a place has, an item is asked for it once."""
+    places = _points(spark, sf).select("tile", "longitude", "latitude", "place").distinct()
+    return joins.point_in_boxes(places, _single(spark, sf), ["tile"], "longitude", "latitude")
 
 
 def _store(spark, sf):
-    """The folder of rasters of 10 by 8 cells for all items, class and red of optical ones, vv and vh of others, and the values at the asked points."""
+    """The folder of rasters of 10 by 8 cells for all items, class and red of optical ones, vv and vh of others, and the values at the asked places."""
     from ..sources import samples
     from .q_sources import folder
 
-    q, cells = F.col("quantity"), F.sequence(F.lit(0), F.lit(79))
+    q, cells, asset = F.col("quantity"), F.sequence(F.lit(0), F.lit(79)), F.col("asset")
     per = lambda f: F.transform(cells, f).cast("array<double>")
-    one = lambda asset, f: F.struct(F.lit(asset).alias("asset"), per(f).alias("values"))
-    optical = F.array(one("class", lambda j: (q + j * 3) % 12), one("red", lambda j: (q * 7 + j) % 100))
-    radar = F.array(one("vv", lambda j: (q + j) % 4), one("vh", lambda j: (q * 3 + j) % 5))
-    i = _single(spark, sf).withColumn("_a", F.explode(F.when(F.col("orbit") == "N", optical).otherwise(radar)))
-    rasters = i.select("tile", F.col("item_id").alias("item"), "_a.asset", "west", "north", F.lit(1.0).alias("step"), F.lit(10).alias("width"), "_a.values")
-    asked = _asked(spark, sf).select("tile", F.col("item_id").alias("item"), F.col("candidate_id").alias("point"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    values = F.when(asset == "class", per(lambda j: (q + j * 3) % 12)).when(asset == "red", per(lambda j: (q * 7 + j) % 100)).when(asset == "vv", per(lambda j: (q + j) % 4)).otherwise(per(lambda j: (q * 3 + j) % 5))
+    pair = lambda *names: F.array(*map(F.lit, names))
+    i = _single(spark, sf).withColumn("asset", F.explode(F.when(F.col("orbit") == "N", pair("class", "red")).otherwise(pair("vv", "vh"))))
+    rasters = i.select("tile", F.col("item_id").alias("item"), "asset", "west", "north", F.lit(1.0).alias("step"), F.lit(10).alias("width"), "quantity")
+    asked = _asked(spark, sf).select("tile", F.col("item_id").alias("item"), F.col("place").alias("point"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
     path = folder(spark)
-    samples.land(rasters, asked, path)
+    samples.land(rasters, asked, path, values=values)
     return path
 
 
 @query("l3_sampler_source", _SAMPLED + " SELECT item_id AS item, candidate_id AS point, asset, CAST(v AS DOUBLE) AS value FROM (SELECT item_id, candidate_id, unnest(['class', 'red']) AS asset, unnest([class, red]) AS v FROM o UNION ALL SELECT item_id, candidate_id, unnest(['vv', 'vh']), unnest([vv, vh]) FROM r)")
 def l3_source(spark, sf):
-    """Values of landed rasters at points, read by a data source with a task a tile and file of points."""
+    """Values of landed rasters at places, read by a data source with a task a tile and file of places, for each point there.
+
+    The rows are as many as points times the items that hold them; only those of places are shuffled.
+    """
     from ..sources import samples
 
-    return samples.read_samples(spark, _store(spark, sf)).select("item", "point", "asset", "value")
+    sampled = samples.read_samples(spark, _store(spark, sf)).withColumnRenamed("point", "place")
+    points = _points(spark, sf).select("place", F.col("candidate_id").alias("point"))
+    return sampled.join(points, "place").select("item", "point", "asset", "value")
 
 
 @query("j45_sampled_histories", _SAMPLED + """, od AS (SELECT candidate_id, period, coalesce(bool_or(class IN (4, 5, 6)), false) AS valid, coalesce(arg_min(red, (acquired, item_id)) FILTER (class IN (4, 5, 6)), 0) AS band FROM o GROUP BY ALL),
@@ -611,7 +621,7 @@ SELECT c.candidate_id, x.modality, count(m.band) AS rows, count(*) FILTER (m.val
  CASE WHEN count(m.band) = 0 THEN 'none' WHEN count(*) FILTER (m.valid) = 0 THEN 'insufficient' ELSE 'complete' END AS outcome
 FROM candidates c CROSS JOIN (SELECT unnest(['s2', 's1']) AS modality) x LEFT JOIN m ON m.candidate_id = c.candidate_id AND m.modality = x.modality GROUP BY ALL""")
 def j45_sampled(spark, sf):
-    """Items that hold a point, their sampled values, one mosaic a period (optical: first valid item; radar: each band by itself, by orbit), outcomes."""
+    """Items that hold a place, their sampled values, one mosaic a period (optical: first valid item; radar: each band by itself, by orbit), outcomes for each point there."""
     from ..sources import samples
 
     items = _single(spark, sf).select(F.col("item_id").alias("item"), "acquired", "orbit", F.year("acquired").alias("period")).distinct()
@@ -624,9 +634,10 @@ def j45_sampled(spark, sf):
     s1 = s1.select("point", F.lit("s1").alias("modality"), ((F.col("vv") != 0) & (F.col("vh") != 0)).alias("valid"), F.col("vv").alias("band"))
     history = s2.unionByName(s1)
     keys = ["point", "modality"]
-    expected = joins.cross_small(inputs.candidates(spark, sf).select(F.col("candidate_id").alias("point")), ["s2", "s1"], "modality")
+    points = _points(spark, sf).select("candidate_id", F.col("place").alias("point"))
+    expected = joins.cross_small(points.select("point").distinct(), ["s2", "s1"], "modality")
     out = mosaic.outcomes(expected, history, keys, F.col("valid"), 1, sums={"band": "band_sum"})
-    return out.fillna(0.0, ["band_sum"]).withColumnRenamed("point", "candidate_id")
+    return points.join(out.fillna(0.0, ["band_sum"]), "point").select("candidate_id", *[c for c in out.columns if c != "point"])
 
 
 @query("j46_field_features", f"WITH {VECTORS}, {_EACH}, m AS (SELECT crop, field, d, avg(e) AS m FROM each GROUP BY ALL), s AS (SELECT field, round(sum(m), 6) AS mean_sum FROM m GROUP BY field), g AS (SELECT field, any_value(crop) AS crop, count(*) AS n, max(x) - min(x) + 1 AS width FROM vectors GROUP BY field) SELECT field, crop, n, width, mean_sum FROM g JOIN s USING (field)")

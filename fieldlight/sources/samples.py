@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
@@ -27,18 +27,21 @@ FILE_POINTS, BATCH_VALUES, BATCH_CELLS, BATCH_RASTERS = 500_000, 50_000, 4_000_0
 GROUP_BYTES = 8 << 20
 
 
-def land(rasters: DataFrame, requests: DataFrame, path: str, file_points: int = FILE_POINTS) -> None:
+def land(rasters: DataFrame, requests: DataFrame, path: str, file_points: int = FILE_POINTS, values: Column | None = None) -> None:
     """Writes both tables by tile, in ranges of items and sorted by them, so that a file of points reads the row groups of its items only.
 
     rasters: tile, item, asset, west, north, step, width, values (row by row from the top); requests: tile, item, point, x, y. Tiles and
     items are texts here. Rows without one of them answer nothing and are left out. Ranges split large tiles, and items of many points.
+    values: made of other columns of rasters where a raster is written, so that its cells are not shuffled.
     """
     for name, rows, columns in (("rasters", rasters, RASTERS), ("requests", requests, REQUESTS)):
-        rows = rows.select(*columns).withColumns({c: F.col(c).cast("string") for c in ("tile", "item")}).where("tile <> '' AND item IS NOT NULL")
+        made = values is not None and name == "rasters"
+        rows = rows.select(*(rows.columns if made else columns)).withColumns({c: F.col(c).cast("string") for c in ("tile", "item")}).where("tile <> '' AND item IS NOT NULL")
         if name == "requests":
             rows = rows.withColumn("point", F.col("point").cast("string"))
         ranges = rows.repartitionByRange("tile", "item", "asset" if name == "rasters" else "point")
-        laid = ranges.sortWithinPartitions("tile", "item").write.partitionBy("tile").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES)
+        laid = ranges.sortWithinPartitions("tile", "item")
+        laid = (laid.withColumn("values", values).select(*columns) if made else laid).write.partitionBy("tile").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES)
         laid.option("maxRecordsPerFile", file_points).mode("errorifexists").parquet(f"{path}/{name}")
 
 

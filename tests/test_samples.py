@@ -90,3 +90,32 @@ def test_a_file_of_points_holds_a_range_of_items(spark, tmp_path):
     assert sorted(map(tuple, samples.read_samples(spark, path).collect()), key=str) == sorted(by_hand(rasters, requests), key=str)
     spans = sorted((min(i), max(i)) for i in ([r.item for r in spark.read.parquet(str(f)).collect()] for f in Path(path).glob("requests/tile=1/*.parquet")))
     assert len(spans) > 2 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_values_made_where_rasters_are_written(spark, tmp_path):
+    """Cells come after the shuffle: it has the columns that they are made of, not the cells."""
+    rasters = spark.createDataFrame([("1", f"i{k}", "a", 0.0, 2.0, 1.0, 2, k) for k in range(40)], "tile string, item string, asset string, west double, north double, step double, width int, seed int")
+    requests = spark.createDataFrame([(1, f"i{k}", "p", 1.5, 0.5) for k in range(40)], REQUESTS)
+    samples.land(rasters, requests, f"{tmp_path}/s", values=F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: (F.col("seed") * 10 + j).cast("double")))
+    got = {r.item: r.value for r in samples.read_samples(spark, f"{tmp_path}/s").collect()}
+    assert got == {f"i{k}": 10.0 * k + 3 for k in range(40)}
+
+
+def test_a_place_is_asked_once(spark, tmp_path):
+    """Points of one place share its samples: pairs of places and items do not grow with the points of a place."""
+    import shutil
+
+    from fieldlight.plans import q_vectors
+
+    base = Path("/root/testdata/sf0.001")
+    for t in ("nation", "region", "lineitem"):
+        shutil.copyfile(base / f"{t}.parquet", tmp_path / f"{t}.parquet")
+    c, step = spark.read.parquet(f"{base}/customer.parquet"), 30_600  # the same place and tile again
+    shifted = c.withColumn("_r", F.explode(F.array(*map(F.lit, range(5))))).withColumn("c_custkey", F.col("c_custkey") + F.col("_r") * step).drop("_r")
+    shifted.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert q_vectors._asked(spark, str(tmp_path)).count() == q_vectors._asked(spark, str(base)).count()
+    one, five = (q_vectors.l3_source(spark, str(p)).where("point IS NOT NULL") for p in (base, tmp_path))
+    assert five.count() == 5 * one.count() > 0
+    histories = q_vectors.j45_sampled(spark, str(tmp_path))
+    k = F.col("candidate_id").cast("long") % step
+    assert histories.count() == 10 * c.count() and histories.groupBy(k, "modality", "rows", "valid_rows", "band_sum", "outcome").count().where("count <> 5").isEmpty()
