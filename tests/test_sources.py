@@ -144,3 +144,16 @@ def test_queries_are_listed_without_a_session():
     root = Path(__file__).resolve().parents[1]
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+
+
+def test_digests_travel_as_bytes(spark):
+    """Bytes are half as long as hex; equal keys are equal texts, whatever the texts; raw documents by bytes break the same rules as by text."""
+    hexed = "0f" * 32
+    texts = [hexed, hexed.upper(), "0f" * 31, "x" * 32, "x" * 65, "", "xyz", None, hexed[:-1] + "0", bytes.fromhex("61" * 32).decode(), "61" * 32]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", bundles.digest_key(F.col("t")).alias("k")).collect()
+    assert [len(r.k) for r in got if r.t in (hexed, "61" * 32)] == [32, 32] and all((r.k is None) == (r.t is None) for r in got)
+    assert len({bytes(r.k) for r in got if r.k is not None}) == len({r.t for r in got if r.t is not None})
+    snapshots, expected, raw = _catalog(spark, [change for _, change in RULES])
+    rules = lambda raw: sorted((r.rule, r.key) for r in bundles.catalog_snapshot(snapshots, expected, raw)[1].collect())
+    plain = raw.where(F.col("digest").rlike("^[0-9a-f]{64}$"))
+    assert rules(plain.withColumn("digest", F.unhex("digest"))) == rules(plain) != []
